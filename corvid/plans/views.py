@@ -26,3 +26,81 @@ def samples(spark: SparkSession, d: str) -> DataFrame:
             .select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("func_name"),
                     F.col("n_chars").alias("length"),
                     F.when(F.col("quality") == 1, "Success").otherwise("Failure").alias("result")))
+
+
+# ---------------------------------------------------------------- R runs
+# Tasks: one per part, category = part type. Runs: one per lineitem row,
+# task = its part, agent = lower(returnflag || linestatus), start = ship date,
+# return code = line number mod 3 (0 = success).
+AGENTS = ["af", "ao", "nf", "no", "rf", "ro"]
+
+TASKS_SQL = """tasks AS (
+  SELECT p_type AS category, 't' || CAST(p_partkey AS VARCHAR) AS task FROM part)"""
+
+RUNS_SQL = """runs AS (
+  SELECT 't' || CAST(l_partkey AS VARCHAR) AS task,
+         lower(l_returnflag || l_linestatus) AS agent,
+         l_shipdate AS started_at,
+         'run_' || lower(l_returnflag || l_linestatus) || '_' || strftime(l_shipdate, '%Y%m%d_%H%M%S') AS run_name,
+         l_linenumber % 3 AS return_code
+  FROM lineitem)"""
+
+
+def tasks(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select(
+        F.col("p_type").alias("category"),
+        F.concat(F.lit("t"), F.col("p_partkey").cast("string")).alias("task"))
+
+
+def runs(spark: SparkSession, d: str) -> DataFrame:
+    from corvid.operators.runs import format_run_name
+    li = table(spark, d, "lineitem")
+    agent = F.lower(F.concat("l_returnflag", "l_linestatus"))
+    return li.select(
+        F.concat(F.lit("t"), F.col("l_partkey").cast("string")).alias("task"),
+        agent.alias("agent"),
+        F.col("l_shipdate").alias("started_at"),
+        format_run_name(agent, F.col("l_shipdate")).alias("run_name"),
+        (F.col("l_linenumber") % 3).alias("return_code"))
+
+
+# Rubric rows: one per lineitem row; category = return flag, task = order,
+# section by line status, points 1..5 from the quantity, awarded when the
+# discount is below 0.05.
+RUBRIC_SQL = """rubric AS (
+  SELECT l_returnflag AS category, 't' || CAST(l_orderkey AS VARCHAR) AS task,
+         CASE WHEN l_linestatus = 'F' THEN 'Correctness' ELSE 'User Experience' END AS section,
+         l_linenumber AS ordinal, 'c' || CAST(l_linenumber AS VARCHAR) AS criterion,
+         1 + CAST(l_quantity AS INTEGER) % 5 AS points,
+         CASE WHEN l_discount < 0.05 THEN 1 + CAST(l_quantity AS INTEGER) % 5 ELSE 0 END AS awarded
+  FROM lineitem)"""
+
+
+def rubric(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem")
+    points = F.lit(1) + F.col("l_quantity").cast("int") % 5
+    return li.select(
+        F.col("l_returnflag").alias("category"),
+        F.concat(F.lit("t"), F.col("l_orderkey").cast("string")).alias("task"),
+        F.when(F.col("l_linestatus") == "F", "Correctness").otherwise("User Experience").alias("section"),
+        F.col("l_linenumber").alias("ordinal"),
+        F.concat(F.lit("c"), F.col("l_linenumber").cast("string")).alias("criterion"),
+        points.alias("points"),
+        F.when(F.col("l_discount") < 0.05, points).otherwise(0).alias("awarded"))
+
+
+# Chats: conversations with a model picked by conv_id mod 3.
+MODELS = ["model-a", "model-b", "model-c"]
+# Our own illustrative prices, USD per million tokens.
+PRICES = {"model-a": 3.0, "model-b": 15.0, "model-c": 0.5}
+
+CHATS_SQL = """chats AS (
+  SELECT conv_id, turn, role, text,
+         CASE conv_id % 3 WHEN 0 THEN 'model-a' WHEN 1 THEN 'model-b' ELSE 'model-c' END AS model
+  FROM conversations)"""
+
+
+def chats(spark: SparkSession, d: str) -> DataFrame:
+    models = F.array(*[F.lit(m) for m in MODELS])
+    return table(spark, d, "conversations").withColumn(
+        "model", F.element_at(models, (F.col("conv_id") % 3 + 1).cast("int")))
