@@ -104,3 +104,68 @@ def chats(spark: SparkSession, d: str) -> DataFrame:
     models = F.array(*[F.lit(m) for m in MODELS])
     return table(spark, d, "conversations").withColumn(
         "model", F.element_at(models, (F.col("conv_id") % 3 + 1).cast("int")))
+
+
+# ---------------------------------------------------------------- C inventory
+# One function record per customer. Every 100th key is a 'main' (one per
+# project), the file is the nation's module, lines/columns and parameter
+# lists come from key arithmetic. Call edges come from orders joined to the
+# caller's customer: caller directory alternates src/lib by order key, the
+# callee is the function of key o_orderkey DIV 10.
+FUNCTIONS_SQL = """functions AS (
+  SELECT CASE WHEN c_custkey % 100 = 0 THEN 'main' ELSE 'f' || CAST(c_custkey AS VARCHAR) END AS name,
+         'src/m' || CAST(c_nationkey AS VARCHAR) || '.c' AS filename,
+         CAST(c_custkey % 500 + 1 AS BIGINT) AS start_line,
+         CAST(c_custkey % 500 + 1 + c_custkey % 40 AS BIGINT) AS end_line,
+         CAST(1 + c_custkey % 7 AS BIGINT) AS start_col,
+         CAST(1 + c_custkey % 11 AS BIGINT) AS end_col,
+         CAST(c_custkey % 4 AS INTEGER) AS num_args,
+         CASE c_custkey % 4 WHEN 0 THEN 'int' WHEN 1 THEN 'void' WHEN 2 THEN 'char*' ELSE 'double' END AS return_type,
+         c_acctbal >= -500 AS is_valid_location,
+         c_mktsegment = 'AUTOMOBILE' AS is_system,
+         c_custkey % 3 <> 0 AS is_definition,
+         c_custkey
+  FROM customer)"""
+
+CALL_EDGES_SQL = """call_edges AS (
+  SELECT CASE WHEN c.c_custkey % 100 = 0 THEN 'main' ELSE 'f' || CAST(c.c_custkey AS VARCHAR) END AS caller,
+         CASE WHEN o.o_orderkey % 2 = 0 THEN 'src/m' ELSE 'lib/m' END || CAST(c.c_nationkey AS VARCHAR) || '.c' AS caller_path,
+         CASE WHEN (o.o_orderkey // 10) % 100 = 0 THEN 'main' ELSE 'f' || CAST(o.o_orderkey // 10 AS VARCHAR) END AS callee
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey)"""
+
+PARAM_TYPES = ["int", "char*", "double"]
+PARAM_NAMES = ["argc", "", "x"]
+RETURN_TYPES = ["int", "void", "char*", "double"]
+
+
+def _fname(key: F.Column) -> F.Column:
+    return F.when(key % 100 == 0, F.lit("main")).otherwise(F.concat(F.lit("f"), key.cast("string")))
+
+
+def functions(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer")
+    k = F.col("c_custkey")
+    rets = F.array(*[F.lit(t) for t in RETURN_TYPES])
+    return c.select(
+        _fname(k).alias("name"),
+        F.concat(F.lit("src/m"), F.col("c_nationkey").cast("string"), F.lit(".c")).alias("filename"),
+        (k % 500 + 1).alias("start_line"),
+        (k % 500 + 1 + k % 40).alias("end_line"),
+        (1 + k % 7).alias("start_col"),
+        (1 + k % 11).alias("end_col"),
+        (k % 4).cast("int").alias("num_args"),
+        F.element_at(rets, (k % 4 + 1).cast("int")).alias("return_type"),
+        (F.col("c_acctbal") >= -500).alias("is_valid_location"),
+        (F.col("c_mktsegment") == "AUTOMOBILE").alias("is_system"),
+        (k % 3 != 0).alias("is_definition"),
+        k.alias("c_custkey"))
+
+
+def call_edges(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    c = table(spark, d, "customer").select("c_custkey", "c_nationkey")
+    j = o.join(c, o["o_custkey"] == c["c_custkey"])
+    prefix = F.when(F.col("o_orderkey") % 2 == 0, F.lit("src/m")).otherwise(F.lit("lib/m"))
+    return j.select(_fname(F.col("c_custkey")).alias("caller"),
+                    F.concat(prefix, F.col("c_nationkey").cast("string"), F.lit(".c")).alias("caller_path"),
+                    _fname(F.floor(F.col("o_orderkey") / 10).cast("bigint")).alias("callee"))
