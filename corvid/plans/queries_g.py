@@ -1 +1,71 @@
-"""G area queries."""
+"""G area queries: graph build, reachability, components, levels, order."""
+
+from corvid.operators import graph as G
+from corvid.plans import views
+from corvid.plans.catalog import register
+
+_GE = views.GRAPH_EDGES_SQL
+
+
+def _graph(spark, d):
+    e = views.graph_edges(spark, d).checkpoint()
+    return views.graph_nodes(e), e
+
+
+@register("g2_build_graph", "G", oracle=f"""
+WITH {_GE}
+SELECT n.n,
+       (SELECT count(*) FROM graph_edges e WHERE e.src = n.n) AS out_degree,
+       (SELECT count(*) FROM graph_edges e WHERE e.dst = n.n) AS in_degree
+FROM graph_nodes n""")
+def g2(spark, d):
+    nodes, edges = _graph(spark, d)
+    return G.degrees(nodes, edges)
+
+
+@register("g3_reachable", "G", oracle=f"""
+WITH RECURSIVE {_GE},
+r(n, depth) AS (SELECT '{views.GRAPH_ROOT}', 0
+                UNION SELECT e.dst, r.depth + 1 FROM r JOIN graph_edges e ON e.src = r.n)
+SELECT n, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY n""")
+def g3(spark, d):
+    nodes, edges = _graph(spark, d)
+    return G.reachable(nodes, edges, views.GRAPH_ROOT)
+
+
+@register("g4_weak_components", "G", oracle=f"""
+WITH RECURSIVE {_GE},
+und AS (SELECT src AS a, dst AS b FROM graph_edges UNION SELECT dst, src FROM graph_edges),
+reach(n, m) AS (SELECT n, n FROM graph_nodes UNION SELECT r.n, u.b FROM reach r JOIN und u ON u.a = r.m)
+SELECT n, min(m) AS label FROM reach GROUP BY n""")
+def g4(spark, d):
+    nodes, edges = _graph(spark, d)
+    return G.weak_components(nodes, edges)
+
+
+_LEVELS_SQL = f"""{_GE},
+h(n, lvl) AS (SELECT n, 0 FROM graph_nodes WHERE n NOT IN (SELECT src FROM graph_edges)
+              UNION SELECT e.src, h.lvl + 1 FROM h JOIN graph_edges e ON e.dst = h.n),
+levels AS (SELECT n, CAST(max(lvl) AS INTEGER) AS level FROM h GROUP BY n)"""
+
+
+@register("g5_levels_callee_first", "G", oracle=f"""
+WITH RECURSIVE {_LEVELS_SQL}
+SELECT n, level FROM levels""")
+def g5(spark, d):
+    nodes, edges = _graph(spark, d)
+    return G.levels_callee_first(nodes, edges)
+
+
+@register("g1_callee_first_order", "G", oracle=f"""
+WITH RECURSIVE {_LEVELS_SQL}
+SELECT n, level, row_number() OVER (ORDER BY level, n) - 1 AS position FROM levels""")
+def g1(spark, d):
+    nodes, edges = _graph(spark, d)
+    return G.callee_first_order(G.levels_callee_first(nodes, edges))
+
+
+@register("g6_cycle_fallback", "G")
+def g6(spark, d):
+    edges, roots = views.cyclic_graphs(spark, d)
+    return G.cycle_fallback(edges, roots)

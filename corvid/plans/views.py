@@ -169,3 +169,51 @@ def call_edges(spark: SparkSession, d: str) -> DataFrame:
     return j.select(_fname(F.col("c_custkey")).alias("caller"),
                     F.concat(prefix, F.col("c_nationkey").cast("string"), F.lit(".c")).alias("caller_path"),
                     _fname(F.floor(F.col("o_orderkey") / 10).cast("bigint")).alias("callee"))
+
+
+# ---------------------------------------------------------------- G call graph
+# Acyclic call graph over function names (numbers only grow along an edge):
+# customer c gives (parent, f{c+1}) with parent = c DIV (2 + nation mod 3),
+# named 'x..' (an unreachable caller) when the balance is negative, else
+# 'f..'; order rows give (f{custkey DIV 7}, f{custkey+1}). Root: 'f0'.
+GRAPH_ROOT = "f0"
+
+GRAPH_EDGES_SQL = """graph_edges AS (
+  SELECT DISTINCT src, dst FROM (
+    SELECT CASE WHEN c_acctbal < 0 THEN 'x' ELSE 'f' END || CAST(c_custkey // (2 + c_nationkey % 3) AS VARCHAR) AS src,
+           'f' || CAST(c_custkey + 1 AS VARCHAR) AS dst FROM customer
+    UNION ALL
+    SELECT 'f' || CAST(o_custkey // 7 AS VARCHAR), 'f' || CAST(o_custkey + 1 AS VARCHAR) FROM orders)),
+graph_nodes AS (SELECT src AS n FROM graph_edges UNION SELECT dst FROM graph_edges)"""
+
+
+def graph_edges(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer")
+    o = table(spark, d, "orders")
+    pre = F.when(F.col("c_acctbal") < 0, F.lit("x")).otherwise(F.lit("f"))
+    a = c.select(F.concat(pre, F.floor(F.col("c_custkey") / (2 + F.col("c_nationkey") % 3)).cast("bigint")
+                          .cast("string")).alias("src"),
+                 F.concat(F.lit("f"), (F.col("c_custkey") + 1).cast("string")).alias("dst"))
+    b = o.select(F.concat(F.lit("f"), F.floor(F.col("o_custkey") / 7).cast("bigint").cast("string")).alias("src"),
+                 F.concat(F.lit("f"), (F.col("o_custkey") + 1).cast("string")).alias("dst"))
+    return a.union(b).distinct()
+
+
+def graph_nodes(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("src").alias("n")).union(edges.select(F.col("dst").alias("n"))).distinct()
+
+
+# Cyclic per-customer graphs for the depth-first fallback: the customer node
+# calls the node of each order (o_orderkey DIV 10), finished orders call back,
+# and order nodes call o_orderkey DIV 100.
+def cyclic_graphs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    cust = F.concat(F.lit("c"), F.col("o_custkey").cast("string"))
+    p10 = F.concat(F.lit("p"), F.floor(F.col("o_orderkey") / 10).cast("bigint").cast("string"))
+    p100 = F.concat(F.lit("p"), F.floor(F.col("o_orderkey") / 100).cast("bigint").cast("string"))
+    gid = F.col("o_custkey").alias("graph_id")
+    e = (o.select(gid, cust.alias("src"), p10.alias("dst"))
+         .union(o.where(F.col("o_orderstatus") == "F").select(gid, p10.alias("src"), cust.alias("dst")))
+         .union(o.select(gid, p10.alias("src"), p100.alias("dst"))))
+    roots = o.select(gid, cust.alias("root")).distinct()
+    return e, roots
