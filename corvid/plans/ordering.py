@@ -28,3 +28,25 @@ def with_global_position(df: DataFrame, order: Sequence[Column | str], name: str
     out = sorted_df.join(F.broadcast(offsets.select("_pid", "_off", "_base")), "_pid")
     return out.withColumn(name, (F.col("_off") + F.col("_mid") - F.col("_base")).cast("bigint")) \
               .drop("_pid", "_mid", "_off", "_base", "_n")
+
+
+def blocked_running_sum(df: DataFrame, partition: Sequence[str], order: str, value: Column,
+                        out: str, block_size: int = 1 << 20) -> DataFrame:
+    """Exact running sum of ``value`` per ``partition`` in ``order``, skew-safe.
+
+    One partition key may hold a large share of all rows, so no window is
+    partitioned by it alone. Rows are cut into blocks of ``block_size`` order
+    values (``order`` is numeric); block totals are a partial aggregate, their
+    exclusive prefix per key is a window over one row per block, and the
+    in-block running sum is a window over (key, block), bounded by the block.
+    The block-offset join is small and left to AQE to broadcast at run time.
+    """
+    blk = F.floor(F.col(order) / F.lit(block_size)).cast("bigint")
+    x = df.withColumn("_blk", blk).withColumn("_v", value)
+    totals = x.groupBy(*partition, "_blk").agg(F.sum("_v").alias("_t"))
+    wb = Window.partitionBy(*partition).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    offs = totals.withColumn("_off", F.coalesce(F.sum("_t").over(wb), F.lit(0))).drop("_t")
+    wi = Window.partitionBy(*partition, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return (x.join(offs, [*partition, "_blk"])
+            .withColumn(out, F.col("_off") + F.sum("_v").over(wi))
+            .drop("_blk", "_v", "_off"))

@@ -1 +1,140 @@
-"""T area queries."""
+"""T area queries: trace round trip, value rendering, runs and crashes."""
+
+from pyspark.sql import functions as F
+
+from corvid.functions import trace_text as TT
+from corvid.operators import inventory as C
+from corvid.operators import trace as T
+from corvid.plans import views
+from corvid.plans.catalog import register
+
+_TR = views.TRACE_SQL
+
+
+@register("t11_parse_trace", "T", oracle=f"""
+WITH {_TR}
+SELECT file, seq, name, a_user AS user, a_props AS props, ret,
+       CAST(CASE WHEN ret IS NULL THEN 0 ELSE 1 END AS INTEGER) AS n_ret
+FROM trace""")
+def t11(spark, d):
+    t = views.trace(spark, d)
+    return t.select("file", "seq", "name", F.col("args")["user"].alias("user"),
+                    F.col("args")["props"].alias("props"), F.get("ret", 0).alias("ret"),
+                    F.size("ret").alias("n_ret"))
+
+
+_RENDER_SQL = """CASE WHEN ctype = 'int' THEN CAST(CAST(raw AS BIGINT) AS VARCHAR)
+     WHEN ctype = 'double' THEN printf('%f', CAST(raw AS DOUBLE))
+     WHEN ctype = 'char*' THEN substring(raw, 1, 100)
+     WHEN ctype = 'void*' AND CAST(raw AS BIGINT) = 0 THEN '(nil)'
+     WHEN ctype = 'void*' THEN printf('0x%x', CAST(raw AS BIGINT))
+     ELSE '<unsupported>' END"""
+
+
+@register("t3_render_value", "T", oracle=f"""
+WITH {views.TYPED_SQL}
+SELECT seq, ctype, {_RENDER_SQL} AS rendered FROM typed""")
+def t3(spark, d):
+    t = views.typed_values(spark, d)
+    return t.select("seq", "ctype", TT.render_value(F.col("ctype"), F.col("raw")).alias("rendered"))
+
+
+_CLASSIFY_SQL = """CASE WHEN r = '<unsupported>' THEN 'unsupported'
+     WHEN r = '(nil)' OR r = '0x0' THEN 'null pointer'
+     WHEN regexp_matches(r, '^0x[0-9a-f]+$') THEN 'address'
+     WHEN regexp_matches(r, '^-?[0-9]+$') THEN 'integer'
+     WHEN regexp_matches(r, '^-?[0-9]+\\.[0-9]{6}$') THEN 'float'
+     ELSE 'text' END"""
+
+
+@register("t4_classify_value", "T", oracle=f"""
+WITH {views.TYPED_SQL}, rendered AS (SELECT ctype, {_RENDER_SQL} AS r FROM typed)
+SELECT ctype, {_CLASSIFY_SQL} AS class, count(*) AS n FROM rendered GROUP BY ALL""")
+def t4(spark, d):
+    t = views.typed_values(spark, d)
+    r = t.select("ctype", TT.render_value(F.col("ctype"), F.col("raw")).alias("r"))
+    return r.groupBy("ctype", TT.classify_value(F.col("r")).alias("class")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("t5_redact_contents", "T", oracle=f"""
+WITH {_TR}, v AS (SELECT seq, a_user AS r, a_props FROM trace)
+SELECT seq, CASE WHEN ({_CLASSIFY_SQL}) = 'text' THEN '<redacted>' ELSE r END AS user,
+       CASE WHEN regexp_matches(a_props, '^-?[0-9]+$') THEN a_props ELSE '<redacted>' END AS props
+FROM v""")
+def t5(spark, d):
+    t = T.redact_contents(views.trace(spark, d))
+    return t.select("seq", F.col("args")["user"].alias("user"), F.col("args")["props"].alias("props"))
+
+
+_INV_SQL = f"""{views.FUNCTIONS_SQL},
+inv AS (SELECT name,
+               CASE WHEN return_type = 'double' THEN ['<return_val>'] || list_slice(['argc','','x'], 1, num_args)
+                    ELSE list_slice(['argc','','x'], 1, num_args) END AS names
+        FROM (SELECT *, row_number() OVER (PARTITION BY name
+                        ORDER BY filename, start_line, end_line, start_col, end_col) AS rn FROM functions)
+        WHERE rn = 1),
+{views.POSITIONAL_SQL},
+pj AS (SELECT p.seq, p.name, p.vals, coalesce(i.names, []) AS names FROM pos p LEFT JOIN inv i USING (name))"""
+
+
+def _inventory(spark, d):
+    f = C.first_record_per_name(views.functions(spark, d).select(
+        "name", "filename", "start_line", "end_line", "start_col", "end_col", "num_args", "return_type"))
+    return f.select("name", F.slice(F.array(*[F.lit(x) for x in views.PARAM_NAMES]), 1, F.col("num_args"))
+                    .alias("param_names"), (F.col("return_type") == "double").alias("struct_return"))
+
+
+@register("t6_name_positional_args", "T", oracle=f"""
+WITH {_INV_SQL},
+ex AS (SELECT seq, name, vals, names, unnest(generate_series(1, least(len(vals), len(names)))) AS i FROM pj)
+SELECT seq, name, CASE WHEN names[i] = '' THEN '_' || CAST(i AS VARCHAR) ELSE names[i] END AS param,
+       vals[i] AS value FROM ex""")
+def t6(spark, d):
+    named, _ = T.name_positional_args(views.positional_trace(spark, d), _inventory(spark, d))
+    return named.select("seq", "name", F.explode("args").alias("param", "value"))
+
+
+@register("t6_positional_rejects", "T", oracle=f"""
+WITH {_INV_SQL},
+ex AS (SELECT seq, name, vals, unnest(generate_series(len(names) + 1, len(vals))) AS i FROM pj)
+SELECT seq, name, CAST(i AS INTEGER) AS ordinal, vals[i] AS value FROM ex""")
+def t6b(spark, d):
+    _, extra = T.name_positional_args(views.positional_trace(spark, d), _inventory(spark, d))
+    return extra.select("seq", "name", F.col("ordinal").cast("int").alias("ordinal"), "value")
+
+
+@register("t7_calls_per_function", "T", oracle=f"""
+WITH {_TR} SELECT name, count(*) AS calls FROM trace GROUP BY name""")
+def t7(spark, d):
+    return T.calls_per_function(views.trace(spark, d))
+
+
+@register("t8_distinct_arguments", "T", oracle=f"""
+WITH {_TR},
+kv AS (SELECT name, 'user' AS param, a_user AS value FROM trace
+       UNION ALL SELECT name, 'props', a_props FROM trace)
+SELECT name, param, count(DISTINCT value) AS distinct_values, count(*) AS calls FROM kv GROUP BY ALL""")
+def t8(spark, d):
+    return T.distinct_arguments(views.trace(spark, d))
+
+
+_RUNS_SQL = f"""{_TR},
+runs AS (SELECT file, seq, name,
+                sum(CASE WHEN name = 'set_program_name' THEN 1 ELSE 0 END)
+                  OVER (PARTITION BY file ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run
+         FROM trace)"""
+
+
+@register("t9_split_runs", "T", oracle=f"""
+WITH {_RUNS_SQL} SELECT file, seq, name, CAST(run AS BIGINT) AS run FROM runs""")
+def t9(spark, d):
+    return T.split_runs(views.trace(spark, d).select("file", "seq", "name"))
+
+
+@register("t10_crashed_runs", "T", oracle=f"""
+WITH {_RUNS_SQL}
+SELECT file, CAST(run AS BIGINT) AS run, count(*) AS records, bool_or(name = 'main') AS has_main,
+       min(seq) AS first_seq
+FROM runs GROUP BY file, run HAVING NOT bool_or(name = 'main')""")
+def t10(spark, d):
+    return T.crashed_runs(T.split_runs(views.trace(spark, d).select("file", "seq", "name")))

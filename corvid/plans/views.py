@@ -217,3 +217,78 @@ def cyclic_graphs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
          .union(o.select(gid, p10.alias("src"), p100.alias("dst"))))
     roots = o.select(gid, cust.alias("root")).distinct()
     return e, roots
+
+
+# ---------------------------------------------------------------- T traces
+# One trace record per event: log file = user_id mod 10, seq = event_id,
+# name from the event type (signup starts a run, purchase is the entry
+# point), named args user/props (views carry a raw newline), return = the
+# value printed with %f (errors return nothing).
+TRACE_SQL = """trace AS (
+  SELECT user_id % 10 AS file, event_id AS seq,
+         CASE event_type WHEN 'signup' THEN 'set_program_name' WHEN 'purchase' THEN 'main' ELSE event_type END AS name,
+         CAST(user_id AS VARCHAR) AS a_user,
+         CASE WHEN event_type = 'view' THEN props || chr(10) || 'line2' ELSE props END AS a_props,
+         CASE WHEN event_type = 'error' THEN NULL ELSE printf('%f', value) END AS ret
+  FROM events)"""
+
+
+def trace_raw(spark: SparkSession, d: str) -> DataFrame:
+    """Rendered records (T2 format) for every event: ``(file, seq, value)``."""
+    from corvid.functions.trace_text import render_record
+    e = table(spark, d, "events")
+    et = F.col("event_type")
+    name = (F.when(et == "signup", F.lit("set_program_name")).when(et == "purchase", F.lit("main"))
+            .otherwise(et))
+    props = F.when(et == "view", F.concat("props", F.lit("\n"), F.lit("line2"))).otherwise(F.col("props"))
+    keys = F.array(F.lit("user"), F.lit("props"))
+    vals = F.array(F.col("user_id").cast("string"), props)
+    ret = F.when(et == "error", F.array().cast("array<string>")).otherwise(
+        F.array(F.format_string("%f", F.col("value"))))
+    return e.select((F.col("user_id") % 10).alias("file"), F.col("event_id").alias("seq"),
+                    render_record(name, ret, keys, vals).alias("value"))
+
+
+def trace(spark: SparkSession, d: str) -> DataFrame:
+    """Parsed trace ``(file, seq, name, args, pos_args, ret)`` (T2 -> T11 round trip)."""
+    from corvid.operators.trace import parse_records
+    good, _ = parse_records(trace_raw(spark, d))
+    return good
+
+
+TYPED_SQL = """typed AS (
+  SELECT event_id AS seq, 'int' AS ctype, CAST(user_id AS VARCHAR) AS raw FROM events
+  UNION ALL SELECT event_id, 'double', CAST(value AS VARCHAR) FROM events
+  UNION ALL SELECT event_id, 'char*', CASE WHEN event_type = 'view' THEN repeat(props, 20) ELSE props END FROM events
+  UNION ALL SELECT event_id, 'void*', CAST(event_id * 4096 AS VARCHAR) FROM events
+  UNION ALL SELECT event_id, 'struct stat', '' FROM events)"""
+
+
+def typed_values(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select(
+        F.col("event_id").alias("seq"), "user_id", "value",
+        F.when(F.col("event_type") == "view", F.repeat("props", 20)).otherwise(F.col("props")).alias("chars"))
+    return e.select("seq", F.expr(
+        "stack(5, 'int', cast(user_id as string), 'double', cast(value as string), 'char*', chars, "
+        "'void*', cast(seq * 4096 as string), 'struct stat', '') as (ctype, raw)"))
+
+
+POSITIONAL_SQL = """pos AS (
+  SELECT event_id AS seq,
+         CASE WHEN user_id % 100 = 0 THEN 'main' ELSE 'f' || CAST(user_id AS VARCHAR) END AS name,
+         [CAST(user_id AS VARCHAR), props, printf('%f', value), CAST(event_id AS VARCHAR)] AS vals
+  FROM events)"""
+
+
+def positional_trace(spark: SparkSession, d: str) -> DataFrame:
+    """Old-format records (positional args) for every event, parsed back."""
+    from corvid.functions.trace_text import render_record
+    from corvid.operators.trace import parse_records
+    e = table(spark, d, "events")
+    name = _fname(F.col("user_id"))
+    vals = F.array(F.col("user_id").cast("string"), F.col("props"), F.format_string("%f", F.col("value")),
+                   F.col("event_id").cast("string"))
+    raw = e.select((F.col("user_id") % 10).alias("file"), F.col("event_id").alias("seq"),
+                   render_record(name, F.array().cast("array<string>"), positional=vals).alias("value"))
+    good, _ = parse_records(raw)
+    return good
