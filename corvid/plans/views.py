@@ -292,3 +292,129 @@ def positional_trace(spark: SparkSession, d: str) -> DataFrame:
                    render_record(name, F.array().cast("array<string>"), positional=vals).alias("value"))
     good, _ = parse_records(raw)
     return good
+
+
+# ---------------------------------------------------------------- X translation
+# Attempts: lineitem grouped by (order, line number) because the pair repeats.
+ATTEMPTS_SQL = """attempts AS (
+  SELECT 'f' || CAST(l_orderkey AS VARCHAR) AS func, l_orderkey AS okey, l_linenumber AS attempt,
+         bool_or(l_returnflag = 'N') AS success,
+         CASE WHEN min(l_linestatus) = 'F' THEN 'Test Failure' ELSE 'Compile Error' END AS category
+  FROM lineitem GROUP BY l_orderkey, l_linenumber)"""
+
+TESTS_SQL = """tests AS (
+  SELECT 'f' || CAST(l_orderkey AS VARCHAR) AS func, 1 + l_linenumber % 2 AS attempt,
+         l_partkey AS ordinal,
+         'test_' || CAST(l_partkey AS VARCHAR) || '_' || CAST(l_suppkey AS VARCHAR) AS test,
+         CASE WHEN l_returnflag = 'R' THEN 'failed' ELSE 'passed' END AS status,
+         CASE WHEN l_returnflag = 'R' THEN 'assertion failed at line ' || CAST(l_linenumber AS VARCHAR) END AS error
+  FROM lineitem)"""
+
+
+def attempts(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem")
+    return (li.groupBy("l_orderkey", "l_linenumber")
+            .agg(F.bool_or(F.col("l_returnflag") == "N").alias("success"),
+                 F.min("l_linestatus").alias("_ls"))
+            .select(F.concat(F.lit("f"), F.col("l_orderkey").cast("string")).alias("func"),
+                    F.col("l_orderkey").alias("okey"), F.col("l_linenumber").alias("attempt"), "success",
+                    F.when(F.col("_ls") == "F", "Test Failure").otherwise("Compile Error").alias("category")))
+
+
+def tests(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem")
+    failed = F.col("l_returnflag") == "R"
+    return li.select(
+        F.concat(F.lit("f"), F.col("l_orderkey").cast("string")).alias("func"),
+        (F.lit(1) + F.col("l_linenumber") % 2).alias("attempt"),
+        F.col("l_partkey").alias("ordinal"),
+        F.concat(F.lit("test_"), F.col("l_partkey").cast("string"), F.lit("_"),
+                 F.col("l_suppkey").cast("string")).alias("test"),
+        F.when(failed, "failed").otherwise("passed").alias("status"),
+        F.when(failed, F.concat(F.lit("assertion failed at line "), F.col("l_linenumber").cast("string")))
+        .alias("error"))
+
+
+COMMANDS_SQL = """commands AS (
+  SELECT p_partkey AS id, '/work/' || lower(replace(p_brand, '#', '')) AS directory,
+         CASE WHEN p_size % 2 = 0 THEN '/abs/' || replace(p_name, ' ', '_') || '.c'
+              ELSE replace(p_name, ' ', '_') || '.c' END AS file,
+         ['cc', '-Iinclude', '-I  ' || lower(p_type), '-O2', '-Ilib/' || CAST(p_size AS VARCHAR), '-c',
+          '-Iinclude'] AS arguments
+  FROM part)"""
+
+
+def commands(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part")
+    name = F.concat(F.regexp_replace("p_name", " ", "_"), F.lit(".c"))
+    return p.select(
+        F.col("p_partkey").alias("id"),
+        F.concat(F.lit("/work/"), F.lower(F.regexp_replace("p_brand", "#", ""))).alias("directory"),
+        F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("/abs/"), name)).otherwise(name).alias("file"),
+        F.array(F.lit("cc"), F.lit("-Iinclude"), F.concat(F.lit("-I  "), F.lower("p_type")), F.lit("-O2"),
+                F.concat(F.lit("-Ilib/"), F.col("p_size").cast("string")), F.lit("-c"), F.lit("-Iinclude"))
+        .alias("arguments"))
+
+
+MESSAGES_SQL = """messages AS (
+  SELECT l_orderkey AS okey, l_linenumber AS attempt,
+         CASE l_returnflag WHEN 'R' THEN 'Timeout after 60 s running test_' || CAST(l_partkey AS VARCHAR)
+              WHEN 'A' THEN 'rust-lld: error: undefined symbol: f' || CAST(l_partkey AS VARCHAR)
+              ELSE 'error[E0308]: mismatched types in f' || CAST(l_orderkey AS VARCHAR) END
+         || CASE WHEN l_linestatus = 'F' THEN ' (Timeout)' ELSE '' END AS message
+  FROM lineitem)"""
+
+
+def messages(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem")
+    rf = F.col("l_returnflag")
+    base = (F.when(rf == "R", F.concat(F.lit("Timeout after 60 s running test_"), F.col("l_partkey").cast("string")))
+            .when(rf == "A", F.concat(F.lit("rust-lld: error: undefined symbol: f"), F.col("l_partkey").cast("string")))
+            .otherwise(F.concat(F.lit("error[E0308]: mismatched types in f"), F.col("l_orderkey").cast("string"))))
+    tail = F.when(F.col("l_linestatus") == "F", F.lit(" (Timeout)")).otherwise(F.lit(""))
+    return li.select(F.col("l_orderkey").alias("okey"), F.col("l_linenumber").alias("attempt"),
+                     F.concat(base, tail).alias("message"))
+
+
+# Source lines: documents with one sentence per line; one span per document.
+SRC_LINES_SQL = """src_lines AS (
+  SELECT file, CAST(i AS BIGINT) AS line_no, parts[i] AS line FROM (
+    SELECT doc_id AS file, parts, unnest(generate_series(1, len(parts))) AS i
+    FROM (SELECT doc_id, string_split(replace(text, '. ', '.' || chr(10)), chr(10)) AS parts FROM documents))),
+spans AS (
+  SELECT doc_id AS span_id, doc_id AS file, 1 + doc_id % 3 AS start_line, 1 + doc_id % 3 + doc_id % 4 AS end_line,
+         1 + doc_id % 5 AS start_col, 10 + doc_id % 20 AS end_col
+  FROM documents)"""
+
+
+def src_lines(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return docs.select(F.col("doc_id").alias("file"),
+                       F.posexplode(F.split(F.replace("text", F.lit(". "), F.lit(".\n")), "\n"))
+                       .alias("pos", "line")).select("file", (F.col("pos") + 1).cast("bigint").alias("line_no"), "line")
+
+
+def spans(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("doc_id")
+    return table(spark, d, "documents").select(
+        k.alias("span_id"), k.alias("file"), (1 + k % 3).alias("start_line"),
+        (1 + k % 3 + k % 4).alias("end_line"), (1 + k % 5).alias("start_col"), (10 + k % 20).alias("end_col"))
+
+
+DB_LINES_SQL = """db_lines AS (
+  SELECT p_size AS project, replace(p_name, ' ', '_') || '_' || CAST(p_partkey AS VARCHAR) || ': main.o util.o' AS line
+  FROM part
+  UNION ALL SELECT p_size, '.PHONY: ' || replace(p_name, ' ', '_') || '_' || CAST(p_partkey AS VARCHAR)
+  FROM part WHERE p_type = 'PROMO'
+  UNION ALL SELECT p_size, 'OPT:=-O2' FROM part
+  UNION ALL SELECT DISTINCT p_size, 'Makefile: Makefile.in' FROM part)"""
+
+
+def db_lines(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part")
+    tgt = F.concat(F.regexp_replace("p_name", " ", "_"), F.lit("_"), F.col("p_partkey").cast("string"))
+    return (p.select(F.col("p_size").alias("project"), F.concat(tgt, F.lit(": main.o util.o")).alias("line"))
+            .union(p.where(F.col("p_type") == "PROMO")
+                   .select("p_size", F.concat(F.lit(".PHONY: "), tgt)))
+            .union(p.select("p_size", F.lit("OPT:=-O2")))
+            .union(p.select("p_size", F.lit("Makefile: Makefile.in")).distinct()))
