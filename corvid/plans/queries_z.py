@@ -1 +1,221 @@
-"""Z area queries."""
+"""Z area queries: histograms, entropy, back-references, runs, checksums, chunks."""
+
+from pyspark.sql import functions as F
+
+from corvid.functions import bytes as BF
+from corvid.operators import bytes as Z
+from corvid.plans import views
+from corvid.plans.catalog import register
+from corvid.sources.tables import table
+
+K = ["doc_id"]
+
+
+def _char_hist(df):
+    return Z.symbol_histogram(df, K, BF.characters(F.col("text")))
+
+
+@register("z3_symbol_histogram", "Z", oracle=f"""
+WITH {views.CHARS_SQL}
+SELECT doc_id, symbol, count(*) AS count FROM chars GROUP BY ALL""")
+def z3(spark, d):
+    return _char_hist(views.documents_text(spark, d))
+
+
+@register("z4_entropy_bits", "Z", oracle=f"""
+WITH {views.CHARS_SQL},
+h AS (SELECT doc_id, symbol, count(*) AS cnt FROM chars GROUP BY ALL),
+t AS (SELECT doc_id, sum(cnt) AS s FROM h GROUP BY doc_id),
+b AS (SELECT h.doc_id, h.cnt, CASE WHEN log2(t.s) - log2(h.cnt) > -1e-5 AND log2(t.s) - log2(h.cnt) < 0 THEN 0.0
+                                   ELSE log2(t.s) - log2(h.cnt) END AS bits
+      FROM h JOIN t USING (doc_id))
+SELECT doc_id, round(sum(cnt * bits), 6) AS total_bits FROM b GROUP BY doc_id""")
+def z4(spark, d):
+    _, total = Z.entropy_bits(_char_hist(views.documents_text(spark, d)), K)
+    return total.withColumn("total_bits", F.round("total_bits", 6))
+
+
+@register("z5_merge_histograms", "Z", oracle="""
+WITH h1 AS (SELECT symbol, count(*) AS c FROM (
+              SELECT unnest(string_split(d.text, '')) AS symbol FROM documents d JOIN labels l USING (doc_id)
+              WHERE l.quality = 1) GROUP BY symbol),
+h2 AS (SELECT symbol, count(*) AS c FROM (SELECT unnest(string_split(text, '')) AS symbol FROM benchmark)
+       GROUP BY symbol)
+SELECT coalesce(h1.symbol, h2.symbol) AS symbol,
+       CAST(trunc(coalesce(h1.c, 0) * 0.5 + coalesce(h2.c, 0) * 1.5) AS BIGINT) AS count
+FROM h1 FULL OUTER JOIN h2 ON h1.symbol = h2.symbol""")
+def z5(spark, d):
+    good = table(spark, d, "labels").where(F.col("quality") == 1).select("doc_id")
+    docs = views.documents_text(spark, d).join(good, "doc_id", "left_semi")
+    h1 = Z.symbol_histogram(docs.withColumn("g", F.lit(0)), ["g"], BF.characters(F.col("text"))).drop("g")
+    bench = table(spark, d, "benchmark").withColumn("g", F.lit(0))
+    h2 = Z.symbol_histogram(bench, ["g"], BF.characters(F.col("text"))).drop("g")
+    return Z.merge_histograms(h1, 0.5, h2, 1.5)
+
+
+_VARIANTS_SQL = """variants AS (
+  SELECT doc_id, 0 AS ordinal, 'raw' AS name, octet_length(encode(text)) AS size, TRUE AS auto FROM documents
+  UNION ALL SELECT doc_id, 1, 'squeezed', octet_length(encode(regexp_replace(text, '\\s+', ' ', 'g'))), TRUE FROM documents
+  UNION ALL SELECT doc_id, 2, 'lower', octet_length(encode(lower(text))), TRUE FROM documents
+  UNION ALL SELECT doc_id, 3, 'no_digits', octet_length(encode(regexp_replace(text, '[0-9]', '', 'g'))), TRUE FROM documents
+  UNION ALL SELECT doc_id, 4, 'brute', octet_length(encode(text)) - 1000000, FALSE FROM documents)"""
+
+
+def _variants(spark, d):
+    t = views.documents_text(spark, d)
+    v = [(0, "raw", F.octet_length("text"), True),
+         (1, "squeezed", F.octet_length(F.regexp_replace("text", r"\s+", " ")), True),
+         (2, "lower", F.octet_length(F.lower("text")), True),
+         (3, "no_digits", F.octet_length(F.regexp_replace("text", "[0-9]", "")), True),
+         (4, "brute", F.octet_length("text") - 1000000, False)]
+    out = None
+    for o, n, size, auto in v:
+        x = t.select("doc_id", F.lit(o).alias("ordinal"), F.lit(n).alias("name"), size.alias("size"),
+                     F.lit(auto).alias("auto"))
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+@register("z6_pick_smallest", "Z", oracle=f"""
+WITH {_VARIANTS_SQL},
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY size, ordinal) AS rn FROM variants WHERE auto)
+SELECT doc_id, name, size, ordinal FROM r WHERE rn = 1""")
+def z6(spark, d):
+    return Z.pick_smallest(_variants(spark, d), K)
+
+
+def _matches(spark, d):
+    g = Z.kgrams(views.documents_text(spark, d), K, F.col("text"), 3)
+    return Z.previous_occurrence(g, K)
+
+
+@register("z7_previous_occurrence", "Z", oracle=f"""
+WITH {views.KGRAM_SQL}
+SELECT doc_id, count(*) AS n_matched, CAST(sum(dist) AS BIGINT) AS sum_dist, CAST(max(dist) AS BIGINT) AS max_dist
+FROM matches GROUP BY doc_id""")
+def z7(spark, d):
+    return (_matches(spark, d).groupBy("doc_id")
+            .agg(F.count(F.lit(1)).alias("n_matched"), F.sum("dist").cast("bigint").alias("sum_dist"),
+                 F.max("dist").cast("bigint").alias("max_dist")))
+
+
+@register("z8_repeated_spans", "Z", oracle=f"""
+WITH {views.KGRAM_SQL},
+isl AS (SELECT doc_id, pos, dist, pos - row_number() OVER (PARTITION BY doc_id, dist ORDER BY pos) AS isl FROM matches),
+pc AS (SELECT doc_id, pos, dist, isl,
+              (row_number() OVER (PARTITION BY doc_id, dist, isl ORDER BY pos) - 1) // 256 AS piece FROM isl),
+sp AS (SELECT doc_id, dist, min(pos) AS start, count(*) + 2 AS length FROM pc GROUP BY doc_id, dist, isl, piece)
+SELECT doc_id, count(*) AS n_spans, CAST(sum(length) AS BIGINT) AS covered, CAST(max(length) AS BIGINT) AS longest
+FROM sp GROUP BY doc_id""")
+def z8(spark, d):
+    s = Z.repeated_spans(_matches(spark, d), K)
+    return s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_spans"),
+                                   F.sum("length").cast("bigint").alias("covered"),
+                                   F.max("length").cast("bigint").alias("longest"))
+
+
+def _byte_hist(spark, d):
+    t = views.documents_text(spark, d)
+    h = Z.symbol_histogram(t, K, BF.byte_values(BF.utf8(F.col("text"))))
+    return Z.full_axis_histogram(h, K, 256)
+
+
+@register("z9_run_lengths", "Z", oracle=f"""
+WITH {views.BYTES_SQL},
+h AS (SELECT doc_id, b AS symbol, count(*) AS cnt FROM bytes GROUP BY ALL),
+axis AS (SELECT doc_id, unnest(generate_series(0, 255)) AS symbol FROM (SELECT DISTINCT doc_id FROM h)),
+full_h AS (SELECT a.doc_id, a.symbol, coalesce(h.cnt, 0) AS count FROM axis a LEFT JOIN h USING (doc_id, symbol)),
+isl AS (SELECT *, symbol - row_number() OVER (PARTITION BY doc_id, count ORDER BY symbol) AS isl FROM full_h),
+runs AS (SELECT doc_id, count, min(symbol) AS start, count(*) AS run_length FROM isl GROUP BY doc_id, count, isl)
+SELECT doc_id, count, CAST(start AS INTEGER) AS start, run_length,
+       CASE WHEN count = 0 THEN run_length >= 5 ELSE run_length >= 7 END AS collapsible
+FROM runs""")
+def z9(spark, d):
+    return Z.run_lengths(_byte_hist(spark, d), K)
+
+
+@register("z10_range_histogram", "Z", oracle=f"""
+WITH {views.CHARS_SQL},
+rg AS (SELECT doc_id, length(text) // 4 AS lo, 3 * length(text) // 4 AS hi FROM documents)
+SELECT c.doc_id, c.symbol, count(*) AS count FROM chars c JOIN rg USING (doc_id)
+WHERE c.pos >= rg.lo AND c.pos < rg.hi GROUP BY ALL""")
+def z10(spark, d):
+    t = views.documents_text(spark, d)
+    syms = Z.explode_symbols(t, K, BF.characters(F.col("text")))
+    ranges = t.select("doc_id", F.floor(F.length("text") / 4).alias("lo"),
+                      F.floor(3 * F.length("text") / 4).alias("hi"))
+    return Z.range_histogram(syms, ranges, K)
+
+
+@register("z13_crc32", "Z")
+def z13(spark, d):
+    t = views.documents_text(spark, d)
+    return t.select("doc_id", BF.crc32(BF.utf8(F.col("text"))).alias("crc32"))
+
+
+@register("z14_adler32", "Z", oracle=f"""
+WITH {views.BYTES_SQL}
+SELECT doc_id, CAST(((any_value(n) + sum((n - pos) * b)) % 65521) * 65536 + (1 + sum(b)) % 65521 AS BIGINT) AS adler32
+FROM bytes GROUP BY doc_id""")
+def z14(spark, d):
+    t = views.documents_text(spark, d)
+    return t.select("doc_id", BF.adler32(BF.utf8(F.col("text"))).alias("adler32"))
+
+
+@register("z16_distance_bucket", "Z", oracle=f"""
+WITH {views.KGRAM_SQL}
+SELECT CAST(CASE WHEN dist < 5 THEN dist - 1
+            ELSE 2 * (length(bin(dist - 1)) - 1) + (((dist - 1) >> (length(bin(dist - 1)) - 2)) & 1) END AS INTEGER) AS bucket,
+       CAST(CASE WHEN dist < 5 THEN 0 ELSE length(bin(dist - 1)) - 2 END AS INTEGER) AS extra_bits,
+       count(*) AS n
+FROM matches GROUP BY ALL""")
+def z16(spark, d):
+    m = _matches(spark, d)
+    return (m.groupBy(BF.distance_bucket(F.col("dist")).alias("bucket"),
+                      BF.distance_extra_bits(F.col("dist")).alias("extra_bits"))
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+@register("z18_percent_removed", "Z", oracle="""
+WITH s AS (SELECT page_id, octet_length(encode(html)) AS in_size,
+                  octet_length(encode(regexp_replace(html, '<[^>]*>', '', 'g'))) AS out_size FROM pages)
+SELECT page_id, in_size, out_size, round(100.0 * (in_size - out_size) / in_size, 3) AS percent_removed,
+       round(out_size * 100.0 / in_size, 3) AS percent_of_original,
+       CAST(in_size // 1024 AS BIGINT) AS in_k, CAST(out_size // 1024 AS BIGINT) AS out_k
+FROM s""")
+def z18(spark, d):
+    p = table(spark, d, "pages")
+    s = p.select("page_id", F.octet_length("html").cast("bigint").alias("in_size"),
+                 F.octet_length(F.regexp_replace("html", "<[^>]*>", "")).cast("bigint").alias("out_size"))
+    i, o = F.col("in_size"), F.col("out_size")
+    return s.select("page_id", "in_size", "out_size", BF.percent_removed(i, o).alias("percent_removed"),
+                    BF.percent_of_original(i, o).alias("percent_of_original"),
+                    BF.kib(i).alias("in_k"), BF.kib(o).alias("out_k"))
+
+
+CHUNK = 1000
+
+
+@register("z19_chunk", "Z", oracle=f"""
+WITH c AS (SELECT doc_id, text, unnest(generate_series(0, greatest(length(text) - 1, 0), {CHUNK})) AS off FROM documents),
+n AS (SELECT doc_id, off, substring(text, off + 1, {CHUNK}) AS piece,
+             row_number() OVER (PARTITION BY doc_id ORDER BY off) - 1 AS chunk_no FROM c)
+SELECT doc_id, CAST(chunk_no AS INTEGER) AS chunk_no, CAST(off AS INTEGER) AS offset,
+       CAST(length(piece) AS INTEGER) AS length, md5(piece) AS md5
+FROM n""")
+def z19(spark, d):
+    c = Z.chunk(views.documents_text(spark, d), K, "text", CHUNK)
+    return c.select("doc_id", "chunk_no", "offset", F.length("piece").alias("length"), F.md5("piece").alias("md5"))
+
+
+@register("z11_compress_report", "Z")
+def z11(spark, d):
+    t = views.documents_text(spark, d).select(F.col("doc_id").alias("id"), BF.utf8(F.col("text")).alias("data"))
+    rep = Z.compress_report(t, ("zlib", "gzip", "deflate"), (1, 9))
+    v = rep.select("id", F.concat_ws(":", "codec", F.col("level").cast("string")).alias("name"),
+                   F.col("out_size").alias("size"), "round_trip",
+                   (F.when(F.col("codec") == "zlib", 0).when(F.col("codec") == "gzip", 2).otherwise(4)
+                    + F.when(F.col("level") == 1, 0).otherwise(1)).alias("ordinal"))
+    best = Z.pick_smallest(v, ["id"])
+    return best.join(rep.groupBy("id").agg(F.bool_and("round_trip").alias("round_trip"),
+                                           F.max("in_size").alias("in_size")), "id")

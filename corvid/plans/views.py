@@ -418,3 +418,25 @@ def db_lines(spark: SparkSession, d: str) -> DataFrame:
                    .select("p_size", F.concat(F.lit(".PHONY: "), tgt)))
             .union(p.select("p_size", F.lit("OPT:=-O2")))
             .union(p.select("p_size", F.lit("Makefile: Makefile.in")).distinct()))
+
+
+# ---------------------------------------------------------------- Z bytes
+# Characters and UTF-8 bytes of every document, 0-based positions.
+CHARS_SQL = """chs AS (SELECT doc_id, string_split(text, '') AS c FROM documents),
+chars AS (SELECT doc_id, CAST(i - 1 AS BIGINT) AS pos, c[i] AS symbol
+          FROM (SELECT doc_id, c, unnest(generate_series(1, len(c))) AS i FROM chs))"""
+
+BYTES_SQL = """hx AS (SELECT doc_id, hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM documents),
+bytes AS (SELECT doc_id, n, CAST(i AS BIGINT) AS pos, CAST(('0x' || substring(h, 2 * i + 1, 2)) AS INTEGER) AS b
+          FROM (SELECT doc_id, h, n, unnest(generate_series(0, n - 1)) AS i FROM hx))"""
+
+KGRAM_SQL = """chs AS (SELECT doc_id, string_split(text, '') AS c FROM documents),
+grams AS (SELECT doc_id, CAST(i - 1 AS BIGINT) AS pos, c[i] || c[i + 1] || c[i + 2] AS gram
+          FROM (SELECT doc_id, c, unnest(generate_series(1, len(c) - 2)) AS i FROM chs)),
+matches AS (SELECT * FROM (
+              SELECT doc_id, pos, pos - lag(pos) OVER (PARTITION BY doc_id, gram ORDER BY pos) AS dist FROM grams)
+            WHERE dist IS NOT NULL AND dist < 32768)"""
+
+
+def documents_text(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", "text")
