@@ -440,3 +440,27 @@ matches AS (SELECT * FROM (
 
 def documents_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "text")
+
+
+# ---------------------------------------------------------------- L lines
+# Files are documents in doc_id order; sentence ends become a line plus two
+# blank lines and ", " becomes a TAB, because the raw text has neither.
+LINES_SQL = """files AS (
+  SELECT doc_id AS file_ord,
+         regexp_replace(replace(replace(text, '. ', '.' || chr(10) || chr(10) || chr(10)), ', ', chr(9)),
+                        '\\n\\z', '') AS body
+  FROM documents),
+fparts AS (SELECT file_ord, string_split(body, chr(10)) AS parts FROM files),
+lines AS (SELECT file_ord, CAST(i - 1 AS BIGINT) AS idx, parts[i] AS line
+          FROM (SELECT file_ord, parts, unnest(generate_series(1, len(parts))) AS i FROM fparts))"""
+
+
+def line_files(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    content = F.replace(F.replace("text", F.lit(". "), F.lit(".\n\n\n")), F.lit(", "), F.lit("\t"))
+    return docs.select(F.col("doc_id").alias("file_ord"), content.alias("content"))
+
+
+def lines(spark: SparkSession, d: str) -> DataFrame:
+    from corvid.operators.lines import file_lines
+    return file_lines(line_files(spark, d))
