@@ -1 +1,192 @@
-"""P area queries."""
+"""P area queries: colour statistics, transparent cleaning, verification,
+chunks, size reports and PNG header parsing."""
+
+from pyspark.sql import functions as F
+
+from corvid.operators import images as P
+from corvid.plans import views
+from corvid.plans.catalog import register
+from corvid.sources.tables import table
+
+_PX = views.PIXELS_SQL
+_PACK = "(CAST(r AS BIGINT) * 16777216 + CAST(g AS BIGINT) * 65536 + CAST(b AS BIGINT) * 256 + a)"
+_RGB = "(CAST(r AS BIGINT) * 16777216 + CAST(g AS BIGINT) * 65536 + CAST(b AS BIGINT) * 256)"
+
+
+def _bits(v):
+    return f"CASE WHEN {v} = 0 OR {v} = 255 THEN 1 WHEN {v} % 85 = 0 THEN 2 WHEN {v} % 17 = 0 THEN 4 ELSE 8 END"
+
+
+_PROFILE_SQL = f"""{_PX},
+f AS (SELECT image_id, bool_or(r <> g OR r <> b) AS coloured, bool_or(a <> 255) AS alpha_needed,
+             bool_or(a > 0 AND a < 255) AS partial,
+             count(DISTINCT CASE WHEN a = 0 THEN {_RGB} END) AS nk, min(CASE WHEN a = 0 THEN {_RGB} END) AS k,
+             max(greatest({_bits('r')}, {_bits('g')}, {_bits('b')}, {_bits('a')})) AS bits,
+             least(count(DISTINCT {_PACK}), 257) AS colours
+      FROM pixels GROUP BY image_id),
+profile AS (
+  SELECT image_id, coloured,
+         nk = 1 AND NOT partial AND NOT EXISTS (
+           SELECT 1 FROM pixels p WHERE p.image_id = f.image_id AND p.a = 255
+             AND CAST(p.r AS BIGINT) * 16777216 + CAST(p.g AS BIGINT) * 65536 + CAST(p.b AS BIGINT) * 256 = f.k)
+           AS key_possible,
+         alpha_needed, CAST(bits AS INTEGER) AS bits, colours
+  FROM f)"""
+
+
+@register("p6_colour_counts", "P", oracle=f"""
+WITH {_PX} SELECT image_id, least(count(DISTINCT {_PACK}), 257) AS colours FROM pixels GROUP BY image_id""")
+def p6(spark, d):
+    return P.colour_counts(views.pixels(spark, d))
+
+
+@register("p7_colour_profile", "P", oracle=f"""
+WITH {_PROFILE_SQL} SELECT * FROM profile""")
+def p7(spark, d):
+    return P.colour_profile(views.pixels(spark, d))
+
+
+@register("p8_minimal_colour_mode", "P", oracle=f"""
+WITH {_PROFILE_SQL},
+m AS (SELECT image_id, CASE WHEN NOT coloured AND NOT alpha_needed THEN 'grey'
+                            WHEN NOT coloured AND key_possible THEN 'grey+key'
+                            WHEN NOT coloured THEN 'grey+alpha'
+                            WHEN colours <= 256 THEN 'palette'
+                            WHEN NOT alpha_needed THEN 'rgb'
+                            WHEN key_possible THEN 'rgb+key' ELSE 'rgba' END AS mode, colours, bits FROM profile)
+SELECT image_id, mode,
+       CAST(CASE WHEN mode = 'palette' THEN CASE WHEN colours <= 2 THEN 1 WHEN colours <= 4 THEN 2
+                                                  WHEN colours <= 16 THEN 4 ELSE 8 END
+                 WHEN starts_with(mode, 'grey') THEN bits ELSE 8 END AS INTEGER) AS mode_bits
+FROM m""")
+def p8(spark, d):
+    return P.minimal_colour_mode(P.colour_profile(views.pixels(spark, d))).select("image_id", "mode", "mode_bits")
+
+
+_CLEAN_SQL = f"""{_PROFILE_SQL},
+ft AS (SELECT image_id, r AS fr, g AS fg, b AS fb FROM (
+         SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY y, x) AS rn FROM pixels WHERE a = 0) WHERE rn = 1),
+lo AS (SELECT p.*, last_value(CASE WHEN a <> 0 THEN r END IGNORE NULLS) OVER w AS lr,
+              last_value(CASE WHEN a <> 0 THEN g END IGNORE NULLS) OVER w AS lg,
+              last_value(CASE WHEN a <> 0 THEN b END IGNORE NULLS) OVER w AS lb
+       FROM pixels p WINDOW w AS (PARTITION BY image_id ORDER BY y, x ROWS UNBOUNDED PRECEDING)),
+cleaned AS (
+  SELECT lo.image_id, x, y,
+         CASE WHEN a = 0 AND (pr.key_possible OR pr.colours <= 256) THEN ft.fr WHEN a = 0 THEN coalesce(lr, 0) ELSE r END AS r,
+         CASE WHEN a = 0 AND (pr.key_possible OR pr.colours <= 256) THEN ft.fg WHEN a = 0 THEN coalesce(lg, 0) ELSE g END AS g,
+         CASE WHEN a = 0 AND (pr.key_possible OR pr.colours <= 256) THEN ft.fb WHEN a = 0 THEN coalesce(lb, 0) ELSE b END AS b,
+         a
+  FROM lo JOIN profile pr USING (image_id) LEFT JOIN ft USING (image_id))"""
+
+
+def _cleaned(spark, d):
+    px = views.pixels(spark, d)
+    return px, P.clean_transparent(px, P.colour_profile(px))
+
+
+@register("p9_clean_transparent", "P", oracle=f"""
+WITH {_CLEAN_SQL} SELECT image_id, x, y, r, g, b, a FROM cleaned""")
+def p9(spark, d):
+    _, c = _cleaned(spark, d)
+    return c
+
+
+@register("p3_verify_pairs", "P", oracle=f"""
+WITH {_CLEAN_SQL},
+j AS (SELECT p.image_id, p.r = c.r AND p.g = c.g AND p.b = c.b AND p.a = c.a AS strict_eq,
+             p.a = c.a AND (p.a = 0 OR (p.r = c.r AND p.g = c.g AND p.b = c.b)) AS lossy_eq
+      FROM pixels p JOIN cleaned c USING (image_id, x, y))
+SELECT image_id, bool_and(strict_eq) AS strict_ok, bool_and(lossy_eq) AS lossy_ok FROM j GROUP BY image_id""")
+def p3(spark, d):
+    px, c = _cleaned(spark, d)
+    strict = P.verify_pairs(px, c, lossy=False).withColumnRenamed("ok", "strict_ok")
+    lossy = P.verify_pairs(px, c, lossy=True).withColumnRenamed("ok", "lossy_ok")
+    return strict.join(lossy, "image_id")
+
+
+WANTED = ["tEXt", "zTXt", "sRGB", "iCCP"]
+_CASE_NAMES = "CASE l_returnflag || l_linestatus " + " ".join(
+    f"WHEN '{k}' THEN '{v}'" for k, v in views.CHUNK_NAMES.items()) + " END"
+
+
+@register("p4_chunks_to_keep", "P", oracle=f"""
+SELECT DISTINCT l_orderkey // 64 AS image_id, {_CASE_NAMES} AS name FROM lineitem
+WHERE {_CASE_NAMES} IN ({", ".join(f"'{w}'" for w in WANTED)})""")
+def p4(spark, d):
+    return P.chunks_to_keep(views.image_chunk_names(spark, d), WANTED)
+
+
+@register("p2_keep_better", "P", oracle=f"""
+WITH {views.FILES_SQL}
+SELECT name, CASE WHEN old_size IS NOT NULL AND out_size >= old_size THEN 'old' ELSE 'new' END AS kept,
+       CASE WHEN old_size IS NOT NULL AND out_size >= old_size THEN old_size ELSE out_size END AS final_size
+FROM files""")
+def p2(spark, d):
+    return P.keep_better(views.image_files(spark, d)).select("name", "kept", "final_size")
+
+
+@register("p5_size_report", "P", oracle=f"""
+WITH {views.FILES_SQL},
+k AS (SELECT *, CASE WHEN old_size IS NOT NULL AND out_size >= old_size THEN old_size ELSE out_size END AS fin FROM files)
+SELECT count(*) AS tried, count_if(NOT error AND fin < in_size) AS smaller, count_if(NOT error AND fin = in_size) AS equal,
+       count_if(error) AS errors,
+       CAST(coalesce(sum(CASE WHEN NOT error AND fin < in_size THEN in_size - fin END), 0) AS BIGINT) AS saved,
+       CAST(coalesce(sum(CASE WHEN NOT error THEN in_size END), 0) AS BIGINT) AS total_in,
+       CAST(coalesce(sum(CASE WHEN NOT error THEN fin END), 0) AS BIGINT) AS total_out,
+       round(CAST(coalesce(sum(CASE WHEN NOT error THEN fin END), 0) AS BIGINT) * 100.0
+             / CAST(coalesce(sum(CASE WHEN NOT error THEN in_size END), 0) AS BIGINT), 3) AS percent
+FROM k""")
+def p5(spark, d):
+    return P.size_report(views.image_files(spark, d))
+
+
+PREFIX = "zopfli_"
+
+
+@register("p1_skip_outputs", "P", oracle=f"""
+WITH f AS (SELECT 'imgs/' || CASE WHEN p_size < 10 THEN '{PREFIX}' ELSE '' END || replace(p_name, ' ', '_') || '_'
+                  || CAST(p_partkey AS VARCHAR) || '.png' AS path FROM part)
+SELECT path FROM f WHERE NOT starts_with(regexp_extract(path, '[^/]*$', 0), '{PREFIX}')""")
+def p1(spark, d):
+    p = table(spark, d, "part")
+    path = F.concat(F.lit("imgs/"), F.when(F.col("p_size") < 10, F.lit(PREFIX)).otherwise(F.lit("")),
+                    F.regexp_replace("p_name", " ", "_"), F.lit("_"), F.col("p_partkey").cast("string"), F.lit(".png"))
+    return P.skip_outputs(p.select(path.alias("path")), PREFIX)
+
+
+def _headers(spark, d):
+    px = views.pixels(spark, d)
+    dims = px.groupBy("image_id").agg((F.max("x") + 1).alias("w"), F.max("y").alias("h"))
+    good = P.png_bytes(F.col("w").cast("int"), F.col("h").cast("int"))
+    bad_depth = P.png_bytes(F.col("w").cast("int"), F.col("h").cast("int"), depth=3)
+    k = F.col("image_id") % 6
+    blob = (F.when(k == 1, F.concat(F.unhex(F.lit("00")), F.expr("substring(png, 2)")))
+            .when(k == 2, F.concat(F.substring("png", 1, 29), F.unhex(F.lit("00000000")), F.expr("substring(png, 34)")))
+            .when(k == 3, F.substring("png", 1, 20))
+            .when(k == 4, F.col("bad"))
+            .otherwise(F.col("png")))
+    return dims.select("image_id", good.alias("png"), bad_depth.alias("bad")).select("image_id", blob.alias("data"))
+
+
+@register("p10_image_header", "P", oracle=f"""
+WITH {_PX},
+dims AS (SELECT image_id, max(x) + 1 AS w, max(y) AS h FROM pixels GROUP BY image_id),
+e AS (SELECT image_id, w, h, CASE image_id % 6 WHEN 1 THEN 28 WHEN 2 THEN 57 WHEN 3 THEN 27 WHEN 4 THEN 37 ELSE 0 END AS error
+      FROM dims)
+SELECT image_id, CASE WHEN error = 0 THEN CAST(w AS BIGINT) END AS width,
+       CASE WHEN error = 0 THEN CAST(h AS BIGINT) END AS height,
+       CASE WHEN error = 0 THEN 8 END AS depth, CASE WHEN error = 0 THEN 6 END AS colour_type,
+       CASE WHEN error = 0 THEN 0 END AS interlace, error
+FROM e""")
+def p10(spark, d):
+    h = _headers(spark, d).select("image_id", P.image_header(F.col("data")).alias("hd"))
+    return h.select("image_id", "hd.*")
+
+
+@register("p11_image_chunks", "P")
+def p11(spark, d):
+    px = views.pixels(spark, d)
+    dims = px.groupBy("image_id").agg((F.max("x") + 1).alias("w"), F.max("y").alias("h"))
+    text = P.png_chunk("tEXt", F.encode(F.concat(F.lit("Comment\u0000image "), F.col("image_id").cast("string")), "UTF-8"))
+    blob = P.png_bytes(F.col("w").cast("int"), F.col("h").cast("int"), extra_chunks=text)
+    return P.image_chunks(dims.select("image_id", blob.alias("data")))

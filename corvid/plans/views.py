@@ -464,3 +464,77 @@ def line_files(spark: SparkSession, d: str) -> DataFrame:
 def lines(spark: SparkSession, d: str) -> DataFrame:
     from corvid.operators.lines import file_lines
     return file_lines(line_files(spark, d))
+
+
+# ---------------------------------------------------------------- P images
+# Pixels: lineitem grouped by (order, line number); image = order DIV 64,
+# x = order mod 64, y = line number. Every third image is grey; alpha is
+# opaque (image mod 4 = 0), binary (mod 4 = 1) or three-level; transparent
+# pixels of images with image mod 8 = 1 are black (a key colour).
+PIXELS_SQL = """px0 AS (
+  SELECT l_orderkey // 64 AS image_id, CAST(l_orderkey % 64 AS INTEGER) AS x, l_linenumber AS y,
+         min(l_partkey) AS pk, min(l_suppkey) AS sk
+  FROM lineitem GROUP BY l_orderkey, l_linenumber),
+px1 AS (
+  SELECT image_id, x, y,
+         CAST(pk % 256 AS INTEGER) AS r0,
+         CAST(CASE WHEN image_id % 3 = 0 THEN pk % 256 ELSE sk % 256 END AS INTEGER) AS g0,
+         CAST(CASE image_id % 4 WHEN 0 THEN 255 WHEN 1 THEN CASE WHEN y % 3 = 0 THEN 0 ELSE 255 END
+                   ELSE (y % 3) * 127 END AS INTEGER) AS a
+  FROM px0),
+pixels AS (
+  SELECT image_id, x, y,
+         CASE WHEN image_id % 8 = 1 AND a = 0 THEN 0 ELSE r0 END AS r,
+         CASE WHEN image_id % 8 = 1 AND a = 0 THEN 0 ELSE g0 END AS g,
+         CASE WHEN image_id % 8 = 1 AND a = 0 THEN 0 ELSE g0 END AS b,
+         a
+  FROM px1)"""
+
+
+def pixels(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem")
+    g = li.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("pk"), F.min("l_suppkey").alias("sk"))
+    img = F.floor(F.col("l_orderkey") / 64).cast("bigint")
+    p = g.select(img.alias("image_id"), (F.col("l_orderkey") % 64).cast("int").alias("x"),
+                 F.col("l_linenumber").alias("y"), "pk", "sk")
+    r0 = (F.col("pk") % 256).cast("int")
+    g0 = F.when(F.col("image_id") % 3 == 0, F.col("pk") % 256).otherwise(F.col("sk") % 256).cast("int")
+    i4 = F.col("image_id") % 4
+    a = (F.when(i4 == 0, 255).when(i4 == 1, F.when(F.col("y") % 3 == 0, 0).otherwise(255))
+         .otherwise((F.col("y") % 3) * 127)).cast("int")
+    p = p.select("image_id", "x", "y", r0.alias("r0"), g0.alias("g0"), a.alias("a"))
+    black = (F.col("image_id") % 8 == 1) & (F.col("a") == 0)
+    return p.select("image_id", "x", "y", F.when(black, 0).otherwise(F.col("r0")).alias("r"),
+                    F.when(black, 0).otherwise(F.col("g0")).alias("g"),
+                    F.when(black, 0).otherwise(F.col("g0")).alias("b"), "a")
+
+
+FILES_SQL = """files AS (
+  SELECT 'img' || CAST(o_orderkey AS VARCHAR) || '.png' AS name,
+         CAST(floor(o_totalprice) AS BIGINT) AS in_size,
+         CAST(floor(o_totalprice) AS BIGINT) - o_custkey % 997 + CASE WHEN o_orderkey % 5 = 0 THEN 2000 ELSE 0 END
+           AS out_size,
+         CASE WHEN o_orderkey % 7 = 0 THEN CAST(floor(o_totalprice) AS BIGINT) - 500 END AS old_size,
+         o_orderstatus = 'P' AS error
+  FROM orders)"""
+
+
+def image_files(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    ins = F.floor("o_totalprice").cast("bigint")
+    return o.select(
+        F.concat(F.lit("img"), F.col("o_orderkey").cast("string"), F.lit(".png")).alias("name"),
+        ins.alias("in_size"),
+        (ins - F.col("o_custkey") % 997 + F.when(F.col("o_orderkey") % 5 == 0, 2000).otherwise(0)).alias("out_size"),
+        F.when(F.col("o_orderkey") % 7 == 0, ins - 500).alias("old_size"),
+        (F.col("o_orderstatus") == "P").alias("error"))
+
+
+CHUNK_NAMES = {"AO": "tEXt", "AF": "iTXt", "NO": "gAMA", "NF": "sRGB", "RO": "pHYs", "RF": "zTXt"}
+
+
+def image_chunk_names(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem")
+    m = F.create_map(*[x for k, v in CHUNK_NAMES.items() for x in (F.lit(k), F.lit(v))])
+    return li.select(F.floor(F.col("l_orderkey") / 64).cast("bigint").alias("image_id"),
+                     m[F.concat("l_returnflag", "l_linestatus")].alias("name"))
