@@ -138,3 +138,44 @@ SELECT file, CAST(run AS BIGINT) AS run, count(*) AS records, bool_or(name = 'ma
 FROM runs GROUP BY file, run HAVING NOT bool_or(name = 'main')""")
 def t10(spark, d):
     return T.crashed_runs(T.split_runs(views.trace(spark, d).select("file", "seq", "name")))
+
+
+# ---------------------------------------------------------------- streaming
+def _stream_logs(spark, d):
+    """Write the event trace as rotated log files (two halves per log, the
+    second written later) into the shared checkpoint folder."""
+    import uuid
+
+    from corvid.session import ensure_checkpoint_dir
+    from corvid.streaming.trace_stream import write_logs
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/corvid-stream-{uuid.uuid4().hex}"
+    raw = views.trace_raw(spark, d, terminator=False)
+    half = raw.agg(F.percentile_approx("seq", 0.5).alias("m")).first()["m"]
+    write_logs(raw.where(F.col("seq") <= half), f"{base}/logs")
+    write_logs(raw.where(F.col("seq") > half), f"{base}/logs")
+    return base
+
+
+@register("t12_stream_call_counts", "T", oracle=f"""
+WITH {_TR} SELECT name, count(*) AS calls FROM trace GROUP BY name""")
+def t12(spark, d):
+    from corvid.streaming import trace_stream as S
+    base = _stream_logs(spark, d)
+    counts = S.stream_call_counts(S.trace_stream(spark, f"{base}/logs", max_files_per_trigger=10))
+    S.run_available_now(counts, f"{base}/ckpt", "update", "foreach_parquet", path=f"{base}/out")
+    out = spark.read.parquet(f"{base}/out")
+    return out.groupBy("name").agg(F.max("calls").alias("calls"))
+
+
+@register("t13_stream_run_state", "T", oracle=f"""
+WITH {_RUNS_SQL}
+SELECT file, CAST(run AS BIGINT) AS run, count(*) AS records, bool_or(name = 'main') AS has_main
+FROM runs GROUP BY file, run""")
+def t13(spark, d):
+    from corvid.streaming import trace_stream as S
+    base = _stream_logs(spark, d)
+    state = S.stream_run_state(S.trace_stream(spark, f"{base}/logs", max_files_per_trigger=10))
+    S.run_available_now(state, f"{base}/ckpt", "update", "foreach_parquet", path=f"{base}/out")
+    out = spark.read.parquet(f"{base}/out")
+    return (out.groupBy("log", "run").agg(F.max("records").alias("records"), F.bool_or("has_main").alias("has_main"))
+            .select(F.col("log").cast("bigint").alias("file"), "run", "records", "has_main"))

@@ -233,7 +233,7 @@ TRACE_SQL = """trace AS (
   FROM events)"""
 
 
-def trace_raw(spark: SparkSession, d: str) -> DataFrame:
+def trace_raw(spark: SparkSession, d: str, terminator: bool = True) -> DataFrame:
     """Rendered records (T2 format) for every event: ``(file, seq, value)``."""
     from corvid.functions.trace_text import render_record
     e = table(spark, d, "events")
@@ -246,7 +246,7 @@ def trace_raw(spark: SparkSession, d: str) -> DataFrame:
     ret = F.when(et == "error", F.array().cast("array<string>")).otherwise(
         F.array(F.format_string("%f", F.col("value"))))
     return e.select((F.col("user_id") % 10).alias("file"), F.col("event_id").alias("seq"),
-                    render_record(name, ret, keys, vals).alias("value"))
+                    render_record(name, ret, keys, vals, terminator=terminator).alias("value"))
 
 
 def trace(spark: SparkSession, d: str) -> DataFrame:
