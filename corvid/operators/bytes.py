@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -202,3 +204,82 @@ def compress_report(blobs: DataFrame, codecs: Sequence[str] = ("zlib", "gzip", "
     src = blobs.select(F.col(key).cast("long").alias(key), F.col(data))
     out = src.mapInPandas(run, COMPRESS_SCHEMA)
     return out if key == "id" else out.withColumnRenamed("id", key)
+
+
+# ------------------------------------------------------------ in-row back-references
+# A document is one row, so its k-grams are already co-located: scanning the
+# text once per row finds every nearest previous occurrence without shuffling
+# one row per character (the window form above shuffles and sorts all of them).
+MATCH_TYPE = "struct<pos: array<int>, dist: array<int>>"
+SPAN_TYPE = "struct<start: array<int>, dist: array<int>, length: array<int>>"
+
+
+def _nearest_matches(text: str, k: int, window: int):
+    """Positions whose k-gram occurred before (nearest previous), distance < window.
+
+    Code points are packed into one integer key per position (21 bits per
+    character, so k <= 3); a stable argsort puts equal keys next to each
+    other in position order, so neighbours are nearest previous occurrences.
+    """
+    if k > 3:
+        raise ValueError("packed keys hold at most 3 characters")
+    cp = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    n = len(cp) - k + 1
+    if n <= 1:
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
+    key = cp[:n].copy()
+    for j in range(1, k):
+        key = (key << np.uint64(21)) | cp[j:j + n]
+    order = np.argsort(key, kind="stable")
+    same = key[order[1:]] == key[order[:-1]]
+    cur, prev = order[1:][same], order[:-1][same]
+    d = cur - prev
+    keep = d < window
+    pos, dist = cur[keep], d[keep]
+    o = np.argsort(pos, kind="stable")
+    return pos[o].astype(np.int32), dist[o].astype(np.int32)
+
+
+def _spans_from_matches(pos, dist, k: int, max_len: int):
+    """Runs of consecutive positions with one distance, cut into pieces of at
+    most ``max_len`` characters: (start, dist, length) arrays."""
+    per_piece = max_len - k + 1
+    if len(pos) == 0:
+        z = np.zeros(0, np.int32)
+        return z, z, z
+    cont = (np.diff(pos) == 1) & (dist[1:] == dist[:-1])
+    starts = np.flatnonzero(np.r_[True, ~cont])
+    runs = np.diff(np.r_[starts, len(pos)])
+    npieces = (runs + per_piece - 1) // per_piece
+    run_id = np.repeat(np.arange(len(runs)), npieces)
+    piece_no = np.arange(int(npieces.sum())) - np.repeat(np.cumsum(npieces) - npieces, npieces)
+    grams = np.minimum(per_piece, runs[run_id] - piece_no * per_piece)
+    start = pos[starts][run_id] + piece_no * per_piece
+    return start.astype(np.int32), dist[starts][run_id].astype(np.int32), (grams + k - 1).astype(np.int32)
+
+
+def previous_occurrence_in_row(text: Column, k: int = MIN_MATCH, window: int = WINDOW) -> Column:
+    """Z7 per document row: struct(pos[], dist[]) of positions whose k-gram
+    occurred before within ``window`` (nearest previous occurrence)."""
+    @F.pandas_udf(MATCH_TYPE)
+    def matches(s: pd.Series) -> pd.DataFrame:
+        out = [_nearest_matches(t or "", k, window) for t in s]
+        return pd.DataFrame({"pos": [o[0] for o in out], "dist": [o[1] for o in out]})
+    return matches(text)
+
+
+def repeated_spans_in_row(text: Column, k: int = MIN_MATCH, window: int = WINDOW,
+                          max_len: int = MAX_MATCH) -> Column:
+    """Z8 per document row: struct(start[], dist[], length[]) of back-reference spans."""
+    @F.pandas_udf(SPAN_TYPE)
+    def spans(s: pd.Series) -> pd.DataFrame:
+        out = [_spans_from_matches(*_nearest_matches(t or "", k, window), k, max_len) for t in s]
+        return pd.DataFrame({"start": [o[0] for o in out], "dist": [o[1] for o in out],
+                             "length": [o[2] for o in out]})
+    return spans(text)
+
+
+def explode_struct_arrays(df: DataFrame, key: Sequence[str], col: str, fields: Sequence[str]) -> DataFrame:
+    """Rows out of a struct of parallel arrays (narrow: no shuffle)."""
+    z = F.arrays_zip(*[F.col(f"{col}.{f}").alias(f) for f in fields])
+    return df.select(*key, F.explode(z).alias("_z")).select(*key, *[F.col(f"_z.{f}").alias(f) for f in fields])

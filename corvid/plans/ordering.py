@@ -50,3 +50,14 @@ def blocked_running_sum(df: DataFrame, partition: Sequence[str], order: str, val
     return (x.join(offs, [*partition, "_blk"])
             .withColumn(out, F.col("_off") + F.sum("_v").over(wi))
             .drop("_blk", "_v", "_off"))
+
+
+def spread(df: DataFrame, factor: int = 1) -> DataFrame:
+    """Make sure CPU-heavy per-row work has at least ``factor`` x the cluster's
+    parallelism in partitions. A no-op when the input already has enough
+    splits (the normal case for large inputs); otherwise a round-robin
+    repartition, so a small number of huge files does not run in one task."""
+    want = df.sparkSession.sparkContext.defaultParallelism * factor
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want)

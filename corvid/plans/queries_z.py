@@ -85,8 +85,9 @@ def z6(spark, d):
 
 
 def _matches(spark, d):
-    g = Z.kgrams(views.documents_text(spark, d), K, F.col("text"), 3)
-    return Z.previous_occurrence(g, K)
+    t = views.documents_text(spark, d)
+    m = t.select("doc_id", Z.previous_occurrence_in_row(F.col("text"), 3).alias("m"))
+    return Z.explode_struct_arrays(m, K, "m", ["pos", "dist"])
 
 
 @register("z7_previous_occurrence", "Z", oracle=f"""
@@ -108,7 +109,9 @@ sp AS (SELECT doc_id, dist, min(pos) AS start, count(*) + 2 AS length FROM pc GR
 SELECT doc_id, count(*) AS n_spans, CAST(sum(length) AS BIGINT) AS covered, CAST(max(length) AS BIGINT) AS longest
 FROM sp GROUP BY doc_id""")
 def z8(spark, d):
-    s = Z.repeated_spans(_matches(spark, d), K)
+    t = views.documents_text(spark, d)
+    r = t.select("doc_id", Z.repeated_spans_in_row(F.col("text"), 3).alias("s"))
+    s = Z.explode_struct_arrays(r, K, "s", ["start", "dist", "length"])
     return s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_spans"),
                                    F.sum("length").cast("bigint").alias("covered"),
                                    F.max("length").cast("bigint").alias("longest"))

@@ -439,7 +439,9 @@ matches AS (SELECT * FROM (
 
 
 def documents_text(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text")
+    """Documents for CPU-heavy per-document work, spread over the cluster."""
+    from corvid.plans.ordering import spread
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
 
 
 # ---------------------------------------------------------------- L lines
