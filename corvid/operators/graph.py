@@ -117,38 +117,55 @@ def callee_first_order(levels: DataFrame) -> DataFrame:
     return with_global_position(levels, [F.col("level").asc_nulls_last(), F.col("n")], "position")
 
 
+def _postorder(root: str, pairs) -> list[str]:
+    adj: dict[str, set[str]] = {}
+    for s, t in pairs:
+        if s is not None and t is not None:
+            adj.setdefault(s, set()).add(t)
+    kids = {k: sorted(v) for k, v in adj.items()}
+    seen = {root}
+    out: list[str] = []
+    stack = [(root, iter(kids.get(root, ())))]
+    while stack:
+        node, it = stack[-1]
+        for child in it:
+            if child not in seen:
+                seen.add(child)
+                stack.append((child, iter(kids.get(child, ()))))
+                break
+        else:
+            stack.pop()
+            out.append(node)
+    return out
+
+
 def cycle_fallback(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Depth-first postorder from the root for graphs that may contain cycles.
 
-    One graph per group (``graph_id``); children are visited in name order and
-    a node is emitted after all its unvisited children. Graphs run in
-    parallel, one group per task; a group holds one program's call graph.
+    One graph per ``graph_id``; children are visited in name order and a node
+    is emitted after all its unvisited children. Graphs are hash-partitioned
+    by id and sorted, then walked in ``mapInPandas``: many graphs per Arrow
+    batch, a graph's edges held only while it is walked (one program's call
+    graph).
     """
-    def postorder(pdf):
+    data = (edges.join(roots, "graph_id", "right").select("graph_id", "src", "dst", "root")
+            .repartition("graph_id").sortWithinPartitions("graph_id"))
+
+    def run(batches):
         import pandas as pd
-        root = pdf["root"].dropna().iloc[0]
-        adj: dict[str, list[str]] = {}
-        for s, t in zip(pdf["src"], pdf["dst"]):
-            if s is not None and t is not None:
-                adj.setdefault(s, []).append(t)
-        for k in adj:
-            adj[k] = sorted(set(adj[k]))
-        seen = {root}
-        out = []
-        stack = [(root, iter(adj.get(root, ())))]
-        while stack:
-            node, it = stack[-1]
-            for child in it:
-                if child not in seen:
-                    seen.add(child)
-                    stack.append((child, iter(adj.get(child, ()))))
-                    break
-            else:
-                stack.pop()
-                out.append(node)
-        gid = pdf["graph_id"].iloc[0]
-        return pd.DataFrame({"graph_id": [gid] * len(out), "position": list(range(len(out))), "n": out})
-
-    data = edges.join(roots, "graph_id", "right").select("graph_id", "src", "dst", "root")
-    return data.groupBy("graph_id").applyInPandas(
-        postorder, schema="graph_id long, position long, n string")
+        cur, root, pairs = None, None, []
+
+        def flush():
+            order = _postorder(root, pairs)
+            return pd.DataFrame({"graph_id": [cur] * len(order), "position": range(len(order)), "n": order})
+        for pdf in batches:
+            for gid, s, t, r in zip(pdf["graph_id"], pdf["src"], pdf["dst"], pdf["root"]):
+                if gid != cur:
+                    if cur is not None:
+                        yield flush()
+                    cur, root, pairs = gid, r, []
+                pairs.append((s, t))
+        if cur is not None:
+            yield flush()
+
+    return data.mapInPandas(run, "graph_id long, position long, n string")

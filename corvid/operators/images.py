@@ -126,17 +126,26 @@ def clean_transparent(pixels: DataFrame, profile: DataFrame) -> DataFrame:
     return x.select("image_id", "x", "y", chan("r"), chan("g"), chan("b"), "a")
 
 
-def verify_pairs(a: DataFrame, b: DataFrame, lossy: bool) -> DataFrame:
-    """Same pixel set and equal pixels; with ``lossy`` the RGB of pixels
-    transparent in both is ignored. Per image: ``ok`` (False -> revert)."""
+def verify_pairs(a: DataFrame, b: DataFrame, lossy: bool | None = None) -> DataFrame:
+    """Same pixel set and equal pixels, per image, in one full outer join.
+
+    ``strict_ok``: every pixel equal; ``lossy_ok``: the RGB of pixels
+    transparent in both is ignored. With ``lossy`` set, only that flag is
+    returned as ``ok`` (False -> revert to the original).
+    """
     x = a.select("image_id", "x", "y", *[F.col(c).alias(f"{c}1") for c in "rgba"])
     y = b.select("image_id", "x", "y", *[F.col(c).alias(f"{c}2") for c in "rgba"])
     j = x.join(y, ["image_id", "x", "y"], "full_outer")
     both = F.col("r1").isNotNull() & F.col("r2").isNotNull()
     eq_a = F.col("a1") == F.col("a2")
     eq_rgb = (F.col("r1") == F.col("r2")) & (F.col("g1") == F.col("g2")) & (F.col("b1") == F.col("b2"))
-    cond = both & eq_a & (eq_rgb | (F.lit(lossy) & (F.col("a1") == 0))) if lossy else both & eq_a & eq_rgb
-    return j.groupBy("image_id").agg(F.bool_and(F.coalesce(cond, F.lit(False))).alias("ok"))
+    strict = both & eq_a & eq_rgb
+    loose = both & eq_a & (eq_rgb | (F.col("a1") == 0))
+    out = j.groupBy("image_id").agg(F.bool_and(F.coalesce(strict, F.lit(False))).alias("strict_ok"),
+                                    F.bool_and(F.coalesce(loose, F.lit(False))).alias("lossy_ok"))
+    if lossy is None:
+        return out
+    return out.select("image_id", F.col("lossy_ok" if lossy else "strict_ok").alias("ok"))
 
 
 def chunks_to_keep(chunks: DataFrame, wanted: Sequence[str]) -> DataFrame:

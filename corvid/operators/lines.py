@@ -100,10 +100,18 @@ def _visible_byte(b: Column) -> Column:
             .otherwise(ch))
 
 
+PRINTABLE_ASCII = r"^[\x20-\x7e\t]*$"
+
+
 def show_nonprinting(line: Column) -> Column:
     """Control bytes as ``^X``, DEL as ``^?``, bytes >= 128 as ``M-`` plus
-    the rendering of the low 7 bits; TAB unchanged. Works on UTF-8 bytes."""
-    return F.array_join(F.transform(byte_values(F.encode(line, "UTF-8")), _visible_byte), "")
+    the rendering of the low 7 bits; TAB unchanged. Works on UTF-8 bytes.
+
+    Lines of printable ASCII (the common case) pass through unchanged; only
+    the others take the per-byte mapping.
+    """
+    mapped = F.array_join(F.transform(byte_values(F.encode(line, "UTF-8")), _visible_byte), "")
+    return F.when(line.rlike(PRINTABLE_ASCII), line).otherwise(mapped)
 
 
 def show_all(line: Column) -> Column:

@@ -15,10 +15,13 @@ from corvid.plans.ordering import blocked_running_sum
 
 def parse_records(raw: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
     """T11 applied to a frame of raw records: (parsed, rejects)."""
-    p = raw.withColumn("_p", parse_trace(F.col(value)))
     keep = [c for c in raw.columns if c != value]
-    good = p.where("_p.ok").select(*keep, "_p.name", "_p.args", "_p.pos_args", "_p.ret")
-    bad = p.where(~F.col("_p.ok")).select(*keep, F.col(value).alias("record"))
+    # The parsed struct is produced by a generator (inline of a one-element
+    # array): filters on its fields cannot be pushed below it, so each record
+    # is parsed once instead of once per referenced field.
+    p = raw.select(*keep, F.col(value).alias("_raw"), F.inline(F.array(parse_trace(F.col(value)))))
+    good = p.where("ok").select(*keep, "name", "args", "pos_args", "ret")
+    bad = p.where(~F.col("ok")).select(*keep, F.col("_raw").alias("record"))
     return good, bad
 
 

@@ -236,7 +236,8 @@ TRACE_SQL = """trace AS (
 def trace_raw(spark: SparkSession, d: str, terminator: bool = True) -> DataFrame:
     """Rendered records (T2 format) for every event: ``(file, seq, value)``."""
     from corvid.functions.trace_text import render_record
-    e = table(spark, d, "events")
+    from corvid.plans.ordering import spread
+    e = spread(table(spark, d, "events"))
     et = F.col("event_type")
     name = (F.when(et == "signup", F.lit("set_program_name")).when(et == "purchase", F.lit("main"))
             .otherwise(et))
@@ -265,7 +266,8 @@ TYPED_SQL = """typed AS (
 
 
 def typed_values(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").select(
+    from corvid.plans.ordering import spread
+    e = spread(table(spark, d, "events")).select(
         F.col("event_id").alias("seq"), "user_id", "value",
         F.when(F.col("event_type") == "view", F.repeat("props", 20)).otherwise(F.col("props")).alias("chars"))
     return e.select("seq", F.expr(
@@ -284,7 +286,8 @@ def positional_trace(spark: SparkSession, d: str) -> DataFrame:
     """Old-format records (positional args) for every event, parsed back."""
     from corvid.functions.trace_text import render_record
     from corvid.operators.trace import parse_records
-    e = table(spark, d, "events")
+    from corvid.plans.ordering import spread
+    e = spread(table(spark, d, "events"))
     name = _fname(F.col("user_id"))
     vals = F.array(F.col("user_id").cast("string"), F.col("props"), F.format_string("%f", F.col("value")),
                    F.col("event_id").cast("string"))
@@ -388,7 +391,7 @@ spans AS (
 
 
 def src_lines(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = documents_text(spark, d)
     return docs.select(F.col("doc_id").alias("file"),
                        F.posexplode(F.split(F.replace("text", F.lit(". "), F.lit(".\n")), "\n"))
                        .alias("pos", "line")).select("file", (F.col("pos") + 1).cast("bigint").alias("line_no"), "line")
@@ -458,7 +461,7 @@ lines AS (SELECT file_ord, CAST(i - 1 AS BIGINT) AS idx, parts[i] AS line
 
 
 def line_files(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = documents_text(spark, d)
     content = F.replace(F.replace("text", F.lit(". "), F.lit(".\n\n\n")), F.lit(", "), F.lit("\t"))
     return docs.select(F.col("doc_id").alias("file_ord"), content.alias("content"))
 
