@@ -37,26 +37,34 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
                     F.coalesce("in_degree", F.lit(0)).alias("in_degree")))
 
 
+def _union_all(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def reachable(nodes: DataFrame, edges: DataFrame, root: str) -> DataFrame:
     """Root and its descendants with their BFS depth.
 
-    Frontier expansion: frontier ⋈ edges, minus visited (anti join). The
-    frontier and the visited set are checkpointed every round.
+    Frontier expansion: frontier ⋈ edges, minus visited (anti join). Each
+    round's frontier is checkpointed once; the visited set is the union of
+    the checkpointed frontiers (shallow lineage, never rewritten).
     """
     spark = nodes.sparkSession
     if nodes.where(F.col("n") == F.lit(root)).isEmpty():
         raise ValueError(f"root {root!r} is not a node of the graph")
-    e = edges.select("src", "dst")
-    visited = spark.createDataFrame([(root, 0)], "n string, depth int")
-    frontier = visited
+    e = edges.select("src", "dst").checkpoint()
+    frontier = spark.createDataFrame([(root, 0)], "n string, depth int")
+    levels = [frontier]
     for depth in range(1, MAX_ROUNDS):
         nxt = (frontier.join(e, frontier["n"] == e["src"]).select(F.col("dst").alias("n")).distinct()
-               .join(visited, "n", "left_anti")
+               .join(_union_all(levels).select("n"), "n", "left_anti")
                .withColumn("depth", F.lit(depth))
                .checkpoint())
         if nxt.isEmpty():
-            return visited
-        visited = visited.unionByName(nxt).checkpoint()
+            return _union_all(levels)
+        levels.append(nxt)
         frontier = nxt
     raise RuntimeError("reachability did not converge")
 
@@ -66,7 +74,8 @@ def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     Min-label propagation with pointer jumping: each round a node takes the
     smallest label among itself and its neighbours, then jumps to its label's
-    label. Stops when no label changes.
+    label. The previous label rides along, so the change test reads the
+    checkpointed round without another join.
     """
     und = (edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
            .union(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))).distinct().checkpoint())
@@ -75,15 +84,13 @@ def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         cand = (und.join(labels, und["b"] == labels["n"]).groupBy(F.col("a").alias("n"))
                 .agg(F.min("label").alias("cand")))
         step = (labels.join(cand, "n", "left")
-                .select("n", F.least("label", F.coalesce("cand", "label")).alias("label")))
+                .select("n", F.col("label").alias("_old"), F.least("label", F.coalesce("cand", "label")).alias("label")))
         hop = step.select(F.col("n").alias("_l"), F.col("label").alias("_ll"))
         jumped = (step.join(hop, step["label"] == hop["_l"], "left")
-                  .select("n", F.least("label", F.coalesce("_ll", "label")).alias("label"))
+                  .select("n", "_old", F.least("label", F.coalesce("_ll", "label")).alias("label"))
                   .checkpoint())
-        changed = (jumped.join(labels.withColumnRenamed("label", "_old"), "n")
-                   .where(F.col("label") != F.col("_old")))
-        labels = jumped
-        if changed.isEmpty():
+        labels = jumped.select("n", "label")
+        if jumped.where(F.col("label") != F.col("_old")).isEmpty():
             return labels
     raise RuntimeError("component labelling did not converge")
 
@@ -93,22 +100,23 @@ def levels_callee_first(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     Leaves get level 0; a caller's level is one more than its deepest
     callee. If a round peels nothing while nodes remain, those nodes sit on
-    or above a cycle: they are returned with a NULL level (see G6).
+    or above a cycle: they are returned with a NULL level (see G6). Peeled
+    rounds are checkpointed once and unioned at the end.
     """
     remaining = nodes.select("n").distinct().checkpoint()
     e = edges.select("src", "dst").distinct().checkpoint()
-    done = None
+    done: list[DataFrame] = []
     for level in range(MAX_ROUNDS):
         blocked = e.select(F.col("src").alias("n")).distinct()
         peeled = remaining.join(blocked, "n", "left_anti").withColumn("level", F.lit(level)).checkpoint()
         if peeled.isEmpty():
             rest = remaining.withColumn("level", F.lit(None).cast("int"))
-            return rest if done is None else done.unionByName(rest)
-        done = peeled if done is None else done.unionByName(peeled).checkpoint()
+            return _union_all(done + [rest]) if done else rest
+        done.append(peeled)
         remaining = remaining.join(peeled, "n", "left_anti").checkpoint()
-        e = e.join(peeled.select(F.col("n").alias("dst")), "dst", "left_anti").checkpoint()
         if remaining.isEmpty():
-            return done
+            return _union_all(done)
+        e = e.join(peeled.select(F.col("n").alias("dst")), "dst", "left_anti").checkpoint()
     raise RuntimeError("level peeling did not converge")
 
 
