@@ -283,3 +283,15 @@ def explode_struct_arrays(df: DataFrame, key: Sequence[str], col: str, fields: S
     """Rows out of a struct of parallel arrays (narrow: no shuffle)."""
     z = F.arrays_zip(*[F.col(f"{col}.{f}").alias(f) for f in fields])
     return df.select(*key, F.explode(z).alias("_z")).select(*key, *[F.col(f"_z.{f}").alias(f) for f in fields])
+
+
+def byte_histogram_from_chars(char_hist: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Byte histogram (UTF-8) of each group from its character histogram.
+
+    Each distinct character is expanded to its UTF-8 bytes and weighted by
+    its count, so the byte-level explode touches distinct (group, character)
+    pairs only, not every byte of the corpus.
+    """
+    from corvid.functions.bytes import byte_values, utf8
+    b = char_hist.select(*key, "count", F.explode(byte_values(utf8(F.col("symbol")))).alias("symbol"))
+    return b.groupBy(*key, "symbol").agg(F.sum("count").alias("count"))

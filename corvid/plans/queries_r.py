@@ -101,3 +101,15 @@ SELECT model, role, count(*) AS n_messages,
 FROM chats GROUP BY model, role""")
 def r9(spark, d):
     return R.token_cost(views.chats(spark, d), views.PRICES)
+
+
+@register("r10_parse_rubric", "R", oracle=f"""
+WITH {views.RUBRIC_SQL}
+SELECT category, task, section,
+       CAST(row_number() OVER (PARTITION BY category, task
+            ORDER BY CASE WHEN section = 'User Experience' THEN 0 ELSE 1 END, ordinal, criterion, points) AS INTEGER)
+         AS ordinal,
+       criterion, points
+FROM rubric""")
+def r10(spark, d):
+    return R.parse_rubric(views.rubric_readmes(spark, d)).withColumn("ordinal", F.col("ordinal").cast("int"))

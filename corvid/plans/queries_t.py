@@ -179,3 +179,17 @@ def t13(spark, d):
     out = spark.read.parquet(f"{base}/out")
     return (out.groupBy("log", "run").agg(F.max("records").alias("records"), F.bool_or("has_main").alias("has_main"))
             .select(F.col("log").cast("bigint").alias("file"), "run", "records", "has_main"))
+
+
+@register("t1_read_trace", "T", oracle=f"""
+WITH {_TR}
+SELECT file, name, a_user AS user, a_props AS props, ret FROM trace""")
+def t1(spark, d):
+    """T2 -> files -> T1 -> T11: records written as rotated logs, read back
+    with the multi-character separator, parsed."""
+    from corvid.sources.trace_files import read_trace
+    base = _stream_logs(spark, d)
+    good, _ = T.parse_records(read_trace(spark, f"{base}/logs"))
+    log = F.regexp_extract("file", r"file=([0-9]+)", 1).cast("bigint")
+    return good.select(log.alias("file"), "name", F.col("args")["user"].alias("user"),
+                       F.col("args")["props"].alias("props"), F.get("ret", 0).alias("ret"))

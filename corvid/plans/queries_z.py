@@ -118,8 +118,7 @@ def z8(spark, d):
 
 
 def _byte_hist(spark, d):
-    t = views.documents_text(spark, d)
-    h = Z.symbol_histogram(t, K, BF.byte_values(BF.utf8(F.col("text"))))
+    h = Z.byte_histogram_from_chars(_char_hist(views.documents_text(spark, d)), K)
     return Z.full_axis_histogram(h, K, 256)
 
 

@@ -89,6 +89,26 @@ def rubric(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("l_discount") < 0.05, points).otherwise(0).alias("awarded"))
 
 
+def rubric_readmes(spark: SparkSession, d: str) -> DataFrame:
+    """One README text per rubric task, rendered from the rubric rows: a
+    heading line per section, ``- criterion: points`` lines, odd ordinals
+    marked with ``*``. A group is one task's rubric (a handful of lines)."""
+    r = rubric(spark, d)
+    so = F.when(F.col("section") == "User Experience", 0).otherwise(1)
+    items = r.select("category", "task", F.struct(so.alias("so"), "ordinal", "criterion", "points",
+                                                  "section").alias("it"))
+    g = items.groupBy("category", "task").agg(F.array_sort(F.collect_list("it")).alias("its"))
+    its = F.col("its")
+
+    def line(x, i):
+        head = F.when((i == 0) | (F.get(its, i - 1)["section"] != x["section"]),
+                      F.concat(x["section"], F.lit(":\n"))).otherwise(F.lit(""))
+        star = F.when(x["ordinal"] % 2 == 1, F.lit("*")).otherwise(F.lit(""))
+        return F.concat(head, F.lit("- "), x["criterion"], F.lit(": "), x["points"].cast("string"), star)
+    text = F.concat(F.lit("## Evaluation Criteria\n\n"), F.array_join(F.transform(its, line), "\n"), F.lit("\n"))
+    return g.select("category", "task", text.alias("readme"))
+
+
 # Chats: conversations with a model picked by conv_id mod 3.
 MODELS = ["model-a", "model-b", "model-c"]
 # Our own illustrative prices, USD per million tokens.
