@@ -110,7 +110,7 @@ def classify_value(text: Column) -> Column:
     return (F.when(text.isNull(), F.lit(None))
             .when(text == UNSUPPORTED, "unsupported")
             .when((text == NULL_POINTER) | (text == "0x0"), "null pointer")
-            .when(text.rlike(r"^0x[0-9a-f]+$"), "address")
-            .when(text.rlike(r"^-?[0-9]+$"), "integer")
-            .when(text.rlike(r"^-?[0-9]+\.[0-9]{6}$"), "float")
+            .when(text.rlike(r"^0x[0-9a-f]+\z"), "address")
+            .when(text.rlike(r"^-?[0-9]+\z"), "integer")
+            .when(text.rlike(r"^-?[0-9]+\.[0-9]{6}\z"), "float")
             .otherwise("text"))

@@ -100,7 +100,7 @@ def _visible_byte(b: Column) -> Column:
             .otherwise(ch))
 
 
-PRINTABLE_ASCII = r"^[\x20-\x7e\t]*$"
+PRINTABLE_ASCII = r"^[\x20-\x7e\t]*\z"
 
 
 def show_nonprinting(line: Column) -> Column:
