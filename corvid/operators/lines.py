@@ -117,3 +117,55 @@ def show_nonprinting(line: Column) -> Column:
 def show_all(line: Column) -> Column:
     """``-A`` = non-printing, tabs and ends together."""
     return show_ends(show_tabs(show_nonprinting(line)))
+
+
+# ------------------------------------------------------------ file-level forms
+# When each file is one row (whole-file reads), per-file work happens inside
+# the row and lines are exploded last: numbering needs per-file counts, their
+# prefix over files and one file-level join, never a shuffle of lines.
+def file_line_arrays(files: DataFrame, content: str = "content", key: str = "file_ord") -> DataFrame:
+    """(file_ord, lines ARRAY<STRUCT<idx, line>>) with the same line rules as ``file_lines``."""
+    body = F.regexp_replace(F.col(content), r"\n\z", "")
+    parts = F.when(F.col(content) == "", F.array().cast("array<string>")).otherwise(F.split(body, "\n"))
+    arr = F.transform(parts, lambda x, i: F.struct(i.cast("bigint").alias("idx"), x.alias("line")))
+    return files.select(key, arr.alias("lines"))
+
+
+def squeeze_blank_files(fl: DataFrame) -> DataFrame:
+    """L4 on file rows: drop an empty line after an empty line, across files too.
+
+    The predecessor's last-line flag comes from a global position over the
+    non-empty files (one row per file) joined on position.
+    """
+    last = (fl.where(F.size("lines") > 0)
+            .select("file_ord", (F.element_at("lines", -1)["line"] == "").alias("_last_blank")))
+    pos = with_global_position(last, [F.col("file_ord")], "_p")
+    prev = pos.select((F.col("_p") + 1).alias("_p"), F.col("_last_blank").alias("_pb"))
+    boundary = pos.join(prev, "_p", "left").select("file_ord", F.coalesce("_pb", F.lit(False)).alias("_pb"))
+    j = fl.join(boundary, "file_ord", "left")
+    lines = F.col("lines")
+    kept = F.filter(lines, lambda x, i: ~((x["line"] == "") & F.when(i == 0, F.coalesce(F.col("_pb"), F.lit(False)))
+                                          .otherwise(F.get(lines, i - 1)["line"] == "")))
+    return j.select("file_ord", kept.alias("lines"))
+
+
+def number_files(fl: DataFrame, nonblank: bool = False) -> DataFrame:
+    """L2 / L3 on file rows; returns line rows ``(file_ord, idx, line, n, out)``.
+
+    The in-file rank is the position in the (filtered) array, so lines are
+    numbered while they are exploded.
+    """
+    sel = F.filter("lines", lambda x: x["line"] != "") if nonblank else F.col("lines")
+    counts = fl.select("file_ord", F.size(sel).cast("bigint").alias("_cnt"))
+    offs = _file_offsets(counts, "_cnt")
+    j = fl.join(offs, "file_ord")
+    num = (j.select("file_ord", "_offset", F.posexplode(sel).alias("_pos", "_x"))
+           .select("file_ord", F.col("_x.idx").alias("idx"), F.col("_x.line").alias("line"),
+                   (F.col("_offset") + F.col("_pos") + 1).alias("n")))
+    num = num.withColumn("out", F.concat(F.format_string(NUMBER_FORMAT, F.col("n")), F.col("line")))
+    if not nonblank:
+        return num
+    blank = (j.select("file_ord", F.explode(F.filter("lines", lambda x: x["line"] == "")).alias("_x"))
+             .select("file_ord", F.col("_x.idx").alias("idx"), F.col("_x.line").alias("line"),
+                     F.lit(None).cast("bigint").alias("n"), F.col("_x.line").alias("out")))
+    return num.unionByName(blank)
