@@ -54,7 +54,9 @@ def tasks(spark: SparkSession, d: str) -> DataFrame:
 
 def runs(spark: SparkSession, d: str) -> DataFrame:
     from corvid.operators.runs import format_run_name
-    li = table(spark, d, "lineitem")
+    from corvid.plans.ordering import spread
+    li = spread(table(spark, d, "lineitem").select("l_partkey", "l_returnflag", "l_linestatus", "l_shipdate",
+                                                   "l_linenumber"))
     agent = F.lower(F.concat("l_returnflag", "l_linestatus"))
     return li.select(
         F.concat(F.lit("t"), F.col("l_partkey").cast("string")).alias("task"),
