@@ -1,8 +1,9 @@
 """G area: call graphs as node/edge DataFrames and iterative dataflow.
 
 Each loop round is a join plus an anti join; the per-round result is
-``checkpoint()``-ed to the reliable checkpoint folder (never a local
-checkpoint), which cuts lineage and survives executor loss. Round counts are
+checkpointed to the shared checkpoint folder (``plans.ordering.materialize``,
+a reliable checkpoint; never a local one), which cuts lineage and survives
+executor loss. Round counts are
 bounded by graph depth (reachability, levels) or by O(log diameter) rounds
 with pointer jumping (components).
 """
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvid.plans.ordering import with_global_position
+from corvid.plans.ordering import materialize, with_global_position
 
 MAX_ROUNDS = 10_000
 
@@ -48,20 +49,19 @@ def reachable(nodes: DataFrame, edges: DataFrame, root: str) -> DataFrame:
     """Root and its descendants with their BFS depth.
 
     Frontier expansion: frontier ⋈ edges, minus visited (anti join). Each
-    round's frontier is checkpointed once; the visited set is the union of
-    the checkpointed frontiers (shallow lineage, never rewritten).
+    round's frontier is materialised once; the visited set is the union of
+    the materialised frontiers (shallow lineage, never rewritten).
     """
     spark = nodes.sparkSession
     if nodes.where(F.col("n") == F.lit(root)).isEmpty():
         raise ValueError(f"root {root!r} is not a node of the graph")
-    e = edges.select("src", "dst").checkpoint()
+    e = materialize(edges.select("src", "dst"), "edges")
     frontier = spark.createDataFrame([(root, 0)], "n string, depth int")
     levels = [frontier]
     for depth in range(1, MAX_ROUNDS):
-        nxt = (frontier.join(e, frontier["n"] == e["src"]).select(F.col("dst").alias("n")).distinct()
-               .join(_union_all(levels).select("n"), "n", "left_anti")
-               .withColumn("depth", F.lit(depth))
-               .checkpoint())
+        nxt = materialize(frontier.join(e, frontier["n"] == e["src"]).select(F.col("dst").alias("n")).distinct()
+                          .join(_union_all(levels).select("n"), "n", "left_anti")
+                          .withColumn("depth", F.lit(depth)), "frontier")
         if nxt.isEmpty():
             return _union_all(levels)
         levels.append(nxt)
@@ -75,20 +75,21 @@ def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Min-label propagation with pointer jumping: each round a node takes the
     smallest label among itself and its neighbours, then jumps to its label's
     label. The previous label rides along, so the change test reads the
-    checkpointed round without another join.
+    materialised round without another join.
     """
     und = (edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-           .union(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))).distinct().checkpoint())
-    labels = nodes.select("n", F.col("n").alias("label")).checkpoint()
+           .union(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))).distinct())
+    und = materialize(und, "undirected")
+    labels = materialize(nodes.select("n", F.col("n").alias("label")), "labels")
     for _ in range(MAX_ROUNDS):
         cand = (und.join(labels, und["b"] == labels["n"]).groupBy(F.col("a").alias("n"))
                 .agg(F.min("label").alias("cand")))
         step = (labels.join(cand, "n", "left")
                 .select("n", F.col("label").alias("_old"), F.least("label", F.coalesce("cand", "label")).alias("label")))
         hop = step.select(F.col("n").alias("_l"), F.col("label").alias("_ll"))
-        jumped = (step.join(hop, step["label"] == hop["_l"], "left")
-                  .select("n", "_old", F.least("label", F.coalesce("_ll", "label")).alias("label"))
-                  .checkpoint())
+        jumped = materialize(step.join(hop, step["label"] == hop["_l"], "left")
+                             .select("n", "_old", F.least("label", F.coalesce("_ll", "label")).alias("label")),
+                             "labels")
         labels = jumped.select("n", "label")
         if jumped.where(F.col("label") != F.col("_old")).isEmpty():
             return labels
@@ -101,22 +102,22 @@ def levels_callee_first(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Leaves get level 0; a caller's level is one more than its deepest
     callee. If a round peels nothing while nodes remain, those nodes sit on
     or above a cycle: they are returned with a NULL level (see G6). Peeled
-    rounds are checkpointed once and unioned at the end.
+    rounds are materialised once and unioned at the end.
     """
-    remaining = nodes.select("n").distinct().checkpoint()
-    e = edges.select("src", "dst").distinct().checkpoint()
+    remaining = materialize(nodes.select("n").distinct(), "remaining")
+    e = materialize(edges.select("src", "dst").distinct(), "edges")
     done: list[DataFrame] = []
     for level in range(MAX_ROUNDS):
         blocked = e.select(F.col("src").alias("n")).distinct()
-        peeled = remaining.join(blocked, "n", "left_anti").withColumn("level", F.lit(level)).checkpoint()
+        peeled = materialize(remaining.join(blocked, "n", "left_anti").withColumn("level", F.lit(level)), "peeled")
         if peeled.isEmpty():
             rest = remaining.withColumn("level", F.lit(None).cast("int"))
             return _union_all(done + [rest]) if done else rest
         done.append(peeled)
-        remaining = remaining.join(peeled, "n", "left_anti").checkpoint()
+        remaining = materialize(remaining.join(peeled, "n", "left_anti"), "remaining")
         if remaining.isEmpty():
             return _union_all(done)
-        e = e.join(peeled.select(F.col("n").alias("dst")), "dst", "left_anti").checkpoint()
+        e = materialize(e.join(peeled.select(F.col("n").alias("dst")), "dst", "left_anti"), "edges")
     raise RuntimeError("level peeling did not converge")
 
 

@@ -12,15 +12,14 @@ def with_global_position(df: DataFrame, order: Sequence[Column | str], name: str
     """Add a 0-based position in the total order ``order``.
 
     The frame is range-partitioned and sorted, tagged with its partition id
-    and a per-partition increasing id, and checkpointed (so the count pass
-    and the final pass see the same partitioning). Per-partition counts are
+    and a per-partition increasing id, and materialised (so the count pass
+    and the final pass see the same ids). Per-partition counts are
     one row per partition; their prefix sum is the offset of each partition.
     ``order`` must be a total order for the positions to be deterministic.
     """
-    sorted_df = (df.orderBy(*order)
-                 .withColumn("_pid", F.spark_partition_id())
-                 .withColumn("_mid", F.monotonically_increasing_id())
-                 .checkpoint())
+    sorted_df = materialize(df.orderBy(*order)
+                            .withColumn("_pid", F.spark_partition_id())
+                            .withColumn("_mid", F.monotonically_increasing_id()), "sorted")
     counts = sorted_df.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_base"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     # one row per partition: a tiny frame, so the unpartitioned window is cheap
@@ -36,20 +35,36 @@ def blocked_running_sum(df: DataFrame, partition: Sequence[str], order: str, val
 
     One partition key may hold a large share of all rows, so no window is
     partitioned by it alone. Rows are cut into blocks of ``block_size`` order
-    values (``order`` is numeric); block totals are a partial aggregate, their
-    exclusive prefix per key is a window over one row per block, and the
-    in-block running sum is a window over (key, block), bounded by the block.
-    The block-offset join is small and left to AQE to broadcast at run time.
+    values (``order`` is numeric). One window pass over (key, block) gives the
+    in-block running sum and the block total; the exclusive prefix of block
+    totals per key is a window over one row per block; the offsets join back
+    on (key, block), a partitioning the rows already have. The input is read
+    once (the branches share the (key, block) exchange).
     """
     blk = F.floor(F.col(order) / F.lit(block_size)).cast("bigint")
     x = df.withColumn("_blk", blk).withColumn("_v", value)
-    totals = x.groupBy(*partition, "_blk").agg(F.sum("_v").alias("_t"))
+    wi = Window.partitionBy(*partition, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    wt = Window.partitionBy(*partition, "_blk")
+    x1 = x.withColumn("_run", F.sum("_v").over(wi)).withColumn("_bt", F.sum("_v").over(wt))
+    totals = x1.groupBy(*partition, "_blk").agg(F.max("_bt").alias("_t"))
     wb = Window.partitionBy(*partition).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     offs = totals.withColumn("_off", F.coalesce(F.sum("_t").over(wb), F.lit(0))).drop("_t")
-    wi = Window.partitionBy(*partition, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return (x.join(offs, [*partition, "_blk"])
-            .withColumn(out, F.col("_off") + F.sum("_v").over(wi))
-            .drop("_blk", "_v", "_off"))
+    return (x1.join(offs, [*partition, "_blk"])
+            .withColumn(out, F.col("_off") + F.col("_run"))
+            .drop("_blk", "_v", "_off", "_run", "_bt"))
+
+
+def materialize(df: DataFrame, name: str = "frame") -> DataFrame:
+    """Cut lineage with a reliable checkpoint in ``spark.checkpoint.dir``
+    (never a local checkpoint), so the result survives executor loss.
+
+    Measured on the per-round frames of the graph loops, a plain eager
+    checkpoint beat both persist-then-checkpoint and a parquet round trip.
+    ``name`` documents the call site.
+    """
+    from corvid.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def spread(df: DataFrame, factor: int = 1) -> DataFrame:
