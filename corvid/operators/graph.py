@@ -108,15 +108,17 @@ def levels_callee_first(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     e = materialize(edges.select("src", "dst").distinct(), "edges")
     done: list[DataFrame] = []
     for level in range(MAX_ROUNDS):
-        blocked = e.select(F.col("src").alias("n")).distinct()
+        # nodes that still call an unpeeled node; after this round they are
+        # exactly the unpeeled ones
+        blocked = materialize(e.select(F.col("src").alias("n")).distinct(), "blocked")
         peeled = materialize(remaining.join(blocked, "n", "left_anti").withColumn("level", F.lit(level)), "peeled")
         if peeled.isEmpty():
             rest = remaining.withColumn("level", F.lit(None).cast("int"))
             return _union_all(done + [rest]) if done else rest
         done.append(peeled)
-        remaining = materialize(remaining.join(peeled, "n", "left_anti"), "remaining")
-        if remaining.isEmpty():
+        if blocked.isEmpty():
             return _union_all(done)
+        remaining = blocked
         e = materialize(e.join(peeled.select(F.col("n").alias("dst")), "dst", "left_anti"), "edges")
     raise RuntimeError("level peeling did not converge")
 
