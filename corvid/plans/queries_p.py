@@ -138,7 +138,7 @@ def p5(spark, d):
     return P.size_report(views.image_files(spark, d))
 
 
-PREFIX = "zopfli_"
+PREFIX = "opt_"
 
 
 @register("p1_skip_outputs", "P", oracle=f"""

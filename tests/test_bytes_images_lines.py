@@ -175,18 +175,18 @@ def test_file_sources(spark):
     s = S.read_samples(spark, f"{d}/s.csv").collect()
     assert [(r.func_name, r.length, r.result) for r in s] == [("foo", 20, "Success"), ("bar", 120, "Failure")]
     os.makedirs(f"{d}/proj")
-    with open(f"{d}/proj/functions.json", "w") as fh:
+    with open(f"{d}/proj/inventory.json", "w") as fh:
         fh.write('[{"name": "a", "filename": "x/a.c", "startLine": 1, "endLine": 3, "calledFunctions": []},\n'
                  ' {"name": "b", "filename": "b.c", "startLine": 2, "endLine": 2}]')
-    f = {r.name: (r.calledFunctions, r.project) for r in S.read_functions(spark, f"{d}/proj/functions.json").collect()}
+    f = {r.name: (r.calledFunctions, r.project) for r in S.read_functions(spark, f"{d}/proj/inventory.json").collect()}
     assert f == {"a": ([], "proj"), "b": (None, "proj")}
-    with open(f"{d}/datasets.json", "w") as fh:
+    with open(f"{d}/sets.json", "w") as fh:
         fh.write('{"toy": {"description": "d", "code_dir": "c", "test_dir": "t", "setup_script": "s", '
                  '"test_scripts": ["a.sh"]}}')
-    assert S.read_datasets(spark, f"{d}/datasets.json", "toy").first().test_scripts == ["a.sh"]
+    assert S.read_datasets(spark, f"{d}/sets.json", "toy").first().test_scripts == ["a.sh"]
     import pytest
     with pytest.raises(KeyError):
-        S.read_datasets(spark, f"{d}/datasets.json", "nope")
+        S.read_datasets(spark, f"{d}/sets.json", "nope")
     with open(f"{d}/cc.json", "w") as fh:
         fh.write('[{"directory": "/w", "file": "a.c", "arguments": ["cc", "-Iinc", "-I  sp"]}]')
     assert S.read_compile_commands(spark, f"{d}/cc.json").first().arguments[1] == "-Iinc"
