@@ -42,6 +42,12 @@ def run_outcome(runs: DataFrame) -> DataFrame:
     })
 
 
+def write_outcomes(outcomes: DataFrame, path: str, fmt: str = "parquet", mode: str = "append") -> None:
+    """R3 sink: run outcomes partitioned by ``outcome``, so failed runs (with
+    their error-log names) land in their own folder."""
+    outcomes.write.mode(mode).partitionBy("outcome").format(fmt).save(path)
+
+
 def run_grid(tasks: DataFrame, agents: Sequence[str]) -> DataFrame:
     """Every task paired with every configured agent.
 

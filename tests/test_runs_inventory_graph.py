@@ -82,6 +82,24 @@ def test_run_outcome_and_cost(spark):
     assert (r.tokens, r.n_messages, r.cost) == (3, 2, 6e-06)
 
 
+def test_outcome_sink_and_inventory_round_trip(spark):
+    import tempfile
+
+    from corvid.sources import files as S
+    d = tempfile.mkdtemp(prefix="sink-", dir="/tmp")
+    runs = spark.createDataFrame([("run_a_20240101_000000", 0), ("run_b_20240101_000000", 3)],
+                                 "run_name string, return_code int")
+    R.write_outcomes(R.run_outcome(runs), f"{d}/outcomes")
+    back = spark.read.parquet(f"{d}/outcomes/outcome=failed").collect()
+    assert [(r.run_name, r.error_log) for r in back] == [("run_b_20240101_000000", "error_log_run_b_20240101_000000.txt")]
+    inv = spark.createDataFrame([("p1", "f", "a.c", ["g"]), ("p1", "g", "a.c", None), ("p2", "h", "b.c", [])],
+                                "project string, name string, filename string, calledFunctions array<string>")
+    S.write_functions(inv, f"{d}/inv")
+    got = {r.name: (r.project, r.calledFunctions) for r in spark.read.json(f"{d}/inv", schema=
+           "name string, filename string, calledFunctions array<string>, project string").collect()}
+    assert got == {"f": ("p1", ["g"]), "g": ("p1", None), "h": ("p2", [])}
+
+
 def test_signature_and_rename(spark):
     df = spark.createDataFrame([("int", "main", ["int", "char**"], ["argc", "argv"]),
                                 ("void", "f", ["int", "double"], ["", "x"]), ("char*", "g", [], [])],
