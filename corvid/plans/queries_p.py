@@ -126,8 +126,9 @@ def p2(spark, d):
 @register("p5_size_report", "P", oracle=f"""
 WITH {views.FILES_SQL},
 k AS (SELECT *, CASE WHEN old_size IS NOT NULL AND out_size >= old_size THEN old_size ELSE out_size END AS fin FROM files)
-SELECT count(*) AS tried, count_if(NOT error AND fin < in_size) AS smaller, count_if(NOT error AND fin = in_size) AS equal,
-       count_if(error) AS errors,
+SELECT count(*) AS tried, CAST(count_if(NOT error AND fin < in_size) AS BIGINT) AS smaller,
+       CAST(count_if(NOT error AND fin = in_size) AS BIGINT) AS equal,
+       CAST(count_if(error) AS BIGINT) AS errors,
        CAST(coalesce(sum(CASE WHEN NOT error AND fin < in_size THEN in_size - fin END), 0) AS BIGINT) AS saved,
        CAST(coalesce(sum(CASE WHEN NOT error THEN in_size END), 0) AS BIGINT) AS total_in,
        CAST(coalesce(sum(CASE WHEN NOT error THEN fin END), 0) AS BIGINT) AS total_out,

@@ -70,7 +70,7 @@ def _variants(spark, d):
          (4, "brute", F.octet_length("text") - 1000000, False)]
     out = None
     for o, n, size, auto in v:
-        x = t.select("doc_id", F.lit(o).alias("ordinal"), F.lit(n).alias("name"), size.alias("size"),
+        x = t.select("doc_id", F.lit(o).alias("ordinal"), F.lit(n).alias("name"), size.cast("bigint").alias("size"),
                      F.lit(auto).alias("auto"))
         out = x if out is None else out.unionByName(x)
     return out
