@@ -337,7 +337,13 @@ def stub_model(messages, temperature):
     return f"<FUNC>\n{last}\n</FUNC>\n<WRAPPER>\nfn wrapper() {{}}\n</WRAPPER>"
 
 
-@register("x24_batch_generate", "X")
+@register("x24_batch_generate", "X", oracle="""
+WITH lastu AS (SELECT conv_id, arg_max(text, turn) AS t FROM conversations WHERE role = 'user' GROUP BY conv_id),
+convs AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT c.conv_id AS request_id, 1 AS sample, 1 AS tries, CAST(NULL AS VARCHAR) AS error, FALSE AS retry,
+       CAST(length(regexp_replace(replace(replace(coalesce(l.t, '') || chr(10), '```rust', ''), '```', ''),
+                                  '^\\s+|\\s+$', '', 'g')) AS INTEGER) AS func_chars
+FROM convs c LEFT JOIN lastu l USING (conv_id)""")
 def x24(spark, d):
     c = table(spark, d, "conversations")
     reqs = (c.groupBy("conv_id")
@@ -364,7 +370,8 @@ def stub_embed(texts, dim=64):
     return out
 
 
-@register("x25_batch_embed", "X")
+@register("x25_batch_embed", "X", oracle="""
+SELECT doc_id AS id, 64 AS dim, CAST(NULL AS VARCHAR) AS error FROM documents""")
 def x25(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     e = X.batch_embed(docs, stub_embed, pause_s=0.0)
