@@ -161,7 +161,7 @@ SELECT doc_id, CAST(((any_value(n) + sum((n - pos) * b)) % 65521) * 65536 + (1 +
 FROM bytes GROUP BY doc_id""")
 def z14(spark, d):
     t = views.documents_text(spark, d)
-    return t.select("doc_id", BF.adler32(BF.utf8(F.col("text"))).alias("adler32"))
+    return t.select("doc_id", BF.adler32_vectorized(BF.utf8(F.col("text"))).alias("adler32"))
 
 
 @register("z16_distance_bucket", "Z", oracle=f"""

@@ -23,11 +23,14 @@ def _blobs(spark):
 
 
 def test_checksums_match_zlib(spark):
-    got = {r.id: (r.crc, r.adler) for r in _blobs(spark).select(
-        "id", BF.crc32(F.col("data")).alias("crc"), BF.adler32(F.col("data")).alias("adler")).collect()}
-    assert got[0] == (907060870, 103547413)
+    got = {r.id: (r.crc, r.adler, r.adler_v) for r in _blobs(spark).select(
+        "id", BF.crc32(F.col("data")).alias("crc"), BF.adler32(F.col("data")).alias("adler"),
+        BF.adler32_vectorized(F.col("data")).alias("adler_v")).collect()}
+    assert got[0] == (907060870, 103547413, 103547413)
     for i, b in enumerate(SAMPLES):
-        assert got[i] == (zlib.crc32(b), zlib.adler32(b))
+        assert got[i] == (zlib.crc32(b), zlib.adler32(b), zlib.adler32(b))
+    big = bytes(random.Random(3).getrandbits(8) for _ in range(3 * BF.ADLER_CHUNK + 17))
+    assert BF._adler32_np(big) == zlib.adler32(big)
 
 
 def test_byte_values_and_bucket(spark):
