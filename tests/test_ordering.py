@@ -22,7 +22,9 @@ def test_blocked_running_sum_without_key(spark):
 
 def test_spread_and_materialize(spark):
     one = spark.range(0, 100).coalesce(1)
-    assert spread(one).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    spread_one = spread(one)
+    assert spread_one.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert spread_one.columns == ["id"] and spread_one.count() == 100
     many = spark.range(0, 100).repartition(spark.sparkContext.defaultParallelism * 2)
     assert spread(many) is many
     m = materialize(one.withColumn("x", F.col("id") * 2))
