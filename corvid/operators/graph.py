@@ -109,8 +109,9 @@ def levels_callee_first(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     done: list[DataFrame] = []
     for level in range(MAX_ROUNDS):
         # nodes that still call an unpeeled node; after this round they are
-        # exactly the unpeeled ones
-        blocked = materialize(e.select(F.col("src").alias("n")).distinct(), "blocked")
+        # exactly the unpeeled ones (one step from the checkpointed edges, so
+        # the lineage stays shallow without a checkpoint of its own)
+        blocked = e.select(F.col("src").alias("n")).distinct()
         peeled = materialize(remaining.join(blocked, "n", "left_anti").withColumn("level", F.lit(level)), "peeled")
         if peeled.isEmpty():
             rest = remaining.withColumn("level", F.lit(None).cast("int"))
