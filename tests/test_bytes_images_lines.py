@@ -217,3 +217,17 @@ def test_scan_scenarios(spark):
                 fh.write("int main(){}")
     got = {(r.category, r.task): (r.prompt, r.has_source) for r in S.scan_scenarios(spark, d).collect()}
     assert got == {("creation", "task1"): ("do task1", False), ("debugging", "task2"): ("do task2", True)}
+
+
+def test_in_row_and_window_back_references_agree(spark):
+    from conftest import SF_SMALL
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text").where("doc_id < 40")
+    docs = docs.union(spark.createDataFrame([(10**6, "aaaaaa" * 100 + "é€𝄞" * 50)], "doc_id long, text string"))
+    win = Z.previous_occurrence(Z.kgrams(docs, ["doc_id"], F.col("text")), ["doc_id"]).select("doc_id", "pos", "dist")
+    row = Z.explode_struct_arrays(docs.select("doc_id", Z.previous_occurrence_in_row(F.col("text")).alias("m")),
+                                  ["doc_id"], "m", ["pos", "dist"])
+    assert win.exceptAll(row).count() == 0 and row.exceptAll(win).count() == 0
+    sw = Z.repeated_spans(win, ["doc_id"]).select("doc_id", "start", "dist", "length")
+    sr = Z.explode_struct_arrays(docs.select("doc_id", Z.repeated_spans_in_row(F.col("text")).alias("s")),
+                                 ["doc_id"], "s", ["start", "dist", "length"])
+    assert sw.exceptAll(sr).count() == 0 and sr.exceptAll(sw).count() == 0
