@@ -161,3 +161,23 @@ def test_cycles_fall_back_to_postorder(spark):
     roots = spark.createDataFrame([(1, "r")], "graph_id long, root string")
     post = [r.n for r in G.cycle_fallback(ge, roots).orderBy("position").collect()]
     assert post == ["b", "a", "r"]        # unreachable cycle q<->w not visited
+
+
+def test_components_on_long_chain_and_reverse_order(spark):
+    # chain n039 -> n038 -> ... -> n000 plus a separate pair; labels must be the minimum name
+    pairs = [(f"n{i + 1:03d}", f"n{i:03d}") for i in range(39)] + [("z2", "z1")]
+    n, e = _graph(spark, pairs)
+    comp = {r.n: r.label for r in G.weak_components(n, e).collect()}
+    assert set(comp.values()) == {"n000", "z1"} and comp["n039"] == "n000" and comp["z2"] == "z1"
+    lv = {r.n: r.level for r in G.levels_callee_first(n, e).collect()}
+    assert lv["n000"] == 0 and lv["n039"] == 39
+
+
+def test_distinct_arguments_exact_and_approx(spark):
+    from corvid.operators import trace as T
+    tr = spark.createDataFrame([("f", {"a": "1", "b": "x"}), ("f", {"a": "2", "b": "x"}), ("g", {"a": "1"})],
+                               "name string, args map<string,string>")
+    exact = {(r.name, r.param): (r.distinct_values, r.calls) for r in T.distinct_arguments(tr).collect()}
+    assert exact == {("f", "a"): (2, 2), ("f", "b"): (1, 2), ("g", "a"): (1, 1)}
+    approx = {(r.name, r.param): r.distinct_values for r in T.distinct_arguments(tr, approx=True).collect()}
+    assert approx == {k: v[0] for k, v in exact.items()}
