@@ -1,6 +1,6 @@
 """Every query of the subpackage: importing the modules registers them."""
 
-from corvid.llm import query_line_dedup, query_mixing, query_quality, query_sharding  # noqa: F401
+from corvid.llm import query_chat, query_line_dedup, query_mixing, query_quality, query_sharding  # noqa: F401
 from corvid.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
