@@ -22,8 +22,7 @@ from pyspark.sql import functions as F
 
 from corvid.llm.common import blank_words, keep
 
-GOOD, BAD, ABSTAIN = 1, -1, 0
-VOTES = (GOOD, BAD, ABSTAIN)
+VOTES = GOOD, BAD, ABSTAIN = 0, 1, 2
 #: Prior probability of each vote, in the order of VOTES, by class.
 GOOD_RATES = (0.78, 0.02, 0.2)
 BAD_RATES = (0.5, 0.3, 0.2)
@@ -38,7 +37,7 @@ class Rule:
     good: str
 
     def vote(self) -> Column:
-        return (F.when(F.expr(self.bad), BAD).when(F.expr(self.good), GOOD).otherwise(ABSTAIN).cast("tinyint"))
+        return F.when(F.expr(self.bad), BAD).when(F.expr(self.good), GOOD).otherwise(ABSTAIN)
 
 
 DEFAULT_RULES = (
@@ -66,12 +65,12 @@ class VoteModel:
     bad: tuple[tuple[float, float, float], ...]
     rounds: int = field(default=0, compare=False)
 
-    def posterior(self, names: Sequence[str]) -> Column:
-        """Probability that a row with these vote columns is good."""
-        logit = F.lit(math.log(self.prior / (1 - self.prior)))
-        for name, g, b in zip(names, self.good, self.bad):
-            odds = [math.log(x / y) for x, y in zip(g, b)]
-            logit = logit + (F.when(F.col(name) == GOOD, odds[0]).when(F.col(name) == BAD, odds[1]).otherwise(odds[2]))
+    def posterior(self, votes: Column) -> Column:
+        """Probability that a row with these votes (an array) is good. The odds
+        are one array literal, so every round runs the same compiled code."""
+        odds = F.lit([math.log(x / y) for g, b in zip(self.good, self.bad) for x, y in zip(g, b)])
+        each = F.transform(votes, lambda v, j: F.get(odds, j * len(VOTES) + v))
+        logit = F.aggregate(each, F.lit(math.log(self.prior / (1 - self.prior))), lambda a, x: a + x)
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))
 
 
@@ -119,45 +118,42 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
     return x.drop("_w", "_lines", "_tri", "_joined", "_bits", "_sorted", "_starts")
 
 
-def vote_columns(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    return df.withColumns({f"vote_{r.name}": r.vote() for r in rules})
+def votes_of(rules: Sequence[Rule]) -> Column:
+    """The votes of a row as an array of places in VOTES."""
+    return F.array(*[r.vote() for r in rules])
 
 
-def fit_votes(votes: DataFrame, names: Sequence[str], rounds: int = 100, tolerance: float = 1e-7) -> VoteModel:
-    """Expectation maximisation over the table of vote patterns.
+def fit_votes(votes: DataFrame, rules: int, rounds: int = 100, tolerance: float = 1e-5) -> VoteModel:
+    """Expectation maximisation over the table of patterns of ``votes``.
 
     The table has at most 3 ** rules rows whatever the input; a round is one
-    aggregate over it that returns one row. ``GOOD_RATES`` and ``BAD_RATES``
-    are where it starts and, with the weight of one part in twenty of the
-    documents, its prior: any rule rarely accuses a good document, while a bad
-    one is accused by some rules and passes others. That also keeps the
-    classes from changing places.
+    aggregate over it that returns a row per rule and vote. ``GOOD_RATES`` and
+    ``BAD_RATES`` are where it starts and, with the weight of one part in
+    twenty of the documents, its prior: any rule rarely accuses a good
+    document, while a bad one is accused by some rules and passes others. That
+    also keeps the classes from changing places.
     """
-    patterns = keep(votes.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).coalesce(1))
+    patterns = keep(votes.groupBy("votes").agg(F.count(F.lit(1)).alias("_n")).coalesce(1))
     total = patterns.agg(F.sum("_n")).first()[0] or 0
-    model = VoteModel(0.8, (GOOD_RATES,) * len(names), (BAD_RATES,) * len(names))
+    model = VoteModel(0.8, (GOOD_RATES,) * rules, (BAD_RATES,) * rules)
     if not total:
         return model
     weight = max(1.0, total / 20)
     for step in range(rounds):
-        p = model.posterior(names)
-        sums = [F.sum(F.col("_n") * p).alias("g")]
-        for j, name in enumerate(names):
-            for v, vote in enumerate(VOTES):
-                at = F.when(F.col(name) == vote, F.col("_n")).otherwise(0)
-                sums += [F.sum(at * p).alias(f"g{j}_{v}"), F.sum(at * (1 - p)).alias(f"b{j}_{v}")]
-        row = patterns.agg(*sums).first()
-
-        def rates(kind: str, mass: float, prior: tuple) -> tuple:
-            return tuple(tuple((row[f"{kind}{j}_{v}"] + weight * prior[v]) / (mass + weight) for v in range(3))
-                         for j in range(len(names)))
-
-        new = VoteModel((row["g"] + 0.8 * weight) / (total + weight), rates("g", row["g"], GOOD_RATES),
-                        rates("b", total - row["g"], BAD_RATES), step + 1)
-        gap = abs(new.prior - model.prior) + sum(
-            abs(x - y) for a, b in ((new.good, model.good), (new.bad, model.bad)) for s, t in zip(a, b) for x, y in zip(s, t))
+        each = patterns.withColumn("_p", model.posterior(F.col("votes"))).select("_n", "_p", F.posexplode("votes").alias("_j", "_v"))
+        sums = {(r["_j"], r["_v"]): (r["g"], r["b"]) for r in each.groupBy("_j", "_v").agg(
+            F.sum(F.col("_n") * F.col("_p")).alias("g"), F.sum(F.col("_n") * (1 - F.col("_p"))).alias("b")).collect()}
+        mass = [sum(sums.get((0, v), (0.0, 0.0))[c] for v in range(len(VOTES))) for c in (0, 1)]
+
+        def rates(c: int, prior: tuple) -> tuple:
+            return tuple(tuple((sums.get((j, v), (0.0, 0.0))[c] + weight * prior[v]) / (mass[c] + weight)
+                               for v in range(len(VOTES))) for j in range(rules))
+
+        new = VoteModel((mass[0] + 0.8 * weight) / (total + weight), rates(0, GOOD_RATES), rates(1, BAD_RATES), step + 1)
+        gap = max([abs(new.prior - model.prior)] + [
+            abs(x - y) for a, b in ((new.good, model.good), (new.bad, model.bad)) for s, t in zip(a, b) for x, y in zip(s, t)])
         model = new
-        if gap < tolerance * len(names):
+        if gap < tolerance:
             break
     return model
 
@@ -166,11 +162,10 @@ def judge(featured: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES, model: Vot
           threshold: float = 0.5) -> DataFrame:
     """Add the votes, ``quality`` (the posterior), ``base_failed`` and ``kept``
     to rows that carry the features; the model is fitted on them unless given."""
-    names = [f"vote_{r.name}" for r in rules]
-    voted = vote_columns(featured, rules)
-    model = model or fit_votes(voted.select(*names), names)
+    voted = featured.withColumn("votes", votes_of(rules))
+    model = model or fit_votes(voted.select("votes"), len(rules))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return (voted.withColumn("quality", model.posterior(names)).withColumn("base_failed", base)
+    return (voted.withColumn("quality", model.posterior(F.col("votes"))).withColumn("base_failed", base)
             .withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold)))
 
 
@@ -178,8 +173,7 @@ def filter_quality(docs: DataFrame, text: str = "text", rules: Sequence[Rule] =
                    threshold: float = 0.5) -> DataFrame:
     """The documents that are kept, with their own columns. The features are
     found twice (once to fit, once to judge) instead of shuffling the texts."""
-    names = [f"vote_{r.name}" for r in rules]
-    narrow = docs.select(F.col(text).alias("_text"))
-    model = fit_votes(vote_columns(features(narrow, "_text"), rules).select(*names), names)
+    narrow = features(docs.select(F.col(text).alias("_text")), "_text")
+    model = fit_votes(narrow.select(votes_of(rules).alias("votes")), len(rules))
     own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.col(text).alias("_text"))
     return judge(features(own, "_text"), rules, model, threshold).filter("kept").select("_row.*")
