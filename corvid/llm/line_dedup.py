@@ -87,12 +87,12 @@ def keep_bitmaps(docs: DataFrame, **options) -> DataFrame:
 def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_chars: int = 40,
                 min_docs: int = 5) -> DataFrame:
     """The documents with ``n_lines``, ``n_dropped``, ``keep_runs`` and
-    ``kept_text``. Bitmaps are broadcast only when their runs are few."""
-    maps = keep(keep_bitmaps(docs, text=text, key=key, min_chars=min_chars, min_docs=min_docs))
-    runs = maps.agg(F.sum(F.size("_runs") + 1)).first()[0] or 0
-    x = docs.withColumns({"_th0": F.xxhash64(F.col(text)), "_lines": line_array(F.col(text))})
-    x = small_join(x, maps, x[key].eqNullSafe(maps["_id"]) & (F.col("_th0") == F.col("_th")), runs, "left")
-    x = x.withColumn("keep_runs", F.expr("""transform(
+    ``kept_text``. The bitmaps grow with the corpus, so they are joined by key
+    at every size; only applying them moves the texts."""
+    maps = keep_bitmaps(docs, text=text, key=key, min_chars=min_chars, min_docs=min_docs)
+    x = docs.withColumn("_th0", F.xxhash64(F.col(text)))
+    x = x.join(maps, x[key].eqNullSafe(maps["_id"]) & (F.col("_th0") == F.col("_th")), "left")
+    x = x.withColumn("_lines", line_array(x[text])).withColumn("keep_runs", F.expr("""transform(
         coalesce(_runs, array(struct(0 AS start, -1 AS len))),
         r -> struct(r.start AS start, CASE WHEN r.len < 0 THEN size(_lines) - r.start ELSE r.len END AS len))"""))
     kept = F.flatten(F.transform("keep_runs", lambda r: F.slice("_lines", r["start"] + 1, r["len"])))
