@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 from corvid.llm.common import BLANKS, ascii_lower, keep, small_join
 
 #: A hash on more lines than this (and than four mean buckets) is hot.
-HOT_LINES = 20_000
+HOT_LINES = 2_000
 
 
 def line_array(text: Column) -> Column:
