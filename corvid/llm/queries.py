@@ -1,7 +1,7 @@
 """Every query of the subpackage: importing the modules registers them."""
 
 from corvid.llm import query_chat, query_decontamination, query_line_dedup  # noqa: F401
-from corvid.llm import query_mixing, query_quality, query_sharding, query_token_files  # noqa: F401
+from corvid.llm import query_mixing, query_ngram_join, query_quality, query_sharding, query_token_files  # noqa: F401
 from corvid.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
