@@ -210,7 +210,7 @@ def held_out(key: Column, parts: int = 10) -> Column:
     return F.crc32(F.encode(F.coalesce(key.cast("string"), F.lit("")), "UTF-8")) % parts == 0
 
 
-def score_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", order: int = 4, max_grams: int = MAX_GRAMS,
+def score_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", order: int = 5, max_grams: int = MAX_GRAMS,
                 max_words: int = MAX_WORDS) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of
     every document; both models learn from those that are not held out."""
