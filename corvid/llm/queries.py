@@ -2,7 +2,7 @@
 
 from corvid.llm import query_chat, query_decontamination, query_line_dedup  # noqa: F401
 from corvid.llm import query_mixing, query_ngram_join, query_ppm, query_quality  # noqa: F401
-from corvid.llm import query_sharding, query_token_files  # noqa: F401
+from corvid.llm import query_sharding, query_token_files, query_warc  # noqa: F401
 from corvid.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
