@@ -115,7 +115,9 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
         "s -> s.twice), s -> s.p & (shiftleft(1L, _bits) - 1)))"))
     x = x.withColumn("n_repeat_words", F.expr(
         "aggregate(transform(_starts, (p, i) -> coalesce(least(get(_starts, i + 1) - p, 3L), 3L)), 0L, (a, n) -> a + n)"))
-    return x.drop("_w", "_lines", "_tri", "_joined", "_bits", "_sorted", "_starts")
+    out = x.drop("_w", "_lines", "_tri", "_joined", "_bits", "_sorted", "_starts")
+    # a generator of one row: a later filter is not rewritten in terms of the texts
+    return out.select(F.inline(F.array(F.struct(*out.columns))))
 
 
 def votes_of(rules: Sequence[Rule]) -> Column:
