@@ -56,6 +56,20 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def wrapped(docs: DataFrame, **named: Column) -> DataFrame:
+    """The rows as one struct ``_row`` beside the named columns, so that no
+    column of the input meets an internal name."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), *[c.alias(n) for n, c in named.items()])
+
+
+def unwrapped(df: DataFrame, *new: str) -> DataFrame:
+    """The input's columns and the new ones; a new one takes the place of an
+    input column of the same name."""
+    taken = {n.lower() for n in new}
+    own = [n for n in df.schema["_row"].dataType.names if n.lower() not in taken]
+    return df.select(*[F.col("_row")[n].alias(n) for n in own], *new)
+
+
 def small_join(left: DataFrame, right: DataFrame, on, rows: int, how: str = "inner") -> DataFrame:
     """Join with a counted right side: broadcast it up to ``BROADCAST_ROWS``
     rows, else leave the choice and the skew to the planner."""

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvid.llm.common import ascii_lower, keep, small_join
+from corvid.llm.common import ascii_lower, keep, small_join, unwrapped, wrapped
 
 #: Splits on every ASCII character that is not a digit or a letter.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -185,6 +185,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, text:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """The documents that are not contaminated, with their own columns."""
     bad = keep(contamination(docs, benchmark, text=text, key=key, **options).filter("contaminated").select("_id", "_th").distinct())
-    x = docs.withColumn("_t", F.xxhash64(F.col(text)))
-    x = small_join(x, bad, x[key].eqNullSafe(bad["_id"]) & (F.col("_t") == F.col("_th")), bad.count(), "left_anti")
-    return x.select(*[x[c] for c in docs.columns])
+    x = wrapped(docs, _i=F.col(key), _t=F.xxhash64(F.col(text)))
+    return unwrapped(small_join(x, bad, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_th")), bad.count(), "left_anti"))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvid.llm.common import BLANKS, ascii_lower, keep, small_join
+from corvid.llm.common import BLANKS, ascii_lower, keep, small_join, unwrapped, wrapped
 
 #: A hash on more lines than this (and than four mean buckets) is hot.
 HOT_LINES = 2_000
@@ -90,12 +90,12 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_ch
     ``kept_text``. The bitmaps grow with the corpus, so they are joined by key
     at every size; only applying them moves the texts."""
     maps = keep_bitmaps(docs, text=text, key=key, min_chars=min_chars, min_docs=min_docs)
-    x = docs.withColumn("_th0", F.xxhash64(F.col(text)))
-    x = x.join(maps, x[key].eqNullSafe(maps["_id"]) & (F.col("_th0") == F.col("_th")), "left")
-    x = x.withColumn("_lines", line_array(x[text])).withColumn("keep_runs", F.expr("""transform(
+    x = wrapped(docs, _id0=F.col(key), _th0=F.xxhash64(F.col(text)), _text=F.col(text))
+    x = x.join(maps, F.col("_id0").eqNullSafe(F.col("_id")) & (F.col("_th0") == F.col("_th")), "left")
+    x = x.withColumn("_lines", line_array(F.col("_text"))).withColumn("keep_runs", F.expr("""transform(
         coalesce(_runs, array(struct(0 AS start, -1 AS len))),
         r -> struct(r.start AS start, CASE WHEN r.len < 0 THEN size(_lines) - r.start ELSE r.len END AS len))"""))
     kept = F.flatten(F.transform("keep_runs", lambda r: F.slice("_lines", r["start"] + 1, r["len"])))
-    return x.select(*[docs[c] for c in docs.columns], F.size("_lines").cast("bigint").alias("n_lines"),
-                    F.coalesce("_n_dropped", F.lit(0)).cast("bigint").alias("n_dropped"), "keep_runs",
-                    F.array_join(kept, "\n").alias("kept_text"))
+    x = x.withColumns({"n_lines": F.size("_lines").cast("bigint"), "kept_text": F.array_join(kept, "\n"),
+                       "n_dropped": F.coalesce("_n_dropped", F.lit(0)).cast("bigint")})
+    return unwrapped(x, "n_lines", "n_dropped", "keep_runs", "kept_text")

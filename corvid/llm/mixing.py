@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvid.llm.common import blank_words, keep, seeded_hash, small_join
+from corvid.llm.common import blank_words, keep, seeded_hash, small_join, unwrapped, wrapped
 from corvid.plans.ordering import with_global_position
 
 #: Hash buckets per source in the search for the cut.
@@ -126,23 +126,26 @@ def mix_plan(docs: DataFrame, text: str = "text", source: str = "source", key: s
                            F.coalesce("_small_cut", all_taken).alias("_small_cut")))
 
 
-def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id",
-                weights: Sequence[float] | DataFrame = (5, 2, 1), max_epochs: float = 3.0, seed: int = 7) -> DataFrame:
-    """The documents with ``mix_size``, ``mix_source_size``, ``mix_target`` and
-    ``mix_copies``: how often the mix takes the document (0 and more)."""
+def _mixed(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id",
+           weights: Sequence[float] | DataFrame = (5, 2, 1), max_epochs: float = 3.0, seed: int = 7) -> DataFrame:
     plan = mix_plan(docs, text, source, key, weights, max_epochs, seed)
-    x = (docs.withColumn("mix_size", F.size(blank_words(F.col(text))).cast("bigint"))
-         .withColumn("_h", seeded_hash(seed, F.col(key))))
-    x = small_join(x, plan, docs[source].eqNullSafe(plan["_src"]), plan.count())
+    x = wrapped(docs, mix_size=F.size(blank_words(F.col(text))).cast("bigint"), _h=seeded_hash(seed, F.col(key)), _s=F.col(source))
+    x = small_join(x, plan, F.col("_s").eqNullSafe(F.col("_src")), plan.count())
     is_big = F.col("mix_size") * BIG_PART > F.col("_size")
     extra = F.col("_h") <= F.when(is_big, F.col("_big_cut")).otherwise(F.col("_small_cut"))
-    return x.select(*[docs[c] for c in docs.columns], "mix_size", F.col("_size").alias("mix_source_size"),
-                    F.col("_target").alias("mix_target"), (F.col("_whole") + extra.cast("bigint")).alias("mix_copies"))
+    return x.select("_row", "mix_size", F.col("_size").alias("mix_source_size"), F.col("_target").alias("mix_target"),
+                    (F.col("_whole") + extra.cast("bigint")).alias("mix_copies"))
+
+
+def mix_sources(docs: DataFrame, **options) -> DataFrame:
+    """The documents with ``mix_size``, ``mix_source_size``, ``mix_target`` and
+    ``mix_copies``: how often the mix takes the document (0 and more). Options
+    are those of ``mix_plan``."""
+    return unwrapped(_mixed(docs, **options), "mix_size", "mix_source_size", "mix_target", "mix_copies")
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document as many times as it is taken, with the
     columns of ``docs``. No row is shuffled."""
-    mixed = mix_sources(docs, **options).filter("mix_copies > 0")
-    return mixed.select(*[mixed[c] for c in docs.columns],
-                        F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))).alias("_copy")).drop("_copy")
+    times = F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))
+    return unwrapped(_mixed(docs, **options).filter("mix_copies > 0").select("_row", times.alias("_copy")))

@@ -8,8 +8,9 @@ used, and a pair must pass all of them before its sets are intersected:
 1. ascending hash, with a prefix of a third of the set: at most
    ``n - ceil(t n)`` tokens of a linked set are in no other set, so a set with
    fewer shared tokens in that prefix has no link and is left out;
-2. rarest first among the sets left: sets whose prefixes share a token, at
-   places where enough tokens follow, are candidates;
+2. rarest first among the sets left, by a count of their tokens in buckets:
+   sets whose prefixes share a token, at places where enough tokens follow, are
+   candidates;
 3. descending hash (and ascending again), on each candidate pair.
 
 The classes are what the links connect. Equal sets are one node. A list of
@@ -31,14 +32,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvid.llm.common import keep, small_join
+from corvid.llm.common import keep, small_join, unwrapped, wrapped
 from corvid.llm.hashing import pieces, set_id, shingle_sets, word_hashes
 
-#: log2 of the bits that mark shared tokens (16 MB for the driver and each worker).
+#: log2 of the bits that mark shared tokens (16 MB for the driver and each worker);
+#: tokens are told apart by KEY_BITS when they are found to be shared.
 MARK_BITS = 27
+KEY_BITS = 32
 MARK_WORD = 1 << 15
+#: log2 of the token counts of the second order, at most (64 MB).
+COUNT_BITS = 24
+COUNT_CHUNK = 1 << 14
 #: Rounds of one pivot a set before the remaining pairs are enumerated.
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
 
 
 def prefix_size(n, percent: int = 75):
@@ -52,7 +58,7 @@ def wide_prefix(n: int, percent: int) -> int:
 
 
 def _sets(batches, k: int):
-    """(row in the batch, sorted set) by batch, with the ids."""
+    """(ids, sorted sets) of each batch."""
     np.seterr(over="ignore")
     for batch in batches:
         found = []
@@ -71,27 +77,28 @@ def members(docs: DataFrame, text: str, key: str, k: int) -> DataFrame:
     return docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).mapInArrow(run, "doc bigint, sid bigint, n bigint")
 
 
-def prefix_tokens(docs: DataFrame, text: str, key: str, k: int, percent: int) -> DataFrame:
-    """(sid, tokens): the wide prefix under ascending hash of every non-empty set."""
+def prefix_keys(docs: DataFrame, text: str, key: str, k: int, percent: int) -> DataFrame:
+    """(sid, keys): the wide prefix under ascending hash of every non-empty set,
+    each token by its upper bits."""
     def run(batches):
         for _, found in _sets(batches, k):
             found = [s for s in found if len(s)]
+            keys = [(s[:wide_prefix(len(s), percent)] >> np.uint64(64 - KEY_BITS)).astype(np.uint32).view(np.int32) for s in found]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([set_id(s) for s in found], pa.int64()),
-                 pa.array([s[:wide_prefix(len(s), percent)].view(np.int64) for s in found], pa.list_(pa.int64()))], names=["sid", "tokens"])
-    return docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).mapInArrow(run, "sid bigint, tokens array<bigint>")
+                [pa.array([set_id(s) for s in found], pa.int64()), pa.array(keys, pa.list_(pa.int32()))], names=["sid", "keys"])
+    return docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).mapInArrow(run, "sid bigint, keys array<int>")
 
 
 def shared_marks(prefixes: DataFrame) -> np.ndarray:
     """Bits of the buckets of tokens that lie in the prefixes of two or more
-    different sets. Per token only a fold of its sets' ids is compared, so copies
-    and frequent tokens shrink before the shuffle; the result's size is fixed."""
-    rows = prefixes.select("sid", F.explode("tokens").alias("token"))
-    fold = F.hash("sid", "token")
-    shared = rows.groupBy("token").agg(F.min(fold).alias("a"), F.max(fold).alias("b")).filter("a <> b")
-    bucket = F.shiftrightunsigned("token", 64 - MARK_BITS)
-    marks = shared.groupBy(F.shiftrightunsigned("token", 64 - MARK_BITS + 15).alias("word")).agg(
-        F.bitmap_construct_agg(bucket % MARK_WORD).alias("bits")).collect()
+    different sets (a bit may be set for no reason, never missing). Per key only
+    a fold of its sets' ids is compared, so copies and frequent tokens shrink
+    before the shuffle; the result's size is fixed."""
+    rows = prefixes.select("sid", F.explode("keys").alias("key")).select("key", F.hash("sid", "key").alias("fold"))
+    shared = rows.groupBy("key").agg(F.min("fold").alias("a"), F.max("fold").alias("b")).filter("a <> b")
+    bucket = F.shiftrightunsigned(F.col("key").cast("bigint").bitwiseAND((1 << KEY_BITS) - 1), KEY_BITS - MARK_BITS)
+    marks = shared.select(bucket.alias("bucket")).groupBy(F.shiftright("bucket", 15).alias("word")).agg(
+        F.bitmap_construct_agg(F.col("bucket") % MARK_WORD).alias("bits")).collect()
     out = np.zeros((1 << MARK_BITS) // 8, np.uint8)
     for r in marks:
         out[r["word"] * MARK_WORD // 8:(r["word"] + 1) * MARK_WORD // 8] = np.frombuffer(r["bits"], np.uint8)
@@ -100,7 +107,8 @@ def shared_marks(prefixes: DataFrame) -> np.ndarray:
 
 def linkable_sets(docs: DataFrame, marks: np.ndarray, text: str, key: str, k: int, percent: int) -> DataFrame:
     """(sid, n, tokens) of the sets with enough shared tokens in the wide
-    prefix, once for each different set."""
+    prefix. A task gives equal sets once; the steps below bear it that several
+    tasks give the same set."""
     sent = docs.sparkSession.sparkContext.broadcast(marks)
 
     def run(batches):
@@ -123,20 +131,56 @@ def linkable_sets(docs: DataFrame, marks: np.ndarray, text: str, key: str, k: in
                  pa.array([o[2] for o in out], pa.list_(pa.int64()))], names=["sid", "n", "tokens"])
 
     rows = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "sid bigint, n bigint, tokens array<bigint>").dropDuplicates(["sid"])
+    return rows.mapInArrow(run, "sid bigint, n bigint, tokens array<bigint>")
+
+
+def _tokens(column) -> list[np.ndarray]:
+    return [v.values.to_numpy(zero_copy_only=False).view(np.uint64) for v in column]
+
+
+def token_counts(sets: DataFrame, bits: int) -> np.ndarray:
+    """How many of the sets' tokens fall into each of 2 ** bits hash buckets."""
+    def count(batches):
+        total = np.zeros(1 << bits, np.int32)
+        for batch in batches:
+            for s in _tokens(batch.column(0)):
+                np.add.at(total, (s >> np.uint64(64 - bits)).astype(np.int64), 1)
+        parts = total.reshape(-1, min(COUNT_CHUNK, 1 << bits))
+        for i in np.flatnonzero(parts.any(axis=1)):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([parts[i].tobytes()], pa.binary())], names=["part", "counts"])
+
+    def add(frame):
+        total = sum(np.frombuffer(c, np.int32) for c in frame["counts"])
+        return frame.head(1).assign(counts=[total.tobytes()])
+
+    parts = sets.select("tokens").mapInArrow(count, "part bigint, counts binary")
+    out = np.zeros(1 << bits, np.int32).reshape(-1, min(COUNT_CHUNK, 1 << bits))
+    for r in parts.groupBy("part").applyInPandas(add, "part bigint, counts binary").collect():
+        out[r["part"]] = np.frombuffer(r["counts"], np.int32)
+    return out.reshape(-1)
 
 
 def rare_prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(token, sid, n, place): the prefixes under the order rarest first.
-    Tokens of one set only come first and need no row: they are counted."""
-    rows = sets.select("sid", "n", F.explode("tokens").alias("token"))
-    df = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    held = rows.join(df, "token").groupBy("sid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ts"))
-    own = F.col("n") - F.size("ts")
-    size = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    first = F.when(size > own, F.slice("ts", F.lit(1), (size - own).cast("int"))).otherwise(F.slice("ts", 1, 0))
-    return held.select("sid", "n", own.alias("own"), F.posexplode(first).alias("i", "t")).select(
-        "t.token", "sid", "n", (F.col("own") + F.col("i")).alias("place"))
+    """(token, sid, n, place): the prefixes under the order rarest first (by
+    the count of the token's bucket, then hash). Any order of all tokens is
+    right; the buckets have a fixed bound and grow with the tokens up to it."""
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    bits = max(16, min(COUNT_BITS, int(total).bit_length() - 2))
+    sent = sets.sparkSession.sparkContext.broadcast(token_counts(sets, bits))
+
+    def run(batches):
+        counts = sent.value
+        for batch in batches:
+            out = []
+            for s in _tokens(batch.column(1)):
+                order = np.lexsort((s, counts[(s >> np.uint64(64 - bits)).astype(np.int64)]))
+                out.append(s[order[:prefix_size(len(s), percent)]].view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(t) for t in batch.column(1)], pa.int64()), pa.array(out, pa.list_(pa.int64()))],
+                names=["sid", "n", "prefix"])
+
+    rows = sets.select("sid", "tokens").mapInArrow(run, "sid bigint, n bigint, prefix array<bigint>")
+    return rows.select("sid", "n", F.posexplode("prefix").alias("place", "token"))
 
 
 def _enough(percent: int):
@@ -159,8 +203,7 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             ta, tb = batch.column(2), batch.column(3)
             ok = []
-            for x, y in zip(ta, tb):
-                x, y = (v.values.to_numpy(zero_copy_only=False).view(np.uint64) for v in (x, y))
+            for x, y in zip(_tokens(ta), _tokens(tb)):
                 px, py = prefix_size(len(x), percent), prefix_size(len(y), percent)
                 good = (np.intersect1d(x[:px], y[:py], True).size and np.intersect1d(x[-px:], y[-py:], True).size)
                 if good:
@@ -201,22 +244,25 @@ def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
     return lists.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
 
 
-def set_classes(sets: DataFrame, percent: int) -> DataFrame | None:
+def set_classes(sets: DataFrame, percent: int) -> DataFrame:
     """(sid, label) of the sets with links, from candidates to classes."""
-    lists = keep(rare_prefixes(sets, percent))
+    lists = rare_prefixes(sets, percent)
     edges = labels = None
     for turn in range(PIVOT_ROUNDS):
         at = _labelled(lists, labels)
         pivot = at.groupBy("token").agg(F.min_by(F.struct("sid", "n", "place", "label"), F.xxhash64("sid", F.lit(turn))).alias("p"),
                                         F.min("label").alias("lo"), F.max("label").alias("hi"))
-        mixed = pivot.filter("lo <> hi").select("token", "p.*")
-        near = mixed.alias("a").join(at.alias("b"), "token").filter((F.col("a.label") != F.col("b.label")) & _enough(percent))
+        # lists of one class are done with: the others go on with their pivots
+        lists = keep(at.drop("label").join(pivot.filter("lo <> hi").select("token", "p"), "token"))
+        near = _labelled(lists, labels).alias("b").filter(F.col("b.p.label") != F.col("b.label"))
+        near = near.select(F.struct("b.sid", "b.n", "b.place").alias("b"), F.col("b.p").alias("a")).filter(_enough(percent))
         # each set meets the pivot that it shares most prefix tokens with
         counted = near.groupBy(F.col("b.sid").alias("b"), F.col("a.sid").alias("a")).agg(F.count(F.lit(1)).alias("c"))
         pairs = keep(counted.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b"))
         found = linked(pairs, sets, percent)
         edges = found if edges is None else edges.unionByName(found)
         labels = classes(edges)
+        lists = lists.drop("p")
     at = _labelled(lists, labels)
     mixed = at.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
     at = keep(at.join(mixed, "token", "left_semi"))
@@ -229,7 +275,7 @@ def set_classes(sets: DataFrame, percent: int) -> DataFrame | None:
 def similarity_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, percent: int = 75) -> DataFrame:
     """(doc, n, component): a row per document, its set's size and the least
     id of the documents that it is linked with, directly or not."""
-    marks = shared_marks(prefix_tokens(docs, text, key, k, percent))
+    marks = shared_marks(prefix_keys(docs, text, key, k, percent))
     sets = keep(linkable_sets(docs, marks, text, key, k, percent))
     labels = set_classes(sets, percent)
     own = keep(members(docs, text, key, k))
@@ -244,5 +290,4 @@ def one_per_class(docs: DataFrame, text: str = "text", key: str = "doc_id", **op
     group of near copies. Documents with an empty set or a null id stay."""
     rows = similarity_classes(docs, text, key, **options)
     gone = rows.filter("component <> doc").select(F.col("doc").alias("_gone")).distinct()
-    first = docs.join(gone, docs[key] == gone["_gone"], "left_anti")
-    return first.select(*[first[c] for c in docs.columns])
+    return unwrapped(wrapped(docs, _doc=F.col(key)).join(gone, F.col("_doc") == F.col("_gone"), "left_anti"))

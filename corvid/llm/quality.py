@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvid.llm.common import blank_words, keep
+from corvid.llm.common import blank_words, keep, unwrapped, wrapped
 
 VOTES = GOOD, BAD, ABSTAIN = 0, 1, 2
 #: Prior probability of each vote, in the order of VOTES, by class.
@@ -76,6 +76,7 @@ class VoteModel:
 
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add the counts that the rules look at; everything is found in the row.
+    They take the place of input columns of the same names.
 
     A word is repeated when it lies in a three-word window found twice or more
     in the text. Windows are compared by 64-bit hash; where some hash occurs
@@ -177,5 +178,4 @@ def filter_quality(docs: DataFrame, text: str = "text", rules: Sequence[Rule] =
     found twice (once to fit, once to judge) instead of shuffling the texts."""
     narrow = features(docs.select(F.col(text).alias("_text")), "_text")
     model = fit_votes(narrow.select(votes_of(rules).alias("votes")), len(rules))
-    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.col(text).alias("_text"))
-    return judge(features(own, "_text"), rules, model, threshold).filter("kept").select("_row.*")
+    return unwrapped(judge(features(wrapped(docs, _text=F.col(text)), "_text"), rules, model, threshold).filter("kept"))
