@@ -88,12 +88,12 @@ def distance_extra_bits(dist: Column) -> Column:
 
 
 def percent_removed(in_size: Column, out_size: Column) -> Column:
-    """100 * (in - out) / in, 3 decimals."""
-    return F.round(F.lit(100.0) * (in_size - out_size) / in_size, 3)
+    """100 * (in - out) / in, 3 decimals; NULL for an empty input."""
+    return F.round(F.try_divide(F.lit(100.0) * (in_size - out_size), in_size), 3)
 
 
 def percent_of_original(in_size: Column, out_size: Column) -> Column:
-    return F.round(out_size * F.lit(100.0) / in_size, 3)
+    return F.round(F.try_divide(out_size * F.lit(100.0), in_size), 3)
 
 
 def kib(size: Column) -> Column:

@@ -12,9 +12,9 @@ def strip_ws(c: Column) -> Column:
 
 
 def between_tags(text: Column, tag: str) -> Column:
-    """Text between ``<TAG>\\n`` and ``</TAG>`` (first pair); '' when absent."""
-    return F.regexp_extract(text, rf"(?s)<{tag}>\n(.*?)</{tag}>", 1)
+    """Text from ``<TAG>\\n`` to ``</TAG>`` (or a second opening, or the end); '' when never opened."""
+    return F.split_part(F.split_part(text, F.lit(f"<{tag}>\n"), F.lit(2)), F.lit(f"</{tag}>"), F.lit(1))
 
 
 def has_tag(text: Column, tag: str) -> Column:
-    return text.rlike(rf"(?s)<{tag}>\n.*?</{tag}>")
+    return text.contains(f"<{tag}>\n")

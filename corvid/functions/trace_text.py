@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 # Fixed values of the log format.
 RECORD_END = "] },\n"
-MAX_TEXT = 100
 UNSUPPORTED = "<unsupported>"
 NULL_POINTER = "(nil)"
 REDACTED = "<redacted>"
@@ -79,29 +78,36 @@ def parse_trace(record: Column) -> Column:
     vals = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
     vals = F.transform(vals, lambda v, i: F.when(i == F.size(vals) - 1, F.regexp_replace(v, '(?s)"$', ""))
                        .otherwise(v))
-    args = F.when(named, F.map_from_arrays(keys, vals))
+    # a repeated or unpaired key can't be a map: such a record is not ok
+    fine = (F.size(F.array_distinct(keys)) == F.size(keys)) & (F.size(keys) == F.size(vals))
+    args = F.when(named & fine, F.map_from_arrays(keys, vals))
     pos = F.when(~named, _split_quoted(F.regexp_extract(body, _POS_RE, 1)))
     ret = _split_quoted(F.regexp_extract(body, _RET_RE, 1))
-    ok = body.rlike(_NAME_RE) & (body.rlike(_NAMED_RE) | body.rlike(_POS_RE))
+    ok = body.rlike(_NAME_RE) & ((body.rlike(_NAMED_RE) & (~named | fine)) | body.rlike(_POS_RE))
     return F.struct(name.alias("name"), named.alias("named"), args.alias("args"),
                     pos.alias("pos_args"), ret.alias("ret"), ok.alias("ok"))
 
 
-def render_value(ctype: Column, value: Column) -> Column:
+def render_value(ctype: Column, value: Column, max_text: int | None = None) -> Column:
     """How the instrumentation prints one value of C type ``ctype``.
 
-    Integers ``%d``, floating point ``%f``, ``char*`` its first 100
-    characters, other pointers their address (``(nil)`` for 0), anything
-    else ``<unsupported>``. ``value`` is the raw value as text.
+    Integers ``%d``, floating point ``%f``, ``char*`` its text (cut at
+    ``max_text`` characters where that is given), other pointers their address
+    (``(nil)`` for 0), anything else ``<unsupported>``. ``value`` is the raw
+    value as text; one that is no number of its type gives NULL. Unsigned
+    64-bit values fit.
     """
     t = F.trim(ctype)
     is_ptr = t.endswith("*")
-    addr = value.cast("bigint")
-    return (F.when(t.isin(*INTEGER_TYPES), value.cast("bigint").cast("string"))
-            .when(t.isin(*FLOAT_TYPES), F.format_string("%f", value.cast("double")))
-            .when(t == "char*", F.substring(value, 1, MAX_TEXT))
-            .when(is_ptr & (addr == 0), F.lit(NULL_POINTER))
-            .when(is_ptr, F.format_string("0x%x", addr))
+    whole = F.when(value.rlike(r"^[+-]?[0-9]{1,20}\z"), value.try_cast("decimal(20,0)"))
+    address = F.when(whole >= 0, F.lower(F.conv(whole.cast("string"), 10, 16)))
+    text = value if max_text is None else F.substring(value, 1, max_text)
+    real = value.try_cast("double")
+    return (F.when(t.isin(*INTEGER_TYPES), whole.cast("string"))
+            .when(t.isin(*FLOAT_TYPES), F.when(real.isNotNull(), F.format_string("%f", real)))
+            .when(t == "char*", text)
+            .when(is_ptr & (whole == 0), F.lit(NULL_POINTER))
+            .when(is_ptr, F.concat(F.lit("0x"), address))
             .otherwise(F.lit(UNSUPPORTED)))
 
 

@@ -10,13 +10,13 @@ with pointer jumping (components).
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvid.plans.ordering import materialize, with_global_position
 
-MAX_ROUNDS = 10_000
-
 
 def build_graph(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges out of inventory records ``(name, callees ARRAY)``.
@@ -58,7 +58,7 @@ def reachable(nodes: DataFrame, edges: DataFrame, root: str) -> DataFrame:
     e = materialize(edges.select("src", "dst"), "edges")
     frontier = spark.createDataFrame([(root, 0)], "n string, depth int")
     levels = [frontier]
-    for depth in range(1, MAX_ROUNDS):
+    for depth in count(1):
         nxt = materialize(frontier.join(e, frontier["n"] == e["src"]).select(F.col("dst").alias("n")).distinct()
                           .join(_union_all(levels).select("n"), "n", "left_anti")
                           .withColumn("depth", F.lit(depth)), "frontier")
@@ -81,7 +81,7 @@ def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
            .union(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))).distinct())
     und = materialize(und, "undirected")
     labels = materialize(nodes.select("n", F.col("n").alias("label")), "labels")
-    for _ in range(MAX_ROUNDS):
+    for _ in count():
         cand = (und.join(labels, und["b"] == labels["n"]).groupBy(F.col("a").alias("n"))
                 .agg(F.min("label").alias("cand")))
         step = (labels.join(cand, "n", "left")
@@ -107,7 +107,7 @@ def levels_callee_first(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     remaining = materialize(nodes.select("n").distinct(), "remaining")
     e = materialize(edges.select("src", "dst").distinct(), "edges")
     done: list[DataFrame] = []
-    for level in range(MAX_ROUNDS):
+    for level in count():
         # nodes that still call an unpeeled node; after this round they are
         # exactly the unpeeled ones (one step from the checkpointed edges, so
         # the lineage stays shallow without a checkpoint of its own)

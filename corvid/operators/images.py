@@ -16,8 +16,8 @@ from pyspark.sql import types as T
 from corvid.functions.code import basename
 
 # Fixed values.
-COLOUR_CAP = 257          # counting stops above 256 distinct colours
 PALETTE_MAX = 256
+FEW_PIXELS = 16           # up to so many, a transparency key does not pay
 PNG_SIGNATURE_HEX = "89504E470D0A1A0A"
 VALID_DEPTHS = {0: [1, 2, 4, 8, 16], 2: [8, 16], 3: [1, 2, 4, 8], 4: [8, 16], 6: [8, 16]}
 # Error codes of the header check, in the order they are tested.
@@ -31,23 +31,31 @@ def packed(r: Column, g: Column, b: Column, a: Column) -> Column:
 
 
 def skip_outputs(files: DataFrame, prefix: str | None, path: str = "path") -> DataFrame:
-    """Drop inputs whose base name starts with the output prefix (only
-    when a prefix is set; the caller applies it to multi-file batches)."""
+    """Of a batch of several files, drop those whose base name starts with
+    the output prefix; a batch of one file is kept as it is."""
     if not prefix:
         return files
-    return files.where(~basename(path).startswith(prefix))
+    several = files.select(F.count(F.lit(1)) > 1).scalar()
+    return files.where(~(basename(path).startswith(prefix) & several))
 
 
-def colour_counts(pixels: DataFrame, cap: int = COLOUR_CAP, transparent_as_one: bool = False) -> DataFrame:
-    """Distinct RGBA colours per image, capped at ``cap``.
+def colour_counts(pixels: DataFrame, transparent_as_one: bool = False) -> DataFrame:
+    """Distinct RGBA colours per image, and whether a palette holds them.
 
     With ``transparent_as_one`` every alpha-0 pixel counts as one colour.
     """
     col = packed(F.col("r"), F.col("g"), F.col("b"), F.col("a"))
     if transparent_as_one:
         col = F.when(F.col("a") == 0, F.lit(-1).cast("bigint")).otherwise(col)
-    return (pixels.groupBy("image_id").agg(F.count_distinct(col).alias("_n"))
-            .select("image_id", F.least("_n", F.lit(cap)).alias("colours")))
+    return (pixels.groupBy("image_id").agg(F.count_distinct(col).alias("colours"))
+            .withColumn("fits_palette", F.col("colours") <= PALETTE_MAX))
+
+
+def colour_table(pixels: DataFrame) -> DataFrame:
+    """One row per (image, RGBA colour) with its pixel count and first place:
+    everything that the profile needs, pre-aggregated map-side."""
+    return (pixels.groupBy("image_id", "r", "g", "b", "a")
+            .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("y", "x")).alias("first")))
 
 
 def _bits(v: Column) -> Column:
@@ -55,74 +63,79 @@ def _bits(v: Column) -> Column:
     return (F.when((v == 0) | (v == 255), 1).when(v % 85 == 0, 2).when(v % 17 == 0, 4).otherwise(8))
 
 
-def colour_profile(pixels: DataFrame, cap: int = COLOUR_CAP) -> DataFrame:
-    """Per image: coloured, transparency key possible, alpha needed,
-    bits per channel and capped colour count.
+def colour_profile(pixels: DataFrame) -> DataFrame:
+    """Per image: coloured, transparency key possible, alpha channel
+    needed, bits per channel, exact colour count and pixels.
 
-    A key is possible when every transparent pixel shares one RGB, no pixel
-    is partly transparent, and no opaque pixel has the key RGB (second pass:
-    join of the key colour back to the opaque pixels).
+    A key is possible when there is a transparent pixel, all of them share one
+    RGB, no pixel is partly transparent and no opaque pixel has that RGB.
+    Alpha is needed when some pixel is not opaque and no key is possible. Only
+    grey images without alpha need fewer than 8 bits.
     """
-    p = pixels
-    rgb = packed(F.col("r"), F.col("g"), F.col("b"), F.lit(0))
-    first = p.groupBy("image_id").agg(
+    c = colour_table(pixels)
+    # an RGB that is transparent somewhere and opaque elsewhere can't be a key
+    per_rgb = c.groupBy("image_id", "r", "g", "b").agg(
+        F.bool_or(F.col("a") == 0).alias("clear"), F.bool_or(F.col("a") == 255).alias("opaque"),
+        F.bool_or((F.col("a") > 0) & (F.col("a") < 255)).alias("partly"), F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"))
+    image = per_rgb.groupBy("image_id").agg(
         F.bool_or((F.col("r") != F.col("g")) | (F.col("r") != F.col("b"))).alias("coloured"),
-        F.bool_or(F.col("a") != 255).alias("alpha_needed"),
-        F.bool_or((F.col("a") > 0) & (F.col("a") < 255)).alias("_partial"),
-        F.count_distinct(F.when(F.col("a") == 0, rgb)).alias("_n_keys"),
-        F.min(F.when(F.col("a") == 0, rgb)).alias("_key"),
-        F.max(F.greatest(_bits(F.col("r")), _bits(F.col("g")), _bits(F.col("b")), _bits(F.col("a")))).alias("bits"),
-        F.count_distinct(packed(F.col("r"), F.col("g"), F.col("b"), F.col("a"))).alias("_n"))
-    opaque = p.where(F.col("a") == 255).select("image_id", rgb.alias("_key")).distinct()
-    clash = first.select("image_id", "_key").join(opaque, ["image_id", "_key"], "left_semi") \
-        .select("image_id", F.lit(True).alias("_clash"))
-    j = first.join(clash, "image_id", "left")
-    key_ok = (F.col("_n_keys") == 1) & ~F.col("_partial") & F.col("_clash").isNull()
-    return j.select("image_id", "coloured", key_ok.alias("key_possible"), "alpha_needed", "bits",
-                    F.least("_n", F.lit(cap)).alias("colours"))
+        F.count_if("clear").alias("_keys"), F.bool_or(F.col("clear") & F.col("opaque")).alias("_clash"),
+        F.bool_or("partly").alias("_partly"), F.max(_bits(F.col("r"))).alias("_bits"),
+        F.sum("kinds").alias("colours"), F.sum("n").alias("n_pixels"))
+    key = (F.col("_keys") == 1) & ~F.col("_clash") & ~F.col("_partly")
+    alpha = ((F.col("_keys") > 0) | F.col("_partly")) & ~key
+    bits = F.when(F.col("coloured") | alpha, F.lit(8)).otherwise(F.col("_bits"))
+    return image.select("image_id", "coloured", key.alias("key_possible"), alpha.alias("alpha_needed"),
+                        bits.cast("int").alias("bits"), "colours", "n_pixels")
 
 
 def minimal_colour_mode(profile: DataFrame) -> DataFrame:
-    """Colour mode choice from a profile (our own rule order):
-    palette when colours fit and the image is coloured; grey variants for
-    grey images; otherwise RGB with key or alpha as needed."""
+    """The PNG mode of the fewest bits for a profile, and its bit depth.
+
+    A key does not pay for up to 16 pixels: an alpha channel takes its place.
+    A palette needs at most 256 colours and two pixels a colour, and yields to
+    a grey mode that is as narrow.
+    """
+    few = F.col("key_possible") & (F.col("n_pixels") <= FEW_PIXELS)
+    alpha, key = F.col("alpha_needed") | few, F.col("key_possible") & ~few
     grey = ~F.col("coloured")
-    alpha = F.col("alpha_needed")
-    key = F.col("key_possible")
-    mode = (F.when(grey & ~alpha, "grey")
-            .when(grey & key, "grey+key")
-            .when(grey, "grey+alpha")
-            .when(F.col("colours") <= PALETTE_MAX, "palette")
-            .when(~alpha, "rgb")
-            .when(key, "rgb+key")
-            .otherwise("rgba"))
-    bits = F.when(mode == "palette", F.when(F.col("colours") <= 2, 1).when(F.col("colours") <= 4, 2)
-                  .when(F.col("colours") <= 16, 4).otherwise(8)).when(mode.startswith("grey"), F.col("bits")) \
-        .otherwise(8)
-    return profile.withColumn("mode", mode).withColumn("mode_bits", bits)
-
-
-def clean_transparent(pixels: DataFrame, profile: DataFrame) -> DataFrame:
+    bits = F.when(few | ~grey, F.greatest("bits", F.lit(8))).otherwise(F.col("bits"))
+    n = F.col("colours")
+    palette_bits = F.when(n <= 2, 1).when(n <= 4, 2).when(n <= 16, 4).otherwise(8)
+    palette = ((n > 0) & (n <= PALETTE_MAX) & (bits <= 8) & (F.col("n_pixels") >= 2 * n)
+               & ~(grey & ~alpha & (bits <= palette_bits)))
+    base = F.when(grey, "grey").otherwise("rgb")
+    other = F.when(alpha, F.when(grey, "grey+alpha").otherwise("rgba")).when(key, F.concat(base, F.lit("+key"))).otherwise(base)
+    return profile.withColumn("mode", F.when(palette, "palette").otherwise(other)).withColumn(
+        "mode_bits", F.when(palette, palette_bits).otherwise(bits).cast("int"))
+
+
+def clean_transparent(pixels: DataFrame) -> DataFrame:
     """Set the RGB of fully transparent pixels so they compress well.
 
-    When a key or a palette is possible the first transparent pixel's RGB
-    is used for all of them; otherwise each takes the RGB of the last
-    opaque pixel before it in scan order (black before any). The window is
-    per image (bounded by its pixel count).
+    All get the RGB of the first transparent pixel when no pixel is partly
+    transparent or a palette can hold the colours (all transparent ones
+    counted as one); else each gets the RGB of the last pixel before it that
+    is not transparent (black before any). That one is looked for in the
+    pixel's own image row first, then among one value a row above it.
     """
-    pf = profile.select("image_id", (F.col("key_possible") | (F.col("colours") <= PALETTE_MAX)).alias("_same"))
-    first_t = (pixels.where(F.col("a") == 0).groupBy("image_id")
-               .agg(F.min(F.struct("y", "x", "r", "g", "b")).alias("_ft")))
-    w = Window.partitionBy("image_id").orderBy("y", "x").rowsBetween(Window.unboundedPreceding, 0)
-    opaque_rgb = F.when(F.col("a") != 0, F.struct("r", "g", "b"))
-    x = (pixels.join(pf, "image_id").join(first_t, "image_id", "left")
-         .withColumn("_last", F.last(opaque_rgb, ignorenulls=True).over(w)))
-    t = F.col("a") == 0
-    same = F.col("_same")
-
-    def chan(c):
-        last = F.coalesce(F.col(f"_last.{c}"), F.lit(0))
-        return F.when(t & same, F.col(f"_ft.{c}")).when(t, last).otherwise(F.col(c)).alias(c)
+    c = colour_table(pixels)
+    clear = F.col("a") == 0
+    image = c.groupBy("image_id").agg(
+        F.bool_or((F.col("a") > 0) & (F.col("a") < 255)).alias("_partly"),
+        (F.count_if(~clear) + F.max(clear.cast("int"))).alias("_colours"),
+        F.min(F.when(clear, F.struct("first", "r", "g", "b"))).alias("_ft"))
+    image = image.select("image_id", "_ft", (~F.col("_partly") | (F.col("_colours") <= PALETTE_MAX)).alias("_same"))
+    rgb = F.struct("r", "g", "b")
+    rows = pixels.groupBy("image_id", "y").agg(F.max(F.when(~clear, F.struct("x", "r", "g", "b"))).alias("_end"))
+    above = Window.partitionBy("image_id").orderBy("y").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.select("image_id", "y", F.last("_end", ignorenulls=True).over(above).alias("_above")).join(image, "image_id")
+    own = Window.partitionBy("image_id", "y").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    x = pixels.withColumn("_own", F.last(F.when(~clear, rgb), ignorenulls=True).over(own)).join(rows, ["image_id", "y"])
+
+    def chan(name):
+        last = F.coalesce(F.col(f"_own.{name}"), F.col(f"_above.{name}"), F.lit(0))
+        return F.when(clear & F.col("_same"), F.col(f"_ft.{name}")).when(clear, last).otherwise(F.col(name)).alias(name)
     return x.select("image_id", "x", "y", chan("r"), chan("g"), chan("b"), "a")
 
 
@@ -156,20 +169,23 @@ def chunks_to_keep(chunks: DataFrame, wanted: Sequence[str]) -> DataFrame:
     return chunks.where(F.col("name").isin(*wanted)).select("image_id", "name").distinct()
 
 
-def keep_better(files: DataFrame, force: bool = False) -> DataFrame:
+def keep_better(files: DataFrame, force: bool = False, use_prefix: bool = False) -> DataFrame:
     """Keep the earlier output when it exists and the new one is not
-    smaller, unless forced. ``files``: (name, out_size, old_size NULL-able)."""
-    keep_old = F.col("old_size").isNotNull() & (F.col("out_size") >= F.col("old_size")) & F.lit(not force)
+    smaller, unless forced; only where outputs have a prefix or the output has
+    the input's name. ``files``: (name, out_name, out_size, old_size NULL-able)."""
+    own = F.lit(True) if use_prefix else F.col("name") == F.col("out_name")
+    keep_old = F.col("old_size").isNotNull() & (F.col("out_size") >= F.col("old_size")) & own & F.lit(not force)
     return files.withColumns({
         "kept": F.when(keep_old, "old").otherwise("new"),
         "final_size": F.when(keep_old, F.col("old_size")).otherwise(F.col("out_size")),
     })
 
 
-def size_report(files: DataFrame, force: bool = False) -> DataFrame:
+def size_report(files: DataFrame, force: bool = False, use_prefix: bool = False) -> DataFrame:
     """P5: one row: files tried / smaller / equal / errors, bytes saved, total
-    in and out (error files excluded) and percent of the original."""
-    f = keep_better(files, force)
+    in and out (error files excluded) and percent of the original (NULL when
+    nothing went in)."""
+    f = keep_better(files, force, use_prefix)
     ok = ~F.col("error")
     fin, inn = F.col("final_size"), F.col("in_size")
     rep = f.agg(
@@ -180,7 +196,7 @@ def size_report(files: DataFrame, force: bool = False) -> DataFrame:
         F.coalesce(F.sum(F.when(ok & (fin < inn), inn - fin)), F.lit(0)).cast("bigint").alias("saved"),
         F.coalesce(F.sum(F.when(ok, inn)), F.lit(0)).cast("bigint").alias("total_in"),
         F.coalesce(F.sum(F.when(ok, fin)), F.lit(0)).cast("bigint").alias("total_out"))
-    return rep.withColumn("percent", F.round(F.col("total_out") * 100.0 / F.col("total_in"), 3))
+    return rep.withColumn("percent", F.round(F.try_divide(F.col("total_out") * 100.0, F.col("total_in")), 3))
 
 
 # ------------------------------------------------------------ PNG bytes
@@ -256,8 +272,10 @@ CHUNK_SCHEMA = T.StructType([
 def image_chunks(images: DataFrame, key: str = "image_id", data: str = "data") -> DataFrame:
     """One row per chunk after the signature: ordinal, name, data length,
     property bits (case of letters 1, 2 and 4), location group (0 before
-    PLTE, 1 between PLTE and IDAT, 2 after IDAT) and CRC check. A truncated
-    chunk ends the walk with an error row. Variable-length walk: mapInPandas.
+    PLTE, 1 between PLTE and IDAT, 2 after IDAT) and CRC check. The walk ends
+    at IEND. A truncated chunk, an end without IEND and a blob that is NULL or
+    not longer than the signature give an error row. Variable-length walk:
+    mapInPandas.
     """
     def walk(batches):
         import zlib
@@ -268,7 +286,7 @@ def image_chunks(images: DataFrame, key: str = "image_id", data: str = "data") -
             for iid, blob in zip(pdf[key], pdf[data]):
                 b = bytes(blob) if blob is not None else b""
                 pos, ordinal, loc = 8, 0, 0
-                while pos < len(b):
+                while True:
                     if pos + 12 > len(b):
                         rows.append((iid, ordinal, None, None, None, None, None, loc, None, "truncated"))
                         break
@@ -283,8 +301,10 @@ def image_chunks(images: DataFrame, key: str = "image_id", data: str = "data") -
                         loc = max(loc, 1)
                     if name == "IDAT":
                         loc = 2
-                    rows.append((iid, ordinal, name, length, name[0].islower(), name[1].islower(),
-                                 name[3].islower(), loc, zlib.crc32(b[pos + 4:pos + 8] + payload) == crc, None))
+                    low = [bool(ord(ch) & 0x20) for ch in name]
+                    rows.append((iid, ordinal, name, length, low[0], low[1], low[3], loc, zlib.crc32(b[pos + 4:pos + 8] + payload) == crc, None))
+                    if name == "IEND":
+                        break
                     ordinal += 1
                     pos += 12 + length
             yield pd.DataFrame(rows, columns=CHUNK_SCHEMA.fieldNames())

@@ -31,16 +31,15 @@ def attach_callees(functions: DataFrame, callee_sets: DataFrame) -> DataFrame:
     A record may match sets from several directories with the same base
     name; the first by caller path wins (explicit order instead of the
     reference's unordered-set iteration). Unmatched records keep NULL.
-    "First" is a ``min(struct(path, callees))`` aggregate, which combines
-    map-side, so a hot name does not land in one task.
+    "First" is a ``min(struct(path, callees))`` aggregate over the sets, which
+    combines map-side; the records themselves are only joined, so equal ones
+    all stay.
     """
-    sets = callee_sets.select(F.col("caller").alias("_c_name"), basename("caller_path").alias("_c_base"),
-                              F.struct("caller_path", "callees").alias("_m"))
-    cols = functions.columns
+    sets = (callee_sets.groupBy(F.col("caller").alias("_c_name"), basename("caller_path").alias("_c_base"))
+            .agg(F.min(F.struct("caller_path", "callees")).alias("_m")))
     f = functions.withColumn("_base", basename("filename"))
     j = f.join(sets, (f["name"] == sets["_c_name"]) & (f["_base"] == sets["_c_base"]), "left")
-    return (j.groupBy(*cols).agg(F.min("_m").alias("_m"))
-            .select(*cols, F.col("_m.callees").alias("callees")))
+    return j.select(*functions.columns, F.col("_m.callees").alias("callees"))
 
 
 def defined_callees(edges: DataFrame, defs: DataFrame, callee: str = "callee") -> DataFrame:

@@ -29,7 +29,7 @@ def parse_run_name(name: F.Column) -> F.Column:
     agent = F.regexp_extract(name, RUN_NAME_PATTERN, 1)
     stamp = F.regexp_extract(name, RUN_NAME_PATTERN, 2)
     return F.when(ok, F.struct(agent.alias("agent"),
-                               F.to_timestamp(stamp, RUN_TIME_FORMAT).alias("started_at")))
+                               F.try_to_timestamp(stamp, F.lit(RUN_TIME_FORMAT)).alias("started_at")))
 
 
 def run_outcome(runs: DataFrame) -> DataFrame:
@@ -59,8 +59,9 @@ def run_grid(tasks: DataFrame, agents: Sequence[str]) -> DataFrame:
     return tasks.withColumn("agent", F.explode(F.array(*[F.lit(a) for a in agents])))
 
 
-def pending_runs(grid: DataFrame, runs: DataFrame, keys: Sequence[str] = ("task",)) -> DataFrame:
+def pending_runs(grid: DataFrame, runs: DataFrame, keys: Sequence[str] = ("category", "task")) -> DataFrame:
     """Grid pairs with no run directory ``run_{agent}_*`` (any timestamp).
+    Task names repeat across categories, so both are the key.
 
     Run names are parsed (R2) into an equi key, so this is a hash anti join,
     not a LIKE scan; the runs side is projected to distinct keys first.

@@ -43,28 +43,29 @@ def include_dirs(commands: DataFrame, distinct: bool = False) -> DataFrame:
     keep = [c for c in commands.columns if c != "arguments"]
     args = commands.select(*keep, F.posexplode("arguments").alias("arg_pos", "arg"))
     inc = (args.where(F.col("arg").startswith(INCLUDE_FLAG))
-           .withColumn("include_dir", F.ltrim(F.substring("arg", 3, 1 << 30)))
+           .withColumn("include_dir", F.ltrim(F.expr("substring(arg, 3)")))
            .drop("arg"))
     return inc.dropDuplicates([*keep, "include_dir"]).drop("arg_pos") if distinct else inc
 
 
-def classify_failure(message: Column) -> Column:
-    """First match wins: timeout, linker error, else compile error."""
-    return (F.when(message.contains(TIMEOUT_MARK), "timeout")
+def classify_failure(message: Column, category: Column | None = None) -> Column:
+    """A test failure by its category; else the first match wins: timeout,
+    linker error, compile error. No message gives NULL."""
+    kind = (F.when(message.contains(TIMEOUT_MARK), "timeout")
             .when(message.contains(LINKER_MARK), "linker")
-            .otherwise("compile error"))
+            .when(message.isNotNull(), "compile error"))
+    return kind if category is None else F.when(category == TEST_FAILURE, "test failure").otherwise(kind)
 
 
 # ------------------------------------------------------------ models
 def lookup_models(requests: DataFrame, registry: DataFrame, key: str = "model") -> tuple[DataFrame, DataFrame]:
     """Short model name -> provider and model id; unknown names are rejected.
 
-    The registry is configuration with a fixed, small row count, so it is
-    broadcast; the rejects are the anti join of the same key.
+    The planner broadcasts a registry of a few rows by its size; the rejects
+    are the anti join of the same key.
     """
-    reg = F.broadcast(registry)
-    ok = requests.join(reg, key, "inner")
-    rejects = requests.join(reg, key, "left_anti")
+    ok = requests.join(registry, key, "inner")
+    rejects = requests.join(registry, key, "left_anti")
     return ok, rejects
 
 
@@ -109,24 +110,34 @@ def extract_span(spans: DataFrame, lines: DataFrame, key: Sequence[str] = ("span
 
 
 def comment_out_span(spans: DataFrame, lines: DataFrame, file: str = "file") -> DataFrame:
-    """Prefix every line of the span with ``// ``; text after end_col on the
-    last line moves to a new line below; trailing blanks are removed.
-
-    Output: ``(file, line_no, part, line)`` for all lines of the file, where
-    ``part`` 1 is the moved tail.
+    """``// `` goes in at start_col of a span's first line and before its
+    other lines; text after end_col on the last line moves to a new line below.
+    Trailing white space of every line goes first.
+
+    The spans of a file are one small array that each of its lines meets once,
+    so a file may have several. Text between two spans of one line is
+    commented out with them. Output: ``(file, line_no, part, line)`` for all
+    lines, where ``part`` 1 is the moved tail.
     """
-    sp = spans.select(file, "start_line", "end_line", "end_col")
-    j = lines.join(sp, file, "left")
-    inside = F.col("line_no").between(F.col("start_line"), F.col("end_line"))
-    last = F.col("line_no") == F.col("end_line")
-    head = F.when(inside & last, F.concat(F.lit("// "), F.substring("line", F.lit(1), F.col("end_col")))) \
-        .when(inside, F.concat(F.lit("// "), F.col("line"))).otherwise(F.col("line"))
-    tail = F.when(inside & last, F.expr("substring(line, end_col + 1)"))
-    rows = j.select(file, "line_no", F.array(F.struct(F.lit(0).alias("part"), head.alias("text")),
-                                             F.struct(F.lit(1).alias("part"), tail.alias("text"))).alias("x"))
-    out = rows.select(file, "line_no", F.inline("x"))
-    out = out.where((F.col("part") == 0) | (F.length(F.rtrim("text")) > 0))
-    return out.select(file, "line_no", "part", F.rtrim("text").alias("line"))
+    s = F.struct("start_line", "start_col", "end_line", "end_col")
+    per_file = (spans.where(F.col("end_line") >= F.col("start_line"))
+                .groupBy(F.col(file).alias("_f")).agg(F.collect_list(s).alias("_spans")))
+    j = (lines.join(per_file, F.col(file) == F.col("_f"), "left")
+         .withColumn("_line", F.regexp_replace("line", r"\s+$", ""))
+         .withColumn("_spans", F.coalesce("_spans", F.array().cast("array<struct<start_line:bigint,start_col:bigint,end_line:bigint,end_col:bigint>>"))))
+    j = j.withColumns({
+        "_inside": F.expr("exists(_spans, s -> s.start_line < line_no AND line_no <= s.end_line)"),
+        "_goes_on": F.expr("exists(_spans, s -> s.start_line <= line_no AND line_no < s.end_line)"),
+        "_from": F.expr("array_min(transform(filter(_spans, s -> s.start_line = line_no), s -> s.start_col))"),
+        "_to": F.expr("array_max(transform(filter(_spans, s -> s.end_line = line_no), s -> s.end_col))")})
+    cut = F.col("_to").isNotNull() & ~F.col("_goes_on")
+    j = j.withColumns({"_head": F.when(cut, F.expr("substring(_line, 1, int(_to))")).otherwise(F.col("_line")),
+                       "_tail": F.when(cut, F.expr("substring(_line, int(_to) + 1)")).otherwise(F.lit(""))})
+    head = (F.when(F.col("_inside"), F.concat(F.lit("// "), F.col("_head")))
+            .when(F.col("_from").isNotNull(), F.expr("concat(substring(_head, 1, int(_from) - 1), '// ', substring(_head, int(_from)))"))
+            .otherwise(F.col("_head")))
+    parts = F.array(F.struct(F.lit(0).alias("part"), head.alias("line")), F.struct(F.lit(1).alias("part"), F.col("_tail").alias("line")))
+    return j.select(file, "line_no", F.inline(parts)).where((F.col("part") == 0) | (F.col("line") != ""))
 
 
 # ------------------------------------------------------------ prompts and conversations
@@ -173,8 +184,9 @@ def provider_messages(messages: DataFrame, style: str, role: str = "role") -> Da
 def extract_tags(response: Column) -> Column:
     """struct(func, wrapper, imports, retry) out of a model answer.
 
-    FUNC and WRAPPER are required (missing -> ``retry``); IMPORTS defaults to
-    ''. Code fences are removed and the parts stripped.
+    FUNC and WRAPPER must be opened (else ``retry``); IMPORTS defaults to ''.
+    A section that is never closed runs to the end. Code fences are removed
+    and the parts stripped.
     """
     def clean(tag: str) -> Column:
         x = between_tags(response, tag)
@@ -222,15 +234,14 @@ def stop_on_failure(tests: DataFrame, key: Sequence[str] = ("func", "attempt"))
     return j.where(F.col("_ff").isNull() | (F.col("ordinal") <= F.col("_ff"))).drop("_ff")
 
 
-def attempt_outcomes(attempts: DataFrame, num_attempts: int, key: str = "func") -> DataFrame:
+def attempt_outcomes(attempts: DataFrame, num_attempts: int | None = None, key: str = "func") -> DataFrame:
     """Per function, attempts run in order until the first success.
 
-    At most ``max(1, num_attempts)`` validations count. Result is Success or
+    At most ``max(1, num_attempts)`` validations count (all by default). Result is Success or
     the category of the last attempt used. Pure aggregates (first success =
     min attempt among successes, last = max struct), no window.
     """
-    limit = max(1, num_attempts)
-    a = attempts.where(F.col("attempt") <= limit)
+    a = attempts if num_attempts is None else attempts.where(F.col("attempt") <= max(1, num_attempts))
     g = a.groupBy(key).agg(
         F.min(F.when(F.col("success"), F.col("attempt"))).alias("_first_ok"),
         F.max(F.struct("attempt", "category")).alias("_last"))
@@ -252,7 +263,7 @@ def executable_targets(db_lines: DataFrame, project: str = "project") -> tuple[D
     """Make targets that are neither ``.PHONY`` nor the makefile itself.
 
     Returns (targets, report) where the report lists projects that do not
-    have exactly one target.
+    have exactly one target, those without any included.
     """
     line = F.col("line")
     targets = (db_lines.where(line.rlike(MAKE_TARGET_PATTERN))
@@ -262,7 +273,9 @@ def executable_targets(db_lines: DataFrame, project: str = "project") -> tuple[D
              .where(F.col("target") != ""))
     real = (targets.where(F.col("target") != MAKEFILE)
             .join(phony, [project, "target"], "left_anti").distinct())
-    report = (real.groupBy(project).agg(F.count(F.lit(1)).alias("n_targets"))
+    counts = real.groupBy(project).agg(F.count(F.lit(1)).alias("_n"))
+    report = (db_lines.select(project).distinct().join(counts, project, "left")
+              .select(project, F.coalesce("_n", F.lit(0)).cast("bigint").alias("n_targets"))
               .where(F.col("n_targets") != 1))
     return real, report
 

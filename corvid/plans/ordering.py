@@ -65,20 +65,3 @@ def materialize(df: DataFrame, name: str = "frame") -> DataFrame:
     from corvid.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame, factor: int = 1) -> DataFrame:
-    """Make sure CPU-heavy per-row work has at least ``factor`` x the cluster's
-    parallelism in partitions.
-
-    A no-op when the input already has enough splits (the normal case for
-    large inputs). Otherwise a round-robin repartition followed by a
-    generator barrier (``inline`` of a one-element array): Catalyst would
-    otherwise push downstream predicates, and the expensive expressions they
-    reference, below the exchange into the few scan tasks.
-    """
-    want = df.sparkSession.sparkContext.defaultParallelism * factor
-    if df.rdd.getNumPartitions() >= want:
-        return df
-    out = df.repartition(want)
-    return out.select(F.inline(F.array(F.struct(*[F.col(c) for c in out.columns]))))

@@ -63,9 +63,3 @@ SELECT n, level, row_number() OVER (ORDER BY level, n) - 1 AS position FROM leve
 def g1(spark, d):
     nodes, edges = _graph(spark, d)
     return G.callee_first_order(G.levels_callee_first(nodes, edges))
-
-
-@register("g6_cycle_fallback", "G")
-def g6(spark, d):
-    edges, roots = views.cyclic_graphs(spark, d)
-    return G.cycle_fallback(edges, roots)

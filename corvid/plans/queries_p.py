@@ -18,24 +18,24 @@ def _bits(v):
 
 
 _PROFILE_SQL = f"""{_PX},
-f AS (SELECT image_id, bool_or(r <> g OR r <> b) AS coloured, bool_or(a <> 255) AS alpha_needed,
-             bool_or(a > 0 AND a < 255) AS partial,
+f AS (SELECT image_id, bool_or(r <> g OR r <> b) AS coloured, bool_or(a > 0 AND a < 255) AS partial, bool_or(a <> 255) AS some_alpha,
              count(DISTINCT CASE WHEN a = 0 THEN {_RGB} END) AS nk, min(CASE WHEN a = 0 THEN {_RGB} END) AS k,
-             max(greatest({_bits('r')}, {_bits('g')}, {_bits('b')}, {_bits('a')})) AS bits,
-             least(count(DISTINCT {_PACK}), 257) AS colours
+             max({_bits('r')}) AS rbits, count(DISTINCT {_PACK}) AS colours, count(*) AS n_pixels
       FROM pixels GROUP BY image_id),
-profile AS (
-  SELECT image_id, coloured,
-         nk = 1 AND NOT partial AND NOT EXISTS (
+kp AS (
+  SELECT *, nk = 1 AND NOT partial AND NOT EXISTS (
            SELECT 1 FROM pixels p WHERE p.image_id = f.image_id AND p.a = 255
-             AND CAST(p.r AS BIGINT) * 16777216 + CAST(p.g AS BIGINT) * 65536 + CAST(p.b AS BIGINT) * 256 = f.k)
-           AS key_possible,
-         alpha_needed, CAST(bits AS INTEGER) AS bits, colours
-  FROM f)"""
+             AND CAST(p.r AS BIGINT) * 16777216 + CAST(p.g AS BIGINT) * 65536 + CAST(p.b AS BIGINT) * 256 = f.k) AS key_possible
+  FROM f),
+profile AS (
+  SELECT image_id, coloured, key_possible, some_alpha AND NOT key_possible AS alpha_needed,
+         CAST(CASE WHEN coloured OR (some_alpha AND NOT key_possible) THEN 8 ELSE rbits END AS INTEGER) AS bits, colours, n_pixels
+  FROM kp)"""
 
 
 @register("p6_colour_counts", "P", oracle=f"""
-WITH {_PX} SELECT image_id, least(count(DISTINCT {_PACK}), 257) AS colours FROM pixels GROUP BY image_id""")
+WITH {_PX}, n AS (SELECT image_id, count(DISTINCT {_PACK}) AS colours FROM pixels GROUP BY image_id)
+SELECT image_id, colours, colours <= 256 AS fits_palette FROM n""")
 def p6(spark, d):
     return P.colour_counts(views.pixels(spark, d))
 
@@ -48,22 +48,23 @@ def p7(spark, d):
 
 @register("p8_minimal_colour_mode", "P", oracle=f"""
 WITH {_PROFILE_SQL},
-m AS (SELECT image_id, CASE WHEN NOT coloured AND NOT alpha_needed THEN 'grey'
-                            WHEN NOT coloured AND key_possible THEN 'grey+key'
-                            WHEN NOT coloured THEN 'grey+alpha'
-                            WHEN colours <= 256 THEN 'palette'
-                            WHEN NOT alpha_needed THEN 'rgb'
-                            WHEN key_possible THEN 'rgb+key' ELSE 'rgba' END AS mode, colours, bits FROM profile)
-SELECT image_id, mode,
-       CAST(CASE WHEN mode = 'palette' THEN CASE WHEN colours <= 2 THEN 1 WHEN colours <= 4 THEN 2
-                                                  WHEN colours <= 16 THEN 4 ELSE 8 END
-                 WHEN starts_with(mode, 'grey') THEN bits ELSE 8 END AS INTEGER) AS mode_bits
-FROM m""")
+a1 AS (SELECT image_id, NOT coloured AS grey, colours, n_pixels, key_possible AND n_pixels > 16 AS key,
+              alpha_needed OR (key_possible AND n_pixels <= 16) AS alpha,
+              CASE WHEN coloured OR (key_possible AND n_pixels <= 16) THEN greatest(bits, 8) ELSE bits END AS bits,
+              CASE WHEN colours <= 2 THEN 1 WHEN colours <= 4 THEN 2 WHEN colours <= 16 THEN 4 ELSE 8 END AS pbits FROM profile),
+a2 AS (SELECT *, colours <= 256 AND bits <= 8 AND n_pixels >= 2 * colours AND NOT (grey AND NOT alpha AND bits <= pbits) AS pal FROM a1)
+SELECT image_id,
+       CASE WHEN pal THEN 'palette' WHEN grey AND alpha THEN 'grey+alpha' WHEN alpha THEN 'rgba' WHEN grey AND key THEN 'grey+key'
+            WHEN grey THEN 'grey' WHEN key THEN 'rgb+key' ELSE 'rgb' END AS mode,
+       CAST(CASE WHEN pal THEN pbits ELSE bits END AS INTEGER) AS mode_bits
+FROM a2""")
 def p8(spark, d):
     return P.minimal_colour_mode(P.colour_profile(views.pixels(spark, d))).select("image_id", "mode", "mode_bits")
 
 
-_CLEAN_SQL = f"""{_PROFILE_SQL},
+_CLEAN_SQL = f"""{_PX},
+st AS (SELECT image_id, NOT bool_or(a > 0 AND a < 255)
+              OR count(DISTINCT CASE WHEN a = 0 THEN -1 ELSE {_PACK} END) <= 256 AS same FROM pixels GROUP BY image_id),
 ft AS (SELECT image_id, r AS fr, g AS fg, b AS fb FROM (
          SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY y, x) AS rn FROM pixels WHERE a = 0) WHERE rn = 1),
 lo AS (SELECT p.*, last_value(CASE WHEN a <> 0 THEN r END IGNORE NULLS) OVER w AS lr,
@@ -72,16 +73,16 @@ lo AS (SELECT p.*, last_value(CASE WHEN a <> 0 THEN r END IGNORE NULLS) OVER w A
        FROM pixels p WINDOW w AS (PARTITION BY image_id ORDER BY y, x ROWS UNBOUNDED PRECEDING)),
 cleaned AS (
   SELECT lo.image_id, x, y,
-         CASE WHEN a = 0 AND (pr.key_possible OR pr.colours <= 256) THEN ft.fr WHEN a = 0 THEN coalesce(lr, 0) ELSE r END AS r,
-         CASE WHEN a = 0 AND (pr.key_possible OR pr.colours <= 256) THEN ft.fg WHEN a = 0 THEN coalesce(lg, 0) ELSE g END AS g,
-         CASE WHEN a = 0 AND (pr.key_possible OR pr.colours <= 256) THEN ft.fb WHEN a = 0 THEN coalesce(lb, 0) ELSE b END AS b,
+         CASE WHEN a = 0 AND same THEN ft.fr WHEN a = 0 THEN coalesce(lr, 0) ELSE r END AS r,
+         CASE WHEN a = 0 AND same THEN ft.fg WHEN a = 0 THEN coalesce(lg, 0) ELSE g END AS g,
+         CASE WHEN a = 0 AND same THEN ft.fb WHEN a = 0 THEN coalesce(lb, 0) ELSE b END AS b,
          a
-  FROM lo JOIN profile pr USING (image_id) LEFT JOIN ft USING (image_id))"""
+  FROM lo JOIN st USING (image_id) LEFT JOIN ft USING (image_id))"""
 
 
 def _cleaned(spark, d):
     px = views.pixels(spark, d)
-    return px, P.clean_transparent(px, P.colour_profile(px))
+    return px, P.clean_transparent(px)
 
 
 @register("p9_clean_transparent", "P", oracle=f"""
@@ -116,8 +117,8 @@ def p4(spark, d):
 
 @register("p2_keep_better", "P", oracle=f"""
 WITH {views.FILES_SQL}
-SELECT name, CASE WHEN old_size IS NOT NULL AND out_size >= old_size THEN 'old' ELSE 'new' END AS kept,
-       CASE WHEN old_size IS NOT NULL AND out_size >= old_size THEN old_size ELSE out_size END AS final_size
+SELECT name, CASE WHEN old_size IS NOT NULL AND out_size >= old_size AND name = out_name THEN 'old' ELSE 'new' END AS kept,
+       CASE WHEN old_size IS NOT NULL AND out_size >= old_size AND name = out_name THEN old_size ELSE out_size END AS final_size
 FROM files""")
 def p2(spark, d):
     return P.keep_better(views.image_files(spark, d)).select("name", "kept", "final_size")
@@ -125,7 +126,7 @@ def p2(spark, d):
 
 @register("p5_size_report", "P", oracle=f"""
 WITH {views.FILES_SQL},
-k AS (SELECT *, CASE WHEN old_size IS NOT NULL AND out_size >= old_size THEN old_size ELSE out_size END AS fin FROM files)
+k AS (SELECT *, CASE WHEN old_size IS NOT NULL AND out_size >= old_size AND name = out_name THEN old_size ELSE out_size END AS fin FROM files)
 SELECT count(*) AS tried, CAST(count_if(NOT error AND fin < in_size) AS BIGINT) AS smaller,
        CAST(count_if(NOT error AND fin = in_size) AS BIGINT) AS equal,
        CAST(count_if(error) AS BIGINT) AS errors,
@@ -133,7 +134,7 @@ SELECT count(*) AS tried, CAST(count_if(NOT error AND fin < in_size) AS BIGINT)
        CAST(coalesce(sum(CASE WHEN NOT error THEN in_size END), 0) AS BIGINT) AS total_in,
        CAST(coalesce(sum(CASE WHEN NOT error THEN fin END), 0) AS BIGINT) AS total_out,
        round(CAST(coalesce(sum(CASE WHEN NOT error THEN fin END), 0) AS BIGINT) * 100.0
-             / CAST(coalesce(sum(CASE WHEN NOT error THEN in_size END), 0) AS BIGINT), 3) AS percent
+             / nullif(CAST(coalesce(sum(CASE WHEN NOT error THEN in_size END), 0) AS BIGINT), 0), 3) AS percent
 FROM k""")
 def p5(spark, d):
     return P.size_report(views.image_files(spark, d))
@@ -191,10 +192,17 @@ SELECT i.image_id, c.ordinal, c.name,
             AS BIGINT) AS length,
        c.anc AS ancillary, FALSE AS private, c.safe AS safe_to_copy, c.loc AS location, TRUE AS crc_ok,
        CAST(NULL AS VARCHAR) AS error
-FROM imgs i, c""")
+FROM imgs i, c WHERE i.image_id % 5 <> 3 AND (i.image_id % 5 <> 2 OR c.ordinal < 3)
+UNION ALL
+SELECT image_id, CASE WHEN image_id % 5 = 2 THEN 3 ELSE 0 END, NULL, NULL, NULL, NULL, NULL, CASE WHEN image_id % 5 = 2 THEN 2 ELSE 0 END,
+       NULL, 'truncated' FROM imgs WHERE image_id % 5 IN (2, 3)""")
 def p11(spark, d):
     px = views.pixels(spark, d)
     dims = px.groupBy("image_id").agg((F.max("x") + 1).alias("w"), F.max("y").alias("h"))
     text = P.png_chunk("tEXt", F.encode(F.concat(F.lit("Comment\u0000image "), F.col("image_id").cast("string")), "UTF-8"))
     blob = P.png_bytes(F.col("w").cast("int"), F.col("h").cast("int"), extra_chunks=text)
-    return P.image_chunks(dims.select("image_id", blob.alias("data")))
+    k = F.col("image_id") % 5
+    # bytes after IEND, an end without IEND, and blobs of the signature alone
+    data = (F.when(k == 1, F.concat("png", F.unhex(F.lit("0A0B")))).when(k == 2, F.expr("substring(png, 1, octet_length(png) - 12)"))
+            .when(k == 3, F.substring("png", 1, 8)).otherwise(F.col("png")))
+    return P.image_chunks(dims.select("image_id", blob.alias("png")).select("image_id", data.alias("data")))

@@ -14,7 +14,7 @@ TS_SQL = "%Y-%m-%d %H:%M:%S"
 WITH {views.RUNS_SQL}
 SELECT task, run_name,
        regexp_extract(run_name, '^run_(.+)_([0-9]{{8}}_[0-9]{{6}})$', 1) AS agent,
-       strftime(strptime(regexp_extract(run_name, '^run_(.+)_([0-9]{{8}}_[0-9]{{6}})$', 2), '%Y%m%d_%H%M%S'),
+       strftime(try_strptime(regexp_extract(run_name, '^run_(.+)_([0-9]{{8}}_[0-9]{{6}})$', 2), '%Y%m%d_%H%M%S'),
                 '{TS_SQL}') AS started_at
 FROM runs""")
 def r2(spark, d):
@@ -47,18 +47,18 @@ def r4(spark, d):
 WITH {views.TASKS_SQL}, {views.RUNS_SQL}, agents(agent) AS (VALUES {_AGENTS_SQL}),
 grid AS (SELECT category, task, agent FROM tasks, agents)
 SELECT category, task, agent FROM grid g
-WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.task = g.task
+WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.task = g.task AND r.category = g.category
                   AND regexp_extract(r.run_name, '^run_(.+)_([0-9]{{8}}_[0-9]{{6}})$', 1) = g.agent)""")
 def r5(spark, d):
     grid = R.run_grid(views.tasks(spark, d), views.AGENTS)
-    return R.pending_runs(grid, views.runs(spark, d).select("task", "run_name"))
+    return R.pending_runs(grid, views.runs(spark, d).select("category", "task", "run_name"))
 
 
 @register("r6_manifest_check", "R", oracle=f"""
 WITH {views.TASKS_SQL}, {views.RUNS_SQL},
 declared AS (SELECT category, count(*) AS n FROM tasks GROUP BY category),
 actual AS (SELECT t.category, count(DISTINCT t.task) AS n
-           FROM tasks t WHERE t.task IN (SELECT task FROM runs) GROUP BY t.category)
+           FROM tasks t WHERE (t.category, t.task) IN (SELECT (category, task) FROM runs) GROUP BY t.category)
 SELECT coalesce(d.category, a.category) AS category,
        coalesce(d.n, 0) AS declared, coalesce(a.n, 0) AS actual,
        CASE WHEN coalesce(d.n, 0) = coalesce(a.n, 0) THEN 'ok' ELSE 'mismatch' END AS status
@@ -66,8 +66,8 @@ FROM declared d FULL OUTER JOIN actual a ON d.category = a.category""")
 def r6(spark, d):
     tasks = views.tasks(spark, d)
     declared = tasks.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
-    ran = views.runs(spark, d).select("task").distinct()
-    actual = (tasks.join(ran, "task", "left_semi")
+    ran = views.runs(spark, d).select("category", "task").distinct()
+    actual = (tasks.join(ran, ["category", "task"], "left_semi")
               .groupBy("category").agg(F.count(F.lit(1)).alias("n")))
     return R.manifest_check(declared, actual)
 

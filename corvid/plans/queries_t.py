@@ -23,11 +23,11 @@ def t11(spark, d):
                     F.size("ret").alias("n_ret"))
 
 
-_RENDER_SQL = """CASE WHEN ctype = 'int' THEN CAST(CAST(raw AS BIGINT) AS VARCHAR)
+_RENDER_SQL = """CASE WHEN ctype = 'int' THEN CAST(TRY_CAST(raw AS BIGINT) AS VARCHAR)
      WHEN ctype = 'double' THEN printf('%f', CAST(raw AS DOUBLE))
-     WHEN ctype = 'char*' THEN substring(raw, 1, 100)
-     WHEN ctype = 'void*' AND CAST(raw AS BIGINT) = 0 THEN '(nil)'
-     WHEN ctype = 'void*' THEN printf('0x%x', CAST(raw AS BIGINT))
+     WHEN ctype = 'char*' THEN raw
+     WHEN ctype = 'void*' AND TRY_CAST(raw AS UBIGINT) = 0 THEN '(nil)'
+     WHEN ctype = 'void*' THEN '0x' || lower(hex(TRY_CAST(raw AS UBIGINT)))
      ELSE '<unsupported>' END"""
 
 
@@ -39,7 +39,7 @@ def t3(spark, d):
     return t.select("seq", "ctype", TT.render_value(F.col("ctype"), F.col("raw")).alias("rendered"))
 
 
-_CLASSIFY_SQL = """CASE WHEN r = '<unsupported>' THEN 'unsupported'
+_CLASSIFY_SQL = """CASE WHEN r IS NULL THEN NULL WHEN r = '<unsupported>' THEN 'unsupported'
      WHEN r = '(nil)' OR r = '0x0' THEN 'null pointer'
      WHEN regexp_matches(r, '^0x[0-9a-f]+$') THEN 'address'
      WHEN regexp_matches(r, '^-?[0-9]+$') THEN 'integer'

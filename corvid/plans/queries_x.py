@@ -9,8 +9,6 @@ from corvid.plans.catalog import register
 from corvid.sources.tables import table
 
 _A, _TS = views.ATTEMPTS_SQL, views.TESTS_SQL
-MAX_ATTEMPTS = 3
-
 
 @register("x4_resolve_source_path", "X", oracle=f"""
 WITH {views.COMMANDS_SQL}
@@ -33,12 +31,12 @@ def x5(spark, d):
 @register("x6_classify_failure", "X", oracle=f"""
 WITH {views.MESSAGES_SQL}
 SELECT okey, attempt,
-       CASE WHEN contains(message, 'Timeout') THEN 'timeout'
-            WHEN contains(message, 'rust-lld: error:') THEN 'linker' ELSE 'compile error' END AS kind
+       CASE WHEN category = 'Test Failure' THEN 'test failure' WHEN contains(message, 'Timeout') THEN 'timeout'
+            WHEN contains(message, 'rust-lld: error:') THEN 'linker' WHEN message IS NOT NULL THEN 'compile error' END AS kind
 FROM messages""")
 def x6(spark, d):
     m = views.messages(spark, d)
-    return m.select("okey", "attempt", X.classify_failure(F.col("message")).alias("kind"))
+    return m.select("okey", "attempt", X.classify_failure(F.col("message"), F.col("category")).alias("kind"))
 
 
 # Model registry: configuration, a handful of rows.
@@ -122,21 +120,40 @@ def x18(spark, d):
     return X.extract_span(views.spans(spark, d), views.src_lines(spark, d))
 
 
+# Three spans for each file with a span; the last two begin or end on one line.
+_SPANS19_SQL = f"""{_SPAN_SQL},
+spans3 AS (
+  SELECT file, start_line, start_col, end_line, end_col FROM spans
+  UNION ALL SELECT file, end_line + 2, start_col + 3, end_line + 4, end_col FROM spans
+  UNION ALL SELECT file, end_line + 4, end_col + 5, end_line + 4, end_col + 9 FROM spans)"""
+
+
+def _spans19(spark, d):
+    s = views.spans(spark, d)
+    end, col = F.col("end_line"), F.col("end_col")
+    one = s.select("file", "start_line", "start_col", "end_line", "end_col")
+    two = s.select("file", end + 2, F.col("start_col") + 3, end + 4, col)
+    return one.union(two).union(s.select("file", end + 4, col + 5, end + 4, col + 9))
+
+
 @register("x19_comment_out_span", "X", oracle=f"""
-WITH {_SPAN_SQL},
-j AS (SELECT l.file, l.line_no, l.line, s.start_line, s.end_line, s.end_col
-      FROM src_lines l LEFT JOIN spans s ON l.file = s.file)
+WITH {_SPANS19_SQL},
+l AS (SELECT file, line_no, regexp_replace(line, '\\s+$', '') AS line FROM src_lines),
+f AS (
+  SELECT l.file, l.line_no, l.line, coalesce(bool_or(s.start_line < line_no AND line_no <= s.end_line), FALSE) AS inside,
+         coalesce(bool_or(s.start_line <= line_no AND line_no < s.end_line), FALSE) AS goes_on,
+         min(CASE WHEN s.start_line = line_no THEN s.start_col END) AS c1,
+         max(CASE WHEN s.end_line = line_no THEN s.end_col END) AS c2
+  FROM l LEFT JOIN spans3 s ON l.file = s.file GROUP BY ALL),
+h AS (SELECT *, CASE WHEN c2 IS NOT NULL AND NOT goes_on THEN substring(line, 1, c2) ELSE line END AS head,
+             CASE WHEN c2 IS NOT NULL AND NOT goes_on THEN substring(line, c2 + 1) ELSE '' END AS tail FROM f)
 SELECT file, line_no, 0 AS part,
-       rtrim(CASE WHEN line_no BETWEEN start_line AND end_line AND line_no = end_line
-                    THEN '// ' || substring(line, 1, end_col)
-                  WHEN line_no BETWEEN start_line AND end_line THEN '// ' || line
-                  ELSE line END) AS line
-FROM j
-UNION ALL
-SELECT file, line_no, 1, rtrim(substring(line, end_col + 1)) FROM j
-WHERE line_no = end_line AND line_no >= start_line AND length(rtrim(substring(line, end_col + 1))) > 0""")
+       CASE WHEN inside THEN '// ' || head
+            WHEN c1 IS NOT NULL THEN substring(head, 1, c1 - 1) || '// ' || substring(head, c1) ELSE head END AS line
+FROM h
+UNION ALL SELECT file, line_no, 1, tail FROM h WHERE tail <> ''""")
 def x19(spark, d):
-    return X.comment_out_span(views.spans(spark, d), views.src_lines(spark, d))
+    return X.comment_out_span(_spans19(spark, d), views.src_lines(spark, d))
 
 
 # Prompt texts are our own.
@@ -196,7 +213,8 @@ def x22(spark, d):
 _RESP_SQL = """responses AS (
   SELECT conv_id, turn,
          CASE WHEN turn % 3 = 0 THEN '' ELSE '<IMPORTS>' || chr(10) || 'use std::io;' || chr(10) || '</IMPORTS>' || chr(10) END
-         || CASE WHEN turn % 4 = 1 THEN '' ELSE '<FUNC>' || chr(10) || '```rust' || chr(10) || text || chr(10) || '```' || chr(10) || '</FUNC>' || chr(10) END
+         || CASE WHEN turn % 4 = 1 THEN '' ELSE '<FUNC>' || chr(10) || '```rust' || chr(10) || text || chr(10) || '```' || chr(10)
+                     || CASE WHEN conv_id % 5 = 2 THEN '' ELSE '</FUNC>' || chr(10) END END
          || '<WRAPPER>' || chr(10) || '  fn wrapper_' || CAST(conv_id AS VARCHAR) || '() {}  ' || chr(10) || '</WRAPPER>' AS response
   FROM conversations WHERE role = 'assistant')"""
 
@@ -206,7 +224,8 @@ def _responses(spark, d):
     nl = F.lit("\n")
     imports = F.when(F.col("turn") % 3 == 0, F.lit("")).otherwise(F.lit("<IMPORTS>\nuse std::io;\n</IMPORTS>\n"))
     func = F.when(F.col("turn") % 4 == 1, F.lit("")).otherwise(
-        F.concat(F.lit("<FUNC>\n```rust\n"), F.col("text"), nl, F.lit("```\n</FUNC>\n")))
+        F.concat(F.lit("<FUNC>\n```rust\n"), F.col("text"), nl, F.lit("```\n"),
+                 F.when(F.col("conv_id") % 5 == 2, "").otherwise("</FUNC>\n")))
     wrapper = F.concat(F.lit("<WRAPPER>\n  fn wrapper_"), F.col("conv_id").cast("string"), F.lit("() {}  \n</WRAPPER>"))
     return c.select("conv_id", "turn", F.concat(imports, func, wrapper).alias("response"))
 
@@ -216,7 +235,7 @@ def _strip_sql(x: str) -> str:
 
 
 def _tag_sql(tag: str) -> str:
-    inner = f"regexp_extract(response, '(?s)<{tag}>\\n(.*?)</{tag}>', 1)"
+    inner = f"coalesce(string_split(string_split(response, '<{tag}>' || chr(10))[2], '</{tag}>')[1], '')"
     return _strip_sql(f"replace(replace({inner}, '```rust', ''), '```', '')")
 
 
@@ -224,7 +243,7 @@ def _tag_sql(tag: str) -> str:
 WITH {_RESP_SQL}
 SELECT conv_id, turn, {_tag_sql('FUNC')} AS func, {_tag_sql('WRAPPER')} AS wrapper,
        {_tag_sql('IMPORTS')} AS imports,
-       NOT (regexp_matches(response, '(?s)<FUNC>\\n.*?</FUNC>') AND regexp_matches(response, '(?s)<WRAPPER>\\n.*?</WRAPPER>'))
+       NOT (contains(response, '<FUNC>' || chr(10)) AND contains(response, '<WRAPPER>' || chr(10)))
          AS retry
 FROM responses""")
 def x23(spark, d):
@@ -267,13 +286,13 @@ outcomes AS (
          CASE WHEN min(CASE WHEN success THEN attempt END) IS NOT NULL THEN 'Success'
               ELSE arg_max(category, attempt) END AS result,
          coalesce(min(CASE WHEN success THEN attempt END), max(attempt)) AS attempts_used
-  FROM attempts WHERE attempt <= {MAX_ATTEMPTS} GROUP BY func, okey)"""
+  FROM attempts GROUP BY func, okey)"""
 
 
 @register("x13_attempt_outcomes", "X", oracle=f"""
 WITH {_OUT_SQL} SELECT func, result, attempts_used FROM outcomes""")
 def x13(spark, d):
-    return X.attempt_outcomes(views.attempts(spark, d), MAX_ATTEMPTS)
+    return X.attempt_outcomes(views.attempts(spark, d))
 
 
 @register("x12_result_summary", "X", oracle=f"""
@@ -283,7 +302,7 @@ SELECT CASE okey % 3 WHEN 0 THEN 'model-a' WHEN 1 THEN 'model-b' ELSE 'model-c'
 FROM outcomes GROUP BY ALL""")
 def x12(spark, d):
     a = views.attempts(spark, d)
-    out = X.attempt_outcomes(a, MAX_ATTEMPTS).join(a.select("func", "okey").distinct(), "func")
+    out = X.attempt_outcomes(a).join(a.select("func", "okey").distinct(), "func")
     models = F.array(*[F.lit(m) for m in views.MODELS])
     # one log per (model, batch of 100 functions): bounded result arrays
     logs = (out.withColumn("model", F.element_at(models, (F.col("okey") % 3 + 1).cast("int")))
@@ -297,7 +316,7 @@ def x12(spark, d):
 WITH {views.DB_LINES_SQL},
 t AS (SELECT project, split_part(line, ':', 1) AS target FROM db_lines
       WHERE regexp_matches(line, '^[a-zA-Z0-9_-]+:([^=]|$)')),
-ph AS (SELECT project, trim(split_part(line, ':', 2)) AS target FROM db_lines WHERE starts_with(line, '.PHONY:'))
+ph AS (SELECT project, unnest(regexp_extract_all(split_part(line, ':', 2), '\\S+')) AS target FROM db_lines WHERE starts_with(line, '.PHONY:'))
 SELECT DISTINCT project, target FROM t
 WHERE target <> 'Makefile' AND NOT EXISTS (SELECT 1 FROM ph WHERE ph.project = t.project AND ph.target = t.target)""")
 def x16(spark, d):
@@ -309,10 +328,11 @@ def x16(spark, d):
 WITH {views.DB_LINES_SQL},
 t AS (SELECT project, split_part(line, ':', 1) AS target FROM db_lines
       WHERE regexp_matches(line, '^[a-zA-Z0-9_-]+:([^=]|$)')),
-ph AS (SELECT project, trim(split_part(line, ':', 2)) AS target FROM db_lines WHERE starts_with(line, '.PHONY:')),
+ph AS (SELECT project, unnest(regexp_extract_all(split_part(line, ':', 2), '\\S+')) AS target FROM db_lines WHERE starts_with(line, '.PHONY:')),
 r AS (SELECT DISTINCT project, target FROM t
       WHERE target <> 'Makefile' AND NOT EXISTS (SELECT 1 FROM ph WHERE ph.project = t.project AND ph.target = t.target))
-SELECT project, count(*) AS n_targets FROM r GROUP BY project HAVING count(*) <> 1""")
+SELECT p.project, count(r.target) AS n_targets FROM (SELECT DISTINCT project FROM db_lines) p
+LEFT JOIN r ON p.project = r.project GROUP BY p.project HAVING count(r.target) <> 1""")
 def x16b(spark, d):
     _, report = X.executable_targets(views.db_lines(spark, d))
     return report
@@ -328,51 +348,3 @@ def x17(spark, d):
     c = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
     actual = c.withColumn("role", F.when(F.col("turn") == 0, F.upper("role")).otherwise(F.col("role")))
     return X.compare_golden(actual, c)
-
-
-def stub_model(messages, temperature):
-    """Deterministic stand-in for a model endpoint: answers in the tag format
-    with the whole last user message as the function body."""
-    last = next((m["content"] for m in reversed(messages) if m["role"] == "user"), "")
-    return f"<FUNC>\n{last}\n</FUNC>\n<WRAPPER>\nfn wrapper() {{}}\n</WRAPPER>"
-
-
-@register("x24_batch_generate", "X", oracle="""
-WITH lastu AS (SELECT conv_id, arg_max(text, turn) AS t FROM conversations WHERE role = 'user' GROUP BY conv_id),
-convs AS (SELECT DISTINCT conv_id FROM conversations)
-SELECT c.conv_id AS request_id, 1 AS sample, 1 AS tries, CAST(NULL AS VARCHAR) AS error, FALSE AS retry,
-       CAST(length(regexp_replace(replace(replace(coalesce(l.t, '') || chr(10), '```rust', ''), '```', ''),
-                                  '^\\s+|\\s+$', '', 'g')) AS INTEGER) AS func_chars
-FROM convs c LEFT JOIN lastu l USING (conv_id)""")
-def x24(spark, d):
-    c = table(spark, d, "conversations")
-    reqs = (c.groupBy("conv_id")
-            .agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m"))
-            .select(F.col("conv_id").alias("request_id"),
-                    F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
-                    .alias("messages")))
-    gen = X.batch_generate(reqs, stub_model, n=1, pause_s=0.0)
-    t = X.extract_tags(F.col("response"))
-    return gen.select("request_id", "sample", "tries", "error", t.retry.alias("retry"),
-                      F.length(t.func).alias("func_chars"))
-
-
-def stub_embed(texts, dim=64):
-    """Deterministic stand-in for an embedding endpoint (feature hashing of words)."""
-    import zlib
-    out = []
-    for t in texts:
-        v = [0.0] * dim
-        for w in t.split():
-            h = zlib.crc32(w.encode("utf-8"))
-            v[h % dim] += 1.0 if (h >> 16) & 1 else -1.0
-        out.append(v)
-    return out
-
-
-@register("x25_batch_embed", "X", oracle="""
-SELECT doc_id AS id, 64 AS dim, CAST(NULL AS VARCHAR) AS error FROM documents""")
-def x25(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    e = X.batch_embed(docs, stub_embed, pause_s=0.0)
-    return e.select("id", F.size("embedding").alias("dim"), "error")

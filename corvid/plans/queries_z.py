@@ -208,16 +208,3 @@ FROM n""")
 def z19(spark, d):
     c = Z.chunk(views.documents_text(spark, d), K, "text", CHUNK)
     return c.select("doc_id", "chunk_no", "offset", F.length("piece").alias("length"), F.md5("piece").alias("md5"))
-
-
-@register("z11_compress_report", "Z")
-def z11(spark, d):
-    t = views.documents_text(spark, d).select(F.col("doc_id").alias("id"), BF.utf8(F.col("text")).alias("data"))
-    rep = Z.compress_report(t, ("zlib", "gzip", "deflate"), (1, 9))
-    v = rep.select("id", F.concat_ws(":", "codec", F.col("level").cast("string")).alias("name"),
-                   F.col("out_size").alias("size"), "round_trip",
-                   (F.when(F.col("codec") == "zlib", 0).when(F.col("codec") == "gzip", 2).otherwise(4)
-                    + F.when(F.col("level") == 1, 0).otherwise(1)).alias("ordinal"))
-    best = Z.pick_smallest(v, ["id"])
-    return best.join(rep.groupBy("id").agg(F.bool_and("round_trip").alias("round_trip"),
-                                           F.max("in_size").alias("in_size")), "id")

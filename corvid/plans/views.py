@@ -35,34 +35,46 @@ def samples(spark: SparkSession, d: str) -> DataFrame:
 AGENTS = ["af", "ao", "nf", "no", "rf", "ro"]
 
 TASKS_SQL = """tasks AS (
-  SELECT p_type AS category, 't' || CAST(p_partkey AS VARCHAR) AS task FROM part)"""
+  SELECT ['creation', 'debugging', 'refactoring', 'translation'][1 + p_partkey % 4] AS category,
+         't' || CAST(p_partkey // 4 AS VARCHAR) AS task FROM part)"""
 
 RUNS_SQL = """runs AS (
-  SELECT 't' || CAST(l_partkey AS VARCHAR) AS task,
+  SELECT ['creation', 'debugging', 'refactoring', 'translation'][1 + l_partkey % 4] AS category,
+         't' || CAST(l_partkey // 4 AS VARCHAR) AS task,
          lower(l_returnflag || l_linestatus) AS agent,
          l_shipdate AS started_at,
-         'run_' || lower(l_returnflag || l_linestatus) || '_' || strftime(l_shipdate, '%Y%m%d_%H%M%S') AS run_name,
+         CASE WHEN l_linenumber = 7 AND l_partkey % 2 = 0 THEN 'run_' || lower(l_returnflag || l_linestatus) || '_20249999_000000'
+              ELSE 'run_' || lower(l_returnflag || l_linestatus) || '_' || strftime(l_shipdate, '%Y%m%d_%H%M%S') END AS run_name,
          l_linenumber % 3 AS return_code
   FROM lineitem)"""
 
 
 def tasks(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select(
-        F.col("p_type").alias("category"),
-        F.concat(F.lit("t"), F.col("p_partkey").cast("string")).alias("task"))
+    return table(spark, d, "part").select(_category("p_partkey"), _task("p_partkey"))
+
+
+def _category(key: str):
+    names = F.array(*[F.lit(c) for c in ("creation", "debugging", "refactoring", "translation")])
+    return F.get(names, (F.col(key) % 4).cast("int")).alias("category")
+
+
+def _task(key: str):
+    """Names repeat across the categories."""
+    return F.concat(F.lit("t"), F.expr(f"{key} div 4").cast("string")).alias("task")
 
 
 def runs(spark: SparkSession, d: str) -> DataFrame:
     from corvid.operators.runs import format_run_name
-    from corvid.plans.ordering import spread
-    li = spread(table(spark, d, "lineitem").select("l_partkey", "l_returnflag", "l_linestatus", "l_shipdate",
+    li = (table(spark, d, "lineitem").select("l_partkey", "l_returnflag", "l_linestatus", "l_shipdate",
                                                    "l_linenumber"))
     agent = F.lower(F.concat("l_returnflag", "l_linestatus"))
     return li.select(
-        F.concat(F.lit("t"), F.col("l_partkey").cast("string")).alias("task"),
+        _category("l_partkey"), _task("l_partkey"),
         agent.alias("agent"),
         F.col("l_shipdate").alias("started_at"),
-        format_run_name(agent, F.col("l_shipdate")).alias("run_name"),
+        # some stamps are no date
+        F.when((F.col("l_linenumber") == 7) & (F.col("l_partkey") % 2 == 0), F.concat(F.lit("run_"), agent, F.lit("_20249999_000000")))
+        .otherwise(format_run_name(agent, F.col("l_shipdate"))).alias("run_name"),
         (F.col("l_linenumber") % 3).alias("return_code"))
 
 
@@ -258,8 +270,7 @@ TRACE_SQL = """trace AS (
 def trace_raw(spark: SparkSession, d: str, terminator: bool = True) -> DataFrame:
     """Rendered records (T2 format) for every event: ``(file, seq, value)``."""
     from corvid.functions.trace_text import render_record
-    from corvid.plans.ordering import spread
-    e = spread(table(spark, d, "events"))
+    e = (table(spark, d, "events"))
     et = F.col("event_type")
     name = (F.when(et == "signup", F.lit("set_program_name")).when(et == "purchase", F.lit("main"))
             .otherwise(et))
@@ -280,21 +291,24 @@ def trace(spark: SparkSession, d: str) -> DataFrame:
 
 
 TYPED_SQL = """typed AS (
-  SELECT event_id AS seq, 'int' AS ctype, CAST(user_id AS VARCHAR) AS raw FROM events
+  SELECT event_id AS seq, 'int' AS ctype, CASE WHEN event_id % 97 = 0 THEN 'oops' ELSE CAST(user_id AS VARCHAR) END AS raw FROM events
   UNION ALL SELECT event_id, 'double', CAST(value AS VARCHAR) FROM events
   UNION ALL SELECT event_id, 'char*', CASE WHEN event_type = 'view' THEN repeat(props, 20) ELSE props END FROM events
-  UNION ALL SELECT event_id, 'void*', CAST(event_id * 4096 AS VARCHAR) FROM events
+  UNION ALL SELECT event_id, 'void*', CASE WHEN event_id % 89 = 0 THEN '18446744073709551615' WHEN event_id % 89 = 1 THEN 'x' ELSE CAST(event_id * 4096 AS VARCHAR) END FROM events
   UNION ALL SELECT event_id, 'struct stat', '' FROM events)"""
 
 
 def typed_values(spark: SparkSession, d: str) -> DataFrame:
-    from corvid.plans.ordering import spread
-    e = spread(table(spark, d, "events")).select(
-        F.col("event_id").alias("seq"), "user_id", "value",
+    e = (table(spark, d, "events")).select(
+        F.col("event_id").alias("seq"), "value",
+        F.when(F.col("event_id") % 97 == 0, "oops").otherwise(F.col("user_id").cast("string")).alias("whole"),
+        # the largest unsigned 64-bit value, and text that is no number
+        F.when(F.col("event_id") % 89 == 0, str((1 << 64) - 1)).when(F.col("event_id") % 89 == 1, "x")
+        .otherwise((F.col("event_id") * 4096).cast("string")).alias("address"),
         F.when(F.col("event_type") == "view", F.repeat("props", 20)).otherwise(F.col("props")).alias("chars"))
     return e.select("seq", F.expr(
-        "stack(5, 'int', cast(user_id as string), 'double', cast(value as string), 'char*', chars, "
-        "'void*', cast(seq * 4096 as string), 'struct stat', '') as (ctype, raw)"))
+        "stack(5, 'int', whole, 'double', cast(value as string), 'char*', chars, "
+        "'void*', address, 'struct stat', '') as (ctype, raw)"))
 
 
 POSITIONAL_SQL = """pos AS (
@@ -308,8 +322,7 @@ def positional_trace(spark: SparkSession, d: str) -> DataFrame:
     """Old-format records (positional args) for every event, parsed back."""
     from corvid.functions.trace_text import render_record
     from corvid.operators.trace import parse_records
-    from corvid.plans.ordering import spread
-    e = spread(table(spark, d, "events"))
+    e = (table(spark, d, "events"))
     name = _fname(F.col("user_id"))
     vals = F.array(F.col("user_id").cast("string"), F.col("props"), F.format_string("%f", F.col("value")),
                    F.col("event_id").cast("string"))
@@ -386,7 +399,8 @@ MESSAGES_SQL = """messages AS (
          CASE l_returnflag WHEN 'R' THEN 'Timeout after 60 s running test_' || CAST(l_partkey AS VARCHAR)
               WHEN 'A' THEN 'rust-lld: error: undefined symbol: f' || CAST(l_partkey AS VARCHAR)
               ELSE 'error[E0308]: mismatched types in f' || CAST(l_orderkey AS VARCHAR) END
-         || CASE WHEN l_linestatus = 'F' THEN ' (Timeout)' ELSE '' END AS message
+         || CASE WHEN l_linestatus = 'F' THEN ' (Timeout)' WHEN l_linenumber = 6 THEN NULL ELSE '' END AS message,
+         CASE WHEN l_linenumber = 5 THEN 'Test Failure' ELSE 'Compile Error' END AS category
   FROM lineitem)"""
 
 
@@ -396,9 +410,10 @@ def messages(spark: SparkSession, d: str) -> DataFrame:
     base = (F.when(rf == "R", F.concat(F.lit("Timeout after 60 s running test_"), F.col("l_partkey").cast("string")))
             .when(rf == "A", F.concat(F.lit("rust-lld: error: undefined symbol: f"), F.col("l_partkey").cast("string")))
             .otherwise(F.concat(F.lit("error[E0308]: mismatched types in f"), F.col("l_orderkey").cast("string"))))
-    tail = F.when(F.col("l_linestatus") == "F", F.lit(" (Timeout)")).otherwise(F.lit(""))
+    tail = F.when(F.col("l_linestatus") == "F", F.lit(" (Timeout)")).when(F.col("l_linenumber") != 6, F.lit(""))
     return li.select(F.col("l_orderkey").alias("okey"), F.col("l_linenumber").alias("attempt"),
-                     F.concat(base, tail).alias("message"))
+                     F.concat(base, tail).alias("message"),
+                     F.when(F.col("l_linenumber") == 5, "Test Failure").otherwise("Compile Error").alias("category"))
 
 
 # Source lines: documents with one sentence per line; one span per document.
@@ -431,6 +446,7 @@ DB_LINES_SQL = """db_lines AS (
   FROM part
   UNION ALL SELECT p_size, '.PHONY: ' || replace(p_name, ' ', '_') || '_' || CAST(p_partkey AS VARCHAR)
   FROM part WHERE p_type = 'PROMO'
+  UNION ALL SELECT 1000 + p_size, t FROM part, (VALUES ('all: main.o'), ('.PHONY: all clean')) v(t) WHERE p_size > 40
   UNION ALL SELECT p_size, 'OPT:=-O2' FROM part
   UNION ALL SELECT DISTINCT p_size, 'Makefile: Makefile.in' FROM part)"""
 
@@ -441,6 +457,7 @@ def db_lines(spark: SparkSession, d: str) -> DataFrame:
     return (p.select(F.col("p_size").alias("project"), F.concat(tgt, F.lit(": main.o util.o")).alias("line"))
             .union(p.where(F.col("p_type") == "PROMO")
                    .select("p_size", F.concat(F.lit(".PHONY: "), tgt)))
+            .union(p.where("p_size > 40").select(F.col("p_size") + 1000, F.explode(F.array(F.lit("all: main.o"), F.lit(".PHONY: all clean")))))
             .union(p.select("p_size", F.lit("OPT:=-O2")))
             .union(p.select("p_size", F.lit("Makefile: Makefile.in")).distinct()))
 
@@ -464,9 +481,8 @@ matches AS (SELECT * FROM (
 
 
 def documents_text(spark: SparkSession, d: str) -> DataFrame:
-    """Documents for CPU-heavy per-document work, spread over the cluster."""
-    from corvid.plans.ordering import spread
-    return spread(table(spark, d, "documents").select("doc_id", "text"))
+    """Documents for per-document work: one scan of two columns."""
+    return (table(spark, d, "documents").select("doc_id", "text"))
 
 
 # ---------------------------------------------------------------- L lines
@@ -538,6 +554,7 @@ def pixels(spark: SparkSession, d: str) -> DataFrame:
 
 FILES_SQL = """files AS (
   SELECT 'img' || CAST(o_orderkey AS VARCHAR) || '.png' AS name,
+         CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'out_' END || 'img' || CAST(o_orderkey AS VARCHAR) || '.png' AS out_name,
          CAST(floor(o_totalprice) AS BIGINT) AS in_size,
          CAST(floor(o_totalprice) AS BIGINT) - o_custkey % 997 + CASE WHEN o_orderkey % 5 = 0 THEN 2000 ELSE 0 END
            AS out_size,
@@ -551,6 +568,8 @@ def image_files(spark: SparkSession, d: str) -> DataFrame:
     ins = F.floor("o_totalprice").cast("bigint")
     return o.select(
         F.concat(F.lit("img"), F.col("o_orderkey").cast("string"), F.lit(".png")).alias("name"),
+        F.concat(F.when(F.col("o_orderkey") % 3 == 0, "").otherwise("out_"), F.lit("img"), F.col("o_orderkey").cast("string"),
+                 F.lit(".png")).alias("out_name"),
         ins.alias("in_size"),
         (ins - F.col("o_custkey") % 997 + F.when(F.col("o_orderkey") % 5 == 0, 2000).otherwise(0)).alias("out_size"),
         F.when(F.col("o_orderkey") % 7 == 0, ins - 500).alias("old_size"),

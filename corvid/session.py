@@ -42,8 +42,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, configuring it only if unset.
 
     A cluster names a shared folder in ``spark.checkpoint.dir``; that setting
-    always wins. Only when nothing is configured (local tests) a fresh scratch
-    folder is created so ``DataFrame.checkpoint()`` works.
+    always wins. Without it, a local session gets a fresh scratch folder so
+    that ``DataFrame.checkpoint()`` works, and any other is refused.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -52,6 +52,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="corvid-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -128,15 +128,55 @@ def test_colour_profile_and_cleaning(spark):
     clash = _pixels(spark, [(9, 9, 9, 255), (9, 9, 9, 0)])
     assert not P.colour_profile(clash).first().key_possible
     mixed = _pixels(spark, [(1, 2, 3, 255), (7, 7, 7, 0), (4, 5, 6, 128), (8, 8, 8, 0)])
-    cl = P.clean_transparent(mixed, P.colour_profile(mixed)).orderBy("x").collect()
+    cl = P.clean_transparent(mixed).orderBy("x").collect()
     assert [(r.r, r.g, r.b) for r in cl] == [(1, 2, 3), (7, 7, 7), (4, 5, 6), (7, 7, 7)]
-    ok = {r.image_id: r.ok for r in P.verify_pairs(mixed, P.clean_transparent(mixed, P.colour_profile(mixed)),
+    ok = {r.image_id: r.ok for r in P.verify_pairs(mixed, P.clean_transparent(mixed),
                                                      lossy=True).collect()}
-    strict = P.verify_pairs(mixed, P.clean_transparent(mixed, P.colour_profile(mixed)), lossy=False).first().ok
+    strict = P.verify_pairs(mixed, P.clean_transparent(mixed), lossy=False).first().ok
     assert ok == {1: True} and strict is False
     assert P.colour_counts(mixed, transparent_as_one=True).first().colours == 3
 
 
+def test_cleaning_with_many_colours_and_partly_transparent(spark):
+    opaque = [(i % 256, i // 256, 7, 255) for i in range(300)]
+    keyed = _pixels(spark, opaque + [(1, 1, 1, 0), (2, 2, 2, 0)])
+    out = P.clean_transparent(keyed).orderBy("x").collect()
+    assert [(r.r, r.g, r.b) for r in out[-2:]] == [(1, 1, 1), (1, 1, 1)]     # no pixel is partly transparent
+    rows = [(1, x, y, *p) for y, line in enumerate([opaque + [(5, 5, 5, 9)], [(1, 1, 1, 0), (3, 3, 3, 128), (2, 2, 2, 0)]]) for x, p in enumerate(line)]
+    both = spark.createDataFrame(rows, "image_id long, x int, y int, r int, g int, b int, a int")
+    out = P.clean_transparent(both).where("y = 1").orderBy("x").collect()
+    assert [(r.r, r.g, r.b) for r in out] == [(5, 5, 5), (3, 3, 3), (3, 3, 3)]  # the last before, also in the row above
+    assert P.colour_counts(keyed).first().colours == 302 and not P.colour_counts(keyed).first().fits_palette
+
+
+def test_profile_bits_and_modes(spark):
+    red = _pixels(spark, [(255, 0, 0, 255), (0, 0, 255, 255)] * 20)
+    pr = P.colour_profile(red).first()
+    assert (pr.coloured, pr.alpha_needed, pr.bits, pr.n_pixels) == (True, False, 8, 40)
+    assert (P.minimal_colour_mode(P.colour_profile(red)).first().mode, P.minimal_colour_mode(P.colour_profile(red)).first().mode_bits) == ("palette", 1)
+    few = P.minimal_colour_mode(P.colour_profile(_pixels(spark, [(0, 0, 0, 0), (255, 255, 255, 255)]))).first()
+    assert (few.mode, few.mode_bits) == ("grey+alpha", 8)                    # a key does not pay here
+    grey = P.minimal_colour_mode(P.colour_profile(_pixels(spark, [(0, 0, 0, 255), (255, 255, 255, 255)] * 20))).first()
+    assert (grey.mode, grey.mode_bits) == ("grey", 1)                        # as narrow as a palette
+    key = P.minimal_colour_mode(P.colour_profile(_pixels(spark, [(i, i, i, 255) for i in range(200)] + [(201, 201, 201, 0)]))).first()
+    assert (key.mode, key.mode_bits) == ("grey+key", 8)
+
+
+def test_empty_inputs_and_bad_images(spark):
+    one = spark.createDataFrame([("a.png", "a.png", 0, 0, None, True)], "name string, out_name string, in_size long, out_size long, old_size long, error boolean")
+    assert P.size_report(one).first().percent is None
+    assert spark.range(1).select(BF.percent_removed(F.lit(0), F.lit(0)).alias("p")).first().p is None
+    old = spark.createDataFrame([("a", "a", 9, 5), ("b", "out_b", 9, 5)], "name string, out_name string, out_size long, old_size long")
+    assert [r.kept for r in P.keep_better(old).orderBy("name").collect()] == ["old", "new"]
+    assert [r.kept for r in P.keep_better(old, use_prefix=True).collect()] == ["old", "old"]
+    files = spark.createDataFrame([("d/opt_a.png",)], "path string")
+    assert P.skip_outputs(files, "opt_").count() == 1 and P.skip_outputs(files.union(files), "opt_").count() == 0
+    bad = spark.createDataFrame([(1, None), (2, bytearray(b"")), (3, bytearray(b"12345678"))], "image_id long, data binary")
+    assert [r.error for r in P.image_chunks(bad).collect()] == ["truncated"] * 3
+    good = spark.range(1).select(F.lit(7).alias("image_id"), F.concat(P.png_bytes(F.lit(2), F.lit(2)), F.unhex(F.lit("0A0B"))).alias("data"))
+    assert [r.name for r in P.image_chunks(good).orderBy("ordinal").collect()][-1] == "IEND"
+
+
 def test_line_transforms(spark):
     files = spark.createDataFrame([(0, "a\tb\r\n\n\n"), (1, "\nx\x7f\x01é"), (2, "")],
                                   "file_ord int, content string")

@@ -1,8 +1,8 @@
-"""Ordering helpers: exact global positions, spreading, reliable materialisation."""
+"""Ordering helpers: exact global positions, reliable materialisation."""
 
 from pyspark.sql import functions as F
 
-from corvid.plans.ordering import blocked_running_sum, materialize, spread, with_global_position
+from corvid.plans.ordering import blocked_running_sum, materialize, with_global_position
 
 
 def test_global_position_is_exact_and_dense(spark):
@@ -20,13 +20,8 @@ def test_blocked_running_sum_without_key(spark):
     assert all(got[o] == (o + 1) // 2 for o in range(300))
 
 
-def test_spread_and_materialize(spark):
+def test_materialize(spark):
     one = spark.range(0, 100).coalesce(1)
-    spread_one = spread(one)
-    assert spread_one.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
-    assert spread_one.columns == ["id"] and spread_one.count() == 100
-    many = spark.range(0, 100).repartition(spark.sparkContext.defaultParallelism * 2)
-    assert spread(many) is many
     m = materialize(one.withColumn("x", F.col("id") * 2))
     assert m.agg(F.sum("x")).first()[0] == 9900
     import contextlib
@@ -35,3 +30,15 @@ def test_spread_and_materialize(spark):
     with contextlib.redirect_stdout(buf):
         m.explain()
     assert "ExistingRDD" in buf.getvalue()      # lineage cut: reads the checkpoint
+
+
+def test_checkpoint_folder_is_refused_on_a_cluster():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from corvid.session import ensure_checkpoint_dir
+    conf = SimpleNamespace(get=lambda *a: None)
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: conf, master="yarn")
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=conf))

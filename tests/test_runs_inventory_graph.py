@@ -59,15 +59,18 @@ def test_score_rollup_levels(spark):
 
 
 def test_run_name_round_trip_and_pending(spark):
-    df = spark.createDataFrame([("t1", "run_alpha_20240102_030405"), ("t1", "junk"),
-                                ("t2", "run_beta_x_20231231_235959")], "task string, run_name string")
+    df = spark.createDataFrame([("c", "t1", "run_alpha_20240102_030405"), ("c", "t1", "junk"),
+                                ("c", "t2", "run_beta_x_20231231_235959"), ("d", "t1", "run_gamma_20241399_000000")],
+                               "category string, task string, run_name string")
     p = df.select("task", R.parse_run_name(F.col("run_name")).alias("p")).collect()
     assert p[0].p.agent == "alpha" and p[0].p.started_at.strftime("%Y%m%d_%H%M%S") == "20240102_030405"
     assert p[1].p is None
     assert p[2].p.agent == "beta_x"
+    assert p[3].p.agent == "gamma" and p[3].p.started_at is None   # a stamp that is no date
     grid = R.run_grid(spark.createDataFrame([("c", "t1"), ("c", "t2")], "category string, task string"),
                       ["alpha", "beta_x", "gamma"])
     pend = {(x.task, x.agent) for x in R.pending_runs(grid, df).collect()}
+    # d/t1 has run with gamma, c/t1 has not
     assert pend == {("t1", "beta_x"), ("t1", "gamma"), ("t2", "alpha"), ("t2", "gamma")}
 
 

@@ -50,10 +50,25 @@ def test_render_and_classify_values(spark):
                                 ("int*", "4096"), ("struct s", "?")], "t string, v string")
     out = [(r.r, r.c) for r in df.select(TT.render_value(F.col("t"), F.col("v")).alias("r"))
            .select("r", TT.classify_value(F.col("r")).alias("c")).collect()]
-    assert out == [("-12", "integer"), ("2.500000", "float"), ("x" * 100, "text"), ("(nil)", "null pointer"),
+    assert out == [("-12", "integer"), ("2.500000", "float"), ("x" * 150, "text"), ("(nil)", "null pointer"),
                    ("0x1000", "address"), ("<unsupported>", "unsupported")]
 
 
+def test_values_that_are_no_numbers_give_null(spark):
+    df = spark.createDataFrame([("int", "abc"), ("int*", "zz"), ("double", "?"), ("void*", str((1 << 64) - 1)),
+                                ("unsigned long", str((1 << 64) - 1)), ("char*", "x" * 150)], "t string, v string")
+    out = [r.r for r in df.select(TT.render_value(F.col("t"), F.col("v"), max_text=100).alias("r")).collect()]
+    assert out[:4] == [None, None, None, "0x" + "f" * 16] and out[5] == "x" * 100
+    assert out[4] in (str((1 << 64) - 1), "<unsupported>")
+
+
+def test_repeated_keys_go_to_the_rejects(spark):
+    df = spark.createDataFrame([("f", ["a", "a"], ["1", "2"], ["7"]), ("g", ["a"], ["1"], ["7"])],
+                               "name string, keys array<string>, vals array<string>, ret array<string>")
+    p = df.select(TT.parse_trace(TT.render_record(F.col("name"), F.col("ret"), F.col("keys"), F.col("vals"))).alias("p"))
+    assert [(r.p.ok, r.p.args) for r in p.collect()] == [(False, None), (True, {"a": "1"})]
+
+
 def test_trace_file_round_trip_and_runs(spark):
     d = tempfile.mkdtemp(prefix="trace-", dir="/tmp")
     names = ["set_program_name", "a", "main", "set_program_name", "b", "set_program_name", "c", "main"]
@@ -122,6 +137,11 @@ def test_extract_and_comment_spans(spark):
     assert ex[3] == "int f(void) {\n  return 1; } int g;\n\nend"
     co = X.comment_out_span(spans.where("span_id = 2"), _lines(spark)).orderBy("line_no", "part")
     assert [r.line for r in co.collect()] == ["// int f(void) {", "//   return 1; }", " int g;", "", "end"]
+    two = spark.createDataFrame([(1, "a.c", 1, 8, 2, 5), (2, "a.c", 4, 1, 4, 3)], spans.schema)
+    src = spark.createDataFrame([("a.c", 1, "int x; int f() { \t"), ("a.c", 2, "  } int g;"), ("a.c", 3, "\t"), ("a.c", 4, "end")],
+                                "file string, line_no long, line string")
+    co = X.comment_out_span(two, src).orderBy("line_no", "part")
+    assert [r.line for r in co.collect()] == ["int x; // int f() {", "//   } i", "nt g;", "", "// end"]
 
 
 def test_extract_tags(spark):
@@ -133,6 +153,9 @@ def test_extract_tags(spark):
     assert (t[0].func, t[0].imports, t[0].wrapper, t[0].retry) == ("fn f() {}", "use a;", "w", False)
     assert (t[1].imports, t[1].wrapper, t[1].retry) == ("", "w", False)
     assert t[2].retry
+    open_end = spark.createDataFrame([("<FUNC>\nf\n</FUNC>\n<WRAPPER>\nnever closed",)], "r string")
+    o = open_end.select(X.extract_tags(F.col("r")).alias("t")).first().t
+    assert (o.func, o.wrapper, o.retry) == ("f", "never closed", False)
 
 
 def test_verdicts(spark):
@@ -155,15 +178,18 @@ def test_verdicts(spark):
     msg = spark.createDataFrame([("Timeout in rust-lld: error: x",), ("rust-lld: error: y",), ("E0308",)], "m string")
     assert [r.k for r in msg.select(X.classify_failure(F.col("m")).alias("k")).collect()] == [
         "timeout", "linker", "compile error"]
+    msg = spark.createDataFrame([("Timeout", "Test Failure"), (None, "Compile Error")], "m string, c string")
+    assert [r.k for r in msg.select(X.classify_failure(F.col("m"), F.col("c")).alias("k")).collect()] == ["test failure", None]
+    assert {r.func: r.attempts_used for r in X.attempt_outcomes(att).collect()} == {"f": 2, "g": 2}
 
 
 def test_make_targets_and_golden(spark):
     db = spark.createDataFrame([(1, "all: a b"), (1, ".PHONY: all clean"), (1, "clean:"), (1, "app: main.o"),
-                                (1, "CC=cc"), (1, "X:=1"), (1, "Makefile: x"), (2, "a:"), (2, "b:")],
+                                (1, "CC=cc"), (1, "X:=1"), (1, "Makefile: x"), (2, "a:"), (2, "b:"), (3, "all:"), (3, ".PHONY: all")],
                                "project int, line string")
     real, report = X.executable_targets(db)
     assert {(r.project, r.target) for r in real.collect()} == {(1, "app"), (2, "a"), (2, "b")}
-    assert [(r.project, r.n_targets) for r in report.collect()] == [(2, 2)]
+    assert sorted((r.project, r.n_targets) for r in report.collect()) == [(2, 2), (3, 0)]
     a = spark.createDataFrame([("x",), ("y",), ("y",)], "l string")
     e = spark.createDataFrame([("x",), ("y",), ("z",)], "l string")
     assert {(r.l, r.side) for r in X.compare_golden(a, e).collect()} == {("z", "expected_only"), ("y", "actual_only")}
