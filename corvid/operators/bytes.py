@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvid.functions.bytes import MAX_MATCH, MIN_MATCH, WINDOW, characters
+from corvid.functions.bytes import MIN_MATCH, characters
 
 NEAR_ZERO = -1e-5
 
@@ -74,6 +74,13 @@ def pick_smallest(variants: DataFrame, key: Sequence[str]) -> DataFrame:
     return v.groupBy(*key).agg(m).select(*key, "_m.name", "_m.size", "_m.ordinal")
 
 
+def pick_smallest_in_row(variants: Sequence[tuple[int, str, Column]]) -> Column:
+    """Z6 for variants of one row: struct(size, ordinal, name) of the smallest,
+    ties to the earlier ordinal. No shuffle; the row's text is read once."""
+    return F.array_min(F.array(*[F.struct(size.cast("bigint").alias("size"), F.lit(o).alias("ordinal"), F.lit(n).alias("name"))
+                                 for o, n, size in variants]))
+
+
 def kgrams(df: DataFrame, key: Sequence[str], text: Column, k: int = MIN_MATCH) -> DataFrame:
     """(key..., pos, gram) for every position with k characters ahead.
 
@@ -87,30 +94,33 @@ def kgrams(df: DataFrame, key: Sequence[str], text: Column, k: int = MIN_MATCH)
             .select(*key, F.posexplode(grams).alias("pos", "gram")))
 
 
-def previous_occurrence(grams: DataFrame, key: Sequence[str], window: int = WINDOW) -> DataFrame:
-    """Distance to the nearest previous equal k-gram, kept when < window.
+def previous_occurrence(grams: DataFrame, key: Sequence[str], window: int | None = None) -> DataFrame:
+    """Distance to the nearest previous equal k-gram (below ``window``
+    where one is given).
 
     ``lag`` over (document, gram) ordered by position: one shuffle keyed by
     (document, gram); a partition holds one gram of one document.
     """
     w = Window.partitionBy(*key, "gram").orderBy("pos")
-    d = grams.withColumn("dist", F.col("pos") - F.lag("pos").over(w))
-    return d.where(F.col("dist").isNotNull() & (F.col("dist") < window))
+    d = grams.withColumn("dist", F.col("pos") - F.lag("pos").over(w)).where(F.col("dist").isNotNull())
+    return d if window is None else d.where(F.col("dist") < window)
 
 
 def repeated_spans(matches: DataFrame, key: Sequence[str], k: int = MIN_MATCH,
-                   max_len: int = MAX_MATCH) -> DataFrame:
+                   max_len: int | None = None) -> DataFrame:
     """Back-reference spans from runs of consecutive positions with equal distance.
 
     Gaps and islands: ``pos - row_number()`` is constant along a run. A run
-    of r grams covers r + k - 1 characters; runs longer than ``max_len`` are
-    cut into pieces of at most ``max_len`` characters.
+    of r grams covers r + k - 1 characters; with ``max_len`` longer runs are
+    cut into pieces of at most that many characters.
     """
     w = Window.partitionBy(*key, "dist").orderBy("pos")
     m = matches.withColumn("_rn", F.row_number().over(w)).withColumn("_isl", F.col("pos") - F.col("_rn"))
-    per_piece = max_len - k + 1
-    w2 = Window.partitionBy(*key, "dist", "_isl").orderBy("pos")
-    m = m.withColumn("_piece", F.floor((F.row_number().over(w2) - 1) / per_piece))
+    if max_len is None:
+        m = m.withColumn("_piece", F.lit(0))
+    else:
+        w2 = Window.partitionBy(*key, "dist", "_isl").orderBy("pos")
+        m = m.withColumn("_piece", F.floor((F.row_number().over(w2) - 1) / (max_len - k + 1)))
     return (m.groupBy(*key, "dist", "_isl", "_piece")
             .agg(F.min("pos").alias("start"), F.count(F.lit(1)).alias("_grams"))
             .select(*key, "start", "dist", (F.col("_grams") + k - 1).alias("length")))
@@ -154,6 +164,13 @@ def range_histogram(symbols: DataFrame, ranges: DataFrame, key: Sequence[str]) -
             .groupBy(*key, "symbol").agg(F.count(F.lit(1)).alias("count")))
 
 
+def range_histogram_in_row(df: DataFrame, key: Sequence[str], symbols: Column, lo: Column, hi: Column) -> DataFrame:
+    """Z10 for a range of each row: its symbols are cut out of the row's array
+    before they are exploded, so only the range is counted and nothing joined."""
+    size = F.greatest(hi - lo, F.lit(0)).cast("int")
+    return symbol_histogram(df, key, F.slice(symbols, (lo + 1).cast("int"), size))
+
+
 def chunk(df: DataFrame, key: Sequence[str], text: str, size: int) -> DataFrame:
     """Fixed-size pieces (last one short; empty input -> one empty piece)."""
     n = F.length(text)
@@ -214,36 +231,38 @@ MATCH_TYPE = "struct<pos: array<int>, dist: array<int>>"
 SPAN_TYPE = "struct<start: array<int>, dist: array<int>, length: array<int>>"
 
 
-def _nearest_matches(text: str, k: int, window: int):
-    """Positions whose k-gram occurred before (nearest previous), distance < window.
+def _nearest_matches(text: str, k: int, window: int | None):
+    """Positions whose k-gram occurred before (nearest previous), distance
+    below ``window`` where one is given.
 
-    Code points are packed into one integer key per position (21 bits per
-    character, so k <= 3); a stable argsort puts equal keys next to each
-    other in position order, so neighbours are nearest previous occurrences.
+    Code points are packed into one integer key per position, 21 bits per
+    character; before a key of three grows, equal keys are renumbered. A
+    stable argsort puts equal keys next to each other in position order, so
+    neighbours are nearest previous occurrences.
     """
-    if k > 3:
-        raise ValueError("packed keys hold at most 3 characters")
     cp = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
     n = len(cp) - k + 1
     if n <= 1:
         return np.zeros(0, np.int32), np.zeros(0, np.int32)
     key = cp[:n].copy()
     for j in range(1, k):
+        if j >= 3:
+            key = np.unique(key, return_inverse=True)[1].astype(np.uint64)
         key = (key << np.uint64(21)) | cp[j:j + n]
     order = np.argsort(key, kind="stable")
     same = key[order[1:]] == key[order[:-1]]
     cur, prev = order[1:][same], order[:-1][same]
     d = cur - prev
-    keep = d < window
+    keep = slice(None) if window is None else d < window
     pos, dist = cur[keep], d[keep]
     o = np.argsort(pos, kind="stable")
     return pos[o].astype(np.int32), dist[o].astype(np.int32)
 
 
-def _spans_from_matches(pos, dist, k: int, max_len: int):
+def _spans_from_matches(pos, dist, k: int, max_len: int | None):
     """Runs of consecutive positions with one distance, cut into pieces of at
-    most ``max_len`` characters: (start, dist, length) arrays."""
-    per_piece = max_len - k + 1
+    most ``max_len`` characters if that is given: (start, dist, length) arrays."""
+    per_piece = max(1, len(pos)) if max_len is None else max_len - k + 1
     if len(pos) == 0:
         z = np.zeros(0, np.int32)
         return z, z, z
@@ -258,9 +277,9 @@ def _spans_from_matches(pos, dist, k: int, max_len: int):
     return start.astype(np.int32), dist[starts][run_id].astype(np.int32), (grams + k - 1).astype(np.int32)
 
 
-def previous_occurrence_in_row(text: Column, k: int = MIN_MATCH, window: int = WINDOW) -> Column:
+def previous_occurrence_in_row(text: Column, k: int = MIN_MATCH, window: int | None = None) -> Column:
     """Z7 per document row: struct(pos[], dist[]) of positions whose k-gram
-    occurred before within ``window`` (nearest previous occurrence)."""
+    occurred before (nearest previous occurrence), within ``window`` if given."""
     @F.pandas_udf(MATCH_TYPE)
     def matches(s: pd.Series) -> pd.DataFrame:
         out = [_nearest_matches(t or "", k, window) for t in s]
@@ -268,8 +287,8 @@ def previous_occurrence_in_row(text: Column, k: int = MIN_MATCH, window: int = W
     return matches(text)
 
 
-def repeated_spans_in_row(text: Column, k: int = MIN_MATCH, window: int = WINDOW,
-                          max_len: int = MAX_MATCH) -> Column:
+def repeated_spans_in_row(text: Column, k: int = MIN_MATCH, window: int | None = None,
+                          max_len: int | None = None) -> Column:
     """Z8 per document row: struct(start[], dist[], length[]) of back-reference spans."""
     @F.pandas_udf(SPAN_TYPE)
     def spans(s: pd.Series) -> pd.DataFrame:

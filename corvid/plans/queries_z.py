@@ -46,8 +46,9 @@ SELECT coalesce(h1.symbol, h2.symbol) AS symbol,
 FROM h1 FULL OUTER JOIN h2 ON h1.symbol = h2.symbol""")
 def z5(spark, d):
     good = table(spark, d, "labels").where(F.col("quality") == 1).select("doc_id")
-    docs = views.documents_text(spark, d).join(good, "doc_id", "left_semi")
-    h1 = Z.symbol_histogram(docs.withColumn("g", F.lit(0)), ["g"], BF.characters(F.col("text"))).drop("g")
+    # counts per document first: no text is joined
+    per_doc = Z.symbol_histogram(views.documents_text(spark, d), K, BF.characters(F.col("text")))
+    h1 = per_doc.join(good, "doc_id", "left_semi").groupBy("symbol").agg(F.sum("count").alias("count"))
     bench = table(spark, d, "benchmark").withColumn("g", F.lit(0))
     h2 = Z.symbol_histogram(bench, ["g"], BF.characters(F.col("text"))).drop("g")
     return Z.merge_histograms(h1, 0.5, h2, 1.5)
@@ -61,27 +62,15 @@ _VARIANTS_SQL = """variants AS (
   UNION ALL SELECT doc_id, 4, 'brute', octet_length(encode(text)) - 1000000, FALSE FROM documents)"""
 
 
-def _variants(spark, d):
-    t = views.documents_text(spark, d)
-    v = [(0, "raw", F.octet_length("text"), True),
-         (1, "squeezed", F.octet_length(F.regexp_replace("text", r"\s+", " ")), True),
-         (2, "lower", F.octet_length(F.lower("text")), True),
-         (3, "no_digits", F.octet_length(F.regexp_replace("text", "[0-9]", "")), True),
-         (4, "brute", F.octet_length("text") - 1000000, False)]
-    out = None
-    for o, n, size, auto in v:
-        x = t.select("doc_id", F.lit(o).alias("ordinal"), F.lit(n).alias("name"), size.cast("bigint").alias("size"),
-                     F.lit(auto).alias("auto"))
-        out = x if out is None else out.unionByName(x)
-    return out
-
-
 @register("z6_pick_smallest", "Z", oracle=f"""
 WITH {_VARIANTS_SQL},
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY size, ordinal) AS rn FROM variants WHERE auto)
 SELECT doc_id, name, size, ordinal FROM r WHERE rn = 1""")
 def z6(spark, d):
-    return Z.pick_smallest(_variants(spark, d), K)
+    sizes = [(0, "raw", F.octet_length("text")), (1, "squeezed", F.octet_length(F.regexp_replace("text", r"\s+", " "))),
+             (2, "lower", F.octet_length(F.lower("text"))), (3, "no_digits", F.octet_length(F.regexp_replace("text", "[0-9]", "")))]
+    m = views.documents_text(spark, d).select("doc_id", Z.pick_smallest_in_row(sizes).alias("m"))
+    return m.select("doc_id", "m.name", "m.size", "m.ordinal")
 
 
 def _matches(spark, d):
@@ -103,9 +92,7 @@ def z7(spark, d):
 @register("z8_repeated_spans", "Z", oracle=f"""
 WITH {views.KGRAM_SQL},
 isl AS (SELECT doc_id, pos, dist, pos - row_number() OVER (PARTITION BY doc_id, dist ORDER BY pos) AS isl FROM matches),
-pc AS (SELECT doc_id, pos, dist, isl,
-              (row_number() OVER (PARTITION BY doc_id, dist, isl ORDER BY pos) - 1) // 256 AS piece FROM isl),
-sp AS (SELECT doc_id, dist, min(pos) AS start, count(*) + 2 AS length FROM pc GROUP BY doc_id, dist, isl, piece)
+sp AS (SELECT doc_id, dist, min(pos) AS start, count(*) + 2 AS length FROM isl GROUP BY doc_id, dist, isl)
 SELECT doc_id, count(*) AS n_spans, CAST(sum(length) AS BIGINT) AS covered, CAST(max(length) AS BIGINT) AS longest
 FROM sp GROUP BY doc_id""")
 def z8(spark, d):
@@ -142,11 +129,9 @@ rg AS (SELECT doc_id, length(text) // 4 AS lo, 3 * length(text) // 4 AS hi FROM
 SELECT c.doc_id, c.symbol, count(*) AS count FROM chars c JOIN rg USING (doc_id)
 WHERE c.pos >= rg.lo AND c.pos < rg.hi GROUP BY ALL""")
 def z10(spark, d):
-    t = views.documents_text(spark, d)
-    syms = Z.explode_symbols(t, K, BF.characters(F.col("text")))
-    ranges = t.select("doc_id", F.floor(F.length("text") / 4).alias("lo"),
-                      F.floor(3 * F.length("text") / 4).alias("hi"))
-    return Z.range_histogram(syms, ranges, K)
+    n = F.length("text")
+    return Z.range_histogram_in_row(views.documents_text(spark, d), K, BF.characters(F.col("text")),
+                                    F.floor(n / 4), F.floor(3 * n / 4))
 
 
 @register("z13_crc32", "Z")

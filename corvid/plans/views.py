@@ -477,7 +477,7 @@ grams AS (SELECT doc_id, CAST(i - 1 AS BIGINT) AS pos, c[i] || c[i + 1] || c[i +
           FROM (SELECT doc_id, c, unnest(generate_series(1, len(c) - 2)) AS i FROM chs)),
 matches AS (SELECT * FROM (
               SELECT doc_id, pos, pos - lag(pos) OVER (PARTITION BY doc_id, gram ORDER BY pos) AS dist FROM grams)
-            WHERE dist IS NOT NULL AND dist < 32768)"""
+            WHERE dist IS NOT NULL)"""
 
 
 def documents_text(spark: SparkSession, d: str) -> DataFrame:

@@ -59,8 +59,13 @@ def test_previous_occurrence_and_spans(spark):
     assert [(r.start, r.dist, r.length) for r in s] == [(3, 3, 6)]
     long = spark.createDataFrame([(1, "a" * 600)], "doc_id long, text string")
     sp = Z.repeated_spans(Z.previous_occurrence(Z.kgrams(long, ["doc_id"], F.col("text")), ["doc_id"]), ["doc_id"])
-    lengths = sorted(r.length for r in sp.collect())
+    assert [r.length for r in sp.collect()] == [599]
+    cut = Z.repeated_spans(Z.previous_occurrence(Z.kgrams(long, ["doc_id"], F.col("text")), ["doc_id"]), ["doc_id"], max_len=258)
+    lengths = sorted(r.length for r in cut.collect())
     assert max(lengths) == 258 and sum(x - 2 for x in lengths) == 598 - 1
+    far = spark.createDataFrame([(1, "xyzwv" + "".join(chr(0x4E00 + i % 20000) for i in range(40000)) + "xyzwv")], "doc_id long, text string")
+    m = far.select(Z.previous_occurrence_in_row(F.col("text"), 5).alias("m")).first().m
+    assert m.dist[-1] == 40005 and far.select(Z.repeated_spans_in_row(F.col("text"), 5).alias("s")).first().s.length[0] > 258
 
 
 def test_entropy_runs_and_pick(spark):
