@@ -78,14 +78,17 @@ def members(docs: DataFrame, text: str, key: str, k: int) -> DataFrame:
 
 
 def prefix_keys(docs: DataFrame, text: str, key: str, k: int, percent: int) -> DataFrame:
-    """(sid, keys): the wide prefix under ascending hash of every non-empty set,
-    each token by its upper bits."""
+    """(sid, keys): the wide prefix under ascending hash of every non-empty set
+    (once a task), each token by its upper bits."""
     def run(batches):
+        seen = set()
         for _, found in _sets(batches, k):
-            found = [s for s in found if len(s)]
-            keys = [(s[:wide_prefix(len(s), percent)] >> np.uint64(64 - KEY_BITS)).astype(np.uint32).view(np.int32) for s in found]
+            new = {set_id(s): s for s in found if len(s)}
+            new = {sid: s for sid, s in new.items() if sid not in seen}
+            seen.update(new)
+            keys = [(s[:wide_prefix(len(s), percent)] >> np.uint64(64 - KEY_BITS)).astype(np.uint32).view(np.int32) for s in new.values()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([set_id(s) for s in found], pa.int64()), pa.array(keys, pa.list_(pa.int32()))], names=["sid", "keys"])
+                [pa.array(list(new), pa.int64()), pa.array(keys, pa.list_(pa.int32()))], names=["sid", "keys"])
     return docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).mapInArrow(run, "sid bigint, keys array<int>")
 
 
@@ -145,16 +148,23 @@ def token_counts(sets: DataFrame, bits: int) -> np.ndarray:
         for batch in batches:
             for s in _tokens(batch.column(0)):
                 np.add.at(total, (s >> np.uint64(64 - bits)).astype(np.int64), 1)
-        parts = total.reshape(-1, min(COUNT_CHUNK, 1 << bits))
-        for i in np.flatnonzero(parts.any(axis=1)):
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([parts[i].tobytes()], pa.binary())], names=["part", "counts"])
+        # a part of the buckets at a time, and only those that are not empty
+        for i, part in enumerate(total.reshape(-1, COUNT_CHUNK)):
+            at = np.flatnonzero(part)
+            if len(at):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([i], pa.int64()), pa.array([at.astype(np.uint16).tobytes()], pa.binary()),
+                     pa.array([part[at].tobytes()], pa.binary())], names=["part", "places", "counts"])
 
     def add(frame):
-        total = sum(np.frombuffer(c, np.int32) for c in frame["counts"])
-        return frame.head(1).assign(counts=[total.tobytes()])
-
-    parts = sets.select("tokens").mapInArrow(count, "part bigint, counts binary")
-    out = np.zeros(1 << bits, np.int32).reshape(-1, min(COUNT_CHUNK, 1 << bits))
+        total = np.zeros(COUNT_CHUNK, np.int64)
+        for places, counts in zip(frame["places"], frame["counts"]):
+            total[np.frombuffer(places, np.uint16)] += np.frombuffer(counts, np.int32)
+        total = np.minimum(total, np.iinfo(np.int32).max).astype(np.int32)
+        return frame.head(1)[["part"]].assign(counts=[total.tobytes()])
+
+    parts = sets.select("tokens").mapInArrow(count, "part bigint, places binary, counts binary")
+    out = np.zeros(1 << bits, np.int32).reshape(-1, COUNT_CHUNK)
     for r in parts.groupBy("part").applyInPandas(add, "part bigint, counts binary").collect():
         out[r["part"]] = np.frombuffer(r["counts"], np.int32)
     return out.reshape(-1)
