@@ -56,6 +56,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage with a table written to the shared folder (smaller than a
+    checkpoint, which is neither encoded nor compressed)."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def wrapped(docs: DataFrame, **named: Column) -> DataFrame:
     """The rows as one struct ``_row`` beside the named columns, so that no
     column of the input meets an internal name."""

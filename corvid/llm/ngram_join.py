@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvid.llm.common import keep, small_join, unwrapped, wrapped
+from corvid.llm.common import keep, small_join, stored, unwrapped, wrapped
 from corvid.llm.hashing import pieces, set_id, shingle_sets, word_hashes
 
 #: log2 of the bits that mark shared tokens (16 MB for the driver and each worker);
@@ -44,7 +44,7 @@ MARK_WORD = 1 << 15
 COUNT_BITS = 24
 COUNT_CHUNK = 1 << 14
 #: Rounds of one pivot a set before the remaining pairs are enumerated.
-PIVOT_ROUNDS = 2
+PIVOT_ROUNDS = 6
 
 
 def prefix_size(n, percent: int = 75):
@@ -251,31 +251,43 @@ def classes(edges: DataFrame) -> DataFrame:
 def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return lists.withColumn("label", F.col("sid"))
-    return lists.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    return small_join(lists, labels, "sid", labels.count(), "left").withColumn("label", F.coalesce("label", "sid"))
+
+
+def _moved(labels: DataFrame | None, found: DataFrame) -> DataFrame:
+    """Labels after links (a, b): b takes the label that a had. Sets with one
+    label are connected; the converse is left to ``classes``."""
+    new = found.dropDuplicates(["b"]).select(F.col("a").alias("sid"), "b")
+    new = _labelled(new, labels).select(F.col("b").alias("sid"), "label")
+    if labels is None:
+        return keep(new)
+    return keep(new.unionByName(labels.join(new.select("sid"), "sid", "left_anti")))
 
 
 def set_classes(sets: DataFrame, percent: int) -> DataFrame:
-    """(sid, label) of the sets with links, from candidates to classes."""
+    """(sid, label) of the sets with links, from candidates to classes.
+
+    In a round each list has one pivot, and each set is tested with the pivot
+    of another label that it shares most prefix tokens with. Lists of one label
+    drop out. What is left after the rounds is enumerated across classes.
+    """
     lists = rare_prefixes(sets, percent)
     edges = labels = None
     for turn in range(PIVOT_ROUNDS):
         at = _labelled(lists, labels)
         pivot = at.groupBy("token").agg(F.min_by(F.struct("sid", "n", "place", "label"), F.xxhash64("sid", F.lit(turn))).alias("p"),
                                         F.min("label").alias("lo"), F.max("label").alias("hi"))
-        # lists of one class are done with: the others go on with their pivots
-        lists = keep(at.drop("label").join(pivot.filter("lo <> hi").select("token", "p"), "token"))
-        near = _labelled(lists, labels).alias("b").filter(F.col("b.p.label") != F.col("b.label"))
-        near = near.select(F.struct("b.sid", "b.n", "b.place").alias("b"), F.col("b.p").alias("a")).filter(_enough(percent))
-        # each set meets the pivot that it shares most prefix tokens with
-        counted = near.groupBy(F.col("b.sid").alias("b"), F.col("a.sid").alias("a")).agg(F.count(F.lit(1)).alias("c"))
+        lists = stored(at.join(pivot.filter("lo <> hi").select("token", "p"), "token"), "ngram-lists")
+        near = lists.filter("p.label <> label").select(F.struct("sid", "n", "place").alias("b"), F.col("p").alias("a"))
+        counted = near.filter(_enough(percent)).groupBy(F.col("b.sid").alias("b"), F.col("a.sid").alias("a")).agg(
+            F.count(F.lit(1)).alias("c"))
         pairs = keep(counted.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b"))
         found = linked(pairs, sets, percent)
         edges = found if edges is None else edges.unionByName(found)
-        labels = classes(edges)
-        lists = lists.drop("p")
-    at = _labelled(lists, labels)
+        labels, lists = _moved(labels, found), lists.drop("p", "label")
+    at = _labelled(lists, classes(edges))
     mixed = at.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
-    at = keep(at.join(mixed, "token", "left_semi"))
+    at = stored(at.join(mixed, "token", "left_semi"), "ngram-lists")
     rest = at.alias("a").join(at.alias("b"), "token").filter(
         (F.col("a.sid") < F.col("b.sid")) & (F.col("a.label") != F.col("b.label")) & _enough(percent))
     pairs = keep(rest.select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b")).distinct())
