@@ -16,8 +16,8 @@ used, and a pair must pass all of them before its sets are intersected:
 The classes are what the links connect. Equal sets are one node. A list of
 sets with a common prefix token is not turned into all its pairs: each round
 pairs every set with one pivot, links join classes, and only pairs of sets
-whose classes still differ are then enumerated, so no link between classes is
-missed, and a group of near copies costs a few tests a member.
+whose classes still differ are then enumerated, as far as the parities of their
+tokens let them reach the threshold, so no link between classes is missed.
 
 Defined results: a null, empty or blank text has an empty set, which links
 with nothing; documents with equal sets are linked (repeated rows too); a
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvid.llm.common import keep, small_join, stored, unwrapped, wrapped
-from corvid.llm.hashing import pieces, set_id, shingle_sets, word_hashes
+from corvid.llm.hashing import mix, pieces, set_id, shingle_sets, word_hashes
 
 #: log2 of the bits that mark shared tokens (16 MB for the driver and each worker);
 #: tokens are told apart by KEY_BITS when they are found to be shared.
@@ -43,6 +43,8 @@ MARK_WORD = 1 << 15
 #: log2 of the token counts of the second order, at most (64 MB).
 COUNT_BITS = 24
 COUNT_CHUNK = 1 << 14
+#: Bits of a set's parities, which bound how far two sets are apart.
+PARITY_BITS = 1024
 #: Rounds of one pivot a set before the remaining pairs are enumerated.
 PIVOT_ROUNDS = 6
 
@@ -200,6 +202,23 @@ def _enough(percent: int):
     return (left >= need) & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
 
 
+def parities(sets: DataFrame) -> DataFrame:
+    """(sid, bits): per set, the parity of its tokens in each of 1024 buckets, as
+    sixteen numbers. Two sets differ in at least as many tokens as bits."""
+    def run(batches):
+        for batch in batches:
+            out = [np.packbits(np.bincount((mix(s) & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1)
+                   .view(np.int64) for s in _tokens(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["sid", "bits"])
+    return sets.select("sid", "tokens").mapInArrow(run, "sid bigint, bits array<bigint>").dropDuplicates(["sid"])
+
+
+def _may_reach(percent: int):
+    """The parities leave room for the threshold: a bound, so no link is lost."""
+    apart = sum(F.bit_count(F.get("a.bits", F.lit(i)).bitwiseXOR(F.get("b.bits", F.lit(i)))) for i in range(PARITY_BITS // 64))
+    return apart * (100 + percent) <= (F.col("a.n") + F.col("b.n")) * (100 - percent)
+
+
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold. The sets of the b side
     travel to the a side; both hash orders are tried before the full overlap."""
@@ -287,9 +306,10 @@ def set_classes(sets: DataFrame, percent: int) -> DataFrame:
         labels, lists = _moved(labels, found), lists.drop("p", "label")
     at = _labelled(lists, classes(edges))
     mixed = at.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
-    at = stored(at.join(mixed, "token", "left_semi"), "ngram-lists")
+    signs = keep(parities(sets))
+    at = stored(small_join(at.join(mixed, "token", "left_semi"), signs, "sid", signs.count()), "ngram-lists")
     rest = at.alias("a").join(at.alias("b"), "token").filter(
-        (F.col("a.sid") < F.col("b.sid")) & (F.col("a.label") != F.col("b.label")) & _enough(percent))
+        (F.col("a.sid") < F.col("b.sid")) & (F.col("a.label") != F.col("b.label")) & _enough(percent) & _may_reach(percent))
     pairs = keep(rest.select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b")).distinct())
     return classes(edges.unionByName(linked(pairs, sets, percent)))
 
@@ -311,5 +331,5 @@ def one_per_class(docs: DataFrame, text: str = "text", key: str = "doc_id", **op
     """The documents that name their class, with their own columns: one of each
     group of near copies. Documents with an empty set or a null id stay."""
     rows = similarity_classes(docs, text, key, **options)
-    gone = rows.filter("component <> doc").select(F.col("doc").alias("_gone")).distinct()
-    return unwrapped(wrapped(docs, _doc=F.col(key)).join(gone, F.col("_doc") == F.col("_gone"), "left_anti"))
+    gone = keep(rows.filter("component <> doc").select(F.col("doc").alias("_gone")).distinct())
+    return unwrapped(small_join(wrapped(docs, _doc=F.col(key)), gone, F.col("_doc") == F.col("_gone"), gone.count(), "left_anti"))
