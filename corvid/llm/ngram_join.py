@@ -5,9 +5,9 @@ Sets that reach the threshold t must share a token among the first
 ``n - ceil(t n) + 1`` of each, under any order of all tokens. Three orders are
 used, and a pair must pass all of them before its sets are intersected:
 
-1. ascending hash, with a prefix of a third of the set: at most
-   ``n - ceil(t n)`` tokens of a linked set are in no other set, so a set with
-   fewer shared tokens in that prefix has no link and is left out;
+1. ascending hash, with a prefix of a third of the set: a set that has fewer
+   shared tokens in that prefix than any partner guarantees has no link and is
+   left out (``least_shared``);
 2. rarest first among the sets left, by a count of their tokens in buckets:
    sets whose prefixes share a token, at places where enough tokens follow, are
    candidates;
@@ -27,6 +27,8 @@ table gives an empty result.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -59,6 +61,19 @@ def wide_prefix(n: int, percent: int) -> int:
     return min(n, max(prefix_size(n, percent), -(-n * (109 - percent) // 100)))
 
 
+@lru_cache(maxsize=1 << 16)
+def least_shared(n: int, percent: int) -> int:
+    """Tokens that a set of n has in common, within both wide prefixes, with any
+    set that it links with. Of o common tokens the i-th lies at most at place
+    i + n - o in one set and at i + n' - o in the other, so a wide prefix of w
+    holds w - (n - o) of them at least; the partner's may hold fewer."""
+    sizes = np.arange(-(-n * percent // 100), 100 * n // percent + 1)
+    overlap = -(-percent * (n + sizes) // (100 + percent))
+    wide = np.minimum(sizes, np.maximum(prefix_size(sizes, percent), -(-sizes * (109 - percent) // 100)))
+    fits = overlap <= np.minimum(n, sizes)
+    return int(np.minimum(wide_prefix(n, percent) - (n - overlap), wide - (sizes - overlap))[fits].min())
+
+
 def _sets(batches, k: int):
     """(ids, sorted sets) of each batch."""
     np.seterr(over="ignore")
@@ -126,7 +141,7 @@ def linkable_sets(docs: DataFrame, marks: np.ndarray, text: str, key: str, k: in
                 prefix = s[:wide_prefix(len(s), percent)]
                 at = prefix >> np.uint64(64 - MARK_BITS)
                 shared = np.count_nonzero(bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
-                if shared >= len(prefix) - prefix_size(len(s), percent) + 1:
+                if shared >= least_shared(len(s), percent):
                     sid = set_id(s)
                     if sid not in seen:
                         seen.add(sid)

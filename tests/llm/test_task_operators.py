@@ -133,6 +133,31 @@ def test_prefix_sizes():
         assert NJ.prefix_size(n) <= NJ.wide_prefix(n, 75) <= n
 
 
+@pytest.mark.parametrize("n, more", [(7, 1), (10, 2), (19, 5)])
+def test_pairs_at_the_threshold_are_linked(spark, n, more):
+    rows = []
+    for seed in range(300):
+        text, extra = prose(9000 + seed, n), prose(70_000 + seed, more)
+        rows += [(2 * seed, text), (2 * seed + 1, f"{text} {extra}" if seed % 2 else f"{extra} {text}")]
+    got = {r["doc"]: (r["n"], r["component"]) for r in NJ.similarity_classes(corpus(spark, rows)).collect()}
+    assert got == classes(rows)
+
+
+def test_least_shared_tokens_are_guaranteed():
+    rng = np.random.default_rng(5)
+    for n in range(1, 45):
+        assert 1 <= NJ.least_shared(n, 75) <= NJ.wide_prefix(n, 75) - NJ.prefix_size(n) + 1
+        for m in range(n, 4 * n // 3 + 1):
+            both = -(-75 * (n + m) // 175)
+            if both > n:
+                continue
+            for _ in range(40):
+                x = rng.permutation(n + m - both)
+                a, b = np.sort(x[:n]), np.sort(np.concatenate([x[:both], x[n:]]))
+                shared = np.intersect1d(a[:NJ.wide_prefix(n, 75)], b[:NJ.wide_prefix(m, 75)]).size
+                assert shared >= max(NJ.least_shared(n, 75), NJ.least_shared(m, 75))
+
+
 # -- language model -----------------------------------------------------------
 
 @pytest.mark.parametrize("max_words", [ppm.MAX_WORDS, 10])
