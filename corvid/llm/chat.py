@@ -7,8 +7,9 @@ if there are some), which no template string has, so reading back is exact.
 
 Defined results: a null text or role is empty; a null conversation id is one
 conversation; turns with equal or null numbers come in the order of role and
-text, null numbers first; a conversation with a bad turn order is formatted
-all the same and marked; an empty table gives an empty result.
+text, null numbers first; repeated rows are turns of their own; a conversation
+with a bad turn order is formatted all the same and marked; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -62,8 +63,10 @@ class ChatTemplate:
 
 def segments(turns: DataFrame, template: ChatTemplate = ChatTemplate(), role: str = "role", text: str = "text") -> DataFrame:
     """Three rows a turn: head, body and close, with ``segment`` (0 to 2),
-    ``segment_text`` and ``loss``. Rows stay where they are; the head's role is
-    percent-encoded, so it has no line end or control string."""
+    ``segment_text``, ``loss`` and ``segment_row``, a number of the turn's row
+    in this frame that tells equal rows apart (unite turns, not segments). Rows
+    stay where they are; the head's role is percent-encoded, so it has no line
+    end or control string."""
     r, t = F.coalesce(F.col(role), F.lit("")), F.coalesce(F.col(text), F.lit(""))
     under_loss = r.isin(*template.loss_roles)
 
@@ -72,8 +75,9 @@ def segments(turns: DataFrame, template: ChatTemplate = ChatTemplate(), role: st
 
     three = F.array(seg(0, F.concat(F.lit(template.opening), F.url_encode(r), F.lit(template.head_end)), F.lit(False)),
                     seg(1, template.escape(t), under_loss), seg(2, F.lit(template.closing), F.lit(False)))
-    own = [turns[c] for c in turns.columns if c not in ("segment", "segment_text", "loss")]
-    return turns.select(*own, F.inline(three))
+    own = [c for c in turns.columns if c not in ("segment", "segment_text", "loss", "segment_row")]
+    rows = turns.select(*[turns[c] for c in own], F.monotonically_increasing_id().alias("segment_row"), three.alias("segment_text"))
+    return rows.select(*own, "segment_row", F.inline("segment_text"))
 
 
 def turn_order(turns: DataFrame, template: ChatTemplate = ChatTemplate(), conv: str = "conv_id", turn: str = "turn",
@@ -108,7 +112,7 @@ def conversations_from(segs: DataFrame, conv: str = "conv_id", turn: str = "turn
     """One row a conversation: ``formatted`` and ``loss_spans`` (its segments
     under the loss, still escaped), put together in turn order."""
     r, t = F.coalesce(role, F.lit("")), F.xxhash64(text)
-    item = F.struct(F.col(turn).alias("turn"), r.alias("role"), t.alias("text"), "segment", "segment_text", "loss")
+    item = F.struct(F.col(turn).alias("turn"), r.alias("role"), t.alias("text"), "segment_row", "segment", "segment_text", "loss")
     grouped = segs.groupBy(F.col(conv)).agg(F.sort_array(F.collect_list(item)).alias("_s"))
     return grouped.select(
         conv, F.array_join(F.transform("_s", lambda s: s["segment_text"]), "").alias("formatted"),

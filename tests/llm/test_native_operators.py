@@ -85,6 +85,21 @@ def test_chat_round_trip_and_loss(spark):
     assert conversations_from(segments(df.limit(0), t)).collect() == []
 
 
+def test_repeated_turns_stay_turns(spark):
+    turns = [(1, 0, "user", "body"), (1, 1, "assistant", "yes"), (1, 2, "user", None), (2, None, "user", "[INST]")]
+    rows = [r for r in turns for _ in range(3)] + [(1, 1, "assistant", "no")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("segment_row", F.lit("clash"))
+    for parts in (1, 5):
+        t = ChatTemplate()
+        out = conversations_from(segments(df.repartition(parts), t))
+        got = {r["conv_id"]: r for r in out.withColumn("turns", t.turns_of(F.col("formatted"))).collect()}
+        said = [(x["role"], x["text"]) for x in got[1]["turns"]]
+        assert said[:3] == [("user", "body")] * 3 and said[7:] == [("user", "")] * 3
+        assert sorted(said[3:7]) == [("assistant", "no")] + [("assistant", "yes")] * 3
+        assert sorted(got[1]["loss_spans"]) == ["no", "yes", "yes", "yes"]
+        assert [(x["role"], x["text"]) for x in got[2]["turns"]] == [("user", "[INST]")] * 3
+
+
 def test_turn_order_runs_the_automaton_over_blocks(spark):
     good = [(1, i, ("user", "assistant")[i % 2], "t") for i in range(1000)]
     bad = [(2, 0, "user", "a"), (2, 1, "user", "b"), (3, 0, "assistant", "a"), (4, 0, "tool", "x"), (4, 1, None, "x"), (None, 0, "system", "s"), (None, 1, "user", "s")]
