@@ -8,9 +8,12 @@ exclusion); an escape is as likely as the context has different symbols
 pretrained on all training documents; a document's score is the log10
 probability of its bytes and of its end.
 
-Tasks count n-grams of their documents, Spark adds them up. Each order keeps
-at most ``max_grams`` n-grams, the most frequent of the whole corpus (all of
-them where they are fewer), so the model sent to the tasks has a fixed bound.
+Tasks count n-grams of their documents, Spark adds them up; every n-gram
+counts. Up to ``max_grams`` of them the whole trie is sent to the tasks. Beyond
+that the trie stays in tables, and the tasks hold the scores of the most
+frequent n-grams alone; what else occurs in a text is scored once a distinct
+n-gram by joins with the tables, so what is sent has a fixed bound and the
+scores are the same.
 
 A word unigram model with add-0.1 smoothing stands beside it. Its most
 frequent words go with the model under the same kind of bound; words beyond
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvid.llm.common import keep
+from corvid.llm.common import keep, stored
 from corvid.llm.hashing import LOWER, pieces, word_hashes
 
 BITS = 9
@@ -112,8 +115,8 @@ def corpus_counts(docs: DataFrame, text: str, order: int) -> DataFrame:
     return keep(rows.groupBy("kind", "key").agg(F.sum("n").alias("n")))
 
 
-def most_frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted keys, counts) of the rows with the highest counts, ``most`` at
+def most_frequent(counts: DataFrame, most: int, value: str = "n") -> tuple[np.ndarray, np.ndarray]:
+    """(sorted keys, values) of the rows with the highest counts, ``most`` at
     most: a floor is taken from the histogram of the counts' logarithms."""
     step = F.floor(F.log2("n") * 8).cast("int")
     floor = -1
@@ -123,10 +126,10 @@ def most_frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]
         if total > most:
             floor = r["step"]
             break
-    got = counts.filter(step > floor).select("key", "n").toArrow()
-    keys, n = got["key"].to_numpy(), got["n"].to_numpy()
+    got = counts.filter(step > floor).select("key", value).toArrow()
+    keys, values = got["key"].to_numpy(), got[value].to_numpy()
     at = np.argsort(keys)
-    return keys[at], n[at]
+    return keys[at], values[at]
 
 
 def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,7 +200,9 @@ class Trie:
 
 
 def fit_trie(grams: DataFrame, order: int, max_grams: int = MAX_GRAMS) -> Trie:
-    """From (key, n) of the longest n-grams; shorter ones are their sums."""
+    """From (key, n) of the longest n-grams; shorter ones are their sums. It is
+    the whole trie where the longest are ``max_grams`` at most, as each shorter
+    one ends a longer one."""
     tables = {}
     for k in range(order, -1, -1):
         at = F.col("key").bitwiseAND(F.lit((1 << (BITS * (k + 1))) - 1))
@@ -206,6 +211,70 @@ def fit_trie(grams: DataFrame, order: int, max_grams: int = MAX_GRAMS) -> Trie:
     return Trie([tables[k][0] for k in range(order + 1)], [tables[k][1] for k in range(order + 1)])
 
 
+def _low(key: str, symbols: int) -> Column:
+    """The last symbols of a code."""
+    return F.col(key).bitwiseAND(F.lit((1 << (BITS * symbols)) - 1))
+
+
+def gram_levels(grams: DataFrame, order: int) -> list[DataFrame]:
+    """(key, n) of all n-grams of k + 1 symbols, for each order k."""
+    levels = [grams]
+    for k in range(order - 1, -1, -1):
+        levels.insert(0, stored(levels[0].groupBy(_low("key", k + 1).alias("key")).agg(F.sum("n").alias("n")), "ppm-grams"))
+    return levels
+
+
+def context_tables(levels: list[DataFrame]) -> list[DataFrame]:
+    """(context, total, kinds, left, left_kinds) of all contexts of each order:
+    as in ``Trie``. A key meets as many rows as there are symbols at most."""
+    tables = []
+    for k, grams in enumerate(levels):
+        x = grams.withColumn("context", F.shiftright("key", BITS))
+        sums = [F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")]
+        if k:
+            given = levels[k - 1].select(F.col("key").alias("low"), F.col("n").alias("given"))
+            shorter = tables[k - 1].select(F.col("context").alias("low"), F.col("total").alias("all"), F.col("kinds").alias("all_kinds"))
+            x = x.withColumn("low", _low("key", k)).join(given, "low").groupBy("context").agg(*sums, F.sum("given").alias("given"))
+            x = x.withColumn("low", _low("context", k - 1)).join(shorter, "low").select(
+                "context", "total", "kinds", (F.col("all") - F.col("given")).alias("left"), (F.col("all_kinds") - F.col("kinds")).alias("left_kinds"))
+        else:
+            x = x.groupBy("context").agg(*sums).withColumns({"left": F.lit(0).cast("bigint"), "left_kinds": F.lit(0).cast("bigint")})
+        tables.append(stored(x, "ppm-contexts"))
+    return tables
+
+
+def code_scores(codes: DataFrame, levels: list[DataFrame], contexts: list[DataFrame]) -> DataFrame:
+    """(key, s): log10 probability of the symbol in its context, for distinct
+    codes, as ``Trie.log10`` gives it for a whole trie.
+
+    From the empty context up, s is the score from this context on and y the
+    score that follows an escape from it. A code is joined to its own count, to
+    its context and to the code without its first symbol.
+    """
+    asked = [codes]
+    for k in range(len(levels) - 2, -1, -1):
+        asked.insert(0, stored(asked[0].select(_low("key", k + 1).alias("key")).distinct(), "ppm-asked"))
+    rest = SYMBOLS - contexts[0].first()["kinds"]
+    below = None
+    for k, x in enumerate(asked):
+        x = x.join(levels[k], "key", "left").withColumn("context", F.shiftright("key", BITS)).join(contexts[k], "context", "left")
+        if k:
+            x = x.withColumn("low", _low("key", k)).join(
+                below.select(F.col("key").alias("low"), F.col("n").alias("low_n"), F.col("s").alias("low_s"), F.col("y").alias("low_y")), "low")
+            room = F.log10(F.col("left") + F.col("left_kinds"))
+            escape = F.when(F.col("left_kinds") > 0, F.log10("left_kinds") - room).otherwise(F.lit(0.0))
+            y = F.when(F.col("low_n").isNotNull(), F.log10("low_n") - room).otherwise(escape + F.col("low_y"))
+        else:
+            # all symbols that the empty context lacks are alike
+            x = x.withColumn("low_s", F.lit(0.0))
+            y = F.lit(-float(np.log10(max(rest, 1))))
+        room = F.log10(F.col("total") + F.col("kinds"))
+        s = (F.when(F.col("total").isNull(), F.col("low_s")).when(F.col("n").isNotNull(), F.log10("n") - room)
+             .otherwise(F.log10("kinds") - room + F.col("y")))
+        below = stored(x.withColumn("y", y).select("key", "n", s.alias("s"), "y"), "ppm-scores")
+    return below.select("key", "s")
+
+
 def held_out(key: Column, parts: int = 10) -> Column:
     return F.crc32(F.encode(F.coalesce(key.cast("string"), F.lit("")), "UTF-8")) % parts == 0
 
@@ -217,28 +286,48 @@ def score_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", order:
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), held_out(F.col(key)).alias("held_out"))
     counts = corpus_counts(rows.filter(~F.col("held_out")), "text", order)
-    trie = fit_trie(counts.filter("kind = 0").select("key", "n"), order, max_grams)
+    grams = counts.filter("kind = 0").select("key", "n")
+    whole = grams.count() <= max_grams
+    trie, levels, contexts = None, [], []
+    top_codes = top_scores = np.zeros(0)
+    if whole:
+        trie = fit_trie(grams, order, max_grams)
+    else:
+        levels = gram_levels(grams, order)
+        contexts = context_tables(levels)
+        hit = (F.log10("n") - F.log10(F.col("total") + F.col("kinds"))).alias("s")
+        in_context = grams.withColumn("context", F.shiftright("key", BITS)).join(contexts[order], "context").select("key", "n", hit)
+        top_codes, top_scores = most_frequent(stored(in_context, "ppm-hits"), max_grams, "s")
     words = counts.filter("kind = 1").select("key", "n")
     row = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     tokens, vocabulary = int(row[0]), int(row[1])
     top_keys, top_counts = most_frequent(words.filter(F.col("key") != int(END_WORD)), max_words)
     ends = words.filter(F.col("key") == int(END_WORD)).first()
     ends = int(ends["n"]) if ends else 0
-    sent = spark.sparkContext.broadcast((trie, top_keys, top_counts))
+    sent = spark.sparkContext.broadcast((trie, top_codes, top_scores, top_keys, top_counts))
     all_sent = vocabulary <= len(top_keys) + 1
 
     def run(batches):
         np.seterr(over="ignore")
-        trie, keys, known_counts = sent.value
+        trie, scored_codes, code_values, keys, known_counts = sent.value
         for batch in batches:
             n = len(batch)
             score, logs, n_tokens, n_known = np.zeros(n), np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
             rare: list[np.ndarray] = [np.zeros(0, np.int64)] * n
+            far, times = list(rare), list(rare)
             for at, data, offsets in pieces(batch.column(1), lower=False):
                 to = at + len(offsets) - 1
                 codes, first = gram_codes(data, offsets, order)
                 distinct, back = np.unique(codes, return_inverse=True)
-                score[at:to] = np.add.reduceat(trie.log10(distinct)[back], first)
+                if whole:
+                    value = trie.log10(distinct)
+                else:
+                    place, found = _find(scored_codes, distinct)
+                    value = np.where(found, code_values[place] if len(code_values) else 0, 0.0)
+                    missing, ends_at = ~found[back], np.append(first[1:], len(codes))
+                    for i, (a, b) in enumerate(zip(first, ends_at)):
+                        far[at + i], times[at + i] = np.unique(codes[a:b][missing[a:b]], return_counts=True)
+                score[at:to] = np.add.reduceat(value[back], first)
                 hashes, bounds = word_hashes(LOWER[data], offsets)
                 distinct, back = np.unique(hashes.view(np.int64), return_inverse=True)
                 place, found = _find(keys, distinct)
@@ -258,15 +347,22 @@ def score_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", order:
                         rare[at + i] = hashes[a:b][missing[a:b]].view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), batch.column(2), pa.array(n_tokens), pa.array(n_known), pa.array(logs), pa.array(score),
-                 pa.array(rare, pa.list_(pa.int64()))], names=["id", "held_out", "n_tokens", "n_known", "logs", "score", "rare"])
+                 pa.array(rare, pa.list_(pa.int64())), pa.array(far, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))],
+                names=["id", "held_out", "n_tokens", "n_known", "logs", "score", "rare", "far", "times"])
 
     scored = keep(rows.mapInArrow(run, "id bigint, held_out boolean, n_tokens bigint, n_known bigint, logs double, score double, "
-                                       "rare array<bigint>")).withColumn("_row", F.monotonically_increasing_id())
+                                       "rare array<bigint>, far array<bigint>, times array<bigint>")).withColumn("_row", F.monotonically_increasing_id())
     # words beyond the bound: their counts by a join, added up by row
     looked_up = (scored.select("_row", F.explode("rare").alias("key")).join(words, "key", "left").groupBy("_row")
                  .agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1))).alias("_logs"), F.count("n").alias("_known")))
-    out = scored.drop("rare").join(looked_up, "_row", "left") if not all_sent else scored.withColumns(
-        {"_logs": F.lit(0.0), "_known": F.lit(0)})
+    out = scored.drop("rare", "far", "times")
+    out = out.join(looked_up, "_row", "left") if not all_sent else out.withColumns({"_logs": F.lit(0.0), "_known": F.lit(0)})
+    if not whole:
+        # n-grams whose scores were not sent: once each from the tables
+        asked = scored.select("_row", F.inline(F.arrays_zip("far", "times"))).withColumnRenamed("far", "key")
+        scores = code_scores(stored(asked.select("key").distinct(), "ppm-asked"), levels, contexts)
+        added = asked.join(scores, "key").groupBy("_row").agg(F.sum(F.col("times") * F.col("s")).alias("_far"))
+        out = out.join(added, "_row", "left").withColumn("score", F.col("score") + F.coalesce("_far", F.lit(0.0)))
     scale = float(np.log10(tokens + 0.1 * (vocabulary + 1)))
     end = float(np.log10(ends + 0.1))
     base = F.col("logs") + F.coalesce("_logs", F.lit(0.0)) + F.lit(end) - F.col("n_tokens") * F.lit(scale)

@@ -181,6 +181,20 @@ def test_scores_match_brute_force(spark, max_words):
         assert r["score"] == pytest.approx(ppm_score(t, model, order), rel=1e-9)
 
 
+@pytest.mark.parametrize("max_grams", [50, 0])
+def test_scores_need_no_bound_of_the_model(spark, max_grams):
+    texts = [prose(i, 30) for i in range(30)] + [t for t in ODD_TEXTS if t is None or len(t) < 1000] + ["the cat sat on the mat " * 20] * 4
+    rows = list(enumerate(texts)) + [(None, "no id"), (0, "\x01\x02 unseen \x01\x02")]
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
+    model, order = ppm_model([t for i, t in rows if not held(i)], 3), 3
+    want = sorted((i if i is not None else -1, ppm_score(t, model, order)) for i, t in rows)
+    for bound in (max_grams, ppm.MAX_GRAMS):
+        got = ppm.score_texts(corpus(spark, rows), order=order, max_grams=bound).collect()
+        got = sorted((r["id"] if r["id"] is not None else -1, r["score"]) for r in got)
+        assert [i for i, _ in got] == [i for i, _ in want]
+        assert [x for _, x in got] == pytest.approx([x for _, x in want], rel=1e-9)
+
+
 def test_probabilities_sum_to_one():
     codes = np.concatenate([ppm.gram_codes(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]), 3)[0] for t in (prose(1, 50), "aaaa", "")])
     tables = [np.unique(codes & ((1 << (9 * (k + 1))) - 1), return_counts=True) for k in range(4)]
