@@ -329,22 +329,52 @@ def set_classes(sets: DataFrame, percent: int) -> DataFrame:
     return classes(edges.unionByName(linked(pairs, sets, percent)))
 
 
-def similarity_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, percent: int = 75) -> DataFrame:
-    """(doc, n, component): a row per document, its set's size and the least
-    id of the documents that it is linked with, directly or not."""
+def class_members(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, percent: int = 75) -> DataFrame:
+    """(doc, sid, n, label): every document's set, its size and its class."""
     marks = shared_marks(prefix_keys(docs, text, key, k, percent))
     sets = keep(linkable_sets(docs, marks, text, key, k, percent))
     labels = set_classes(sets, percent)
     own = keep(members(docs, text, key, k))
-    named = own.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    return own.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+
+
+def similarity_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, percent: int = 75) -> DataFrame:
+    """(doc, n, component): a row per document, its set's size and the least
+    id of the documents that it is linked with, directly or not."""
+    named = class_members(docs, text, key, k, percent)
     least = named.filter("n > 0").groupBy("label").agg(F.min("doc").alias("least"))
     linked_rows = named.filter("n > 0").join(least, "label").select("doc", "n", F.col("least").alias("component"))
     return linked_rows.unionByName(named.filter("n = 0").select("doc", "n", F.col("doc").alias("component")))
 
 
-def one_per_class(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """The documents that name their class, with their own columns: one of each
-    group of near copies. Documents with an empty set or a null id stay."""
-    rows = similarity_classes(docs, text, key, **options)
-    gone = keep(rows.filter("component <> doc").select(F.col("doc").alias("_gone")).distinct())
-    return unwrapped(small_join(wrapped(docs, _doc=F.col(key)), gone, F.col("_doc") == F.col("_gone"), gone.count(), "left_anti"))
+def one_per_class(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, percent: int = 75) -> DataFrame:
+    """One document of each group of near copies, with its own columns: of the
+    rows with the least id the one with the least set id, and one row where
+    that is repeated. A row's fate hangs on its id and its set, so an id with
+    two texts may keep one. Documents with an empty set or a null id stay, all
+    their rows."""
+    named = class_members(docs, text, key, k, percent).filter("doc is not null")
+    pairs = named.groupBy("label", "doc", "sid", "n").agg(F.count(F.lit(1)).alias("rows"))
+    least = named.filter("n > 0").groupBy("label").agg(F.min(F.struct("doc", "sid")).alias("least"))
+    first = (F.col("doc") == F.col("least.doc")) & (F.col("sid") == F.col("least.sid"))
+    pairs = keep(pairs.join(least, "label", "left").select("doc", "sid", "n", "rows", ((F.col("n") == 0) | first).alias("stays")))
+    ids = pairs.groupBy("doc").agg(F.max("stays").alias("some"), F.min("stays").alias("every"),
+                                   F.max(F.col("stays") & (F.col("n") > 0) & (F.col("rows") > 1)).alias("repeated"))
+    gone = keep(ids.filter("not some").select(F.col("doc").alias("_gone")))
+    rows = small_join(wrapped(docs, _doc=F.col(key), _text=F.col(text)), gone, F.col("_doc") == F.col("_gone"), gone.count(), "left_anti")
+    # ids of which some rows stay and others go: the rows' sets decide
+    mixed = keep(ids.filter("some and (repeated or not every)").select(F.col("doc").alias("_mixed")))
+    count = mixed.count()
+    if not count:
+        return unwrapped(rows)
+
+    @F.arrow_udf("bigint")
+    def sid_of(texts: pa.Array) -> pa.Array:
+        return pa.array([set_id(s) for _, found in _sets([pa.record_batch([texts, texts], ["id", "text"])], k) for s in found], pa.int64())
+
+    on = F.col("_doc") == F.col("_mixed")
+    apart = small_join(rows, mixed, on, count, "left_semi").withColumn("_sid", sid_of("_text"))
+    apart = apart.join(pairs.filter("stays"), (F.col("_doc") == F.col("doc")) & (F.col("_sid") == F.col("sid")))
+    one = apart.filter("n > 0").groupBy("doc", "sid").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row")).select("_row")
+    kept = small_join(rows, mixed, on, count, "left_anti").select("_row")
+    return unwrapped(kept.unionByName(one).unionByName(apart.filter("n = 0").select("_row")))

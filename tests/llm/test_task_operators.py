@@ -127,6 +127,17 @@ def test_one_per_class_and_odd_rows(spark):
     assert NJ.similarity_classes(corpus(spark, [])).collect() == []
 
 
+def test_one_row_of_a_class_by_id_and_set(spark):
+    a, b, c, d = prose(9500, 40), prose(9501, 40), prose(9502, 40), prose(9503, 40)
+    rows = [(1, a), (1, a), (1, a), (2, a), (2, b), (3, c), (3, c + " more"), (3, d), (4, d), (5, d), (5, ""), (5, None), (6, a), (None, a)]
+    kept = NJ.one_per_class(corpus(spark, rows))
+    assert kept.columns == corpus(spark, []).columns
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    extended = (3, c + " more") in got  # one of the two with id 3, by set id
+    want = [(1, a), (2, b), (3, c + " more" if extended else c), (3, d), (5, ""), (5, None), (None, a)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_prefix_sizes():
     for n in range(1, 400):
         assert NJ.prefix_size(n) == n - -(-75 * n // 100) + 1
