@@ -3,7 +3,7 @@
 import hashlib
 
 import pytest
-from helpers import ODD_TEXTS, contamination, corpus, dedup, prose, quality_base, words
+from llm.helpers import ODD_TEXTS, contamination, corpus, dedup, prose, quality_base, words
 from pyspark.sql import functions as F
 
 from corvid.llm import line_dedup as LD

@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
-from helpers import classes, contamination, prose, quality_base
+from llm.helpers import classes, contamination, prose, quality_base
 
 import corpus_pipeline
 from corvid.llm.common import shared_path

@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
-from helpers import ODD_TEXTS, classes, corpus, low_words, ppm_model, ppm_score, prose
+from llm.helpers import ODD_TEXTS, classes, corpus, low_words, ppm_model, ppm_score, prose
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
