@@ -7,6 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvid.session import shared_path
+
+BROADCAST_ROWS = 200_000
+
 
 def with_global_position(df: DataFrame, order: Sequence[Column | str], name: str = "position") -> DataFrame:
     """Add a 0-based position in the total order ``order``.
@@ -36,22 +40,21 @@ def blocked_running_sum(df: DataFrame, partition: Sequence[str], order: str, val
     One partition key may hold a large share of all rows, so no window is
     partitioned by it alone. Rows are cut into blocks of ``block_size`` order
     values (``order`` is numeric). One window pass over (key, block) gives the
-    in-block running sum and the block total; the exclusive prefix of block
-    totals per key is a window over one row per block; the offsets join back
-    on (key, block), a partitioning the rows already have. The input is read
-    once (the branches share the (key, block) exchange).
+    in-block running sum, whose last value is the block total; the exclusive
+    prefix of block totals per key is a window over one row per block; the
+    offsets join back on (key, block), a partitioning the rows already have.
+    The input is read once (the branches share the (key, block) exchange).
     """
     blk = F.floor(F.col(order) / F.lit(block_size)).cast("bigint")
     x = df.withColumn("_blk", blk).withColumn("_v", value)
     wi = Window.partitionBy(*partition, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    wt = Window.partitionBy(*partition, "_blk")
-    x1 = x.withColumn("_run", F.sum("_v").over(wi)).withColumn("_bt", F.sum("_v").over(wt))
-    totals = x1.groupBy(*partition, "_blk").agg(F.max("_bt").alias("_t"))
+    x1 = x.withColumn("_run", F.sum("_v").over(wi))
+    totals = x1.groupBy(*partition, "_blk").agg(F.max_by("_run", order).alias("_t"))
     wb = Window.partitionBy(*partition).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     offs = totals.withColumn("_off", F.coalesce(F.sum("_t").over(wb), F.lit(0))).drop("_t")
     return (x1.join(offs, [*partition, "_blk"])
             .withColumn(out, F.col("_off") + F.col("_run"))
-            .drop("_blk", "_v", "_off", "_run", "_bt"))
+            .drop("_blk", "_v", "_off", "_run"))
 
 
 def materialize(df: DataFrame, name: str = "frame") -> DataFrame:
@@ -65,3 +68,17 @@ def materialize(df: DataFrame, name: str = "frame") -> DataFrame:
     from corvid.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage with a compressed table in the shared folder: what a later
+    pass reads is what was written, column by column."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def small_join(left: DataFrame, right: DataFrame, on, rows: int, how: str = "inner") -> DataFrame:
+    """Join with a counted right side of narrow rows: broadcast up to
+    ``BROADCAST_ROWS`` of them, else as the planner and AQE choose."""
+    return left.join(F.broadcast(right) if rows <= BROADCAST_ROWS else right, on, how)

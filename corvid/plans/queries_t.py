@@ -7,6 +7,9 @@ from corvid.operators import inventory as C
 from corvid.operators import trace as T
 from corvid.plans import views
 from corvid.plans.catalog import register
+from corvid.session import shared_path
+from corvid.sources.trace_files import read_records, read_trace, write_logs, write_trace
+from corvid.streaming import trace_stream as S
 
 _TR = views.TRACE_SQL
 
@@ -118,17 +121,67 @@ def t8(spark, d):
     return T.distinct_arguments(views.trace(spark, d))
 
 
+@register("t8_distinct_sketches", "T", oracle=f"""
+WITH {_TR},
+kv AS (SELECT name, 'user' AS param, a_user AS value FROM trace
+       UNION ALL SELECT name, 'props', a_props FROM trace)
+SELECT name, param, count(DISTINCT value) AS distinct_values, true AS within FROM kv GROUP BY ALL""")
+def t8_sketches(spark, d):
+    """T8, approximate form: a sketch per day, written, merged over all days;
+    the exact count and whether the merged estimate lies within its bound."""
+    dated = views.trace_raw(spark, d, day=True)
+    good, _ = T.parse_records(dated)
+    path = shared_path(spark, "argument-sketches")
+    T.sketch_arguments(good, "day").write.partitionBy("day").parquet(path)
+    merged = T.merge_sketches(spark.read.parquet(path))
+    exact = T.distinct_arguments(good).select("name", "param", "distinct_values")
+    low, high = T.sketch_bounds(F.col("distinct_values"))
+    return exact.join(merged, ["name", "param"]).select(
+        "name", "param", "distinct_values", F.col("estimate").between(low, high).alias("within"))
+
+
+# ---------------------------------------------------------------- logs on disk
 _RUNS_SQL = f"""{_TR},
-runs AS (SELECT file, seq, name,
+logged AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY seq) - 1 AS place FROM trace),
+runs AS (SELECT file, place AS seq, name,
                 sum(CASE WHEN name = 'set_program_name' THEN 1 ELSE 0 END)
-                  OVER (PARTITION BY file ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run
-         FROM trace)"""
+                  OVER (PARTITION BY file ORDER BY place ROWS UNBOUNDED PRECEDING) AS run
+         FROM logged)"""
+
+
+def _logs(spark, d, pieces):
+    """The event trace as ten logs cut into pieces by size, the earlier half of
+    the events first, in the shared folder."""
+    base = shared_path(spark, "trace")
+    raw = views.trace_raw(spark, d, terminator=False)
+    half = raw.agg(F.percentile_approx("seq", 0.5).alias("m")).first()["m"]
+    write_logs(raw.where(F.col("seq") <= half), f"{base}/logs", pieces=pieces)
+    write_logs(raw.where(F.col("seq") > half), f"{base}/logs", pieces=pieces, generation=1)
+    return base
+
+
+def _read_names(spark, d):
+    """(file, seq, name) of the logs on disk, seq being the place in the log."""
+    names = T.record_names(read_trace(spark, f"{_logs(spark, d, 16)}/logs"))
+    return names.select(F.col("log").cast("bigint").alias("file"), "seq", "name")
+
+
+@register("t1_read_trace", "T", oracle=f"""
+WITH {_TR}
+SELECT file, row_number() OVER (PARTITION BY file ORDER BY seq) - 1 AS seq, name, a_user AS user, a_props AS props, ret
+FROM trace""")
+def t1(spark, d):
+    """T2 -> files -> T1 -> T11: records written as logs of at least 20 pieces
+    each, read back with the multi-character separator, put in order, parsed."""
+    good, _ = T.parse_records(read_trace(spark, f"{_logs(spark, d, 150)}/logs"))
+    return good.select(F.col("log").cast("bigint").alias("file"), "seq", "name", F.col("args")["user"].alias("user"),
+                       F.col("args")["props"].alias("props"), F.get("ret", 0).alias("ret"))
 
 
 @register("t9_split_runs", "T", oracle=f"""
 WITH {_RUNS_SQL} SELECT file, seq, name, CAST(run AS BIGINT) AS run FROM runs""")
 def t9(spark, d):
-    return T.split_runs(views.trace(spark, d).select("file", "seq", "name"))
+    return T.split_runs(_read_names(spark, d))
 
 
 @register("t10_crashed_runs", "T", oracle=f"""
@@ -137,31 +190,28 @@ SELECT file, CAST(run AS BIGINT) AS run, count(*) AS records, bool_or(name = 'ma
        min(seq) AS first_seq
 FROM runs GROUP BY file, run HAVING NOT bool_or(name = 'main')""")
 def t10(spark, d):
-    return T.crashed_runs(T.split_runs(views.trace(spark, d).select("file", "seq", "name")))
+    return T.crashed_runs(T.split_runs(_read_names(spark, d)))
 
 
-# ---------------------------------------------------------------- streaming
-def _stream_logs(spark, d):
-    """Write the event trace as rotated log files (two halves per log, the
-    second written later) into the shared checkpoint folder."""
-    import uuid
-
-    from corvid.session import ensure_checkpoint_dir
-    from corvid.streaming.trace_stream import write_logs
-    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/corvid-stream-{uuid.uuid4().hex}"
-    raw = views.trace_raw(spark, d, terminator=False)
-    half = raw.agg(F.percentile_approx("seq", 0.5).alias("m")).first()["m"]
-    write_logs(raw.where(F.col("seq") <= half), f"{base}/logs")
-    write_logs(raw.where(F.col("seq") > half), f"{base}/logs")
-    return base
+@register("t2_write_trace", "T", oracle=f"""
+WITH {_TR}
+SELECT name, a_user AS user, a_props AS props, ret, count(*) AS records FROM trace GROUP BY ALL""")
+def t2(spark, d):
+    """T11 -> T2 -> files -> T1 -> T11: parsed rows rendered, written and read back."""
+    path = shared_path(spark, "trace-again")
+    t = views.trace(spark, d)
+    write_trace(t.select("name", F.map_keys("args").alias("keys"), F.map_values("args").alias("values"), "ret"), path)
+    good, _ = T.parse_records(read_records(spark, path))
+    return good.groupBy("name", F.col("args")["user"].alias("user"), F.col("args")["props"].alias("props"),
+                        F.get("ret", 0).alias("ret")).agg(F.count(F.lit(1)).alias("records"))
 
 
+# ---------------------------------------------------------------- streaming
 @register("t12_stream_call_counts", "T", oracle=f"""
 WITH {_TR} SELECT name, count(*) AS calls FROM trace GROUP BY name""")
 def t12(spark, d):
-    from corvid.streaming import trace_stream as S
-    base = _stream_logs(spark, d)
-    counts = S.stream_call_counts(S.trace_stream(spark, f"{base}/logs", max_files_per_trigger=10))
+    base = _logs(spark, d, 16)
+    counts = S.stream_call_counts(S.trace_stream(spark, f"{base}/logs", max_files_per_trigger=32))
     S.run_available_now(counts, f"{base}/ckpt", "update", "foreach_parquet", path=f"{base}/out")
     out = spark.read.parquet(f"{base}/out")
     return out.groupBy("name").agg(F.max("calls").alias("calls"))
@@ -169,27 +219,10 @@ def t12(spark, d):
 
 @register("t13_stream_run_state", "T", oracle=f"""
 WITH {_RUNS_SQL}
-SELECT file, CAST(run AS BIGINT) AS run, count(*) AS records, bool_or(name = 'main') AS has_main
+SELECT file, CAST(run AS BIGINT) AS run, count(*) AS records, bool_or(name = 'main') AS has_main,
+       CAST(run AS BIGINT) < max(max(CAST(run AS BIGINT))) OVER (PARTITION BY file) AS closed
 FROM runs GROUP BY file, run""")
 def t13(spark, d):
-    from corvid.streaming import trace_stream as S
-    base = _stream_logs(spark, d)
-    state = S.stream_run_state(S.trace_stream(spark, f"{base}/logs", max_files_per_trigger=10))
-    S.run_available_now(state, f"{base}/ckpt", "update", "foreach_parquet", path=f"{base}/out")
-    out = spark.read.parquet(f"{base}/out")
-    return (out.groupBy("log", "run").agg(F.max("records").alias("records"), F.bool_or("has_main").alias("has_main"))
-            .select(F.col("log").cast("bigint").alias("file"), "run", "records", "has_main"))
-
-
-@register("t1_read_trace", "T", oracle=f"""
-WITH {_TR}
-SELECT file, name, a_user AS user, a_props AS props, ret FROM trace""")
-def t1(spark, d):
-    """T2 -> files -> T1 -> T11: records written as rotated logs, read back
-    with the multi-character separator, parsed."""
-    from corvid.sources.trace_files import read_trace
-    base = _stream_logs(spark, d)
-    good, _ = T.parse_records(read_trace(spark, f"{base}/logs"))
-    log = F.regexp_extract("file", r"file=([0-9]+)", 1).cast("bigint")
-    return good.select(log.alias("file"), "name", F.col("args")["user"].alias("user"),
-                       F.col("args")["props"].alias("props"), F.get("ret", 0).alias("ret"))
+    base = _logs(spark, d, 16)
+    runs = S.follow_runs(spark, f"{base}/logs", base, max_files_per_trigger=32)
+    return runs.select(F.col("log").cast("bigint").alias("file"), "run", "records", "has_main", "closed")

@@ -7,7 +7,7 @@ tables; keys are mapped, never filtered, so the work grows with the data.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvid.sources.tables import table
@@ -237,20 +237,27 @@ def graph_nodes(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("n")).union(edges.select(F.col("dst").alias("n"))).distinct()
 
 
-# Cyclic per-customer graphs for the depth-first fallback: the customer node
-# calls the node of each order (o_orderkey DIV 10), finished orders call back,
-# and order nodes call o_orderkey DIV 100.
-def cyclic_graphs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-    cust = F.concat(F.lit("c"), F.col("o_custkey").cast("string"))
-    p10 = F.concat(F.lit("p"), F.floor(F.col("o_orderkey") / 10).cast("bigint").cast("string"))
-    p100 = F.concat(F.lit("p"), F.floor(F.col("o_orderkey") / 100).cast("bigint").cast("string"))
-    gid = F.col("o_custkey").alias("graph_id")
-    e = (o.select(gid, cust.alias("src"), p10.alias("dst"))
-         .union(o.where(F.col("o_orderstatus") == "F").select(gid, p10.alias("src"), cust.alias("dst")))
-         .union(o.select(gid, p10.alias("src"), p100.alias("dst"))))
-    roots = o.select(gid, cust.alias("root")).distinct()
-    return e, roots
+# One giant component: orders hang on customers, customers on nations, nations
+# on regions, and regions form a chain.
+GIANT_SQL = """giant_nodes AS (
+  SELECT DISTINCT n, k FROM (
+    SELECT 'o' || o_orderkey AS n, o_custkey AS k FROM orders UNION ALL SELECT 'c' || o_custkey, o_custkey FROM orders
+    UNION ALL SELECT 'c' || c_custkey, c_custkey FROM customer UNION ALL SELECT 'n' || c_nationkey, NULL FROM customer
+    UNION ALL SELECT 'n' || n_nationkey, NULL FROM nation UNION ALL SELECT 'r' || n_regionkey, NULL FROM nation
+    UNION ALL SELECT 'r' || r_regionkey, NULL FROM region))"""
+
+
+def giant_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    def node(letter: str, key) -> Column:
+        return F.concat(F.lit(letter), key.cast("string"))
+    o, c, n, r = (table(spark, d, t) for t in ("orders", "customer", "nation", "region"))
+    edges = (o.select(node("c", F.col("o_custkey")).alias("src"), node("o", F.col("o_orderkey")).alias("dst"))
+             .union(c.select(node("n", F.col("c_nationkey")), node("c", F.col("c_custkey"))))
+             .union(n.select(node("r", F.col("n_regionkey")), node("n", F.col("n_nationkey"))))
+             .union(r.select(node("r", F.col("r_regionkey")), node("r", F.greatest(F.col("r_regionkey") - 1, F.lit(0))))))
+    edges = edges.distinct()
+    nodes = edges.select(F.col("src").alias("n")).union(edges.select("dst")).distinct()
+    return nodes, edges
 
 
 # ---------------------------------------------------------------- T traces
@@ -267,8 +274,9 @@ TRACE_SQL = """trace AS (
   FROM events)"""
 
 
-def trace_raw(spark: SparkSession, d: str, terminator: bool = True) -> DataFrame:
-    """Rendered records (T2 format) for every event: ``(file, seq, value)``."""
+def trace_raw(spark: SparkSession, d: str, terminator: bool = True, day: bool = False) -> DataFrame:
+    """Rendered records (T2 format) for every event: ``(file, seq, value)``,
+    and the event's day if asked for."""
     from corvid.functions.trace_text import render_record
     e = (table(spark, d, "events"))
     et = F.col("event_type")
@@ -280,6 +288,7 @@ def trace_raw(spark: SparkSession, d: str, terminator: bool = True) -> DataFrame
     ret = F.when(et == "error", F.array().cast("array<string>")).otherwise(
         F.array(F.format_string("%f", F.col("value"))))
     return e.select((F.col("user_id") % 10).alias("file"), F.col("event_id").alias("seq"),
+                    *([F.to_date("ts").alias("day")] if day else []),
                     render_record(name, ret, keys, vals, terminator=terminator).alias("value"))
 
 
@@ -427,6 +436,11 @@ spans AS (
   FROM documents)"""
 
 
+def src_files(spark: SparkSession, d: str) -> DataFrame:
+    parts = F.split(F.replace("text", F.lit(". "), F.lit(".\n")), "\n")
+    return documents_text(spark, d).select(F.col("doc_id").alias("file"), parts.alias("lines"))
+
+
 def src_lines(spark: SparkSession, d: str) -> DataFrame:
     docs = documents_text(spark, d)
     return docs.select(F.col("doc_id").alias("file"),

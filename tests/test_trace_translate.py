@@ -117,10 +117,8 @@ def test_streaming_call_counts_and_state(spark):
                             "memory", table="calls_t")
     assert {r.name: r.calls for r in spark.table("calls_t").collect()} == {"set_program_name": 2, "x": 2, "main": 1}
     assert q.lastProgress is not None
-    S.run_available_now(S.stream_run_state(S.trace_stream(spark, f"{d}/logs")), f"{d}/c2", "update",
-                        "memory", table="state_t")
-    st = {(r.run, r.closed): (r.records, r.has_main) for r in spark.table("state_t").collect()}
-    assert st[(1, True)] == (3, True) and st[(2, False)] == (2, False)
+    st = {(r.run, r.closed): (r.records, r.has_main) for r in S.follow_runs(spark, f"{d}/logs", d).collect()}
+    assert st == {(1, True): (3, True), (2, False): (2, False)}
 
 
 def _lines(spark):
@@ -195,29 +193,6 @@ def test_make_targets_and_golden(spark):
     assert {(r.l, r.side) for r in X.compare_golden(a, e).collect()} == {("z", "expected_only"), ("y", "actual_only")}
 
 
-def test_batch_generate_retries_and_refusals(spark):
-    calls = {}
-
-    def flaky(messages, temperature):
-        key = messages[-1]["content"]
-        calls[key] = calls.get(key, 0) + 1
-        if key == "refuse":
-            raise PermissionError("safety")
-        if key == "flaky" and calls[key] < 3:
-            raise RuntimeError("quota")
-        return f"<FUNC>\n{key}\n</FUNC>\n<WRAPPER>\nw\n</WRAPPER>"
-
-    reqs = spark.createDataFrame([(1, [("user", "ok")]), (2, [("user", "flaky")]), (3, [("user", "refuse")])],
-                                 "request_id long, messages array<struct<role:string, content:string>>")
-    out = {r.request_id: (r.tries, r.error is None)
-           for r in X.batch_generate(reqs, flaky, pause_s=0, is_final=lambda e: isinstance(e, PermissionError))
-           .collect()}
-    assert out == {1: (1, True), 2: (3, True), 3: (1, False)}
-    import pytest
-    with pytest.raises(ValueError):
-        X.batch_generate(reqs, flaky, n=2, temperature=0.0)
-
-
 def test_provider_messages_and_registry(spark):
     m = spark.createDataFrame([(1, "system", "s"), (2, "user", "u"), (3, "assistant", "a")], "turn int, role string, text string")
     assert [r.role for r in X.provider_messages(m, "contents").orderBy("turn").collect()] == ["user", "model"]
