@@ -30,6 +30,12 @@ def characters(text: Column) -> Column:
     return F.split(text, "")
 
 
+def character(code: Column) -> Column:
+    """Code point (INT) -> the character."""
+    four = F.lpad(F.hex(code), 8, "0")
+    return F.decode(F.unhex(four), "UTF-32")
+
+
 def adler32(blob: Column) -> Column:
     """Adler-32 of a BINARY, one pass over its bytes with modular sums."""
     init = F.struct(F.lit(1).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"))

@@ -14,9 +14,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from corvid.functions.bytes import MIN_MATCH, characters
+from corvid.functions.bytes import MIN_MATCH, character, characters
 
 NEAR_ZERO = -1e-5
 
@@ -32,6 +31,47 @@ def symbol_histogram(df: DataFrame, key: Sequence[str], symbols: Column) -> Data
             .groupBy(*key, "symbol").agg(F.count(F.lit(1)).alias("count")))
 
 
+HISTOGRAM_TYPE = "struct<symbol: array<int>, count: array<bigint>>"
+
+
+def code_histogram_in_row(text: Column) -> Column:
+    """Z3 inside the row: struct(symbol[], count[]) of the code points of a text
+    that occur; only distinct symbols leave the row."""
+    @F.pandas_udf(HISTOGRAM_TYPE)
+    def histogram(s: pd.Series) -> pd.DataFrame:
+        out = [_counts(np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), np.uint32)) for t in s]
+        return pd.DataFrame({"symbol": [o[0] for o in out], "count": [o[1] for o in out]})
+    return histogram(text)
+
+
+def byte_histogram_in_row(blob: Column) -> Column:
+    """Z3 inside the row over the bytes of a BINARY, all 256 with their counts."""
+    @F.pandas_udf(HISTOGRAM_TYPE)
+    def histogram(s: pd.Series) -> pd.DataFrame:
+        axis = np.arange(256, dtype=np.int32)
+        out = [np.bincount(np.frombuffer(b or b"", np.uint8), minlength=256) for b in s]
+        return pd.DataFrame({"symbol": [axis] * len(out), "count": out})
+    return histogram(blob)
+
+
+def _counts(codes):
+    """(distinct codes, how often) by counting where codes are small."""
+    if len(codes) and int(codes.max()) < 1 << 16:
+        times = np.bincount(codes)
+        found = np.flatnonzero(times)
+        return found.astype(np.int32), times[found]
+    found, times = np.unique(codes, return_counts=True)
+    return found.astype(np.int32), times
+
+
+def text_histogram(df: DataFrame, key: Sequence[str], text: str = "text") -> DataFrame:
+    """Z3 over texts: (key..., symbol, count) of their characters, counted in
+    each row before rows of a key are added up."""
+    rows = explode_struct_arrays(df.select(*key, code_histogram_in_row(F.col(text)).alias("_h")), key, "_h", ["symbol", "count"])
+    sums = rows.groupBy(*key, "symbol").agg(F.sum("count").alias("count"))
+    return sums.withColumn("symbol", character(F.col("symbol")))
+
+
 def entropy_bits(hist: DataFrame, key: Sequence[str], alphabet_size: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Bits per symbol ``log2(total) - log2(count)`` and the group total.
 
@@ -41,8 +81,9 @@ def entropy_bits(hist: DataFrame, key: Sequence[str], alphabet_size: int | None
     """
     if not key:
         raise ValueError("entropy needs a group key (add a constant column for one group)")
-    tot = hist.groupBy(*key).agg(F.sum("count").alias("_sum"), F.count(F.lit(1)).alias("_n"))
-    h = hist.join(tot, list(key))
+    # a window holds one row a symbol of the alphabet
+    over = Window.partitionBy(*key)
+    h = hist.withColumns({"_sum": F.sum("count").over(over), "_n": F.count(F.lit(1)).over(over)})
     n = F.lit(float(alphabet_size)) if alphabet_size else F.col("_n").cast("double")
     raw = (F.when(F.col("_sum") == 0, F.log2(n))
            .when(F.col("count") == 0, F.log2(F.col("_sum")))
@@ -171,6 +212,70 @@ def range_histogram_in_row(df: DataFrame, key: Sequence[str], symbols: Column, l
     return symbol_histogram(df, key, F.slice(symbols, (lo + 1).cast("int"), size))
 
 
+RANGE_TYPE = "struct<range_no: array<int>, symbol: array<int>, count: array<bigint>>"
+#: Symbols between two running histograms of a text.
+HISTOGRAM_BLOCK = 4096
+#: Ranges of one item that are answered beside one copy of its text.
+RANGE_BATCH = 1000
+
+
+def _range_counts(text: str, lows, highs, block: int = HISTOGRAM_BLOCK):
+    """(range, code point, count) arrays of the positions [low, high) of each range.
+
+    Running histograms stand at block ends, blocks being no shorter than the
+    alphabet, so they take no more numbers than the text. The histogram up to a
+    position is that of its block's start plus the partial block, and a range is
+    the difference of two of them, however many ranges there are.
+    """
+    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    n = len(cp)
+    if not n:
+        return [np.zeros(0, np.int32)] * 2 + [np.zeros(0, np.int64)]
+    codes, alphabet = _renumbered(cp)
+    symbols = np.zeros(alphabet, np.int32)
+    symbols[codes] = cp
+    block = max(block, alphabet)
+    cell = np.arange(n) // block * alphabet + codes.astype(np.int64)
+    running = np.zeros((n // block + 2, alphabet), np.int64)
+    np.cumsum(np.bincount(cell, minlength=(n // block + 1) * alphabet).reshape(-1, alphabet), axis=0, out=running[1:])
+
+    def up_to(at: int):
+        return running[at // block] + np.bincount(codes[at // block * block:at].astype(np.int64), minlength=alphabet)
+
+    out = []
+    for k, (low, high) in enumerate(zip(lows, highs)):
+        low, high = min(max(int(low), 0), n), min(max(int(high), 0), n)
+        times = up_to(high) - up_to(low) if low < high else np.zeros(alphabet, np.int64)
+        found = np.flatnonzero(times)
+        out.append((np.full(len(found), k, np.int32), symbols[found], times[found]))
+    return [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int32)] * 2 + [np.zeros(0, np.int64)]
+
+
+def range_histograms_in_row(df: DataFrame, key: Sequence[str], text: str, lows: Column, highs: Column) -> DataFrame:
+    """Z10 for many ranges of a row, given as two arrays: (key..., range_no,
+    symbol, count). The text stays in its row and isn't exploded; positions
+    beyond it are cut off, an empty range has no rows."""
+    @F.pandas_udf(RANGE_TYPE)
+    def count(s: pd.Series, low: pd.Series, high: pd.Series) -> pd.DataFrame:
+        out = [_range_counts(t or "", a if a is not None else [], b if b is not None else []) for t, a, b in zip(s, low, high)]
+        return pd.DataFrame({name: [o[k] for o in out] for k, name in enumerate(("range_no", "symbol", "count"))})
+    rows = df.select(*key, count(F.col(text), lows, highs).alias("_r"))
+    flat = explode_struct_arrays(rows, key, "_r", ["range_no", "symbol", "count"])
+    return flat.withColumn("symbol", character(F.col("symbol")))
+
+
+def range_histograms(df: DataFrame, ranges: DataFrame, key: Sequence[str], text: str = "text") -> DataFrame:
+    """Z10 for a table of ranges (key..., range_id, lo, hi): (key..., range_id,
+    symbol, count). Ranges meet the text in batches of about ``RANGE_BATCH`` of
+    an item, so no row grows with the number of ranges."""
+    many = ranges.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / RANGE_BATCH).alias("_batches"))
+    dealt = ranges.join(many, list(key)).withColumn("_batch", F.expr("pmod(xxhash64(range_id), _batches)"))
+    batches = dealt.groupBy(*key, "_batch").agg(F.collect_list(F.struct("range_id", "lo", "hi")).alias("_ranges"))
+    x = df.select(*key, text).join(batches, list(key))
+    rows = range_histograms_in_row(x, [*key, "_ranges"], text, F.col("_ranges.lo"), F.col("_ranges.hi"))
+    return rows.select(*key, F.get("_ranges", F.col("range_no"))["range_id"].alias("range_id"), "symbol", "count")
+
+
 def chunk(df: DataFrame, key: Sequence[str], text: str, size: int) -> DataFrame:
     """Fixed-size pieces (last one short; empty input -> one empty piece)."""
     n = F.length(text)
@@ -180,49 +285,6 @@ def chunk(df: DataFrame, key: Sequence[str], text: str, size: int) -> DataFrame:
             .drop(text))
 
 
-COMPRESS_SCHEMA = T.StructType([
-    T.StructField("id", T.LongType()), T.StructField("codec", T.StringType()),
-    T.StructField("level", T.IntegerType()), T.StructField("in_size", T.LongType()),
-    T.StructField("out_size", T.LongType()), T.StructField("round_trip", T.BooleanType())])
-
-
-def compress_report(blobs: DataFrame, codecs: Sequence[str] = ("zlib", "gzip", "deflate"),
-                    levels: Sequence[int] = (1, 6, 9), key: str = "id", data: str = "data") -> DataFrame:
-    """Compressed size per (blob, codec, level) with a round-trip check.
-
-    Sizes are those of Python's zlib (not the reference encoder). Runs in
-    ``mapInPandas`` over Arrow batches; each blob is compressed in its task.
-    """
-    codecs, levels = list(codecs), list(levels)
-
-    def run(batches):
-        import gzip
-        import zlib
-
-        import pandas as pd
-
-        def comp(codec, lvl, b):
-            if codec == "zlib":
-                return zlib.compress(b, lvl), zlib.decompress
-            if codec == "gzip":
-                return gzip.compress(b, lvl, mtime=0), gzip.decompress
-            co = zlib.compressobj(lvl, zlib.DEFLATED, -15)
-            return co.compress(b) + co.flush(), lambda z: zlib.decompress(z, -15)
-        for pdf in batches:
-            rows = []
-            for i, b in zip(pdf[key], pdf[data]):
-                b = bytes(b) if b is not None else b""
-                for c in codecs:
-                    for lv in levels:
-                        z, dec = comp(c, lv, b)
-                        rows.append((int(i), c, int(lv), len(b), len(z), dec(z) == b))
-            yield pd.DataFrame(rows, columns=[f.name for f in COMPRESS_SCHEMA.fields])
-
-    src = blobs.select(F.col(key).cast("long").alias(key), F.col(data))
-    out = src.mapInPandas(run, COMPRESS_SCHEMA)
-    return out if key == "id" else out.withColumnRenamed("id", key)
-
-
 # ------------------------------------------------------------ in-row back-references
 # A document is one row, so its k-grams are already co-located: scanning the
 # text once per row finds every nearest previous occurrence without shuffling
@@ -244,6 +306,17 @@ def _nearest_matches(text: str, k: int, window: int | None):
     n = len(cp) - k + 1
     if n <= 1:
         return np.zeros(0, np.int32), np.zeros(0, np.int32)
+    # few distinct characters and a short gram: gram and position fit one number, sorted at once
+    codes, alphabet = _renumbered(cp)
+    bits, at_bits = max(1, int(alphabet - 1).bit_length()), int(n).bit_length()
+    if bits * k + at_bits <= 64:
+        packed = np.zeros(n, np.uint64)
+        for j in range(k):
+            packed = (packed << np.uint64(bits)) | codes[j:j + n]
+        packed = np.sort((packed << np.uint64(at_bits)) | np.arange(n, dtype=np.uint64))
+        gram, at = packed >> np.uint64(at_bits), (packed & np.uint64((1 << at_bits) - 1)).astype(np.int64)
+        same = gram[1:] == gram[:-1]
+        return _in_position_order(at[1:][same], at[:-1][same], n, window)
     key = cp[:n].copy()
     for j in range(1, k):
         if j >= 3:
@@ -251,12 +324,27 @@ def _nearest_matches(text: str, k: int, window: int | None):
         key = (key << np.uint64(21)) | cp[j:j + n]
     order = np.argsort(key, kind="stable")
     same = key[order[1:]] == key[order[:-1]]
-    cur, prev = order[1:][same], order[:-1][same]
-    d = cur - prev
-    keep = slice(None) if window is None else d < window
-    pos, dist = cur[keep], d[keep]
-    o = np.argsort(pos, kind="stable")
-    return pos[o].astype(np.int32), dist[o].astype(np.int32)
+    return _in_position_order(order[1:][same], order[:-1][same], n, window)
+
+
+def _renumbered(cp):
+    """Code points as 0, 1, 2... and how many there are."""
+    if int(cp.max()) < 1 << 16:
+        seen = np.zeros(int(cp.max()) + 1, bool)
+        seen[cp] = True
+        return (np.cumsum(seen) - 1).astype(np.uint64)[cp], int(seen.sum())
+    found, codes = np.unique(cp, return_inverse=True)
+    return codes.astype(np.uint64), len(found)
+
+
+def _in_position_order(cur, prev, n: int, window: int | None):
+    """(position, distance to the occurrence before) by rising position."""
+    dist = np.zeros(n, np.int32)
+    dist[cur] = cur - prev
+    if window is not None:
+        dist[dist >= window] = 0
+    pos = np.flatnonzero(dist)
+    return pos.astype(np.int32), dist[pos]
 
 
 def _spans_from_matches(pos, dist, k: int, max_len: int | None):
@@ -298,6 +386,48 @@ def repeated_spans_in_row(text: Column, k: int = MIN_MATCH, window: int | None =
     return spans(text)
 
 
+MATCH_SUMMARY = "struct<n: bigint, sum: bigint, max: bigint>"
+
+
+def match_summary_in_row(text: Column, k: int = MIN_MATCH, window: int | None = None) -> Column:
+    """Z7 summed inside the row: struct(n, sum, max) of the distances; sum and
+    max are NULL without a match. Matches themselves stay in the task."""
+    @F.pandas_udf(MATCH_SUMMARY)
+    def summary(s: pd.Series) -> pd.DataFrame:
+        return _summaries([_nearest_matches(t or "", k, window)[1] for t in s])
+    return summary(text)
+
+
+def span_summary_in_row(text: Column, k: int = MIN_MATCH, window: int | None = None, max_len: int | None = None) -> Column:
+    """Z8 summed inside the row: struct(n, sum, max) of the span lengths."""
+    @F.pandas_udf(MATCH_SUMMARY)
+    def summary(s: pd.Series) -> pd.DataFrame:
+        return _summaries([_spans_from_matches(*_nearest_matches(t or "", k, window), k, max_len)[2] for t in s])
+    return summary(text)
+
+
+def distance_histogram_in_row(text: Column, k: int = MIN_MATCH, window: int | None = None) -> Column:
+    """Z16 over Z7 inside the row: struct(symbol[], count[]) of the distance
+    buckets, named by the smallest distance of each: buckets are given by
+    ``distance_bucket`` of it."""
+    @F.pandas_udf(HISTOGRAM_TYPE)
+    def histogram(s: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in s:
+            less = _nearest_matches(t or "", k, window)[1].astype(np.int64) - 1
+            # below 4 every distance is its own; then the top two bits count
+            low = np.maximum(np.frexp(np.maximum(less, 1).astype(float))[1] - 2, 0)
+            out.append(_counts(((less >> low) << low) + 1))
+        return pd.DataFrame({"symbol": [o[0] for o in out], "count": [o[1] for o in out]})
+    return histogram(text)
+
+
+def _summaries(values: list) -> pd.DataFrame:
+    return pd.DataFrame({"n": [len(v) for v in values],
+                         "sum": pd.array([int(v.sum(dtype=np.int64)) if len(v) else None for v in values], "Int64"),
+                         "max": pd.array([int(v.max()) if len(v) else None for v in values], "Int64")})
+
+
 def explode_struct_arrays(df: DataFrame, key: Sequence[str], col: str, fields: Sequence[str]) -> DataFrame:
     """Rows out of a struct of parallel arrays (narrow: no shuffle)."""
     z = F.arrays_zip(*[F.col(f"{col}.{f}").alias(f) for f in fields])

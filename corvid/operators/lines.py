@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvid.functions.bytes import byte_values
-from corvid.plans.ordering import blocked_running_sum, with_global_position
+from corvid.plans.ordering import blocked_running_sum, small_join, stored, with_global_position
 
 # Fixed values of the output format.
 NUMBER_FORMAT = "%6d\t"
@@ -121,51 +121,81 @@ def show_all(line: Column) -> Column:
 
 # ------------------------------------------------------------ file-level forms
 # When each file is one row (whole-file reads), per-file work happens inside
-# the row and lines are exploded last: numbering needs per-file counts, their
-# prefix over files and one file-level join, never a shuffle of lines.
-def file_line_arrays(files: DataFrame, content: str = "content", key: str = "file_ord") -> DataFrame:
-    """(file_ord, lines ARRAY<STRUCT<idx, line>>) with the same line rules as ``file_lines``."""
-    body = F.regexp_replace(F.col(content), r"\n\z", "")
-    parts = F.when(F.col(content) == "", F.array().cast("array<string>")).otherwise(F.split(body, "\n"))
-    arr = F.transform(parts, lambda x, i: F.struct(i.cast("bigint").alias("idx"), x.alias("line")))
-    return files.select(key, arr.alias("lines"))
-
-
-def squeeze_blank_files(fl: DataFrame) -> DataFrame:
-    """L4 on file rows: drop an empty line after an empty line, across files too.
-
-    The predecessor's last-line flag comes from a global position over the
-    non-empty files (one row per file) joined on position.
-    """
-    last = (fl.where(F.size("lines") > 0)
-            .select("file_ord", (F.element_at("lines", -1)["line"] == "").alias("_last_blank")))
-    pos = with_global_position(last, [F.col("file_ord")], "_p")
-    prev = pos.select((F.col("_p") + 1).alias("_p"), F.col("_last_blank").alias("_pb"))
-    boundary = pos.join(prev, "_p", "left").select("file_ord", F.coalesce("_pb", F.lit(False)).alias("_pb"))
-    j = fl.join(boundary, "file_ord", "left")
-    lines = F.col("lines")
-    kept = F.filter(lines, lambda x, i: ~((x["line"] == "") & F.when(i == 0, F.coalesce(F.col("_pb"), F.lit(False)))
-                                          .otherwise(F.get(lines, i - 1)["line"] == "")))
-    return j.select("file_ord", kept.alias("lines"))
-
-
-def number_files(fl: DataFrame, nonblank: bool = False) -> DataFrame:
-    """L2 / L3 on file rows; returns line rows ``(file_ord, idx, line, n, out)``.
-
-    The in-file rank is the position in the (filtered) array, so lines are
-    numbered while they are exploded.
+# the row and lines are exploded last. Two passes read the text: the first
+# writes narrow facts (a few numbers a file), from which offsets follow; the
+# second joins them to the file rows and numbers lines while exploding them.
+def _body(content: Column) -> Column:
+    """The content without the newline that ends its last line."""
+    return F.when(content.endswith("\n"), F.substr(content, F.lit(1), F.length(content) - 1)).otherwise(content)
+
+
+def _line_array(content: Column) -> Column:
+    return F.when(content == "", F.array().cast("array<string>")).otherwise(F.split(_body(content), "\n"))
+
+
+def _kept_by_squeeze(lines: Column, after_blank: Column) -> Column:
+    """Indexes of the lines that stay when an empty line after an empty line
+    goes; ``after_blank`` says whether the line before the first is empty."""
+    at = F.when(F.size(lines) > 0, F.sequence(F.lit(0), F.size(lines) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.filter(at, lambda i: (F.get(lines, i) != "") | F.when(i == 0, ~after_blank).otherwise(F.get(lines, i - 1) != ""))
+
+
+def file_offsets(files: DataFrame, content: str = "content", key: str = "file_ord", nonblank: bool = False,
+                 squeeze: bool = False) -> tuple[DataFrame, int]:
+    """(key, _offset, _after_blank) and the number of files: how many numbered
+    lines come before each file, and under ``squeeze`` whether it follows an
+    empty line. Nothing but these facts is sorted or shuffled."""
+    text, lines = F.col(content), F.col("_lines")
+    if squeeze or nonblank:
+        count = F.size(F.array_remove(lines, "")) if nonblank else F.size(_kept_by_squeeze(lines, F.lit(False)))
+        facts = files.select(key, _line_array(text).alias("_lines")).select(
+            key, count.cast("bigint").alias("_count"), (F.size(lines) > 0).alias("_any"),
+            (F.get(lines, F.lit(0)) == "").alias("_first_blank"), (F.element_at(lines, -1) == "").alias("_last_blank"))
+    else:
+        body = _body(text)
+        breaks = F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit("")))
+        facts = files.select(key, F.when(text == "", 0).otherwise(breaks + 1).cast("bigint").alias("_count"))
+    facts = stored(facts, "line-facts")
+    order, blank = key, F.lit(False)
+    if squeeze:
+        # the line before a file's first is the last of the file before it that has lines
+        placed = with_global_position(facts.where("_any"), [F.col(key)], "_p")
+        before = placed.select((F.col("_p") + 1).alias("_p"), F.col("_last_blank").alias("_after_blank"))
+        facts = placed.join(before, "_p", "left").withColumn("_after_blank", F.coalesce("_after_blank", F.lit(False))).withColumn(
+            "_count", F.col("_count") - (F.col("_first_blank") & F.col("_after_blank")).cast("bigint"))
+        order, blank = "_p", F.col("_after_blank")
+    running = blocked_running_sum(facts, [], order, F.col("_count"), "_to")
+    return running.select(key, (F.col("_to") - F.col("_count")).alias("_offset"), blank.alias("_after_blank")), facts.count()
+
+
+def number_files(files: DataFrame, content: str = "content", key: str = "file_ord", nonblank: bool = False,
+                 squeeze: bool = False) -> DataFrame:
+    """L2, L3 (``nonblank``: only non-empty lines get a number) or L4 and L2
+    (``squeeze``) on file rows; returns ``(key, idx, line, n, out)``.
+
+    Offsets are joined to the file rows: broadcast as long as they are few
+    narrow rows, else as the planner chooses. Lines are exploded once.
     """
-    sel = F.filter("lines", lambda x: x["line"] != "") if nonblank else F.col("lines")
-    counts = fl.select("file_ord", F.size(sel).cast("bigint").alias("_cnt"))
-    offs = _file_offsets(counts, "_cnt")
-    j = fl.join(offs, "file_ord")
-    num = (j.select("file_ord", "_offset", F.posexplode(sel).alias("_pos", "_x"))
-           .select("file_ord", F.col("_x.idx").alias("idx"), F.col("_x.line").alias("line"),
-                   (F.col("_offset") + F.col("_pos") + 1).alias("n")))
-    num = num.withColumn("out", F.concat(F.format_string(NUMBER_FORMAT, F.col("n")), F.col("line")))
-    if not nonblank:
-        return num
-    blank = (j.select("file_ord", F.explode(F.filter("lines", lambda x: x["line"] == "")).alias("_x"))
-             .select("file_ord", F.col("_x.idx").alias("idx"), F.col("_x.line").alias("line"),
-                     F.lit(None).cast("bigint").alias("n"), F.col("_x.line").alias("out")))
-    return num.unionByName(blank)
+    if nonblank and squeeze:
+        raise ValueError("lines are squeezed or numbered without blanks, not both")
+    offsets, n_files = file_offsets(files, content, key, nonblank, squeeze)
+    text, lines = F.col(content), F.col("_lines")
+    x = small_join(files.select(key, content).where(text != ""), offsets, key, n_files)
+    x = x.select(key, "_offset", "_after_blank", _line_array(text).alias("_lines"))
+    if squeeze:
+        kept = x.select(key, "_offset", "_lines", F.posexplode(_kept_by_squeeze(lines, F.col("_after_blank"))).alias("_rank", "idx"))
+        rows = kept.select(key, F.col("idx").cast("bigint").alias("idx"), F.get(lines, F.col("idx")).alias("line"),
+                           (F.col("_offset") + F.col("_rank") + 1).alias("n"))
+    elif nonblank:
+        at = F.sequence(F.lit(0), F.size(lines) - 1)
+        ranked = F.transform(F.filter(at, lambda i: F.get(lines, i) != ""), lambda i, k: F.struct(
+            i.alias("idx"), F.get(lines, i).alias("line"), k.alias("rank")))
+        blanks = F.transform(F.filter(at, lambda i: F.get(lines, i) == ""), lambda i: F.struct(
+            i.alias("idx"), F.lit("").alias("line"), F.lit(None).cast("int").alias("rank")))
+        rows = x.select(key, "_offset", F.inline(F.concat(ranked, blanks))).select(
+            key, F.col("idx").cast("bigint").alias("idx"), "line", (F.col("_offset") + F.col("rank") + 1).alias("n"))
+    else:
+        rows = x.select(key, "_offset", F.posexplode("_lines").alias("idx", "line")).select(
+            key, F.col("idx").cast("bigint").alias("idx"), "line", (F.col("_offset") + F.col("idx") + 1).alias("n"))
+    numbered = F.concat(F.format_string(NUMBER_FORMAT, "n"), F.col("line"))
+    return rows.withColumn("out", F.when(F.col("n").isNull(), F.col("line")).otherwise(numbered) if nonblank else numbered)

@@ -13,7 +13,7 @@ _L = views.LINES_SQL
 WITH {_L}
 SELECT file_ord, idx, printf('%6d', row_number() OVER (ORDER BY file_ord, idx)) || chr(9) || line AS out FROM lines""")
 def l2(spark, d):
-    return L.number_files(L.file_line_arrays(views.line_files(spark, d))).select("file_ord", "idx", "out")
+    return L.number_files(views.line_files(spark, d)).select("file_ord", "idx", "out")
 
 
 @register("l3_number_nonblank", "L", oracle=f"""
@@ -22,8 +22,7 @@ c AS (SELECT *, sum(CASE WHEN line <> '' THEN 1 ELSE 0 END) OVER (ORDER BY file_
       FROM lines)
 SELECT file_ord, idx, CASE WHEN line = '' THEN line ELSE printf('%6d', n) || chr(9) || line END AS out FROM c""")
 def l3(spark, d):
-    fl = L.file_line_arrays(views.line_files(spark, d))
-    return L.number_files(fl, nonblank=True).select("file_ord", "idx", "out")
+    return L.number_files(views.line_files(spark, d), nonblank=True).select("file_ord", "idx", "out")
 
 
 @register("l4_squeeze_blank", "L", oracle=f"""
@@ -32,8 +31,7 @@ k AS (SELECT *, lag(line) OVER (ORDER BY file_ord, idx) AS prev FROM lines),
 kept AS (SELECT file_ord, idx, line FROM k WHERE NOT (line = '' AND coalesce(prev = '', FALSE)))
 SELECT file_ord, idx, printf('%6d', row_number() OVER (ORDER BY file_ord, idx)) || chr(9) || line AS out FROM kept""")
 def l4(spark, d):
-    fl = L.squeeze_blank_files(L.file_line_arrays(views.line_files(spark, d)))
-    return L.number_files(fl).select("file_ord", "idx", "out")
+    return L.number_files(views.line_files(spark, d), squeeze=True).select("file_ord", "idx", "out")
 
 
 @register("l5_show_ends", "L", oracle=f"""

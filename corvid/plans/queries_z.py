@@ -12,7 +12,7 @@ K = ["doc_id"]
 
 
 def _char_hist(df):
-    return Z.symbol_histogram(df, K, BF.characters(F.col("text")))
+    return Z.text_histogram(df, K)
 
 
 @register("z3_symbol_histogram", "Z", oracle=f"""
@@ -47,7 +47,7 @@ FROM h1 FULL OUTER JOIN h2 ON h1.symbol = h2.symbol""")
 def z5(spark, d):
     good = table(spark, d, "labels").where(F.col("quality") == 1).select("doc_id")
     # counts per document first: no text is joined
-    per_doc = Z.symbol_histogram(views.documents_text(spark, d), K, BF.characters(F.col("text")))
+    per_doc = Z.text_histogram(views.documents_text(spark, d), K)
     h1 = per_doc.join(good, "doc_id", "left_semi").groupBy("symbol").agg(F.sum("count").alias("count"))
     bench = table(spark, d, "benchmark").withColumn("g", F.lit(0))
     h2 = Z.symbol_histogram(bench, ["g"], BF.characters(F.col("text"))).drop("g")
@@ -73,20 +73,13 @@ def z6(spark, d):
     return m.select("doc_id", "m.name", "m.size", "m.ordinal")
 
 
-def _matches(spark, d):
-    t = views.documents_text(spark, d)
-    m = t.select("doc_id", Z.previous_occurrence_in_row(F.col("text"), 3).alias("m"))
-    return Z.explode_struct_arrays(m, K, "m", ["pos", "dist"])
-
-
 @register("z7_previous_occurrence", "Z", oracle=f"""
 WITH {views.KGRAM_SQL}
 SELECT doc_id, count(*) AS n_matched, CAST(sum(dist) AS BIGINT) AS sum_dist, CAST(max(dist) AS BIGINT) AS max_dist
 FROM matches GROUP BY doc_id""")
 def z7(spark, d):
-    return (_matches(spark, d).groupBy("doc_id")
-            .agg(F.count(F.lit(1)).alias("n_matched"), F.sum("dist").cast("bigint").alias("sum_dist"),
-                 F.max("dist").cast("bigint").alias("max_dist")))
+    m = views.documents_text(spark, d).select("doc_id", Z.match_summary_in_row(F.col("text"), 3).alias("m")).where("m.n > 0")
+    return m.select("doc_id", F.col("m.n").alias("n_matched"), F.col("m.sum").alias("sum_dist"), F.col("m.max").alias("max_dist"))
 
 
 @register("z8_repeated_spans", "Z", oracle=f"""
@@ -96,17 +89,15 @@ sp AS (SELECT doc_id, dist, min(pos) AS start, count(*) + 2 AS length FROM isl G
 SELECT doc_id, count(*) AS n_spans, CAST(sum(length) AS BIGINT) AS covered, CAST(max(length) AS BIGINT) AS longest
 FROM sp GROUP BY doc_id""")
 def z8(spark, d):
-    t = views.documents_text(spark, d)
-    r = t.select("doc_id", Z.repeated_spans_in_row(F.col("text"), 3).alias("s"))
-    s = Z.explode_struct_arrays(r, K, "s", ["start", "dist", "length"])
-    return s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_spans"),
-                                   F.sum("length").cast("bigint").alias("covered"),
-                                   F.max("length").cast("bigint").alias("longest"))
+    m = views.documents_text(spark, d).select("doc_id", Z.span_summary_in_row(F.col("text"), 3).alias("m")).where("m.n > 0")
+    return m.select("doc_id", F.col("m.n").alias("n_spans"), F.col("m.sum").alias("covered"), F.col("m.max").alias("longest"))
 
 
 def _byte_hist(spark, d):
-    h = Z.byte_histogram_from_chars(_char_hist(views.documents_text(spark, d)), K)
-    return Z.full_axis_histogram(h, K, 256)
+    t = views.documents_text(spark, d).where(F.length("text") > 0)
+    rows = t.select("doc_id", Z.byte_histogram_in_row(BF.utf8(F.col("text"))).alias("h"))
+    flat = Z.explode_struct_arrays(rows, K, "h", ["symbol", "count"])
+    return flat.groupBy(*K, "symbol").agg(F.sum("count").alias("count"))
 
 
 @register("z9_run_lengths", "Z", oracle=f"""
@@ -134,6 +125,23 @@ def z10(spark, d):
                                     F.floor(n / 4), F.floor(3 * n / 4))
 
 
+_RANGES = 10
+
+
+@register("z10_many_ranges", "Z", oracle=f"""
+WITH {views.CHARS_SQL},
+rg AS (SELECT doc_id, CAST(i AS INTEGER) AS range_no, length(text) * i // {2 * _RANGES} AS lo, length(text) * (i + {_RANGES}) // {2 * _RANGES} AS hi
+       FROM documents, range({_RANGES}) r(i))
+SELECT c.doc_id, rg.range_no, c.symbol, count(*) AS count FROM chars c JOIN rg USING (doc_id)
+WHERE c.pos >= rg.lo AND c.pos < rg.hi GROUP BY ALL""")
+def z10_many(spark, d):
+    """Z10 for ten overlapping ranges of every document."""
+    n, at = F.length("text").cast("bigint"), F.sequence(F.lit(0), F.lit(_RANGES - 1))
+    lows = F.transform(at, lambda i: F.floor(n * i / (2 * _RANGES)))
+    highs = F.transform(at, lambda i: F.floor(n * (i + _RANGES) / (2 * _RANGES)))
+    return Z.range_histograms_in_row(views.documents_text(spark, d), K, "text", lows, highs)
+
+
 # The 256 table values come from their rule; the bytes are folded over them.
 @register("z13_crc32", "Z", oracle="""
 WITH tbl AS (
@@ -168,10 +176,11 @@ SELECT CAST(CASE WHEN dist < 5 THEN dist - 1
        count(*) AS n
 FROM matches GROUP BY ALL""")
 def z16(spark, d):
-    m = _matches(spark, d)
-    return (m.groupBy(BF.distance_bucket(F.col("dist")).alias("bucket"),
-                      BF.distance_extra_bits(F.col("dist")).alias("extra_bits"))
-            .agg(F.count(F.lit(1)).alias("n")))
+    rows = views.documents_text(spark, d).select(Z.distance_histogram_in_row(F.col("text"), 3).alias("h"))
+    flat = Z.explode_struct_arrays(rows, [], "h", ["symbol", "count"])
+    return (flat.groupBy(BF.distance_bucket(F.col("symbol")).alias("bucket"),
+                         BF.distance_extra_bits(F.col("symbol")).alias("extra_bits"))
+            .agg(F.sum("count").alias("n")))
 
 
 @register("z18_percent_removed", "Z", oracle="""
