@@ -45,12 +45,17 @@ def _union_all(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+#: Rounds of the search after which the visited frontiers become one table.
+MERGE_ROUNDS = 8
+
+
 def reachable(nodes: DataFrame, edges: DataFrame, root: str) -> DataFrame:
     """Root and its descendants with their BFS depth.
 
     Frontier expansion: frontier ⋈ edges, minus visited (anti join). Each
-    round's frontier is materialised once; the visited set is the union of
-    the materialised frontiers (shallow lineage, never rewritten).
+    round's frontier is materialised once. The visited set is one table of the
+    rounds up to the last merge and at most ``MERGE_ROUNDS`` frontiers since,
+    so a deep graph makes no long plan.
     """
     spark = nodes.sparkSession
     if nodes.where(F.col("n") == F.lit(root)).isEmpty():
@@ -66,34 +71,77 @@ def reachable(nodes: DataFrame, edges: DataFrame, root: str) -> DataFrame:
             return _union_all(levels)
         levels.append(nxt)
         frontier = nxt
+        if len(levels) > MERGE_ROUNDS:
+            levels = [materialize(_union_all(levels), "visited")]
     raise RuntimeError("reachability did not converge")
 
 
+#: A node with more than this part of all edges is hot; there are fewer than twice as many.
+HOT_PART = 500
+SALTS = 1024
+
+
+def _least_neighbours(edges: DataFrame) -> DataFrame:
+    """(u, m, degree) from edge rows (u, v): the least of u and its v."""
+    return edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("degree"))
+
+
+def _join_least(edges: DataFrame, least: DataFrame, n_edges: int) -> DataFrame:
+    """(u, v, m): the edges (u, v) with the least neighbour of u.
+
+    The few hot nodes (at most ``HOT_PART`` of them) are broadcast with their
+    answers; their edges are dealt over salted keys that match nothing, so no
+    task of the join has a hub's edges. All other keys are joined as they are.
+    """
+    hot = least.where(F.col("degree") > n_edges / HOT_PART).select("u", F.col("m").alias("_hot"))
+    salt = F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    dealt = edges.join(F.broadcast(hot), "u", "left").withColumn("_salt", salt.cast("bigint"))
+    cold = least.select("u", "m", F.lit(0).cast("bigint").alias("_salt"))
+    return dealt.join(cold, ["u", "_salt"], "left").select("u", "v", F.coalesce("_hot", "m").alias("m"))
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Every neighbour above a node is linked to the node's least neighbour."""
+    n = 2 * edges.count()
+    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    x = _join_least(both, materialize(_least_neighbours(both), "least"), n)
+    return materialize(x.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large star")
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """A node and its neighbours below are linked to the least of them; edges
+    run from the greater node u to the lesser v."""
+    n = edges.count()
+    least = materialize(_least_neighbours(edges), "least")
+    x = _join_least(edges, least, n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return materialize(x.union(least.select("u", F.col("m").alias("v"))).distinct(), "small star")
+
+
 def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Component label (smallest node name) per node, edges undirected.
 
-    Min-label propagation with pointer jumping: each round a node takes the
-    smallest label among itself and its neighbours, then jumps to its label's
-    label. The previous label rides along, so the change test reads the
-    materialised round without another join.
+    Alternating star contraction: large stars and small stars in turn link
+    every node ever closer to the least of its component, until each component
+    is one star around it and a round changes nothing. Rounds grow with the
+    logarithm of the size. No task holds a node's neighbours: the least of them
+    is an aggregate that is combined before it is shuffled, and edges of hubs
+    (in the end the label of a giant component) are salted.
     """
-    und = (edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-           .union(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))).distinct())
-    und = materialize(und, "undirected")
-    labels = materialize(nodes.select("n", F.col("n").alias("label")), "labels")
-    for _ in count():
-        cand = (und.join(labels, und["b"] == labels["n"]).groupBy(F.col("a").alias("n"))
-                .agg(F.min("label").alias("cand")))
-        step = (labels.join(cand, "n", "left")
-                .select("n", F.col("label").alias("_old"), F.least("label", F.coalesce("cand", "label")).alias("label")))
-        hop = step.select(F.col("n").alias("_l"), F.col("label").alias("_ll"))
-        jumped = materialize(step.join(hop, step["label"] == hop["_l"], "left")
-                             .select("n", "_old", F.least("label", F.coalesce("_ll", "label")).alias("label")),
-                             "labels")
-        labels = jumped.select("n", "label")
-        if jumped.where(F.col("label") != F.col("_old")).isEmpty():
-            return labels
-    raise RuntimeError("component labelling did not converge")
+    e = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct()
+    e = materialize(e, "edges")
+
+    def mark(x: DataFrame):
+        return tuple(x.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+    before = mark(e)
+    while before[0]:
+        e = _small_star(_large_star(e))
+        now = mark(e)
+        if now == before:
+            break
+        before = now
+    labels = e.select(F.col("u").alias("n"), F.col("v").alias("label"))
+    return nodes.select("n").distinct().join(labels, "n", "left").withColumn("label", F.coalesce("label", "n"))
 
 
 def levels_callee_first(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -101,83 +149,27 @@ def levels_callee_first(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     Leaves get level 0; a caller's level is one more than its deepest
     callee. If a round peels nothing while nodes remain, those nodes sit on
-    or above a cycle: they are returned with a NULL level (see G6). Peeled
-    rounds are materialised once and unioned at the end.
+    or above a cycle: they are returned with a NULL level (see G6). A round
+    subtracts the callees just peeled from each caller's number of unpeeled
+    ones: edges are written once, and a round writes a row a node.
     """
-    remaining = materialize(nodes.select("n").distinct(), "remaining")
     e = materialize(edges.select("src", "dst").distinct(), "edges")
-    done: list[DataFrame] = []
+    calls = e.groupBy(F.col("src").alias("n")).agg(F.count(F.lit(1)).alias("_open"))
+    none = F.lit(None).cast("int")
+    state = nodes.select("n").distinct().join(calls, "n", "left").select("n", F.coalesce("_open", F.lit(0)).alias("_open"))
+    state = materialize(state.withColumn("level", F.when(F.col("_open") == 0, 0).otherwise(none)), "levels")
     for level in count():
-        # nodes that still call an unpeeled node; after this round they are
-        # exactly the unpeeled ones (one step from the checkpointed edges, so
-        # the lineage stays shallow without a checkpoint of its own)
-        blocked = e.select(F.col("src").alias("n")).distinct()
-        peeled = materialize(remaining.join(blocked, "n", "left_anti").withColumn("level", F.lit(level)), "peeled")
-        if peeled.isEmpty():
-            rest = remaining.withColumn("level", F.lit(None).cast("int"))
-            return _union_all(done + [rest]) if done else rest
-        done.append(peeled)
-        if blocked.isEmpty():
-            return _union_all(done)
-        remaining = blocked
-        e = materialize(e.join(peeled.select(F.col("n").alias("dst")), "dst", "left_anti"), "edges")
+        now, left = state.agg(F.count(F.when(F.col("level") == level, 1)), F.count(F.when(F.col("level").isNull(), 1))).first()
+        if not now or not left:
+            return state.select("n", "level")
+        peeled = state.where(F.col("level") == level).select(F.col("n").alias("dst"))
+        closed = e.join(peeled, "dst").groupBy(F.col("src").alias("n")).agg(F.count(F.lit(1)).alias("_closed"))
+        x = state.join(closed, "n", "left").withColumn("_open", F.col("_open") - F.coalesce("_closed", F.lit(0)))
+        fresh = F.col("level").isNull() & (F.col("_open") == 0)
+        state = materialize(x.select("n", "_open", F.when(fresh, level + 1).otherwise(F.col("level")).alias("level")), "levels")
     raise RuntimeError("level peeling did not converge")
 
 
 def callee_first_order(levels: DataFrame) -> DataFrame:
     """G1: leaf-first order as an explicit 0-based position over (level, name)."""
     return with_global_position(levels, [F.col("level").asc_nulls_last(), F.col("n")], "position")
-
-
-def _postorder(root: str, pairs) -> list[str]:
-    adj: dict[str, set[str]] = {}
-    for s, t in pairs:
-        if s is not None and t is not None:
-            adj.setdefault(s, set()).add(t)
-    kids = {k: sorted(v) for k, v in adj.items()}
-    seen = {root}
-    out: list[str] = []
-    stack = [(root, iter(kids.get(root, ())))]
-    while stack:
-        node, it = stack[-1]
-        for child in it:
-            if child not in seen:
-                seen.add(child)
-                stack.append((child, iter(kids.get(child, ()))))
-                break
-        else:
-            stack.pop()
-            out.append(node)
-    return out
-
-
-def cycle_fallback(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """Depth-first postorder from the root for graphs that may contain cycles.
-
-    One graph per ``graph_id``; children are visited in name order and a node
-    is emitted after all its unvisited children. Graphs are hash-partitioned
-    by id and sorted, then walked in ``mapInPandas``: many graphs per Arrow
-    batch, a graph's edges held only while it is walked (one program's call
-    graph).
-    """
-    data = (edges.join(roots, "graph_id", "right").select("graph_id", "src", "dst", "root")
-            .repartition("graph_id").sortWithinPartitions("graph_id"))
-
-    def run(batches):
-        import pandas as pd
-        cur, root, pairs = None, None, []
-
-        def flush():
-            order = _postorder(root, pairs)
-            return pd.DataFrame({"graph_id": [cur] * len(order), "position": range(len(order)), "n": order})
-        for pdf in batches:
-            for gid, s, t, r in zip(pdf["graph_id"], pdf["src"], pdf["dst"], pdf["root"]):
-                if gid != cur:
-                    if cur is not None:
-                        yield flush()
-                    cur, root, pairs = gid, r, []
-                pairs.append((s, t))
-        if cur is not None:
-            yield flush()
-
-    return data.mapInPandas(run, "graph_id long, position long, n string")

@@ -43,6 +43,18 @@ def g4(spark, d):
     return G.weak_components(nodes, edges)
 
 
+@register("g4_giant_component", "G", oracle=f"""
+WITH {views.GIANT_SQL},
+own AS (SELECT o_custkey AS k, least('c' || o_custkey, min('o' || o_orderkey)) AS label
+        FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) GROUP BY o_custkey),
+joined AS (SELECT min(n) AS label FROM giant_nodes WHERE k IS NULL OR k NOT IN (SELECT k FROM own))
+SELECT g.n, coalesce(own.label, joined.label) AS label FROM giant_nodes g LEFT JOIN own ON g.k = own.k, joined""")
+def g4_giant(spark, d):
+    """G4 on one component of all orders, customers, nations and regions."""
+    nodes, edges = views.giant_graph(spark, d)
+    return G.weak_components(nodes, edges)
+
+
 _LEVELS_SQL = f"""{_GE},
 h(n, lvl) AS (SELECT n, 0 FROM graph_nodes WHERE n NOT IN (SELECT src FROM graph_edges)
               UNION SELECT e.src, h.lvl + 1 FROM h JOIN graph_edges e ON e.dst = h.n),

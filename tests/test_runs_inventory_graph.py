@@ -156,14 +156,10 @@ def test_reachable_levels_components(spark):
         G.reachable(n, e, "missing")
 
 
-def test_cycles_fall_back_to_postorder(spark):
+def test_cycles_have_no_level(spark):
     n, e = _graph(spark, [("r", "a"), ("a", "r"), ("a", "b"), ("b", "b"), ("q", "w"), ("w", "q")])
     lv = {r.n: r.level for r in G.levels_callee_first(n, e).collect()}
     assert lv["r"] is None and lv["q"] is None
-    ge = e.withColumn("graph_id", F.lit(1).cast("long"))
-    roots = spark.createDataFrame([(1, "r")], "graph_id long, root string")
-    post = [r.n for r in G.cycle_fallback(ge, roots).orderBy("position").collect()]
-    assert post == ["b", "a", "r"]        # unreachable cycle q<->w not visited
 
 
 def test_components_on_long_chain_and_reverse_order(spark):
