@@ -1,21 +1,19 @@
 """X area: code-translation batches as DataFrame jobs.
 
-Spans of source text, prompts and conversations, model calls through a
-pluggable function, tag extraction, verdict classification, attempt
+Spans of source text, prompts and conversations, tag extraction, verdict classification, attempt
 sequences and test-suite outcomes.
 """
 
 from __future__ import annotations
 
-import time
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corvid.functions.code import unrename_entry
 from corvid.functions.text import between_tags, has_tag, strip_ws
+from corvid.plans.ordering import small_join
 
 # Failure markers and categories of a verdict.
 TIMEOUT_MARK = "Timeout"
@@ -109,6 +107,51 @@ def extract_span(spans: DataFrame, lines: DataFrame, key: Sequence[str] = ("span
             .agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["t"]), "\n").alias("text")))
 
 
+# Where a file is one row, (file, lines ARRAY<STRING>), spans meet it there: a
+# span takes its slice of the array, and no line is a row of a shuffle. Spans
+# are narrow; they are broadcast while they are few and joined as the planner
+# chooses beyond.
+def join_spans_to_files(spans: DataFrame, files: DataFrame, file: str = "file", lines: str = "lines") -> DataFrame:
+    """X9 on file rows: each span that begins within its file, with ``part``,
+    the array of its lines."""
+    j = small_join(files, spans, file, spans.count())
+    part = F.slice(F.col(lines), F.col("start_line").cast("int"), (F.col("end_line") - F.col("start_line") + 1).cast("int"))
+    inside = (F.col("start_line") <= F.size(lines)) & (F.col("start_line") <= F.col("end_line"))
+    return j.where(inside).withColumn("part", part).drop(lines)
+
+
+def extract_span_in_files(spans: DataFrame, files: DataFrame, key: Sequence[str] = ("span_id",), file: str = "file",
+                          lines: str = "lines") -> DataFrame:
+    """X18 on file rows: the text of each span, cut out of its slice."""
+    s, e, sc, ec = (F.col(c) for c in ("start_line", "end_line", "start_col", "end_col"))
+
+    def piece(line: Column, i: Column) -> Column:
+        from_start = F.substr(line, sc.cast("int"))
+        only = F.substr(line, sc.cast("int"), F.greatest(ec - sc + 1, F.lit(0)).cast("int"))
+        return (F.when((i == 0) & (s == e), only).when(i == 0, from_start)
+                .when(s + i == e, F.substr(line, F.lit(1), ec.cast("int"))).otherwise(line))
+
+    j = join_spans_to_files(spans, files, file, lines)
+    return j.select(*key, F.array_join(F.transform("part", piece), "\n").alias("text"))
+
+
+def comment_out_span_in_files(spans: DataFrame, files: DataFrame, file: str = "file", lines: str = "lines") -> DataFrame:
+    """X19 on file rows: spans are joined to files, then lines are exploded."""
+    per_file = _spans_by_file(spans, file)
+    j = small_join(files, per_file.withColumnRenamed("_f", file), file, spans.count(), "left")
+    rows = j.select(file, "_spans", F.posexplode(lines).alias("_at", "line"))
+    return _comment_out(rows.withColumn("line_no", (F.col("_at") + 1).cast("bigint")).drop("_at"), file)
+
+
+_SPAN_ARRAY = "array<struct<start_line:bigint,start_col:bigint,end_line:bigint,end_col:bigint>>"
+
+
+def _spans_by_file(spans: DataFrame, file: str) -> DataFrame:
+    s = F.struct("start_line", "start_col", "end_line", "end_col")
+    return (spans.where(F.col("end_line") >= F.col("start_line"))
+            .groupBy(F.col(file).alias("_f")).agg(F.collect_list(s).cast(_SPAN_ARRAY).alias("_spans")))
+
+
 def comment_out_span(spans: DataFrame, lines: DataFrame, file: str = "file") -> DataFrame:
     """``// `` goes in at start_col of a span's first line and before its
     other lines; text after end_col on the last line moves to a new line below.
@@ -119,12 +162,13 @@ def comment_out_span(spans: DataFrame, lines: DataFrame, file: str = "file") ->
     commented out with them. Output: ``(file, line_no, part, line)`` for all
     lines, where ``part`` 1 is the moved tail.
     """
-    s = F.struct("start_line", "start_col", "end_line", "end_col")
-    per_file = (spans.where(F.col("end_line") >= F.col("start_line"))
-                .groupBy(F.col(file).alias("_f")).agg(F.collect_list(s).alias("_spans")))
-    j = (lines.join(per_file, F.col(file) == F.col("_f"), "left")
-         .withColumn("_line", F.regexp_replace("line", r"\s+$", ""))
-         .withColumn("_spans", F.coalesce("_spans", F.array().cast("array<struct<start_line:bigint,start_col:bigint,end_line:bigint,end_col:bigint>>"))))
+    per_file = _spans_by_file(spans, file)
+    return _comment_out(lines.join(per_file, F.col(file) == F.col("_f"), "left"), file)
+
+
+def _comment_out(rows: DataFrame, file: str) -> DataFrame:
+    """X19 on (file, line_no, line, _spans) rows."""
+    j = rows.withColumns({"_line": F.regexp_replace("line", r"\s+$", ""), "_spans": F.coalesce("_spans", F.array().cast(_SPAN_ARRAY))})
     j = j.withColumns({
         "_inside": F.expr("exists(_spans, s -> s.start_line < line_no AND line_no <= s.end_line)"),
         "_goes_on": F.expr("exists(_spans, s -> s.start_line <= line_no AND line_no < s.end_line)"),
@@ -281,79 +325,11 @@ def executable_targets(db_lines: DataFrame, project: str = "project") -> tuple[D
 
 
 def compare_golden(actual: DataFrame, expected: DataFrame) -> DataFrame:
-    """Exact multiset comparison; rows only on one side, labelled by side."""
-    missing = expected.exceptAll(actual).withColumn("side", F.lit("expected_only"))
-    extra = actual.exceptAll(expected).withColumn("side", F.lit("actual_only"))
-    return missing.unionByName(extra)
-
-
-# ------------------------------------------------------------ model calls
-GEN_SCHEMA = T.StructType([
-    T.StructField("request_id", T.LongType()),
-    T.StructField("sample", T.IntegerType()),
-    T.StructField("response", T.StringType()),
-    T.StructField("error", T.StringType()),
-    T.StructField("tries", T.IntegerType()),
-])
-
-
-def _call_with_retry(fn, payload, max_tries, pause, is_final):
-    last = None
-    for i in range(1, max_tries + 1):
-        try:
-            return fn(payload), None, i
-        except Exception as exc:  # noqa: BLE001 - errors become a column
-            last = exc
-            if is_final(exc) or i == max_tries:
-                return None, f"{type(exc).__name__}: {exc}", i
-            if pause:
-                time.sleep(pause)
-    return None, str(last), max_tries
-
-
-def batch_generate(requests: DataFrame, model_fn: Callable[[list[dict], float], str], n: int = 1,
-                   temperature: float = 0.0, max_tries: int = 5, pause_s: float = 10.0,
-                   is_final: Callable[[Exception], bool] = lambda e: False) -> DataFrame:
-    """``n`` answers per conversation through a pluggable ``model_fn``.
-
-    ``requests``: ``(request_id, messages ARRAY<STRUCT<role, content>>)``.
-    ``n != 1`` needs a non-zero temperature. Each call is retried up to
-    ``max_tries`` times ``pause_s`` apart unless ``is_final`` says the error
-    is final (a refusal). Errors become the ``error`` column. Runs in
-    ``mapInPandas`` over Arrow batches, one request at a time per task.
-    """
-    if n != 1 and temperature == 0:
-        raise ValueError("several samples need a non-zero temperature")
-    x = requests.select("request_id", "messages",
-                        F.explode(F.sequence(F.lit(1), F.lit(n))).alias("sample"))
-
-    def run(batches):
-        import pandas as pd
-        for pdf in batches:
-            out = []
-            for rid, msgs, s in zip(pdf["request_id"], pdf["messages"], pdf["sample"]):
-                conv = [{"role": m["role"], "content": m["content"]} for m in msgs]
-                resp, err, tries = _call_with_retry(lambda c: model_fn(c, temperature), conv,
-                                                    max_tries, pause_s, is_final)
-                out.append((rid, int(s), resp, err, tries))
-            yield pd.DataFrame(out, columns=["request_id", "sample", "response", "error", "tries"])
-
-    return x.mapInPandas(run, GEN_SCHEMA)
-
-
-def batch_embed(df: DataFrame, embed_fn: Callable[[list[str]], list[list[float]]], text: str = "text",
-                key: str = "id", max_tries: int = 5, pause_s: float = 10.0) -> DataFrame:
-    """Text -> float vector per row through a pluggable batch function."""
-    schema = T.StructType([df.schema[key], T.StructField("embedding", T.ArrayType(T.FloatType())),
-                           T.StructField("error", T.StringType())])
-
-    def run(batches):
-        import pandas as pd
-        for pdf in batches:
-            texts = pdf[text].fillna("").tolist()
-            vecs, err, _ = _call_with_retry(embed_fn, texts, max_tries, pause_s, lambda e: False)
-            if vecs is None:
-                vecs = [None] * len(texts)
-            yield pd.DataFrame({key: pdf[key], "embedding": vecs, "error": [err] * len(texts)})
-
-    return df.select(key, text).mapInPandas(run, schema)
+    """Multiset comparison; rows only on one side, labelled by side, as
+    often as they are there more often than on the other. One aggregate over
+    both sides, with a count of +1 or -1 a row."""
+    names = expected.columns
+    both = expected.withColumn("_more", F.lit(1)).unionByName(actual.select(*names).withColumn("_more", F.lit(-1)))
+    more = both.groupBy(*names).agg(F.sum("_more").alias("_more")).where("_more <> 0")
+    side = F.when(F.col("_more") > 0, "expected_only").otherwise("actual_only").alias("side")
+    return more.select(*names, side, F.explode(F.sequence(F.lit(1), F.abs("_more").cast("int"))).alias("_k")).drop("_k")

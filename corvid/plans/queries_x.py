@@ -97,9 +97,9 @@ SELECT s.span_id, count(*) AS n_lines, CAST(sum(length(l.line)) AS BIGINT) AS ch
 FROM spans s JOIN src_lines l ON s.file = l.file AND l.line_no BETWEEN s.start_line AND s.end_line
 GROUP BY s.span_id""")
 def x9(spark, d):
-    j = X.join_spans_to_source(views.spans(spark, d), views.src_lines(spark, d))
-    return j.groupBy("span_id").agg(F.count(F.lit(1)).alias("n_lines"),
-                                    F.sum(F.length("line")).cast("bigint").alias("chars"))
+    j = X.join_spans_to_files(views.spans(spark, d), views.src_files(spark, d))
+    return j.select("span_id", F.size("part").cast("bigint").alias("n_lines"),
+                    F.length(F.array_join("part", "")).cast("bigint").alias("chars"))
 
 
 _PIECES_SQL = f"""{_SPAN_SQL},
@@ -117,7 +117,7 @@ extracted AS (SELECT span_id, string_agg(t, chr(10) ORDER BY line_no, t) AS text
 @register("x18_extract_span", "X", oracle=f"""
 WITH {_PIECES_SQL} SELECT span_id, text FROM extracted""")
 def x18(spark, d):
-    return X.extract_span(views.spans(spark, d), views.src_lines(spark, d))
+    return X.extract_span_in_files(views.spans(spark, d), views.src_files(spark, d))
 
 
 # Three spans for each file with a span; the last two begin or end on one line.
@@ -131,9 +131,9 @@ spans3 AS (
 def _spans19(spark, d):
     s = views.spans(spark, d)
     end, col = F.col("end_line"), F.col("end_col")
-    one = s.select("file", "start_line", "start_col", "end_line", "end_col")
-    two = s.select("file", end + 2, F.col("start_col") + 3, end + 4, col)
-    return one.union(two).union(s.select("file", end + 4, col + 5, end + 4, col + 9))
+    names = ("start_line", "start_col", "end_line", "end_col")
+    three = [[F.col(n) for n in names], [end + 2, F.col("start_col") + 3, end + 4, col], [end + 4, col + 5, end + 4, col + 9]]
+    return s.select("file", F.inline(F.array(*[F.struct(*[c.alias(n) for c, n in zip(x, names)]) for x in three])))
 
 
 @register("x19_comment_out_span", "X", oracle=f"""
@@ -153,7 +153,7 @@ SELECT file, line_no, 0 AS part,
 FROM h
 UNION ALL SELECT file, line_no, 1, tail FROM h WHERE tail <> ''""")
 def x19(spark, d):
-    return X.comment_out_span(_spans19(spark, d), views.src_lines(spark, d))
+    return X.comment_out_span_in_files(_spans19(spark, d), views.src_files(spark, d))
 
 
 # Prompt texts are our own.
@@ -172,7 +172,7 @@ conv AS (
   FROM extracted)
 SELECT span_id, CAST(turn AS INTEGER) AS turn, role, content FROM conv""")
 def x20(spark, d):
-    ex = X.extract_span(views.spans(spark, d), views.src_lines(spark, d))
+    ex = X.extract_span_in_files(views.spans(spark, d), views.src_files(spark, d))
     conv = X.render_prompt(SYSTEM_PROMPT, USER_TEMPLATE,
                            {"name": F.concat(F.lit("fn_"), F.col("span_id").cast("string")), "code": F.col("text")})
     return ex.select("span_id", F.posexplode(conv).alias("pos", "m")).select(
