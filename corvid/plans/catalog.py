@@ -32,5 +32,5 @@ def register(name: str, area: str, oracle: str | None = None):
 def all_queries() -> dict[str, Query]:
     # Import the modules that register queries.
     from corvid.plans import queries_b, queries_c, queries_g, queries_l  # noqa: F401
-    from corvid.plans import queries_p, queries_r, queries_t, queries_x, queries_z  # noqa: F401
+    from corvid.plans import queries_p, queries_r, queries_s, queries_t, queries_x, queries_z  # noqa: F401
     return dict(_REGISTRY)
