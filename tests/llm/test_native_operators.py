@@ -158,6 +158,20 @@ def test_contamination_matches_brute_force(spark):
     assert [x[3] for x in seen] == [x[3] for x in sorted(want)]
 
 
+def test_long_texts_of_equal_words(spark):
+    """What a document holds of occurrences is bounded by its words."""
+    same = "again " * 20000
+    items = [(0, "again " * 13), (1, "again " * 500), (2, "again " * 3), (3, "again again end"), (4, prose(1, 20))]
+    rows = [(1, same), (2, same + "end " + prose(1, 20)), (3, "again " * 12), (4, "x " * 20000)]
+    got = {r["_id"]: (r["n_words"], r["n_hit"], r["items"], r["contaminated"])
+           for r in contaminated_rows(corpus(spark, rows), bench(spark, items)).collect()}
+    assert got == {1: (20000, 20000, ["0", "1", "2"], True), 2: (20021, 20021, ["0", "1", "2", "3", "4"], True),
+                   3: (12, 12, ["2"], True), 4: (20000, 0, [], False)}
+    index = PositionalIndex(corpus(spark, rows), bench(spark, items))
+    spans = index.phrases().filter("_item = 3").collect()
+    assert [(r["_id"], r["_start"], r["_len"]) for r in spans] == [(2, 19998, 3)]
+
+
 def test_contaminated_documents_go_and_proximity(spark):
     a = prose(30, 30)
     w = a.split()
