@@ -19,6 +19,7 @@ gives no documents.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -47,38 +48,99 @@ FILE_BYTES = 16 << 20
 MEMO_PIECES = 400_000
 #: Texts of ASCII without apostrophe, control or special-token marks, and of Latin-1 letters.
 PLAIN = re.compile(r"(?:[ \t\n\r!-&(-~À-ÖØ-öø-ÿ])*")
-PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+# The normaliser and the splitter of a tokenizers file that cuts plain texts into runs of
+# letters, single digits and runs of other marks after lower-casing them.
+LOWER_CASED = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+RUNS = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+     "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
+#: What a Latin-1 byte of a lower-cased plain text is: 0 blank, 1 letter, 2 digit, 3 other.
+_KIND = np.full(256, 3, dtype=np.uint8)
+_KIND[[9, 10, 13, 32]] = 0
+_KIND[97:123] = 1
+_KIND[0xDF:] = 1
+_KIND[48:58] = 2
+
+
+def cuts_plain_texts(path: str) -> bool:
+    """Whether the file is known to cut plain texts as ``Encoder`` does."""
+    with open(path, encoding="utf-8") as f:
+        rules = json.load(f)
+    marks = [x["content"] for x in rules.get("added_tokens") or []]
+    return (rules.get("normalizer") == LOWER_CASED and rules.get("pre_tokenizer") == RUNS and not rules.get("truncation")
+            and not rules.get("padding") and all(m.startswith("<|") for m in marks))
 
 
 class Encoder:
-    """Texts to ids with a tokenizers file, remembering the ids of pieces.
+    """Texts to ids with a tokenizers file.
 
-    The library takes most of its time for normalising and splitting. A plain
-    text (see PLAIN) is split here, where its rules are simple for such a file
-    (lower case, pieces of letters, single digits, runs of other marks), and
-    the library encodes each new piece. Any other text goes through it whole.
+    The library takes most of its time for normalising and splitting. Where a
+    file's rules for that are those of ``LOWER_CASED`` and ``RUNS``, a plain
+    text (see PLAIN) is split here, on arrays of bytes, and the library encodes
+    each new piece, whose ids are remembered. Any other text, and any text with
+    any other file, goes through the library whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
         self.whole = Tokenizer.from_file(path)
+        self.whole.no_truncation()
+        self.whole.no_padding()
+        self.splits = cuts_plain_texts(path)
         self.pieces = Tokenizer.from_file(path)
         self.pieces.normalizer = normalizers.Sequence([])
         self.pieces.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.memo: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
-        return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self._forget()
+
+    def _forget(self) -> None:
+        """No piece is known: the ids of piece k are ids[starts[k]:starts[k + 1]]."""
+        self.memo: dict[bytes, int] = {}
+        self.ids, self.starts = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        found = [e.ids for e in self.pieces.encode_batch_fast([p.decode("latin-1") for p in pieces], add_special_tokens=False)]
+        self.memo.update(zip(pieces, range(len(self.memo), len(self.memo) + len(pieces))))
+        self.ids = np.concatenate([self.ids, *[np.asarray(i, "<u4") for i in found]])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(i) for i in found])])
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        lengths = np.array([len(t) for t in texts], np.int64)
+        raw = np.frombuffer("\n".join(t.lower() for t in texts).encode("latin-1"), np.uint8)
+        kind = _KIND[raw]
+        inside = kind != 0
+        change = np.ones(len(raw) + 1, bool)
+        change[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        starts, ends = np.flatnonzero(change[:-1] & inside), np.flatnonzero(change[1:] & inside) + 1
+        # blanks aside, pieces lie one after the other
+        at = np.zeros(len(starts) + 1, np.int32)
+        np.cumsum(ends - starts, out=at[1:])
+        pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(raw[inside])]).dictionary_encode()
+        distinct = pieces.dictionary.to_pylist()
+        if len(self.memo) > MEMO_PIECES:
+            self._forget()
+        if new := [p for p in distinct if p not in self.memo]:
+            self._learn(new)
+        number = np.array([self.memo[p] for p in distinct], np.int64)[pieces.indices.to_numpy()]
+        first, size = self.starts[number], self.starts[number + 1] - self.starts[number]
+        done = np.zeros(len(size) + 1, np.int64)
+        np.cumsum(size, out=done[1:])
+        ids = self.ids[np.repeat(first - done[:-1], size) + np.arange(done[-1])]
+        edges = done[np.searchsorted(starts, np.concatenate([[0], np.cumsum(lengths + 1)]))]
+        return [ids[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])]
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
-        split = [PIECE.findall(t.lower()) if "<|" not in t and PLAIN.fullmatch(t) else None for t in texts]
-        if len(self.memo) > MEMO_PIECES:
-            self.memo.clear()
-        new = list(set().union(*[p for p in split if p]).difference(self.memo))
-        for piece, e in zip(new, self.pieces.encode_batch_fast(new, add_special_tokens=False)):
-            self.memo[piece] = np.asarray(e.ids, dtype="<u4").tobytes()
-        get = self.memo.__getitem__
-        return [self._whole(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, split)]
+        plain = [self.splits and "<|" not in t and PLAIN.fullmatch(t) is not None for t in texts]
+        out: list[bytes] = [b""] * len(texts)
+        if own := [i for i, p in enumerate(plain) if p]:
+            for i, ids in zip(own, self._plain([texts[i] for i in own])):
+                out[i] = ids
+        if others := [i for i, p in enumerate(plain) if not p]:
+            for i, e in zip(others, self.whole.encode_batch_fast([texts[i] for i in others], add_special_tokens=False)):
+                out[i] = np.asarray(e.ids, dtype="<u4").tobytes()
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -39,6 +39,27 @@ def test_encoder_is_the_library(texts):
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(list("aAbB zZ09.,!'<|>\n\tÀßÿé")), st.characters()), max_size=30), max_size=4))
+def test_encoder_is_the_library_with_another_file(texts):
+    """Rules that the encoder doesn't know are left to the library."""
+    from tokenizers import Tokenizer
+    path = tokenizer_path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    texts = [t.encode("utf-8", "ignore").decode() for t in texts] + ["Hello World 12", "", " Ab"]
+    assert TF.cuts_plain_texts(tokenizer_path()) and not TF.cuts_plain_texts(path)
+    got = TF.encoder(path).encode(texts)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_forgotten_pieces_are_learned_again(monkeypatch, library):
+    monkeypatch.setattr(TF, "MEMO_PIECES", 20)
+    e = TF.Encoder(tokenizer_path())
+    texts = [prose(i, 30).encode("latin-1", "ignore").decode("latin-1") + " 2024!? x" for i in range(20)] + ["", " \n", "7"]
+    for part in (texts[:9], texts[5:], texts):
+        assert [np.frombuffer(g, "<u4").tolist() for g in e.encode(part)] == [library.encode(t, add_special_tokens=False).ids for t in part]
+
+
 def test_token_files_round_trip(spark, library, monkeypatch):
     monkeypatch.setattr(TF, "FRAME_BYTES", 1 << 12)
     monkeypatch.setattr(TF, "FILE_BYTES", 1 << 16)
