@@ -38,13 +38,18 @@ CRLF = "\r\n"
 FILE_BYTES = 16 << 20
 LAST_BYTE = "\x00"
 
-HIDDEN = re.compile(r"<!--.*?-->|<(script|style|template|noscript)\b.*?</\1\s*>", re.S | re.I)
-BLOCKS = re.compile(r"</?(?:address|article|aside|blockquote|br|div|dd|dl|dt|footer|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul|head|body|html)\b[^>]*>", re.I)
-TAG = re.compile(r"</?[a-zA-Z!][^>]*>")
-TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-HREF = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
-CHARSET = re.compile(r"<meta\b[^>]*?\bcharset\s*=\s*[\"']?([A-Za-z0-9_-]+)", re.I)
+# Elements whose content is no text, and those that end a line.
+HIDDEN = frozenset(("script", "style", "template", "noscript"))
+BLOCKS = frozenset(("address", "article", "aside", "blockquote", "br", "div", "dd", "dl", "dt", "footer", "h1", "h2", "h3", "h4", "h5",
+                    "h6", "header", "hr", "li", "main", "nav", "ol", "p", "pre", "section", "table", "td", "th", "title", "tr", "ul",
+                    "head", "body", "html"))
+#: A comment or a tag: what begins with < and isn't this is text.
+OPENING = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][a-zA-Z0-9]*)|[!?/])")
+CLOSING = {name: re.compile(rf"</{name}\s*>", re.I) for name in (*HIDDEN, "title")}
+HREF = re.compile(r"(?<![\w-])href\s*=\s*", re.I)
+UNQUOTED = re.compile(r"[^\s>]+")
+LANG = re.compile(r"(?<![\w-])lang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
+CHARSET = re.compile(r"\bcharset\s*=\s*[\"']?([A-Za-z0-9_-]+)", re.I)
 
 
 def digest(data: bytes) -> str:
@@ -96,12 +101,65 @@ def response(page_id: int | None, url: str | None, page: str | None, date: str)
                    ("Source-Row-ID", key)], block)
 
 
+class Page:
+    """A page's text, title, language, charset and links, from one pass that
+    only goes forward: its time grows with the page, whatever is left open.
+
+    Comments, hidden elements and tags go; a hidden element, comment or tag
+    that is never closed hides the rest of the page. A title that is never
+    closed is none. Nothing counts that a comment or hidden element holds.
+    """
+
+    def __init__(self, page: str):
+        self.title = self.language = self.charset = None
+        self.links: list[str] = []
+        self.kept: list[str] = []
+        at, titled = 0, False
+        while m := OPENING.search(page, at):
+            self.kept.append(page[at:m.start()])
+            if m[1]:
+                end = page.find("-->", m.end())
+                at = end + 3 if end >= 0 else len(page)
+                continue
+            end = page.find(">", m.end())
+            at = end + 1 if end >= 0 else len(page)
+            name = (m[3] or "").lower()
+            if name in BLOCKS:
+                self.kept.append("\n")
+            if m[2] or not name or end < 0:
+                continue
+            if name in HIDDEN:
+                close = CLOSING[name].search(page, at)
+                at = close.end() if close else len(page)
+            elif name == "a":
+                self._link(page, m.end(), at)
+            elif name == "title" and not titled:
+                titled, close = True, CLOSING[name].search(page, at)
+                self.title = " ".join(html.unescape(page[at:close.start()]).split()) if close else None
+            elif name == "html" and self.language is None and (found := LANG.search(page, m.end(), at)):
+                self.language = found[1]
+            elif name == "meta" and self.charset is None and (found := CHARSET.search(page, m.end(), at)):
+                self.charset = found[1]
+        self.kept.append(page[at:])
+
+    def _link(self, page: str, start: int, end: int) -> None:
+        if not (found := HREF.search(page, start, end)):
+            return
+        at, mark = found.end(), page[found.end():found.end() + 1]
+        close = page.find(mark, at + 1) if mark and mark in "\"'" else -1
+        if close >= 0:
+            self.links.append(page[at + 1:close])
+        elif value := UNQUOTED.match(page, at, end):
+            self.links.append(value[0])
+
+    def text(self) -> str:
+        """Block elements end lines, entities are resolved, blanks are joined, empty lines go."""
+        lines = (" ".join(line.split()) for line in html.unescape("".join(self.kept)).split("\n"))
+        return "\n".join(line for line in lines if line)
+
+
 def plain_text(page: str) -> str:
-    """A page's text: hidden elements and tags go, block elements end lines,
-    entities are resolved, blanks are joined, and empty lines go."""
-    text = html.unescape(TAG.sub("", BLOCKS.sub("\n", HIDDEN.sub("", page))))
-    lines = (" ".join(line.split()) for line in text.split("\n"))
-    return "\n".join(line for line in lines if line)
+    return Page(page).text()
 
 
 def derivatives(fields: dict[str, str], block: bytes) -> tuple[bytes, bytes]:
@@ -113,17 +171,17 @@ def derivatives(fields: dict[str, str], block: bytes) -> tuple[bytes, bytes]:
     refers = [("WARC-Date", fields["warc-date"]), ("WARC-Target-URI", fields.get("warc-target-uri")),
               ("WARC-Refers-To", source), ("WARC-Refers-To-Target-URI", fields.get("warc-target-uri")),
               ("WARC-Refers-To-Date", fields["warc-date"]), ("Source-Row-ID", fields.get("source-row-id"))]
-    text = plain_text(page).encode()
+    read = Page(page)
+    text = read.text().encode()
     text_id = record_id("conversion", source)
     conversion = record([("WARC-Type", "conversion"), ("WARC-Record-ID", text_id), *refers,
                          ("WARC-Block-Digest", digest(text)), ("Content-Type", "text/plain; charset=utf-8")], text)
-    title, lang, charset = TITLE.search(page), LANG.search(page), CHARSET.search(page)
-    found = [("title", " ".join(html.unescape(title[1]).split())) if title else None, ("language", lang[1]) if lang else None,
-             ("charset", charset[1]) if charset else None, ("sourcePayloadDigest", fields.get("warc-payload-digest") or digest(payload))]
+    found = [("title", read.title), ("language", read.language), ("charset", read.charset),
+             ("sourcePayloadDigest", fields.get("warc-payload-digest") or digest(payload))]
     found += [(f"http-{name.strip().lower()}", value.strip())
               for name, mark, value in (line.partition(":") for line in head.decode("utf-8", "replace").split(CRLF)[1:]) if mark]
-    found += [("outlink", _uri(html.unescape(a or b or c).strip())) for a, b, c in HREF.findall(page)]
-    body = "".join(f"{k}: {v}{CRLF}" for k, v in (f for f in found if f)).encode()
+    found += [("outlink", _uri(html.unescape(link).strip())) for link in read.links]
+    body = "".join(f"{k}: {v}{CRLF}" for k, v in found if v is not None).encode()
     metadata = record([("WARC-Type", "metadata"), ("WARC-Record-ID", record_id("metadata", source)), *refers,
                        ("WARC-Concurrent-To", text_id), ("WARC-Block-Digest", digest(body)),
                        ("Content-Type", "application/warc-fields")], body)

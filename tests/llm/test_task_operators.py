@@ -290,3 +290,54 @@ def test_big_records_and_empty_table(spark, monkeypatch):
 
 def test_plain_text_of_entities():
     assert W.plain_text("<p>a &lt;b&gt; c</p>") == "a <b> c" == html.unescape("a &lt;b&gt; c")
+
+
+def test_what_is_left_open_is_no_text_and_takes_no_time():
+    import time
+    for page, text in [("a<script>x", "a"), ("a<!-- b", "a"), ("a<style>b</style >c", "ac"), ("a<title>b", "a\nb"), ("a <b", "a"), ("1 < 2 <3", "1 < 2 <3"),
+                       ("<p>a</p>b<br/>c", "a\nb\nc"), ("a<SCRIPT >x</script\n>b", "ab"), ("a<!-->b-->c", "ac"), ("</script>a", "a")]:
+        assert W.plain_text(page) == text, page
+    for opening in ("<script ", "<title>", "<!-- ", '<a href="', "<a href=' <a ", "<style>", "<", "</", "<title>x</titl "):
+        begun = time.perf_counter()
+        W.Page(opening * (1_000_000 // len(opening))).text()
+        assert time.perf_counter() - begun < 2, opening
+
+
+def test_page_metadata_outside_what_is_hidden():
+    p = W.Page("<HTML data-lang=x lang='de-AT'><meta charset=\"latin-1\"><!-- <title>no</title> <a href=no> --><title> A\n &amp; <b>B </title>"
+               "<a class=x data-href=no href = \"q>1\">t</a><a href=z>t</a><a href='open>t</a><script><a href=no></a></script><title>2</title>")
+    assert (p.title, p.language, p.charset, p.links) == ("A & <b>B", "de-AT", "latin-1", ["q>1", "z", "'open"])
+
+
+def test_query_links_every_page_once(spark, tmp_path):
+    """Titles, links and texts against a parser of the standard library; equal pages stay rows of their own."""
+    from html.parser import HTMLParser
+    from corvid.llm.queries import QUERIES
+
+    class Plain(HTMLParser):
+        def __init__(self, page):
+            super().__init__()
+            self.links, self.names, self.heading, self.inside = [], [], None, []
+            self.feed(page)
+
+        def handle_starttag(self, tag, attrs):
+            self.inside.append(tag)
+            self.links += [v for k, v in attrs if tag == "a" and k == "href" and v is not None]
+
+        def handle_endtag(self, tag):
+            self.inside = self.inside[:-1]
+
+        def handle_data(self, data):
+            if self.inside[-1:] == ["title"] and self.heading is None:
+                self.heading = " ".join(data.split())
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    pages.union(pages.limit(5)).write.parquet(f"{tmp_path}/pages.parquet")
+    rows = QUERIES["op10_warc_derivatives"](spark, str(tmp_path)).collect()
+    assert len(rows) == pages.count() + 5
+    of = {r.page_id: r.html or "" for r in pages.collect()}
+    for r in rows:
+        plain = Plain(of[r.page_id])
+        assert (r.n_links, r.title) == (len(plain.links), plain.heading or ""), r.page_id
+        assert r.text_chars == len(W.plain_text(of[r.page_id])) and r.same_source and r.digests_ok
+        assert r.payload_digest == W.digest(of[r.page_id].encode())
