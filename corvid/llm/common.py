@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,6 +65,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    """Delete a table of this run that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Collect what no frame refers to any more, here and in the driver's JVM.
+
+    Spark deletes the shuffle files and broadcasts of a frame only when the
+    driver has collected its handle, which a driver with room to spare may put
+    off for half an hour; a job of many rounds would hold all of them.
+    """
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
+
+
 def wrapped(docs: DataFrame, **named: Column) -> DataFrame:
     """The rows as one struct ``_row`` beside the named columns, so that no
     column of the input meets an internal name."""

@@ -31,10 +31,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvid.llm.common import keep, small_join, stored, unwrapped, wrapped
+from corvid.llm.common import deleted, keep, shared_path, small_join, sweep, unwrapped, wrapped
 from corvid.llm.hashing import mix, pieces, set_id, shingle_sets, word_hashes
 
 #: log2 of the bits that mark shared tokens (16 MB for the driver and each worker);
@@ -112,10 +113,10 @@ def prefix_keys(docs: DataFrame, text: str, key: str, k: int, percent: int) -> D
 def shared_marks(prefixes: DataFrame) -> np.ndarray:
     """Bits of the buckets of tokens that lie in the prefixes of two or more
     different sets (a bit may be set for no reason, never missing). Per key only
-    a fold of its sets' ids is compared, so copies and frequent tokens shrink
-    before the shuffle; the result's size is fixed."""
-    rows = prefixes.select("sid", F.explode("keys").alias("key")).select("key", F.hash("sid", "key").alias("fold"))
-    shared = rows.groupBy("key").agg(F.min("fold").alias("a"), F.max("fold").alias("b")).filter("a <> b")
+    the least and the greatest of its sets' ids are kept, so copies and frequent
+    tokens shrink before the shuffle; the result's size is fixed."""
+    rows = prefixes.select("sid", F.explode("keys").alias("key"))
+    shared = rows.groupBy("key").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).filter("a <> b")
     bucket = F.shiftrightunsigned(F.col("key").cast("bigint").bitwiseAND((1 << KEY_BITS) - 1), KEY_BITS - MARK_BITS)
     marks = shared.select(bucket.alias("bucket")).groupBy(F.shiftright("bucket", 15).alias("word")).agg(
         F.bitmap_construct_agg(F.col("bucket") % MARK_WORD).alias("bits")).collect()
@@ -125,11 +126,10 @@ def shared_marks(prefixes: DataFrame) -> np.ndarray:
     return out
 
 
-def linkable_sets(docs: DataFrame, marks: np.ndarray, text: str, key: str, k: int, percent: int) -> DataFrame:
-    """(sid, n, tokens) of the sets with enough shared tokens in the wide
-    prefix. A task gives equal sets once; the steps below bear it that several
-    tasks give the same set."""
-    sent = docs.sparkSession.sparkContext.broadcast(marks)
+def linkable_sets(docs: DataFrame, sent: Broadcast, text: str, key: str, k: int, percent: int) -> DataFrame:
+    """(sid, n, tokens) of the sets with enough shared tokens (marked in the
+    bits that are sent) in the wide prefix. A task gives equal sets once; the
+    steps below bear it that several tasks give the same set."""
 
     def run(batches):
         bits, seen = sent.value, set()
@@ -187,13 +187,16 @@ def token_counts(sets: DataFrame, bits: int) -> np.ndarray:
     return out.reshape(-1)
 
 
-def rare_prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(token, sid, n, place): the prefixes under the order rarest first (by
-    the count of the token's bucket, then hash). Any order of all tokens is
-    right; the buckets have a fixed bound and grow with the tokens up to it."""
+def count_bits(sets: DataFrame) -> int:
+    """log2 of the buckets for the sets' tokens: they grow with the tokens up to a fixed bound."""
     total = sets.agg(F.sum("n")).first()[0] or 0
-    bits = max(16, min(COUNT_BITS, int(total).bit_length() - 2))
-    sent = sets.sparkSession.sparkContext.broadcast(token_counts(sets, bits))
+    return max(16, min(COUNT_BITS, int(total).bit_length() - 2))
+
+
+def rare_prefixes(sets: DataFrame, sent: Broadcast, bits: int, percent: int) -> DataFrame:
+    """(token, sid, n, place): the prefixes under the order rarest first (by
+    the count of the token's bucket, which is sent, then hash). Any order of
+    all tokens is right."""
 
     def run(batches):
         counts = sent.value
@@ -298,6 +301,13 @@ def _moved(labels: DataFrame | None, found: DataFrame) -> DataFrame:
     return keep(new.unionByName(labels.join(new.select("sid"), "sid", "left_anti")))
 
 
+def _written(lists: DataFrame) -> tuple[str, DataFrame]:
+    """The lists as a table of their own, and where it is."""
+    path = shared_path(lists.sparkSession, "ngram-lists")
+    lists.write.parquet(path)
+    return path, lists.sparkSession.read.parquet(path)
+
+
 def set_classes(sets: DataFrame, percent: int) -> DataFrame:
     """(sid, label) of the sets with links, from candidates to classes.
 
@@ -305,13 +315,17 @@ def set_classes(sets: DataFrame, percent: int) -> DataFrame:
     of another label that it shares most prefix tokens with. Lists of one label
     drop out. What is left after the rounds is enumerated across classes.
     """
-    lists = rare_prefixes(sets, percent)
+    spark, bits = sets.sparkSession, count_bits(sets)
+    sent = spark.sparkContext.broadcast(token_counts(sets, bits))
+    path, lists = _written(rare_prefixes(sets, sent, bits, percent))
+    sent.destroy()
     edges = labels = None
     for turn in range(PIVOT_ROUNDS):
         at = _labelled(lists, labels)
         pivot = at.groupBy("token").agg(F.min_by(F.struct("sid", "n", "place", "label"), F.xxhash64("sid", F.lit(turn))).alias("p"),
                                         F.min("label").alias("lo"), F.max("label").alias("hi"))
-        lists = stored(at.join(pivot.filter("lo <> hi").select("token", "p"), "token"), "ngram-lists")
+        old, (path, lists) = path, _written(at.join(pivot.filter("lo <> hi").select("token", "p"), "token"))
+        deleted(spark, old)
         near = lists.filter("p.label <> label").select(F.struct("sid", "n", "place").alias("b"), F.col("p").alias("a"))
         counted = near.filter(_enough(percent)).groupBy(F.col("b.sid").alias("b"), F.col("a.sid").alias("a")).agg(
             F.count(F.lit(1)).alias("c"))
@@ -319,21 +333,29 @@ def set_classes(sets: DataFrame, percent: int) -> DataFrame:
         found = linked(pairs, sets, percent)
         edges = found if edges is None else edges.unionByName(found)
         labels, lists = _moved(labels, found), lists.drop("p", "label")
+        del at, pivot, near, counted, pairs, found
+        sweep(spark)
     at = _labelled(lists, classes(edges))
     mixed = at.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
     signs = keep(parities(sets))
-    at = stored(small_join(at.join(mixed, "token", "left_semi"), signs, "sid", signs.count()), "ngram-lists")
+    old, (path, at) = path, _written(small_join(at.join(mixed, "token", "left_semi"), signs, "sid", signs.count()))
+    deleted(spark, old)
     rest = at.alias("a").join(at.alias("b"), "token").filter(
         (F.col("a.sid") < F.col("b.sid")) & (F.col("a.label") != F.col("b.label")) & _enough(percent) & _may_reach(percent))
     pairs = keep(rest.select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b")).distinct())
+    deleted(spark, path)
     return classes(edges.unionByName(linked(pairs, sets, percent)))
 
 
 def class_members(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, percent: int = 75) -> DataFrame:
     """(doc, sid, n, label): every document's set, its size and its class."""
-    marks = shared_marks(prefix_keys(docs, text, key, k, percent))
-    sets = keep(linkable_sets(docs, marks, text, key, k, percent))
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast(shared_marks(prefix_keys(docs, text, key, k, percent)))
+    sets = keep(linkable_sets(docs, sent, text, key, k, percent))
+    sent.destroy()
+    sweep(spark)
     labels = set_classes(sets, percent)
+    sweep(spark)
     own = keep(members(docs, text, key, k))
     return own.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
 
