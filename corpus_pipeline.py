@@ -4,6 +4,12 @@ Each stage takes (spark, docs, sf_dir), where docs are the rows that the stage
 before kept, and returns a DataFrame that is written as Parquet and read again
 for the next stage. All but the last return the columns of ``documents``.
 
+Defined results: rows with a null id, repeated rows and null, empty or very long
+texts are treated by each stage as its operator says (a null or blank text fails
+the quality rules, so it ends there); columns of the documents beyond those the
+stages read are carried along as they are, whatever their names; an empty table
+gives an empty result.
+
 No SQL is given for the whole: expectation maximisation, the similarity classes
 and the tokenizer can't be said in it. The tests hold the pipeline against a
 brute-force version.
@@ -13,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvid.llm.common import documents, shared_path
+from corvid.llm.common import documents, shared_path, sweep
 from corvid.llm.decontamination import drop_contaminated
 from corvid.llm.mixing import mixed_rows
 from corvid.llm.ngram_join import one_per_class
@@ -60,4 +66,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = shared_path(spark, f"pipeline-{k}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        sweep(spark)
     return docs
