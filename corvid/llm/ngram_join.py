@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corvid.llm.common import deleted, keep, shared_path, small_join, sweep, unwrapped, wrapped
 from corvid.llm.hashing import mix, pieces, set_id, shingle_sets, word_hashes
@@ -322,9 +323,11 @@ def set_classes(sets: DataFrame, percent: int) -> DataFrame:
     edges = labels = None
     for turn in range(PIVOT_ROUNDS):
         at = _labelled(lists, labels)
-        pivot = at.groupBy("token").agg(F.min_by(F.struct("sid", "n", "place", "label"), F.xxhash64("sid", F.lit(turn))).alias("p"),
-                                        F.min("label").alias("lo"), F.max("label").alias("hi"))
-        old, (path, lists) = path, _written(at.join(pivot.filter("lo <> hi").select("token", "p"), "token"))
+        # one exchange a round: a list's pivot and labels are found where its rows meet
+        of_list = Window.partitionBy("token")
+        at = at.withColumns({"p": F.min_by(F.struct("sid", "n", "place", "label"), F.xxhash64("sid", F.lit(turn))).over(of_list),
+                             "lo": F.min("label").over(of_list), "hi": F.max("label").over(of_list)})
+        old, (path, lists) = path, _written(at.filter("lo <> hi").drop("lo", "hi"))
         deleted(spark, old)
         near = lists.filter("p.label <> label").select(F.struct("sid", "n", "place").alias("b"), F.col("p").alias("a"))
         counted = near.filter(_enough(percent)).groupBy(F.col("b.sid").alias("b"), F.col("a.sid").alias("a")).agg(
@@ -333,7 +336,7 @@ def set_classes(sets: DataFrame, percent: int) -> DataFrame:
         found = linked(pairs, sets, percent)
         edges = found if edges is None else edges.unionByName(found)
         labels, lists = _moved(labels, found), lists.drop("p", "label")
-        del at, pivot, near, counted, pairs, found
+        del at, near, counted, pairs, found
         sweep(spark)
     at = _labelled(lists, classes(edges))
     mixed = at.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
