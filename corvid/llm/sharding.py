@@ -6,12 +6,15 @@ where they divide evenly). Quantiles are found by counting bytes in ever finer
 intervals of the dimension, all nodes of a level at once: a round shuffles a
 row per node and interval, and the driver sees a row per node.
 
-Dimensions are scaled to 31 bits over the table; a hash of the id breaks ties,
-so a value that many rows share can be cut anywhere.
+Languages and sources are ranked among their different values, whole strings in
+the order of their bytes. Dimensions are scaled to 31 bits over the table; a
+hash of the id breaks ties, so a value that many rows share can be cut anywhere.
 
 Defined results: a null text has no bytes (size 8); a null dimension is the
-least value; rows with equal ids go to one shard; an empty table gives an
-empty result. Equal texts are not kept together: the law is on bytes.
+least value; rows with equal ids go to one shard; a very long text counts
+whole, and one with more bytes than a shard's share fills its shard alone or
+nearly so while others get less; an empty table gives an empty result. Equal
+texts are not kept together: the law is on bytes.
 """
 
 from __future__ import annotations
@@ -23,16 +26,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvid.llm.common import keep, seeded_hash, small_join
+from corvid.plans.ordering import with_global_position
 
 BITS = 31
 #: Intervals per node and round.
 INTERVALS = 1024
 
 
-def text_code(column: str) -> Column:
-    """A string's first seven bytes as a number: the order of the strings."""
-    seven = F.rpad(F.hex(F.substring(F.encode(F.col(column), "UTF-8"), 1, 7)), 14, "0")
-    return F.conv(seven, 16, 10).cast("double")
+#: Nodes that are named in a plan; more of them are a table.
+PLAN_NODES = 256
+#: Rows of one shard that are numbered together, about.
+BLOCK_ROWS = 50_000
+
+
+def value_ranks(docs: DataFrame, column: str) -> DataFrame:
+    """(_value, _rank): the different values of a text column by their bytes."""
+    values = docs.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
+    return keep(with_global_position(values, ["_value"], "_rank").select("_value", "_rank"))
 
 
 def log_size(column: str) -> Column:
@@ -52,7 +62,10 @@ def scaled(rows: DataFrame, dims: Sequence[str]) -> DataFrame:
 
 
 def _frame(like: DataFrame, rows: list[dict]) -> DataFrame:
-    """A small frame of literals (one row a node)."""
+    """A small frame, one row a node: literals, or a table of many."""
+    if len(rows) > PLAN_NODES:
+        names = list(rows[0])
+        return like.sparkSession.createDataFrame([tuple(r[n] for n in names) for r in rows], ", ".join(f"{n} bigint" for n in names))
     items = F.array(*[F.struct(*[F.lit(v).cast("bigint").alias(k) for k, v in r.items()]) for r in rows])
     return like.sparkSession.range(1).select(F.inline(items))
 
@@ -125,12 +138,13 @@ def kd_shards(rows: DataFrame, dims: Sequence[str], shards: int | None = None,
             rows = keep(moved.withColumn("_node", F.coalesce(child, F.col("_node"))).drop("_dim", "_cut"))
     shard_of = _frame(rows, [{"_node": n, "shard": s} for n, s in leaves.items()] or [{"_node": 1, "shard": 0}])
     placed = small_join(rows, shard_of, "_node", max(1, len(leaves))).withColumn("shard", F.col("shard").cast("int"))
-    return with_slots(placed)
+    return with_slots(placed, max(64, -(-rows.count() // (shards * BLOCK_ROWS))))
 
 
 def with_slots(placed: DataFrame, blocks: int = 64) -> DataFrame:
     """``slot``: a gapless position in the shard. Rows are numbered within
-    blocks of the tie hash; block counts give each block's first slot."""
+    blocks of the tie hash, as many as the rows ask for; block counts give each
+    block's first slot."""
     x = placed.withColumn("_block", F.expr(f"(_tie * {blocks}L) >> {BITS}").cast("int"))
     counts = x.groupBy("shard", "_block").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -145,10 +159,15 @@ def shard_rows(docs: DataFrame, text: str = "text", key: str = "doc_id", lang: s
                carry: Sequence[str] = ()) -> DataFrame:
     """The narrow rows that a corpus is sharded by: size and tie, and four
     metadata dimensions (language, source, log of the length, id)."""
-    return docs.select(
+    x = docs.select(F.col(key), *carry, *{text, lang, source} - {key, *carry})
+    for column, name in ((lang, "_d_lang"), (source, "_d_source")):
+        ranks = value_ranks(docs, column)
+        x = small_join(x, ranks, F.col(column) == F.col("_value"), ranks.count(), "left").withColumn(
+            name, F.col("_rank").cast("double")).drop("_value", "_rank")
+    return x.select(
         F.col(key), *carry, (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("bigint").alias("_size"),
         F.shiftright(seeded_hash(11, F.col(key)), 60 - BITS).alias("_tie"),
-        text_code(lang).alias("_d_lang"), text_code(source).alias("_d_source"), log_size(text).alias("_d_length"),
+        "_d_lang", "_d_source", log_size(text).alias("_d_length"),
         F.col(key).cast("double").alias("_d_id"))
 
 
