@@ -119,11 +119,11 @@ def mix_plan(docs: DataFrame, text: str = "text", source: str = "source", key: s
     cuts = with_plan(edge, cut).select(
         F.col("_src").alias("_s"), F.coalesce("_cut", F.shiftleft(F.col("_eb").cast("bigint"), 60 - 12) - 1).alias("_small_cut"))
     out = goals.join(cuts, F.col("_src").eqNullSafe(F.col("_s")), "left").drop("_s")
-    # no edge bucket: the goal is not below all that there is
-    all_taken = F.when(F.col("_goal") > 0, F.lit(1 << 60)).otherwise(F.lit(-1))
+    # no edge bucket: the goal is not below all that there is; no goal: nothing is taken once more
+    small_cut = F.when(F.col("_goal") > 0, F.coalesce("_small_cut", F.lit(1 << 60))).otherwise(F.lit(-1))
     return keep(out.select("_src", "_size", "_weight", "_target", "_whole",
                            F.coalesce("_big_cut", F.lit(-1)).alias("_big_cut"),
-                           F.coalesce("_small_cut", all_taken).alias("_small_cut")))
+                           small_cut.alias("_small_cut")))
 
 
 def _mixed(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id",
