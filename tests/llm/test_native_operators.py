@@ -1,12 +1,14 @@
 """Operators made of DataFrame functions only: brute force, and odd input."""
 
 import hashlib
+import zlib
 
 import pytest
 from llm.helpers import ODD_TEXTS, contamination, corpus, dedup, prose, quality_base, words
 from pyspark.sql import functions as F
 
 from corvid.llm import line_dedup as LD
+from corvid.llm import quality, sharding
 from corvid.llm.chat import ChatTemplate, conversations_from, segments, turn_order
 from corvid.llm.decontamination import PositionalIndex, contamination as contaminated_rows, drop_contaminated
 from corvid.llm.mixing import mix_sources, mixed_rows, water_fill
@@ -29,6 +31,14 @@ def test_water_filling_clamps_and_reshares(spark):
     assert got == {"a": 30.0, "b": 120.0, "c": 60.0, "z": 0.0}
 
 
+def test_documents_without_words_are_repeated_as_their_source(spark):
+    """A source clamped at three epochs has no rest: nothing of it is taken a fourth time."""
+    rows = [(i, "word " * 3, "a") for i in range(4)] + [(10 + i, t, "a") for i, t in enumerate([None, "", " \n"] * 30)]
+    rows += [(200 + i, "other " * 50, "b") for i in range(40)]
+    copies = {r["doc_id"]: r["mix_copies"] for r in mix_sources(corpus(spark, rows)).collect()}
+    assert {copies[i] for i, _, s in rows if s == "a"} == {3} and max(copies.values()) <= 3
+
+
 def test_mix_comes_near_its_targets(spark):
     rows = [(i, prose(i, 20 + i % 60), f"s{i % 5}") for i in range(600)]
     rows += [(1000 + i, prose(i, 5), None) for i in range(20)] + [(2000, None, "s0"), (2001, "", "s1"), (2002, LONG, "s2")]
@@ -125,6 +135,51 @@ def test_shards_are_near_equal_and_gapless(spark):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def tree(rows, leaves, first=0):
+    """{row number: shard} of (number, size, tie, dimensions): each split by sorting."""
+    if leaves == 1 or not rows:
+        return {r[0]: first for r in rows}
+    widths = [max(r[3][i] for r in rows) - min(r[3][i] for r in rows) for i in range(len(DIMS))]
+    dim = max(range(len(DIMS)), key=lambda i: (widths[i], -i))
+    key = lambda r: (r[3][dim], r[2])
+    goal, before = sum(r[1] for r in rows) * (leaves // 2) // leaves, 0
+    for at in sorted({key(r) for r in rows}):
+        n = sum(r[1] for r in rows if key(r) == at)
+        if before + n >= goal:
+            left = [r for r in rows if key(r) < at or (key(r) == at and before + n / 2 <= goal)]
+            break
+        before += n
+    right = [r for r in rows if r not in left]
+    return tree(left, leaves // 2, first) | tree(right, leaves - leaves // 2, first + leaves // 2)
+
+
+@pytest.mark.parametrize("plan_nodes", [0, 256])
+def test_shards_are_those_of_a_sorted_tree(spark, plan_nodes, monkeypatch):
+    monkeypatch.setattr(sharding, "PLAN_NODES", plan_nodes)
+    sources = ["https://site0.example/a", "https://site1.example/a", "https://site1.example/b", None, "", "ä"]
+    rows = [(i, "x" * (i * 37 % 211), sources[i % 7 % 6]) for i in range(150)] + [(500, "y" * 20000, "ä"), (501, None, None)]
+    flat = shard_rows(corpus(spark, rows))
+    ranks = {s: r["_rank"] for s, r in ((r["_value"], r) for r in sharding.value_ranks(corpus(spark, rows), "source").collect())}
+    assert ranks == {s: i for i, s in enumerate(sorted((s for s in sources if s is not None), key=str.encode))}
+    plain = [(r["doc_id"], r["_size"], r["_tie"], tuple(r[d] for d in DIMS)) for r in sharding.scaled(flat, DIMS).collect()]
+    for leaves in (2, 5, 8):
+        got = {r["doc_id"]: r["shard"] for r in kd_shards(flat, DIMS, shards=leaves).collect()}
+        assert got == tree(plain, leaves)
+
+
+def test_query_of_shards_gives_checksums_and_gapless_slots(spark):
+    from corvid.llm.queries import QUERIES
+    rows = QUERIES["op4_sharding"](spark, "/root/testdata/sf0.001").collect()
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert (r["size"], r["text_crc32"]) == (len(texts[r["doc_id"]]) + 8, zlib.crc32(texts[r["doc_id"]]))
+        assert r["law"] == "bytes" and r["grown_shard"] is None and 0 <= r["shard"] < 24
+    for shard in {r["shard"] for r in rows}:
+        slots = sorted(r["slot"] for r in rows if r["shard"] == shard)
+        assert slots == list(range(len(slots)))
+
+
 def test_shards_by_target_bytes_ties_and_empty(spark):
     same = corpus(spark, [(7, "abc", None)] * 20 + [(None, None)])
     got = kd_shards(shard_rows(same), DIMS, target_bytes=50).collect()
@@ -244,3 +299,61 @@ def test_line_dedup_odd_rows(spark):
     assert got == [(-1, 1), (-1, 1), (0, 1), (1, 1), (2, 1), (3, 0), (3, 0)]  # equal ids are one document
     assert LD.dedup_lines(corpus(spark, [])).collect() == []
     assert hashlib.sha256(b"").hexdigest()  # all lines lost gives the empty text
+
+
+# -- the verdict of the quality rules -----------------------------------------
+
+def rule_votes(text):
+    """Votes of the default rules, from the text alone."""
+    import regex
+    n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words = quality_base(text)
+    joined, t = "".join(words(text)), text or ""
+    known = {
+        "n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": n_dup_lines, "n_repeat_words": n_repeat_words,
+        "n_lines": sum(bool(words(x)) for x in t.split("\n")), "n_other": len(regex.sub(r"[\p{L}\p{M}]", "", joined)),
+        "n_capitals": len(regex.findall(r"\p{Lu}", joined)), "n_exclaims": joined.count("!"),
+        "n_marks": len(regex.findall(r"[^\p{L}\p{M}\p{N} \t-\r]{2,}", t)),
+        "n_plain": len(regex.findall(r"(?<![^ \t-\r])[\p{L}\p{M}]+[.,;:?!]?(?![^ \t-\r])", t)), "n_distinct": len(set(words(text)))}
+
+    def holds(condition):
+        condition = regex.sub(r"(\w+) BETWEEN (.+?) AND (.+)$", r"(\2) <= \1 <= (\3)", condition)
+        return eval(condition.replace(" AND ", " and ").replace(" OR ", " or "), {}, known)
+
+    return tuple(1 if holds(r.bad) else 0 if holds(r.good) else 2 for r in quality.DEFAULT_RULES)
+
+
+def maximise(votes):
+    """Posterior of each document's votes after the estimation has come to rest."""
+    import math
+    rules, total = len(votes[0]), len(votes)
+    weight, prior = max(1.0, total / 20), 0.8
+    rates = [[list(start) for _ in range(rules)] for start in (quality.GOOD_RATES, quality.BAD_RATES)]
+    post = lambda v: 1 / (1 + math.exp(-math.log(prior / (1 - prior)) - sum(
+        math.log(rates[0][j][x] / rates[1][j][x]) for j, x in enumerate(v))))
+    for _ in range(100):
+        p = [post(v) for v in votes]
+        mass = (sum(p), total - sum(p))
+        new = [[[(sum(w for v, w in zip(votes, part) if v[j] == x) + weight * start[x]) / (m + weight) for x in range(3)]
+                for j in range(rules)] for part, m, start in ((p, mass[0], quality.GOOD_RATES), ([1 - x for x in p], mass[1], quality.BAD_RATES))]
+        new_prior = (mass[0] + 0.8 * weight) / (total + weight)
+        gap = max([abs(new_prior - prior)] + [abs(x - y) for a, b in zip(new, rates) for s, t in zip(a, b) for x, y in zip(s, t)])
+        rates, prior = new, new_prior
+        if gap < 1e-5:
+            break
+    return [post(v) for v in votes]
+
+
+def test_verdicts_match_brute_force_estimation(spark):
+    texts = [sentences(i, 60 + i % 90) for i in range(90)] + [" ".join(x + "###" for x in prose(i, 90).split()) for i in range(12)]
+    texts += [" ".join(x.upper() + "!!" for x in prose(i, 40 + i * 6).split()) for i in range(12)] + ["\n".join([prose(i, 6)] * 30) for i in range(8)]
+    texts += [prose(i, 70) + " " + "É!!! $$ x1 " * (i % 9) for i in range(25)] + ODD_TEXTS + texts[:3]
+    rows = judge(features(corpus(spark, list(enumerate(texts))))).collect()
+    votes = [rule_votes(t) for t in texts]
+    assert {r["doc_id"]: tuple(r["votes"]) for r in rows} == dict(enumerate(votes))
+    want = maximise(votes)
+    for r in rows:
+        base = quality_base(r["text"])
+        failed = base[0] < 50 or 100 * base[4] > 50 * base[0]
+        assert abs(r["quality"] - want[r["doc_id"]]) < 1e-9 and r["base_failed"] == failed
+        assert r["kept"] == (not failed and want[r["doc_id"]] >= 0.5)
+    assert 0 < sum(r["kept"] for r in rows) < len(rows)
