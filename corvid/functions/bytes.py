@@ -21,7 +21,7 @@ def utf8(text: Column) -> Column:
 
 def byte_values(blob: Column) -> Column:
     """BINARY -> ARRAY<INT> of byte values (0..255), linear in the blob size."""
-    pairs = F.filter(F.split(F.hex(blob), r"(?<=\G..)"), lambda x: x != "")
+    pairs = F.regexp_extract_all(F.hex(blob), F.lit(".."), 0)
     return F.transform(pairs, lambda x: F.conv(x, 16, 10).cast("int"))
 
 

@@ -20,11 +20,6 @@ from corvid.functions.bytes import MIN_MATCH, character, characters
 NEAR_ZERO = -1e-5
 
 
-def explode_symbols(df: DataFrame, key: Sequence[str], symbols: Column) -> DataFrame:
-    """(key..., pos, symbol) rows from an array column."""
-    return df.select(*key, F.posexplode(symbols).alias("pos", "symbol"))
-
-
 def symbol_histogram(df: DataFrame, key: Sequence[str], symbols: Column) -> DataFrame:
     """Z3: count per symbol per group (partial + final hash aggregate)."""
     return (df.select(*key, F.explode(symbols).alias("symbol"))
@@ -181,18 +176,6 @@ def run_lengths(seq: DataFrame, key: Sequence[str], order: str = "symbol", value
     return runs.withColumn("collapsible", collapsible)
 
 
-def full_axis_histogram(hist: DataFrame, key: Sequence[str], size: int, symbol: str = "symbol") -> DataFrame:
-    """Histogram over the whole alphabet 0..size-1 with explicit zeros.
-
-    The axis is a per-group ``explode(sequence)`` of fixed length, joined
-    with the sparse counts on (group, symbol).
-    """
-    groups = hist.select(*key).distinct()
-    axis = groups.select(*key, F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias(symbol))
-    return (axis.join(hist, [*key, symbol], "left")
-            .select(*key, symbol, F.coalesce("count", F.lit(0).cast("bigint")).alias("count")))
-
-
 def range_histogram(symbols: DataFrame, ranges: DataFrame, key: Sequence[str]) -> DataFrame:
     """Histogram of the positions [lo, hi) of each item.
 
@@ -432,15 +415,3 @@ def explode_struct_arrays(df: DataFrame, key: Sequence[str], col: str, fields: S
     """Rows out of a struct of parallel arrays (narrow: no shuffle)."""
     z = F.arrays_zip(*[F.col(f"{col}.{f}").alias(f) for f in fields])
     return df.select(*key, F.explode(z).alias("_z")).select(*key, *[F.col(f"_z.{f}").alias(f) for f in fields])
-
-
-def byte_histogram_from_chars(char_hist: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Byte histogram (UTF-8) of each group from its character histogram.
-
-    Each distinct character is expanded to its UTF-8 bytes and weighted by
-    its count, so the byte-level explode touches distinct (group, character)
-    pairs only, not every byte of the corpus.
-    """
-    from corvid.functions.bytes import byte_values, utf8
-    b = char_hist.select(*key, "count", F.explode(byte_values(utf8(F.col("symbol")))).alias("symbol"))
-    return b.groupBy(*key, "symbol").agg(F.sum("count").alias("count"))

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from corvid.functions import code
 from corvid.operators import translate as X
 from corvid.plans import views
 from corvid.plans.catalog import register

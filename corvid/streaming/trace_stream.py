@@ -21,7 +21,6 @@ from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from corvid.functions.trace_text import BLANKS, ENTRY, RECORD_END, RUN_MARKER, parse_trace, record_name

@@ -1,7 +1,6 @@
 """Unit checks: checksums, deflate symbol math, back-references, PNG bytes,
 colour profiles and cat-style line transforms."""
 
-import gzip
 import os
 import random
 import tempfile

@@ -296,3 +296,26 @@ def test_deep_graphs_are_searched_in_merged_tables(spark, rounds, monkeypatch):
     e = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(12)] + [("n3", "n1")], "src string, dst string")
     n = e.select(F.col("src").alias("n")).union(e.select("dst")).distinct()
     assert {r.n: r.depth for r in G.reachable(n, e, "n0").collect()} == {f"n{i}": i for i in range(13)}
+
+
+# ---------------------------------------------------------------- plans
+def exchanged(df):
+    """The columns of every hash or range exchange of the plan."""
+    import re
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return re.findall(r"Exchange (?:hash|range)partitioning\(([^)]*)\)", plan), plan
+
+
+def test_no_text_is_on_a_shuffled_side(spark):
+    """Lines and spans meet narrow facts where their text is read."""
+    from corvid.operators import lines as L
+    from corvid.plans import views
+    from conftest import SF_SMALL
+    for options in ({}, {"nonblank": True}, {"squeeze": True}):
+        _, plan = exchanged(L.number_files(views.line_files(spark, SF_SMALL), **options))
+        head = plan[:plan.index("BroadcastHashJoin")]
+        assert "Exchange" not in head and "SortMergeJoin" not in plan.split("BroadcastExchange")[0]
+    spans = views.spans(spark, SF_SMALL)
+    for df in (X.extract_span_in_files(spans, views.src_files(spark, SF_SMALL)), X.comment_out_span_in_files(spans, views.src_files(spark, SF_SMALL))):
+        _, plan = exchanged(df)
+        assert "Exchange" not in plan[:plan.index("BroadcastHashJoin")] and "SortMergeJoin" not in plan
