@@ -20,6 +20,7 @@ gives no documents.
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 import zlib
@@ -44,8 +45,9 @@ LAST_BYTE = "\x8f"
 
 FRAME_BYTES = 1 << 18
 FILE_BYTES = 16 << 20
-#: Pieces whose ids a worker remembers.
+#: Pieces whose ids a worker remembers, and those that the library is given at once.
 MEMO_PIECES = 400_000
+LEARNED_PIECES = 4000
 #: Texts of ASCII without apostrophe, control or special-token marks, and of Latin-1 letters.
 PLAIN = re.compile(r"(?:[ \t\n\r!-&(-~À-ÖØ-öø-ÿ])*")
 # The normaliser and the splitter of a tokenizers file that cuts plain texts into runs of
@@ -92,7 +94,8 @@ class Encoder:
         self.splits = cuts_plain_texts(path)
         self.pieces = Tokenizer.from_file(path)
         self.pieces.normalizer = normalizers.Sequence([])
-        self.pieces.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.pieces.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.Split("\n", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self._forget()
 
     def _forget(self) -> None:
@@ -101,10 +104,16 @@ class Encoder:
         self.ids, self.starts = np.zeros(0, "<u4"), np.zeros(1, np.int64)
 
     def _learn(self, pieces: list[bytes]) -> None:
-        found = [e.ids for e in self.pieces.encode_batch_fast([p.decode("latin-1") for p in pieces], add_special_tokens=False)]
+        """Many pieces are one text to the library, a line each, whose tokens say which line they are from."""
+        ids, sizes = [self.ids], []
+        for at in range(0, len(pieces), LEARNED_PIECES):
+            part = pieces[at:at + LEARNED_PIECES]
+            found = self.pieces.encode(b"\n".join(part).decode("latin-1"), add_special_tokens=False)
+            ids.append(np.asarray(found.ids, "<u4"))
+            sizes.append(np.bincount(np.asarray(found.word_ids, np.int64), minlength=len(part)))
         self.memo.update(zip(pieces, range(len(self.memo), len(self.memo) + len(pieces))))
-        self.ids = np.concatenate([self.ids, *[np.asarray(i, "<u4") for i in found]])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(i) for i in found])])
+        self.ids = np.concatenate(ids)
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate(sizes))])
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         lengths = np.array([len(t) for t in texts], np.int64)
@@ -118,7 +127,9 @@ class Encoder:
         at = np.zeros(len(starts) + 1, np.int32)
         np.cumsum(ends - starts, out=at[1:])
         pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(raw[inside])]).dictionary_encode()
-        distinct = pieces.dictionary.to_pylist()
+        _, bounds, data = pieces.dictionary.buffers()
+        bounds, data = np.frombuffer(bounds, np.int32)[:len(pieces.dictionary) + 1].tolist(), data.to_pybytes() if data else b""
+        distinct = [data[a:b] for a, b in zip(bounds, bounds[1:])]
         if len(self.memo) > MEMO_PIECES:
             self._forget()
         if new := [p for p in distinct if p not in self.memo]:
@@ -147,7 +158,9 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder a worker process and file."""
+    """One encoder a worker process and file. A task has a core, so the
+    library is kept from threads of its own, which spin while they wait."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
