@@ -15,7 +15,7 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvid.plans.ordering import materialize, with_global_position
+from corvid.plans.ordering import materialize, shuffles_by_rows, with_global_position
 
 
 def build_graph(records: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -78,7 +78,6 @@ def reachable(nodes: DataFrame, edges: DataFrame, root: str) -> DataFrame:
 
 #: A node with more than this part of all edges is hot; there are fewer than twice as many.
 HOT_PART = 500
-SALTS = 1024
 
 
 def _least_neighbours(edges: DataFrame) -> DataFrame:
@@ -90,14 +89,13 @@ def _join_least(edges: DataFrame, least: DataFrame, n_edges: int) -> DataFrame:
     """(u, v, m): the edges (u, v) with the least neighbour of u.
 
     The few hot nodes (at most ``HOT_PART`` of them) are broadcast with their
-    answers; their edges are dealt over salted keys that match nothing, so no
-    task of the join has a hub's edges. All other keys are joined as they are.
+    answers and their edges are answered where they lie, so no task of the join
+    has a hub's edges. (A salt that is constant on the other side won't do: the
+    planner makes it a filter and deals by u alone.) All other edges are joined.
     """
-    hot = least.where(F.col("degree") > n_edges / HOT_PART).select("u", F.col("m").alias("_hot"))
-    salt = F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("v"), F.lit(SALTS)))
-    dealt = edges.join(F.broadcast(hot), "u", "left").withColumn("_salt", salt.cast("bigint"))
-    cold = least.select("u", "m", F.lit(0).cast("bigint").alias("_salt"))
-    return dealt.join(cold, ["u", "_salt"], "left").select("u", "v", F.coalesce("_hot", "m").alias("m"))
+    hot = F.broadcast(least.where(F.col("degree") > n_edges / HOT_PART).select("u", "m"))
+    cold = edges.join(hot.select("u"), "u", "left_anti").join(least.select("u", "m"), "u", "left")
+    return cold.select("u", "v", "m").union(edges.join(hot, "u").select("u", "v", "m"))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -125,23 +123,31 @@ def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     is one star around it and a round changes nothing. Rounds grow with the
     logarithm of the size. No task holds a node's neighbours: the least of them
     is an aggregate that is combined before it is shuffled, and edges of hubs
-    (in the end the label of a giant component) are salted.
+    (in the end the label of a giant component) aren't shuffled to join it. Shuffles are dealt
+    by the rows of the round, counted in both directions, so a task's memory
+    stays as the graph grows; the labels are materialised likewise.
     """
-    e = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct()
-    e = materialize(e, "edges")
+    spark = edges.sparkSession
+    e = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v")
 
     def mark(x: DataFrame):
         return tuple(x.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
+    rows = 2 * edges.count()
+    with shuffles_by_rows(spark, rows):
+        e = materialize(e.distinct(), "edges")
     before = mark(e)
     while before[0]:
-        e = _small_star(_large_star(e))
+        rows = 2 * before[0]
+        with shuffles_by_rows(spark, rows):
+            e = _small_star(_large_star(e))
         now = mark(e)
         if now == before:
             break
         before = now
     labels = e.select(F.col("u").alias("n"), F.col("v").alias("label"))
-    return nodes.select("n").distinct().join(labels, "n", "left").withColumn("label", F.coalesce("label", "n"))
+    with shuffles_by_rows(spark, rows):
+        return materialize(nodes.select("n").distinct().join(labels, "n", "left").withColumn("label", F.coalesce("label", "n")), "labels")
 
 
 def levels_callee_first(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvid.session import shared_path
 
 BROADCAST_ROWS = 200_000
+#: Rows of a partition where a task sorts or hashes them.
+TASK_ROWS = 250_000
 
 
 def with_global_position(df: DataFrame, order: Sequence[Column | str], name: str = "position") -> DataFrame:
@@ -70,6 +73,31 @@ def materialize(df: DataFrame, name: str = "frame") -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def partitions_for(rows: int) -> int:
+    """Partitions that leave about ``TASK_ROWS`` of the rows to each."""
+    return max(1, -(-rows // TASK_ROWS))
+
+
+@contextmanager
+def shuffles_by_rows(spark: SparkSession, rows: int):
+    """Shuffles of the jobs run inside have ``partitions_for(rows)`` partitions.
+
+    Partitions are otherwise merged up to a size in compressed bytes, and rows
+    that compress a hundredfold (edges to one node) fill a task's memory. Only
+    for jobs that end inside: the session's settings are put back behind them.
+    """
+    put = {"spark.sql.shuffle.partitions": str(partitions_for(rows)),
+           "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in put}
+    try:
+        for k, v in put.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage with a compressed table in the shared folder: what a later
     pass reads is what was written, column by column."""

@@ -7,6 +7,7 @@ from corvid.functions import code
 from corvid.operators import graph as G
 from corvid.operators import inventory as C
 from corvid.operators import runs as R
+from corvid.plans import ordering
 
 README_A = """# Task
 
@@ -172,6 +173,30 @@ def test_components_on_long_chain_and_reverse_order(spark):
     assert lv["n000"] == 0 and lv["n039"] == 39
 
 
+def test_hub_edges_are_not_dealt_to_one_task(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        star = spark.range(8000).select(F.concat(F.lit("o"), F.col("id").cast("string")).alias("u"), F.lit("c1").alias("v"))
+        both = star.union(star.select(F.col("v").alias("u"), F.col("u").alias("v"))).repartition(8).checkpoint()
+        x = G._join_least(both, G._least_neighbours(both).checkpoint(), 16000)
+        assert x.where("m = 'c1'").count() == 16000
+        hub = x.where("u = 'c1'").groupBy(F.spark_partition_id()).count()
+        assert hub.agg(F.max("count")).first()[0] < 2000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_components_are_dealt_by_rows_and_settings_come_back(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "TASK_ROWS", 100)
+    keys = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    old = [spark.conf.get(k) for k in keys]
+    n, e = _graph(spark, [(f"o{i}", "c1") for i in range(1000)])
+    got = G.weak_components(n, e)
+    assert got.rdd.getNumPartitions() >= 20
+    assert {r.label for r in got.collect()} == {"c1"} and [spark.conf.get(k) for k in keys] == old
+
+
 def test_distinct_arguments_exact_and_approx(spark):
     from corvid.operators import trace as T
     tr = spark.createDataFrame([("f", {"a": "1", "b": "x"}), ("f", {"a": "2", "b": "x"}), ("g", {"a": "1"})],
