@@ -123,15 +123,17 @@ def parse_rubric(readmes: DataFrame, key: Sequence[str] = ("category", "task"),
 
     A heading line ``Name:`` applies to the rubric lines below it until the
     next heading. The window is per file, so its size is bounded by one
-    file's text, which already sits in one row.
+    file's text, which already sits in one row. Only headings and rubric lines
+    are sorted for it.
     """
     lines = readmes.select(*key, F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
     lines = lines.withColumn("line", F.regexp_replace("line", "\r$", ""))
     heading = F.when(F.col("line").rlike(RUBRIC_SECTION_PATTERN),
                      F.regexp_extract("line", RUBRIC_SECTION_PATTERN, 1))
+    item = F.col("line").rlike(RUBRIC_LINE_PATTERN)
     w = Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("section", F.last(heading, ignorenulls=True).over(w))
-    items = lines.where(F.col("line").rlike(RUBRIC_LINE_PATTERN) & F.col("section").isNotNull())
+    lines = lines.where(heading.isNotNull() | item).withColumn("section", F.last(heading, ignorenulls=True).over(w))
+    items = lines.where(item & F.col("section").isNotNull())
     w2 = Window.partitionBy(*key).orderBy("pos")
     return items.select(*key, "section",
                         F.row_number().over(w2).alias("ordinal"),

@@ -7,7 +7,7 @@ from corvid.functions import code
 from corvid.operators import graph as G
 from corvid.operators import inventory as C
 from corvid.operators import runs as R
-from corvid.plans import ordering
+from corvid.plans import ordering, views
 
 README_A = """# Task
 
@@ -51,6 +51,23 @@ def test_rubric_total_check_flags_21(spark):
     assert bad == {("task2", 21)}
 
 
+def test_rubric_rows_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ordering, "TASK_ROWS", 100, raising=False)
+    li = [(k // 4, 1 + k % 4, float(k % 9), 0.01, "AN"[k % 2], "FO"[k % 3 % 2]) for k in range(1200)] + [(None, 1, 2.0, None, None, "O")]
+    spark.createDataFrame(li, "l_orderkey bigint, l_linenumber int, l_quantity double, l_discount double, l_returnflag string,"
+                          " l_linestatus string").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = R.parse_rubric(views.rubric_readmes(spark, str(tmp_path)))
+    assert got.rdd.getNumPartitions() == 13
+    want, files = set(), {}
+    for key, no, quantity, _, flag, status in li[:-1]:
+        files.setdefault((flag, f"t{key}"), []).append((status == "F", no, 1 + int(quantity) % 5))
+    for (flag, task), items in files.items():
+        for k, (fixed, no, points) in enumerate(sorted(items)):
+            want.add((flag, task, "Correctness" if fixed else "User Experience", k + 1, f"c{no}", points))
+    assert sorted(map(tuple, got.where("task is not null").collect())) == sorted(want)
+    assert [tuple(r) for r in got.where("task is null").collect()] == [(None, None, "User Experience", 1, "c1", 3)]
+
+
 def test_score_rollup_levels(spark):
     rub = R.parse_rubric(_readmes(spark)).withColumn("awarded", F.col("points"))
     rows = {(x.category, x.task, x.section, x.level): x.points for x in R.score_rollup(rub).collect()}
