@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -375,40 +376,55 @@ MATCH_SUMMARY = "struct<n: bigint, sum: bigint, max: bigint>"
 def match_summary_in_row(text: Column, k: int = MIN_MATCH, window: int | None = None) -> Column:
     """Z7 summed inside the row: struct(n, sum, max) of the distances; sum and
     max are NULL without a match. Matches themselves stay in the task."""
-    @F.pandas_udf(MATCH_SUMMARY)
-    def summary(s: pd.Series) -> pd.DataFrame:
-        return _summaries([_nearest_matches(t or "", k, window)[1] for t in s])
-    return summary(text)
+    @F.arrow_udf(MATCH_SUMMARY)
+    def summary(s: pa.Array) -> pa.Array:
+        return _in_turn(s, lambda t: _summary(_nearest_matches(t, k, window)[1]), MATCH_ARROW)
+    return summary.asNondeterministic()(text)
 
 
 def span_summary_in_row(text: Column, k: int = MIN_MATCH, window: int | None = None, max_len: int | None = None) -> Column:
     """Z8 summed inside the row: struct(n, sum, max) of the span lengths."""
-    @F.pandas_udf(MATCH_SUMMARY)
-    def summary(s: pd.Series) -> pd.DataFrame:
-        return _summaries([_spans_from_matches(*_nearest_matches(t or "", k, window), k, max_len)[2] for t in s])
-    return summary(text)
+    @F.arrow_udf(MATCH_SUMMARY)
+    def summary(s: pa.Array) -> pa.Array:
+        return _in_turn(s, lambda t: _summary(_spans_from_matches(*_nearest_matches(t, k, window), k, max_len)[2]), MATCH_ARROW)
+    return summary.asNondeterministic()(text)
 
 
 def distance_histogram_in_row(text: Column, k: int = MIN_MATCH, window: int | None = None) -> Column:
     """Z16 over Z7 inside the row: struct(symbol[], count[]) of the distance
     buckets, named by the smallest distance of each: buckets are given by
     ``distance_bucket`` of it."""
-    @F.pandas_udf(HISTOGRAM_TYPE)
-    def histogram(s: pd.Series) -> pd.DataFrame:
-        out = []
-        for t in s:
-            less = _nearest_matches(t or "", k, window)[1].astype(np.int64) - 1
-            # below 4 every distance is its own; then the top two bits count
-            low = np.maximum(np.frexp(np.maximum(less, 1).astype(float))[1] - 2, 0)
-            out.append(_counts(((less >> low) << low) + 1))
-        return pd.DataFrame({"symbol": [o[0] for o in out], "count": [o[1] for o in out]})
-    return histogram(text)
+    def buckets(t: str):
+        less = _nearest_matches(t, k, window)[1].astype(np.int64) - 1
+        # below 4 every distance is its own; then the top two bits count
+        low = np.maximum(np.frexp(np.maximum(less, 1).astype(float))[1] - 2, 0)
+        return _counts(((less >> low) << low) + 1)
+
+    @F.arrow_udf(HISTOGRAM_TYPE)
+    def histogram(s: pa.Array) -> pa.Array:
+        return _in_turn(s, buckets, HISTOGRAM_ARROW)
+    return histogram.asNondeterministic()(text)
+
+
+MATCH_ARROW = {"n": pa.int64(), "sum": pa.int64(), "max": pa.int64()}
+HISTOGRAM_ARROW = {"symbol": pa.list_(pa.int32()), "count": pa.list_(pa.int64())}
+
+
+def _in_turn(texts: pa.Array, answer, fields: dict) -> pa.Array:
+    """Structs of ``answer(text)`` for each text of a batch.
+
+    One text at a time is taken out of the batch, and only its answer is kept:
+    a worker holds the batch once and the arrays of one text. (The functions
+    that use it are called non-deterministic, since the planner runs others a
+    second time, in workers of their own, for a filter on their result.)
+    """
+    rows = [answer(t.as_py() or "") for t in texts]
+    return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(fields.values())], list(fields))
 
 
-def _summaries(values: list) -> pd.DataFrame:
-    return pd.DataFrame({"n": [len(v) for v in values],
-                         "sum": pd.array([int(v.sum(dtype=np.int64)) if len(v) else None for v in values], "Int64"),
-                         "max": pd.array([int(v.max()) if len(v) else None for v in values], "Int64")})
+def _summary(v):
+    """(how many, sum, greatest) of an array; the last two None if it is empty."""
+    return (len(v), int(v.sum(dtype=np.int64)), int(v.max())) if len(v) else (0, None, None)
 
 
 def explode_struct_arrays(df: DataFrame, key: Sequence[str], col: str, fields: Sequence[str]) -> DataFrame:

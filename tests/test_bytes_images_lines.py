@@ -12,6 +12,7 @@ from corvid.functions import bytes as BF
 from corvid.operators import bytes as Z
 from corvid.operators import images as P
 from corvid.operators import lines as L
+from corvid.plans import queries_z
 from corvid.sources import files as S
 
 SAMPLES = [b"hello", b"", b"compressthis" + b"_foobar" * 1000 + b"$", bytes(random.Random(7).getrandbits(8) for _ in range(3000))]
@@ -270,3 +271,16 @@ def test_in_row_and_window_back_references_agree(spark):
     sr = Z.explode_struct_arrays(docs.select("doc_id", Z.repeated_spans_in_row(F.col("text")).alias("s")),
                                  ["doc_id"], "s", ["start", "dist", "length"])
     assert sw.exceptAll(sr).count() == 0 and sr.exceptAll(sw).count() == 0
+
+
+def test_row_summaries_run_once_and_agree_with_the_arrays(spark, tmp_path):
+    docs = [(1, "abcabcabcabc, abc"), (2, "aaaaaaa"), (3, "ab"), (4, ""), (5, None), (6, "été été été 😀😀😀😀")]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    x = spark.read.parquet(str(tmp_path / "documents.parquet")).select(
+        "doc_id", Z.previous_occurrence_in_row(F.col("text")).dist.alias("dist"),
+        Z.repeated_spans_in_row(F.col("text")).length.alias("length")).collect()
+    for query, column in ((queries_z.z7, "dist"), (queries_z.z8, "length")):
+        df = query(spark, str(tmp_path))
+        assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+        want = sorted((r.doc_id, len(r[column]), sum(r[column]), max(r[column])) for r in x if r[column])
+        assert sorted(map(tuple, df.collect())) == want and len(want) == 3
