@@ -49,8 +49,12 @@ COUNT_BITS = 24
 COUNT_CHUNK = 1 << 14
 #: Bits of a set's parities, which bound how far two sets are apart.
 PARITY_BITS = 1024
-#: Rounds of one pivot a set before the remaining pairs are enumerated.
+#: Rounds of one pivot a set before the remaining pairs are enumerated, at most.
 PIVOT_ROUNDS = 6
+#: No further round where one in so many tests or fewer gave a link and the lists
+#: are so short on average over their rows: enumerating them is linear.
+FEW_LINKS = 32
+SHORT_LIST = 16
 
 
 def prefix_size(n, percent: int = 75):
@@ -238,10 +242,11 @@ def _may_reach(percent: int):
     return apart * (100 + percent) <= (F.col("a.n") + F.col("b.n")) * (100 - percent)
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold. The sets of the b side
-    travel to the a side; both hash orders are tried before the full overlap."""
-    count = pairs.count()
+def linked(pairs: DataFrame, count: int, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b), ``count`` rows, whose sets reach the threshold. The sets of
+    the b side travel to the a side; both hash orders are tried before the full overlap."""
+    if not count:
+        return pairs
     left = sets.join(pairs.select("a").distinct().withColumnRenamed("a", "sid"), "sid", "left_semi")
     right = small_join(sets.withColumnRenamed("sid", "b"), pairs, "b", count)
     both = right.select("a", "b", F.col("tokens").alias("tb")).join(
@@ -266,10 +271,15 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def classes(edges: DataFrame) -> DataFrame:
     """(sid, label): the least id that each end of an edge reaches, by large-star
-    and small-star steps until nothing moves."""
+    and small-star steps until every node is an end of its class's star or its
+    centre, which a further step would leave as it is."""
     now = keep(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = None
     while True:
+        # a node that has two edges as the greater end, or is the greater end of one and the lesser of another
+        ends = now.select(F.col("u").alias("x"), F.lit(1).alias("n")).unionByName(now.select(F.col("v").alias("x"), F.lit(0).alias("n")))
+        ends = ends.groupBy("x").agg(F.sum("n").alias("n"), F.min("n").alias("lo"))
+        if ends.filter("n > 1 or (n = 1 and lo = 0)").isEmpty():
+            break
         # large star: the greater neighbours of u go to the least one (or u)
         two = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = two.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -279,24 +289,23 @@ def classes(edges: DataFrame) -> DataFrame:
         low = small.groupBy("u").agg(F.min("v").alias("m"))
         moved = small.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = keep(moved.unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
-        new = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if new == state:
-            break
-        state = new
-    return keep(now.groupBy("u").agg(F.min("v").alias("label")).withColumnRenamed("u", "sid"))
+        del ends, two, least, big, small, low, moved
+        sweep(edges.sparkSession)
+    return now.select(F.col("u").alias("sid"), F.col("v").alias("label"))
 
 
-def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _labelled(lists: DataFrame, labels: DataFrame | None, count: int) -> DataFrame:
+    """The lists with the label of each set; ``labels`` has ``count`` rows."""
     if labels is None:
         return lists.withColumn("label", F.col("sid"))
-    return small_join(lists, labels, "sid", labels.count(), "left").withColumn("label", F.coalesce("label", "sid"))
+    return small_join(lists, labels, "sid", count, "left").withColumn("label", F.coalesce("label", "sid"))
 
 
-def _moved(labels: DataFrame | None, found: DataFrame) -> DataFrame:
+def _moved(labels: DataFrame | None, count: int, found: DataFrame) -> DataFrame:
     """Labels after links (a, b): b takes the label that a had. Sets with one
     label are connected; the converse is left to ``classes``."""
     new = found.dropDuplicates(["b"]).select(F.col("a").alias("sid"), "b")
-    new = _labelled(new, labels).select(F.col("b").alias("sid"), "label")
+    new = _labelled(new, labels, count).select(F.col("b").alias("sid"), "label")
     if labels is None:
         return keep(new)
     return keep(new.unionByName(labels.join(new.select("sid"), "sid", "left_anti")))
@@ -314,32 +323,54 @@ def set_classes(sets: DataFrame, percent: int) -> DataFrame:
 
     In a round each list has one pivot, and each set is tested with the pivot
     of another label that it shares most prefix tokens with. Lists of one label
-    drop out. What is left after the rounds is enumerated across classes.
+    drop out. The rounds end when they hardly link and the lists are short; what
+    is left is enumerated across classes.
+
+    A step without lists, pairs or links is not run on empty frames: every
+    exchange and broadcast is a thread of the driver for the next minute, so on
+    small inputs, where steps are quick, its memory follows the number of steps.
     """
     spark, bits = sets.sparkSession, count_bits(sets)
     sent = spark.sparkContext.broadcast(token_counts(sets, bits))
     path, lists = _written(rare_prefixes(sets, sent, bits, percent))
     sent.destroy()
     edges = labels = None
+    count = 0
     for turn in range(PIVOT_ROUNDS):
-        at = _labelled(lists, labels)
+        at = _labelled(lists, labels, count)
         # one exchange a round: a list's pivot and labels are found where its rows meet
         of_list = Window.partitionBy("token")
         at = at.withColumns({"p": F.min_by(F.struct("sid", "n", "place", "label"), F.xxhash64("sid", F.lit(turn))).over(of_list),
-                             "lo": F.min("label").over(of_list), "hi": F.max("label").over(of_list)})
-        old, (path, lists) = path, _written(at.filter("lo <> hi").drop("lo", "hi"))
+                             "lo": F.min("label").over(of_list), "hi": F.max("label").over(of_list),
+                             "length": F.count(F.lit(1)).over(of_list)})
+        old, (path, at) = path, _written(at.filter("lo <> hi").drop("lo", "hi"))
         deleted(spark, old)
-        near = lists.filter("p.label <> label").select(F.struct("sid", "n", "place").alias("b"), F.col("p").alias("a"))
+        lists = at.drop("p", "label", "length")
+        rows, lengths = at.agg(F.count(F.lit(1)), F.sum("length")).first()
+        if not rows:
+            break
+        near = at.filter("p.label <> label").select(F.struct("sid", "n", "place").alias("b"), F.col("p").alias("a"))
         counted = near.filter(_enough(percent)).groupBy(F.col("b.sid").alias("b"), F.col("a.sid").alias("a")).agg(
             F.count(F.lit(1)).alias("c"))
         pairs = keep(counted.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b"))
-        found = linked(pairs, sets, percent)
-        edges = found if edges is None else edges.unionByName(found)
-        labels, lists = _moved(labels, found), lists.drop("p", "label")
+        tested = pairs.count()
+        found = linked(pairs, tested, sets, percent)
+        links = found.count()
+        if links:
+            edges = found if edges is None else edges.unionByName(found)
+            labels = _moved(labels, count, found)
+            count = labels.count()
         del at, near, counted, pairs, found
         sweep(spark)
-    at = _labelled(lists, classes(edges))
-    mixed = at.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
+        if links * FEW_LINKS <= tested and lengths <= SHORT_LIST * rows:
+            break
+    stars = classes(edges) if edges is not None else spark.createDataFrame([], "sid bigint, label bigint")
+    sweep(spark)
+    at = _labelled(lists, stars, stars.count())
+    mixed = keep(at.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token"))
+    if mixed.isEmpty():
+        deleted(spark, path)
+        return stars
     signs = keep(parities(sets))
     old, (path, at) = path, _written(small_join(at.join(mixed, "token", "left_semi"), signs, "sid", signs.count()))
     deleted(spark, old)
@@ -347,7 +378,11 @@ def set_classes(sets: DataFrame, percent: int) -> DataFrame:
         (F.col("a.sid") < F.col("b.sid")) & (F.col("a.label") != F.col("b.label")) & _enough(percent) & _may_reach(percent))
     pairs = keep(rest.select(F.col("a.sid").alias("a"), F.col("b.sid").alias("b")).distinct())
     deleted(spark, path)
-    return classes(edges.unionByName(linked(pairs, sets, percent)))
+    found = linked(pairs, pairs.count(), sets, percent)
+    if found.isEmpty():
+        return stars
+    # what the rounds have linked is in the stars: only the last links are new
+    return classes(stars.select(F.col("sid").alias("a"), F.col("label").alias("b")).unionByName(found))
 
 
 def class_members(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = 5, percent: int = 75) -> DataFrame:

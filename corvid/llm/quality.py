@@ -136,7 +136,8 @@ def fit_votes(votes: DataFrame, rules: int, rounds: int = 100, tolerance: float
     document, while a bad one is accused by some rules and passes others. That
     also keeps the classes from changing places.
     """
-    patterns = keep(votes.groupBy("votes").agg(F.count(F.lit(1)).alias("_n")).coalesce(1))
+    # read as one partition, so that no round needs an exchange
+    patterns = keep(votes.groupBy("votes").agg(F.count(F.lit(1)).alias("_n")).coalesce(1)).coalesce(1)
     total = patterns.agg(F.sum("_n")).first()[0] or 0
     model = VoteModel(0.8, (GOOD_RATES,) * rules, (BAD_RATES,) * rules)
     if not total:

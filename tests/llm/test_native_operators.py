@@ -292,6 +292,16 @@ def test_line_dedup_matches_brute_force(spark, monkeypatch, hot):
         assert "\n".join(x for run in r["keep_runs"] for x in lines[run["start"]:run["start"] + run["len"]]) == r["kept_text"]
 
 
+def test_a_round_of_votes_is_one_job(spark):
+    votes = spark.createDataFrame([([i % 3, i % 2, (i // 3) % 3],) for i in range(60)], "votes array<int>")
+    spark.sparkContext.setJobGroup("fit-votes", "rounds of one job")
+    model = quality.fit_votes(votes, 3)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("fit-votes")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert model.rounds >= 10
+    assert len(jobs) <= model.rounds + 8
+
+
 def test_line_dedup_odd_rows(spark):
     line = "A line that is longer than forty characters by far"
     docs = corpus(spark, [(None, line)] * 2 + [(i, line) for i in range(4)] + [(3, line)])

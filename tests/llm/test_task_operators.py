@@ -139,6 +139,26 @@ def test_enumeration_alone_finds_all(spark, monkeypatch):
     assert got == classes(rows)
 
 
+def test_rounds_end_when_nothing_is_left_to_link(spark, monkeypatch):
+    tested, real = [], NJ.linked
+    monkeypatch.setattr(NJ, "linked", lambda pairs, count, sets, percent: tested.append(count) or real(pairs, count, sets, percent))
+    copies = [(100 + i, prose(200 + i // 2, 80) + (" extra words" if i % 2 else "")) for i in range(20)]
+    halves = [(i, prose(300 + i // 2, 60) + " " + prose(400 + i, 25)) for i in range(20)]  # candidates without links
+    for given, most in ((copies + halves, 4), ([(i, prose(7000 + i, 60)) for i in range(8)], 0)):
+        tested.clear()
+        got = {r["doc"]: (r["n"], r["component"]) for r in NJ.similarity_classes(corpus(spark, given)).collect()}
+        assert got == classes(given)
+        assert len(tested) <= most, tested
+
+
+def test_edges_to_least_labels(spark):
+    edges = [(9, 7), (7, 4), (4, 9), (3, 2), (20, 21), (21, 22), (22, 23), (23, 24), (24, 25), (5, 5)]
+    got = {r["sid"]: r["label"] for r in NJ.classes(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {9: 4, 7: 4, 3: 2} | {i: 20 for i in range(21, 26)}
+    stars = spark.createDataFrame([(9, 4), (7, 4), (3, 2)], "a long, b long")
+    assert sorted(map(tuple, NJ.classes(stars).collect())) == [(3, 2), (7, 4), (9, 4)]
+
+
 def test_one_per_class_and_odd_rows(spark):
     docs = corpus(spark, [(1, "a b c d e f"), (2, "A b c d e F"), (2, "A b c d e F"), (3, "else"), (4, None), (5, ""), (None, "else")])
     kept = NJ.one_per_class(docs)
